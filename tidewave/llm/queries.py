@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewave.llm import mixing, packing, toxicity
 from tidewave.llm.exact_dedup import exact_dedup
 from tidewave.llm.near_dedup import near_duplicates
 
@@ -12,14 +13,29 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents")).drop("n_chars")
 
 
+def op4_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per showing of a document; sort by source, epoch, of_block, in_block for the order of an epoch."""
+    shown = mixing.ordered(mixing.mix(_table(spark, sf_dir, "documents"), max_repeats=2.0))
+    return shown.select("doc_id", "source", "mix_epoch", "mix_tokens", "mix_block", "mix_order.of_block", "mix_order.in_block")
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op7_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.severity(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 OP2_SQL = r"""
 with n as (
   select doc_id, coalesce(text, '') as t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as norm from documents
@@ -32,7 +48,7 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(norm) as te
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_exact_dedup, op5_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_exact_dedup, op4_temperature_mixing, op5_minhash_near_dedup, op7_ordinal_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
