@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewave.llm import mixing, packing, toxicity
+from tidewave.llm import mixing, packing, toxicity, warc
+from tidewave.llm.common import shared_dir
 from tidewave.llm.exact_dedup import exact_dedup
 from tidewave.llm.near_dedup import near_duplicates
 
@@ -36,6 +39,12 @@ def op7_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.severity(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_warc(_table(spark, sf_dir, "pages"), folder)
+    return warc.read_warc(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 OP2_SQL = r"""
 with n as (
   select doc_id, coalesce(text, '') as t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as norm from documents
@@ -47,9 +56,20 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(norm) as te
 """
 
 
+OP8_SQL = """
+with p as (
+  select page_id, coalesce(html, '') as html, octet_length(encode(coalesce(html, ''))) as n, sha256(coalesce(html, '')) as d from pages
+), f as (select d, min(page_id) as first_id from p where n >= 100 group by d)
+select page_id, cast(n as bigint) as payload_bytes, p.d as payload_digest,
+  case when n >= 100 and page_id > first_id then 'revisit' else 'response' end as record_type,
+  case when n >= 100 and page_id > first_id then first_id end as refers_to
+from p left join f on p.d = f.d and p.n >= 100
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_exact_dedup, op4_temperature_mixing, op5_minhash_near_dedup, op7_ordinal_toxicity)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_exact_dedup, op4_temperature_mixing, op5_minhash_near_dedup, op7_ordinal_toxicity, op8_warc_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op8_warc_round_trip": OP8_SQL}
