@@ -9,13 +9,14 @@ probability (1 - 0.85^6)^40 < 1e-8.
 The plan, in order:
 1. one pass over the texts makes shingle count, digest of the set, band keys and 240 sign bits per document;
 2. equal sets collapse to their smallest id (a hot group of copies is one map-side combined row from here on);
-3. in each bucket every member is paired with the smallest one, so a bucket costs as many pairs as it has members;
-4. buckets whose members are still in different components get their remaining pairs across components, bucket blocks
-   of 64 against each other; both kinds of pair must pass a size bound (exact) and a bound on the sign bits (more than
-   six standard deviations below the threshold) before the full sets are compared, word for word;
+3. in each bucket every member is paired with the smallest one, so a bucket costs as many pairs as it has members; a
+   pair must pass a size bound (exact) and a bound on the sign bits (seven standard deviations below the threshold)
+   before the full sets are compared, word for word;
+4. documents of buckets that still hold different components are held against each other in blocks: all pairs of a
+   block pair at once, as a matrix product, and only links leave the task;
 5. links between different sets become components by alternating star contraction.
-After step 4 every pair that shares a bucket is linked, compared, or already in one component, so components are those
-of all links. Nothing is capped, and links, components and fingerprints stay distributed.
+After step 4 every pair that shares a bucket is linked, compared or in one component already, so components
+are those of all links. Nothing is capped, and links, components and fingerprints stay distributed.
 
 Defined results: null or wordless text has an empty set and is linked with nothing. Rows that share an id are one
 document and share its fate. Rows with a null id stand for one unnamed document, have a null component, and stay.
@@ -29,6 +30,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,10 +40,8 @@ from tidewave.llm.components import components
 
 N_PERM, ROWS = 120, 6
 BANDS = 2 * N_PERM // ROWS
-BLOCK = 64
 #: So many shingles at a time go through the permutations, so that the arrays stay in cache and memory is bounded.
 CHUNK = 32_768
-#: Sign bits that may differ of 240: at similarity 0.85, 18 do on average, with a standard deviation of 4.1.
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -153,6 +153,71 @@ def _confirm(width: int, percent: int):
     return run
 
 
+#: A block of documents that are held against another block in one task: shingles and documents, on average.
+BLOCK_SHINGLES, BLOCK_DOCS = 400_000, 800
+
+
+def _overlaps(sets: list[np.ndarray], step: int = 4096) -> np.ndarray:
+    """Sizes of all pairwise intersections, by products of 0/1 matrices over so many shingles at a time."""
+    owner = np.repeat(np.arange(len(sets)), [s.size for s in sets])
+    _, token, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = often[token] > 1
+    token, owner = token[shared], owner[shared]
+    if not token.size:
+        return np.zeros((len(sets), len(sets)), np.float32)
+    token = np.unique(token, return_inverse=True)[1]
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    total = np.zeros((len(sets), len(sets)), np.float32)  # exact: every size is below 2**24 in a block
+    for start in range(0, int(token[-1]) + 1, step):
+        lo, hi = np.searchsorted(token, [start, start + step])
+        m = np.zeros((len(sets), step), np.float32)
+        m[owner[lo:hi], token[lo:hi] - start] = 1
+        total += m @ m.T
+    return total
+
+
+def _links_of_block(width: int, percent: int):
+    """Links between documents of different components in a pair of blocks, one for each pair of components."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["id", "text"], kind="stable")
+        ids, comps, texts = rows["id"].to_numpy(), rows["comp"].to_numpy(), rows["text"].tolist()
+        sets = shingle_sets([t.encode() for t in texts], width)
+        size = np.array([s.size for s in sets])
+        both = _overlaps(sets)
+        near = (100 * both.astype(np.float64) >= percent * (size[:, None] + size[None, :] - both)) & (both > 0) & (comps[:, None] < comps[None, :])
+        found, done = [], set()
+        for x, y in np.argwhere(near):
+            if (comps[x], comps[y]) not in done:
+                a, b = _word_set(texts[x], width), _word_set(texts[y], width)
+                if 100 * len(a & b) >= percent * len(a | b):
+                    done.add((comps[x], comps[y]))
+                    found.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _apart(rest: DataFrame, own: DataFrame, facts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between documents that share a bucket and are in different components.
+
+    ``rest``: (lead, id, comp), the members of buckets that still hold several components, by the bucket's first member.
+    The members of one lead are dealt into blocks of bounded size and each block meets each other one in a task of its
+    own, as a product of 0/1 matrices; what leaves the task is links, never pairs. The blocks cost one copy of a text
+    per block of its group, so the copies (not the rows out) grow with the square of a group of documents that are
+    all alike, at 0.7 say, and yet not linked, divided by the size of a block.
+    """
+    sized = skew_join(rest, facts.select("id", "n"), ["id"])
+    groups = sized.groupBy("lead").agg(F.count("*").alias("m"), F.sum("n").alias("t"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    groups = groups.select("lead", F.ceil(F.greatest(F.col("m") / BLOCK_DOCS, F.col("t") / BLOCK_SHINGLES)).alias("blocks"))
+    dealt = skew_join(rest, groups, ["lead"]).withColumn("blk", F.pmod(F.xxhash64("id"), "blocks"))
+    dealt = dealt.select("lead", "id", "comp", "blk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("with"))
+    dealt = dealt.select("lead", "id", "comp", F.least("blk", "with").alias("i"), F.greatest("blk", "with").alias("j"))
+    texts = skew_join(dealt, own, ["id"])
+    return cut(texts.groupBy("lead", "i", "j").applyInPandas(_links_of_block(width, percent), "a long, b long").distinct())
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (the smallest id reachable), kept.
 
@@ -193,14 +258,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = confirmed(star)
     comp = cut(components(links))
 
-    rest = skew_join(spread.where("id <> lead").select("key", "id"), comp, ["id"], "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-    open_ = rest.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", F.ceil(F.col("size") / BLOCK).alias("nb"))
-    rest = cut(skew_join(skew_join(rest, open_, ["key"]), facts, ["id"]).withColumn("blk", F.pmod(F.xxhash64("id"), "nb")))
+    rest = skew_join(spread.where("id <> lead"), comp, ["id"], "left").select("key", "lead", "id", F.coalesce("comp", "id").alias("comp"))
+    mixed = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    rest = cut(skew_join(rest, mixed, ["key"]).select("lead", "id", "comp").distinct())
     if not rest.isEmpty():
-        left = rest.select("*", F.explode(F.sequence(F.col("blk"), F.col("nb") - 1)).alias("j")).withColumnRenamed("blk", "i")
-        right = rest.select("key", F.col("id").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("m"), *(F.col(f"s{k}").alias(f"t{k}") for k in range(4)), F.col("blk").alias("j"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blk"))).alias("i"))
-        pairs = left.join(right, ["key", "i", "j"]).where((F.col("comp") != F.col("comp_b")) & ((F.col("i") < F.col("j")) | (F.col("id") < F.col("b"))) & alike)
-        more = confirmed(pairs.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct())
+        more = _apart(rest, own, facts, width, percent)
         if not more.isEmpty():
             comp = cut(components(comp.where("id <> comp").select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(more)))
 
