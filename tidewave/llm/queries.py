@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewave.llm import mixing, packing, toxicity, warc
+from tidewave.llm import licenses, mixing, packing, quality_model, quality_rules, secrets, toxicity, warc
 from tidewave.llm.common import shared_dir
 from tidewave.llm.exact_dedup import exact_dedup
 from tidewave.llm.near_dedup import near_duplicates
@@ -24,6 +25,12 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents")).drop("n_chars")
 
 
+def op3_ngram_ratio_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    trusted = _table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("id"))
+    return quality_rules.judge(docs, quality_rules.fit_ratio(docs, trusted))
+
+
 def op4_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per showing of a document; sort by source, epoch, of_block, in_block for the order of an epoch."""
     shown = mixing.ordered(mixing.mix(_table(spark, sf_dir, "documents"), max_repeats=2.0))
@@ -34,6 +41,11 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = secrets.findings(_table(spark, sf_dir, "documents"))
+    return secrets.digest(found)
+
+
 def op7_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.severity(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
@@ -45,6 +57,16 @@ def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+    best = F.coalesce(F.array_max(F.transform("matches", lambda m: m["containment"])), F.lit(0.0))
+    return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), F.size("licenses").cast("long").alias("n_licenses"), best.alias("containment"))
+
+
+def op10_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 OP2_SQL = r"""
 with n as (
   select doc_id, coalesce(text, '') as t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as norm from documents
@@ -68,7 +90,11 @@ from p left join f on p.d = f.d and p.n >= 100
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_exact_dedup, op4_temperature_mixing, op5_minhash_near_dedup, op7_ordinal_toxicity, op8_warc_round_trip)}
+    found = (
+        op1_best_fit_packing, op2_exact_dedup, op3_ngram_ratio_rules, op4_temperature_mixing, op5_minhash_near_dedup,
+        op6_secret_ledger, op7_ordinal_toxicity, op8_warc_round_trip, op9_license_scan, op10_fourier_quality,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
