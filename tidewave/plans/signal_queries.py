@@ -1,9 +1,204 @@
-"""The signal queries and their SQL."""
+"""The signal queries over the driver's tables, and their SQL.
+
+Stand-ins for recordings: ``events`` (one value per user, ordered by time) and ``lineitem`` (a primary signal and three
+references per supplier). Values are rounded to six digits so that the order of sums doesn't show.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidewave.functions import design, kernels
+from tidewave.operators import adaptive, cycles, losses, networks, signal, static
+from tidewave.plans import sql_oracles as sql
+from tidewave.sources.tables import events, lines, table
+
+LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_shipdate"]
+REFS = ("l_quantity", "l_discount", "l_tax")
+RAW = "l_extendedprice / 1000"
+FIR = {
+    "lowpass": {"numtaps": 11, "cutoff": 40.0},
+    "highpass": {"numtaps": 10, "cutoff": 40.0, "pass_zero": False},
+    "bandpass": {"numtaps": 15, "cutoff": [30.0, 80.0], "pass_zero": False},
+    "bandstop": {"numtaps": 14, "cutoff": [30.0, 80.0]},
+    "kaiser": {"numtaps": 21, "cutoff": 40.0, "width": 30.0},
+}
+FS = 250.0
+IIR = {"butter": {}, "cheby1": {"rp": 1.0}, "cheby2": {"rs": 40.0}, "ellip": {"rp": 1.0, "rs": 40.0}}
+EV, LI = ("user_id", "ts"), ("l_suppkey", LINE_ORDER)
+SCC = {"target": 64, "num_cycles": 32, "shortest": 3}
+K0, H0 = (0.0, 0.3), (0.0, 0.5, -0.25)
+
+
+def tidy(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) + 0.0 for c in cols})
+
+
+def _taps(kind: str):
+    o = FIR[kind]
+    return design.fir_taps(o["numtaps"], o["cutoff"], o.get("width"), pass_zero=o.get("pass_zero", True), fs=FS)
+
+
+def _fir(kind: str, zero_phase: bool):
+    return lambda spark, d: tidy(static.fir_filter(events(spark, d), *EV, "value", fs=FS, zero_phase=zero_phase, **FIR[kind]), "v")
+
+
+def _iir(kind: str, zero_phase: bool):
+    return lambda spark, d: tidy(static.iir_filter(events(spark, d), *EV, "value", 2, 40.0, fs=FS, ftype=kind, zero_phase=zero_phase, **IIR[kind]), "v")
+
+
+def _sos(kind: str):
+    return design.iir_sections(2, 40.0, fs=FS, ftype=kind, **IIR[kind])
+
+
+def peaks(spark: SparkSession, d: str) -> DataFrame:
+    """Purchases stand in for R peaks: (user_id, peak_no, r)."""
+    w = signal.indexed(table(spark, d, "events"), *EV, {"v": F.when(F.col("event_type") == "purchase", 1.0).otherwise(0.0)})
+    w = w.where("v = 1")
+    return w.select("user_id", (F.row_number().over(Window.partitionBy("user_id").orderBy("n")) - 1).alias("peak_no"), F.col("n").alias("r"))
+
+
+def _samples(spark: SparkSession, d: str) -> DataFrame:
+    return signal.indexed(events(spark, d), *EV, {"v": "value"})
+
+
+def _bounds(spark, d):
+    return cycles.segment_bounds(peaks(spark, d), _samples(spark, d).groupBy("user_id").agg(F.max("nn").alias("nn")), "user_id", SCC["num_cycles"])
+
+
+def _scc(spark, d):
+    return cycles.preprocess(_samples(spark, d), peaks(spark, d), "user_id", **SCC)
+
+
+def _resample(spark, d):
+    return tidy(signal.per_signal(events(spark, d), *EV, {"v": "value"}, ["v"], lambda v: {"v": kernels.fourier_resample(v, 64)}), "v")
+
+
+def _swt(spark, d):
+    """Four filters from the first three values of each vector: as it is, reversed, with alternating signs, both."""
+    w = F.slice(F.col("embedding").cast("array<double>"), 1, 3)
+    four = networks.swt_kernels(w)
+    return tidy(table(spark, d, "embeddings").select("vec_id", F.posexplode(four).alias("filter", "w")).select("vec_id", "filter", F.posexplode("w").alias("i", "w")), "w")
+
+
+def _time2vec(spark, d):
+    e = F.col("embedding").cast("array<double>")
+    return tidy(table(spark, d, "embeddings").select("vec_id", F.posexplode(networks.time2vec(e, 0.05, 0.02, -0.07, 0.1)).alias("i", "v")), "v")
+
+
+def _stft(spark, d):
+    s = cycles.stft(table(spark, d, "embeddings"), "vec_id", "embedding", nperseg=16, noverlap=12, n_freq=9, n_frames=16, kind="double")
+    return tidy(s.select("vec_id", F.posexplode(F.arrays_zip("re", "im")).alias("pos", "z")).select("vec_id", "pos", F.col("z.re").cast("double").alias("re"), F.col("z.im").cast("double").alias("im")), "re", "im")
+
+
+def _istft(spark, d):
+    """All frames kept, so the way back is exact."""
+    s = cycles.stft(table(spark, d, "embeddings"), "vec_id", "embedding", nperseg=16, noverlap=12, n_freq=9, n_frames=17, kind="double")
+    return tidy(signal.from_arrays(cycles.istft(s, "vec_id", 9, 17), "vec_id"), "v")
+
+
+def _net(name: str):
+    """The vectors in order, joined into inputs of the net's size (the last one filled up with zeros), through a net with seeded weights."""
+
+    def query(spark, d):
+        size = math.prod(networks.NETS[name].shape)
+        per = -(-size // 64)
+        groups = table(spark, d, "embeddings").groupBy(F.floor(F.col("vec_id") / per).alias("input")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("v"))
+        joined = F.flatten(F.transform("v", lambda v: v["embedding"].cast("array<float>")))
+        x = F.slice(F.concat(joined, F.array_repeat(F.lit(0.0).cast("float"), size)), 1, size)
+        return networks.infer(groups.select("input", x.alias("x")), "x", name, networks.seeded(name, 0)).select("input", F.size("y").alias("size"), F.aggregate("y", F.lit(0.0), lambda a, v: a + v.cast("double")).alias("total"))
+
+    return query
 
 
 def queries() -> dict:
-    return {}
+    q = {
+        "moving_average": lambda s, d: tidy(static.moving_average(events(s, d), *EV, "value", 5), "v"),
+        "moving_median": lambda s, d: tidy(static.moving_median(events(s, d), *EV, "value", 5), "v"),
+        "fir_causal": _fir("lowpass", False),
+        "fir_zero_phase": _fir("lowpass", True),
+        "fir_zero_phase_window": lambda s, d: tidy(static.fir_zero_phase_window(events(s, d), *EV, "value", _taps("lowpass").tolist()), "v"),
+        **{f"fir_{k}": _fir(k, True) for k in ("highpass", "bandpass", "bandstop", "kaiser")},
+        **{f"iir_causal_{k}": _iir(k, False) for k in IIR},
+        **{f"iir_zero_phase_{k}": _iir(k, True) for k in IIR},
+        "dwt_analysis": lambda s, d: tidy(static.dwt_analysis(events(s, d), *EV, "value", "db4", 1), "c"),
+        "dwt_synthesis": lambda s, d: tidy(static.dwt_synthesis(static.dwt_analysis(events(s, d), *EV, "value", "db4", 3), "user_id").join(_samples(s, d).select("user_id", "n"), ["user_id", "n"]), "v"),
+        "wavelet_denoise": lambda s, d: tidy(static.wavelet_denoising(events(s, d), *EV, "value", "db4", 1), "v"),
+        "wavelet_baseline": lambda s, d: tidy(static.wavelet_baseline_removal(events(s, d), *EV, "value", "db4", 1), "v"),
+        "soft_threshold": lambda s, d: tidy(table(s, d, "events").select("event_id", static.soft_threshold(F.col("value") - 50, 10.0).alias("v")), "v"),
+        "signal_vector_magnitude": lambda s, d: tidy(_line(s, d).select("l_suppkey", "n", signal.magnitude("rx", "ry", "rz").alias("svm")), "svm"),
+        "regressor": _regressor,
+        "lms": lambda s, d: tidy(adaptive.modified_lms_anc(lines(s, d), *LI, F.expr(RAW), F.expr(RAW), REFS, mu=1e-5, filter_order=1), "clean"),
+        "rls": lambda s, d: tidy(adaptive.rls_anc(lines(s, d), *LI, F.expr(RAW), REFS, filter_order=1, SVM_condition=True), "clean"),
+        "blms": lambda s, d: tidy(adaptive.blms_filter(lines(s, d), *LI, F.expr(RAW), REFS, L=10, mu=1e-4, filter_order=1, SVM_condition=True), "clean"),
+        "gall_learn": lambda s, d: tidy(adaptive.gall_filter(lines(s, d), *LI, F.col(REFS[0]), F.expr(RAW), M=0), "err", "y"),
+        "gall_freeze": lambda s, d: tidy(adaptive.gall_filter(lines(s, d), *LI, F.col(REFS[0]), F.expr(RAW), k0=K0, h0=H0), "err", "y"),
+        "gall_coefficients": lambda s, d: adaptive.gall_coefficients(lines(s, d), *LI, F.col(REFS[0]), F.expr(RAW), M=3),
+        "hybrid_kalman": lambda s, d: tidy(adaptive.hybrid_gall_kalman(lines(s, d), *LI, F.expr(RAW), REFS, M_gall=3), "clean", "y_total", "wx", "wy", "wz"),
+        "lms_five_taps": lambda s, d: adaptive.modified_lms_anc(lines(s, d), *LI, F.expr(RAW), F.expr(RAW), REFS, mu=1e-6),
+        "rls_five_taps": lambda s, d: adaptive.rls_anc(lines(s, d), *LI, F.expr(RAW), REFS),
+        "blms_32_taps": lambda s, d: adaptive.blms_filter(lines(s, d), *LI, F.expr(RAW), REFS, mu=1e-6),
+        "scc_bounds": _bounds,
+        "scc_preprocess": lambda s, d: tidy(_scc(s, d).select("user_id", "cycle", "orig_len", F.posexplode("vals").alias("i", "v")), "v"),
+        "scc_postprocess": lambda s, d: tidy(cycles.postprocess(_scc(s, d), "user_id"), "v"),
+        "fourier_resample": _resample,
+        "stft": _stft,
+        "istft": _istft,
+        "improved_mse": lambda s, d: tidy(lines(s, d).groupBy("l_suppkey").agg(losses.improved_mse("l_discount", "l_tax").alias("loss")), "loss"),
+        "focal_loss": lambda s, d: tidy(table(s, d, "embeddings").select((F.col("label") % 5).alias("label"), F.slice(F.col("embedding").cast("array<double>"), 1, 5).alias("x")).groupBy("label").agg(losses.focal_loss("x", "label").alias("loss")), "loss"),
+        "swt_kernel": _swt,
+        "time2vec": _time2vec,
+        "emd_denoise": lambda s, d: static.emd_denoising(events(s, d), *EV, "value"),
+        "miemd": lambda s, d: static.miemd(events(s, d), *EV, "value"),
+        **{f"net_{name}": _net(name) for name in networks.NETS},
+    }
+    return q
+
+
+def _line(s, d):
+    return signal.indexed(lines(s, d), *LI, {"raw": F.expr(RAW), "rx": REFS[0], "ry": REFS[1], "rz": REFS[2]})
+
+
+def _regressor(s, d):
+    u = _line(s, d).select("l_suppkey", "n", signal.regressor(["rx", "ry"], 3, "l_suppkey").alias("u")).where("u is not null")
+    return u.select("l_suppkey", "n", F.posexplode("u").alias("i", "x"))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    lo, hi, rl, rh = (x.tolist() for x in design.filter_bank("db4"))
+    return {
+        "moving_average": sql.moving_average(2),
+        "moving_median": sql.moving_median(2),
+        "fir_causal": sql.fir_causal(_taps("lowpass")),
+        "fir_zero_phase": sql.fir_zero_phase(_taps("lowpass")),
+        "fir_zero_phase_window": sql.fir_zero_phase(_taps("lowpass")),
+        **{f"fir_{k}": sql.fir_zero_phase(_taps(k)) for k in ("highpass", "bandpass", "bandstop", "kaiser")},
+        **{f"iir_causal_{k}": sql.iir_causal(_sos(k)) for k in IIR},
+        **{f"iir_zero_phase_{k}": sql.iir_zero_phase(_sos(k), 9) for k in IIR},
+        "dwt_analysis": sql.dwt_analysis(lo, hi),
+        "dwt_synthesis": f"with {sql.EV} select user_id, n, {sql.rounded('v')} as v from ev",
+        "wavelet_denoise": sql.wavelet(lo, hi, rl, rh, "denoise"),
+        "wavelet_baseline": sql.wavelet(lo, hi, rl, rh, "baseline"),
+        "soft_threshold": f"select event_id, {sql.rounded('sign(value - 50) * greatest(abs(value - 50) - 10.0, 0.0)')} as v from events",
+        "signal_vector_magnitude": f"with {sql.LI} select l_suppkey, n, {sql.rounded('sqrt(rx * rx + ry * ry + rz * rz)')} as svm from li",
+        "regressor": f"with {sql.LI} select a.l_suppkey, a.n, k.i, case when k.i < 3 then b.rx else b.ry end as x from li a join (select unnest(range(6))::int as i) k on true join li b on b.l_suppkey = a.l_suppkey and b.n = a.n - k.i % 3 where a.n >= 2",
+        "lms": sql.lms(1e-5),
+        "rls": sql.rls(0.99),
+        "blms": sql.blms(1e-4, 10),
+        "gall_learn": sql.gall(1e-3),
+        "gall_freeze": sql.gall_freeze(K0[1], H0[1], H0[2]),
+        "scc_bounds": sql.scc_bounds(SCC["num_cycles"]),
+        "scc_preprocess": sql.scc_preprocess(SCC["target"], SCC["num_cycles"], SCC["shortest"]),
+        "scc_postprocess": sql.scc_postprocess(SCC["num_cycles"], SCC["shortest"]),
+        "fourier_resample": sql.fourier_resample(64),
+        "stft": sql.stft(16, 4, 9, 16),
+        "istft": "select vec_id, (generate_subscripts(embedding, 1) - 1)::int as n, round(unnest(embedding)::double, 6) + 0.0 as v from embeddings",
+        "improved_mse": f"select l_suppkey, {sql.rounded('avg((l_discount - l_tax) ^ 2 * (1 + 2 * abs(l_tax)))')} as loss from lineitem group by l_suppkey",
+        "focal_loss": f"""with e as (select label % 5 as label, list_transform(embedding[1:5], lambda x: x::double) as x from embeddings), c as (select label, ln(list_sum(list_transform(x, lambda v: exp(v)))) - x[label + 1] as ce from e)
+select label, {sql.rounded('avg((1 - exp(-ce)) ^ 2 * ce)')} as loss from c group by label""",
+        "swt_kernel": "with w as (select vec_id, embedding[1]::double as a, embedding[2]::double as b, embedding[3]::double as c from embeddings), f as (select vec_id, [[a, b, c], [c, b, a], [a, -b, c], [c, -b, a]] as f from w) select vec_id, (p - 1)::int as filter, (i - 1)::int as i, round(f[p][i], 6) + 0.0 as w from f, (select unnest([1, 2, 3, 4]) as p), (select unnest([1, 2, 3]) as i)",
+        "time2vec": "with x as (select vec_id, unnest(embedding)::double as v, (generate_subscripts(embedding, 1) - 1)::int as i from embeddings) select vec_id, i, round(v + 0.05 * (i / 63.0) + 0.02 + sin(-0.07 * (i / 63.0) + 0.1), 6) + 0.0 as v from x",
+    }
