@@ -10,8 +10,8 @@ same bytes: the range edges come from the ids whose hashes are lowest, dates and
 Payloads of at least ``min_revisit`` bytes that were seen with a smaller id are written as ``revisit`` records without
 a block, which name the response; their length is in the header. Reading back checks every digest.
 
-Scale: the duplicates are found by a map-side combined aggregate over digests and joined back so that a hot digest is
-split; payloads are shuffled once, into shards of about ``shard_bytes``. A shard is streamed: no task holds more than
+Scale: the duplicates are found by a map-side combined aggregate over digests and joined to ids only, so that a hot
+digest is split; payloads are shuffled once, into shards of about ``shard_bytes``. A shard is streamed: no task holds more than
 an Arrow batch (64 MB) and one record. Files go to any folder that pyarrow's file systems reach (file, hdfs, s3, ...).
 
 Defined results: null html counts as empty; null url is written as ``about:blank``; null ids sort first and are written
@@ -36,9 +36,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewave.llm.common import cut, skew_join, text_of
+from tidewave.llm.common import skew_join, text_of
 
-SHARD_BYTES, ROLL_BYTES, MIN_REVISIT = 64 << 20, 32 << 20, 100
+SHARD_BYTES, ROLL_BYTES, MIN_REVISIT = 32 << 20, 32 << 20, 100
 DATE = "2000-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
@@ -87,6 +87,7 @@ def _shards(folder: str, roll_bytes: int):
         context = TaskContext.get()
         attempt = f"{context.taskAttemptId() if context else 0}-{uuid.uuid4().hex[:8]}"
         now: dict = {}
+        mark: tuple = (None, None, None, None)
 
         def close() -> list[pa.RecordBatch]:
             if "out" not in now:
@@ -99,6 +100,10 @@ def _shards(folder: str, roll_bytes: int):
             shard, pid, url, html, digest, refers = (batch.column(i) for i in range(6))
             for i in range(batch.num_rows):
                 s, p, r = shard[i].as_py(), pid[i].as_py(), refers[i].as_py()
+                if r is not None:  # a mark for the rows that follow
+                    mark = (s, p, digest[i].as_py(), r)
+                    continue
+                r = mark[3] if mark[:3] == (s, p, digest[i].as_py()) else None
                 data = _member(record(p, url[i].as_py(), html[i].as_py().encode(), digest[i].as_py(), r))
                 if now.get("shard") != s or now["bytes"] >= roll_bytes:
                     yield from close()
@@ -133,13 +138,12 @@ def _commit(folder: str):
     return run
 
 
-def classify(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """(page_id, url, html, digest, refers_to): refers_to is the smallest id with the same payload, for the others that have it."""
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), text_of(html_col).alias("html"))
-    light = rows.select("page_id", F.octet_length("html").alias("size"), F.sha2("html", 256).alias("digest")).where((F.col("size") >= min_revisit) & F.col("page_id").isNotNull())
-    first = light.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("digest", "first")
-    joined = skew_join(rows.withColumn("digest", F.sha2("html", 256)), first, ["digest"], "left")
-    return joined.select("page_id", "url", "html", "digest", F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("refers_to"))
+def revisits(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", min_revisit: int = MIN_REVISIT) -> DataFrame:
+    """(page_id, digest, refers_to) for payloads that a smaller id has too; refers_to is the smallest. Payloads stay where they are."""
+    light = pages.select(F.col(id_col).cast("long").alias("page_id"), F.octet_length(text_of(html_col)).alias("size"), F.sha2(text_of(html_col), 256).alias("digest"))
+    light = light.where((F.col("size") >= min_revisit) & F.col("page_id").isNotNull()).select("page_id", "digest")
+    first = light.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("refers_to < last").select("digest", "refers_to")
+    return skew_join(light, first, ["digest"]).where("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, min_revisit: int = MIN_REVISIT, edge_sample: int = 10_000) -> DataFrame:
@@ -156,8 +160,11 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     def shard_of(ids: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(edges, ids.fillna(np.iinfo(np.int64).min).astype(np.int64), "right"))
 
-    rows = classify(pages, id_col, url_col, html_col, min_revisit).withColumn("shard", shard_of("page_id"))
-    placed = rows.repartition(int(n_shards), "shard").sortWithinPartitions("shard", "page_id", "digest", "url").select("shard", "page_id", "url", "html", "digest", "refers_to")
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), text_of(html_col).alias("html"), F.sha2(text_of(html_col), 256).alias("digest"), F.lit(None).cast("long").alias("refers_to"))
+    # A revisit's mark travels as a row of its own that sorts just before the page, so that payloads are shuffled once.
+    marks = revisits(pages, id_col, html_col, min_revisit).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "refers_to")
+    rows = rows.unionByName(marks).withColumn("shard", shard_of("page_id"))
+    placed = rows.repartition(int(4 * n_shards), "shard").sortWithinPartitions("shard", "page_id", "digest", F.col("html").isNotNull(), "url").select("shard", "page_id", "url", "html", "digest", "refers_to")
     spark = pages.sparkSession
     placed.mapInArrow(_shards(folder, roll_bytes), _MANIFEST).write.mode("overwrite").parquet(f"{folder}/manifest")
     manifest = spark.read.parquet(f"{folder}/manifest")
