@@ -12,11 +12,16 @@ from tidewave.functions import kernels
 TARGET, CYCLES, SHORTEST = 384, 32, 8
 
 
-def segment_bounds(peaks: DataFrame, lengths: DataFrame, key: str, num_cycles: int = CYCLES) -> DataFrame:
-    """(key, cycle, start, end), half open, from midpoint to midpoint of ``peaks`` (key, peak_no, r); ``lengths`` is (key, nn)."""
+def segment_bounds(peaks: DataFrame, lengths: DataFrame, key: str, num_cycles: int = CYCLES, strict: bool = True) -> DataFrame:
+    """(key, cycle, start, end), half open, from midpoint to midpoint of ``peaks`` (key, peak_no, r); ``lengths`` is (key, nn).
+
+    A signal with a single peak is an error, or has no rows if not ``strict``.
+    """
     w = Window.partitionBy(key).orderBy("peak_no")
-    rows = peaks.select(key, "peak_no", "r", F.lead("r").over(w).alias("next"), F.count("*").over(Window.partitionBy(key)).alias("k"))
-    rows = rows.withColumn("r", F.when(F.col("k") < 2, F.raise_error(F.lit("at least two peaks are needed")).cast("int")).otherwise(F.col("r"))).where("next is not null")
+    rows = peaks.select(key, "peak_no", "r", F.lead("r").over(w).alias("next"), F.count("*").over(Window.partitionBy(key)).alias("n_peaks"))
+    if strict:
+        rows = rows.withColumn("r", F.when(F.col("n_peaks") < 2, F.raise_error(F.lit("at least two peaks are needed")).cast("int")).otherwise(F.col("r")))
+    rows = rows.where("next is not null")
     end = F.least(F.col("nn"), F.floor((F.col("r") + F.col("next")) / 2).cast("int"))
     first = F.greatest(F.lit(0), F.col("r") - F.floor((F.col("next") - F.col("r")) / 2).cast("int"))
     rows = rows.join(lengths.select(key, F.col("nn").cast("int").alias("nn")), key).withColumn("end", end)
@@ -53,12 +58,18 @@ def unstack(rows: np.ndarray, lengths: list[int], low: float, high: float) -> np
     return np.concatenate(parts) if parts else np.empty(0)
 
 
-def preprocess(signals: DataFrame, peaks: DataFrame, key: str, stats: tuple[float, float] | None = None, target: int = TARGET, num_cycles: int = CYCLES, shortest: int = SHORTEST) -> DataFrame:
-    """(key, cycle, orig_len, vals, g_min, g_max), one row per cycle of the stack; signals (key, n, v), peaks (key, peak_no, r)."""
+def preprocess(signals: DataFrame, peaks: DataFrame, key: str, stats: tuple[float, float] | None = None, target: int = TARGET, num_cycles: int = CYCLES, shortest: int = SHORTEST, strict: bool = True) -> DataFrame:
+    """(key, cycle, orig_len, vals, g_min, g_max), one row per cycle of the stack; signals (key, n, v), peaks (key, peak_no, r).
+
+    A signal without two peaks or a valid cycle is an error, or has no rows if not ``strict``.
+    """
     kind = signals.schema[key].dataType.simpleString()
 
     def run(s: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        rows, lengths, low, high = stack(s.sort_values("n")["v"].to_numpy(float), p.sort_values("peak_no")["r"].to_numpy(), stats, target, num_cycles, shortest)
+        x, r = s.sort_values("n")["v"].to_numpy(float), p.sort_values("peak_no")["r"].to_numpy()
+        if not strict and (len(r) < 2 or max((e - b for b, e in bounds_of(x.size, r, num_cycles)), default=0) < shortest):
+            return pd.DataFrame(columns=[key, "cycle", "orig_len", "vals", "g_min", "g_max"])
+        rows, lengths, low, high = stack(x, r, stats, target, num_cycles, shortest)
         k = s[key].iloc[0] if len(s) else p[key].iloc[0]
         return pd.DataFrame({key: k, "cycle": np.arange(len(rows), dtype=np.int32), "orig_len": np.array(lengths, np.int32), "vals": list(rows), "g_min": low, "g_max": high})
 

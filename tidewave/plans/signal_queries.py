@@ -66,11 +66,11 @@ def _samples(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _bounds(spark, d):
-    return cycles.segment_bounds(peaks(spark, d), _samples(spark, d).groupBy("user_id").agg(F.max("nn").alias("nn")), "user_id", SCC["num_cycles"])
+    return cycles.segment_bounds(peaks(spark, d), _samples(spark, d).groupBy("user_id").agg(F.max("nn").alias("nn")), "user_id", SCC["num_cycles"], strict=False)
 
 
 def _scc(spark, d):
-    return cycles.preprocess(_samples(spark, d), peaks(spark, d), "user_id", **SCC)
+    return cycles.preprocess(_samples(spark, d), peaks(spark, d), "user_id", strict=False, **SCC)
 
 
 def _resample(spark, d):
