@@ -27,18 +27,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewave.llm.common import text_of
+from tidewave.llm.common import cut, text_of
 
-MAX_TRAIN, MAX_FEATURES = 20_000, 4_096
+MAX_TRAIN, MAX_FEATURES, LEAST = 20_000, 4_096, 4
 GRADES = (2, 4)
 _WORD = re.compile(r"[^\W\d_]+")
-_MASK = (1 << 22) - 1
+_MASK = (1 << 21) - 1  # the bit above it marks beginnings
 _BATCH = 512
 
 
 def _of_word(word: str) -> tuple[int, ...]:
     whole = zlib.crc32(word.encode()) & _MASK
-    return (whole, (zlib.crc32(b"^" + word[:5].encode()) & _MASK) | (1 << 22)) if len(word) >= 5 else (whole,)
+    return (whole, (zlib.crc32(b"^" + word[:5].encode()) & _MASK) | (1 << 21)) if len(word) >= 5 else (whole,)
 
 
 def features(text: str) -> set[int]:
@@ -69,43 +69,46 @@ def _cut(s: np.ndarray, toxic: np.ndarray, strict: float = 4.0) -> float:
     return float(mids[np.argmax(gain)])
 
 
-def _once(rows: list[np.ndarray], seed: int = 5, bands: int = 12, size: int = 10) -> np.ndarray:
-    """Which rows to keep so that near copies count once: the first of those that share a band of minima of random images."""
+def bands_of(row: np.ndarray, seed: int = 5, bands: int = 12, size: int = 10) -> np.ndarray:
+    """Band keys of a feature set: near copies share one; sets of fewer than five features have none."""
+    if row.size < 5:
+        return np.empty(0, np.int64)
     rng = np.random.Generator(np.random.PCG64(seed))
     mult = rng.integers(0, 1 << 63, size * bands, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    seen, keep = set(), np.ones(len(rows), bool)
-    for i, r in enumerate(rows):
-        if r.size < 5:
-            continue
-        least = ((r.astype(np.uint64) + np.uint64(1))[:, None] * mult).min(axis=0)
-        keys = [(b, *least[size * b : size * (b + 1)].tolist()) for b in range(bands)]
-        keep[i] = not any(k in seen for k in keys)
-        seen.update(keys)
+    least = np.full(size * bands, np.iinfo(np.uint64).max)
+    for i in range(0, row.size, 4096):
+        least = np.minimum(least, ((row[i : i + 4096].astype(np.uint64) + np.uint64(1))[:, None] * mult).min(axis=0))
+    mixed = (least.reshape(bands, size) * mult[:size]).sum(axis=1, dtype=np.uint64) * mult[:bands]
+    return (mixed ^ (mixed >> np.uint64(31))).view(np.int64)
+
+
+def once(keys: list[np.ndarray]) -> np.ndarray:
+    """Which rows to keep so that near copies count once: the first of those that share a band."""
+    seen: set[int] = set()
+    keep = np.ones(len(keys), bool)
+    for i, k in enumerate(keys):
+        k = k.tolist()
+        keep[i] = seen.isdisjoint(k)
+        seen.update(k)
     return keep
 
 
-def fit_rows(rows: list[np.ndarray], toxic: np.ndarray, max_features: int = MAX_FEATURES, steps: int = 1500) -> Model:
-    """Fits the model to feature sets and 0/1 labels."""
-    keep = _once(rows)
-    rows, toxic = [r for r, k in zip(rows, keep, strict=True) if k], toxic[keep]
-    n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
-    if not n1 or not n0:
-        return Model()
-    ids, where = np.unique(np.concatenate(rows), return_inverse=True)
-    owner = np.repeat(np.arange(len(rows)), [r.size for r in rows])
-    hit1 = np.bincount(where, toxic[owner], ids.size)
-    hit0 = np.bincount(where, 1.0 - toxic[owner], ids.size)
+def telling(cells: np.ndarray, hit1: np.ndarray, hit0: np.ndarray, n1: int, n0: int, max_features: int = MAX_FEATURES) -> np.ndarray:
+    """Of features with these numbers of toxic and clean rows, those far more frequent in toxic ones, most certain first."""
     odds = np.log((hit1 + 0.5) / (n1 - hit1 + 0.5)) - np.log((hit0 + 0.5) / (n0 - hit0 + 0.5))
     z = odds / np.sqrt(1 / (hit1 + 0.5) + 1 / (n1 - hit1 + 0.5) + 1 / (hit0 + 0.5) + 1 / (n0 - hit0 + 0.5))
-    telling = (z >= 3.5) & (hit1 >= 4) & (hit1 >= 4 * hit0 * n1 / n0)
-    chosen = np.flatnonzero(telling)[np.argsort(-z[telling], kind="stable")][:max_features]
+    good = np.flatnonzero((z >= 3.5) & (hit1 >= LEAST) & (hit1 >= 4 * hit0 * n1 / n0))
+    return cells[good[np.lexsort((cells[good], -z[good]))][:max_features]]
+
+
+def fit_rows(rows: list[np.ndarray], toxic: np.ndarray, chosen: np.ndarray, steps: int = 1500) -> Model:
+    """Fits the model to rows of chosen features and 0/1 labels."""
     if not chosen.size:
         return Model()
-    column = np.full(ids.size, -1)
-    column[chosen] = np.arange(chosen.size)
-    used = column[where] >= 0
-    col, own = column[where][used], owner[used]
-    words = np.bincount(own[ids[chosen][col] <= _MASK], minlength=len(rows))
+    place = {int(c): i for i, c in enumerate(chosen)}
+    col = np.array([place[int(f)] for r in rows for f in r], np.int64)
+    own = np.repeat(np.arange(len(rows)), [r.size for r in rows])
+    words = np.bincount(own[chosen[col] <= _MASK], minlength=len(rows))
     grade = np.where(toxic > 0, 1 + sum((words > g).astype(int) for g in GRADES), 0)
     top = int(grade.max())
 
@@ -135,7 +138,7 @@ def fit_rows(rows: list[np.ndarray], toxic: np.ndarray, max_features: int = MAX_
     theta = np.cumsum(np.concatenate([t[:1], np.exp(t[1:])]))
     assert at_least.shape[1] == theta.size
     s = np.bincount(own, w[col], len(rows))
-    return Model({int(ids[c]): float(x) for c, x in zip(chosen, w, strict=True)}, tuple(float(x) for x in theta), _cut(s, toxic))
+    return Model({int(c): float(x) for c, x in zip(chosen, w, strict=True)}, tuple(float(x) for x in theta), _cut(s, toxic))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES) -> Model:
@@ -146,12 +149,30 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [np.array(sorted(features(t.as_py())), np.int32) for t in b.column(2)]
-            offsets = np.concatenate([[0], np.cumsum([f.size for f in found])]).astype(np.int32)
-            flat = np.concatenate(found) if found else np.empty(0, np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "y", "f"])
+            lists = [pa.array(x, pa.list_(t)) for x, t in ((found, pa.int32()), ([bands_of(f) for f in found], pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], names=["id", "y", "f", "bands"])
+
+    # The sample's features stay on the executors; the driver sees band keys, then counts, then chosen features.
+    sample = cut(rows.select("id", "y", "text").mapInArrow(hashed, "id long, y int, f array<int>, bands array<long>"))
+    found = sample.select("id", "y", "bands").toArrow().sort_by("id")
+    keep = once([x.values.to_numpy(zero_copy_only=False) for x in found.column("bands")])
+    ids, toxic = found.column("id").to_numpy()[keep], found.column("y").to_numpy()[keep] > 0
+    n1, n0 = int(toxic.sum()), int((~toxic).sum())
+    if not n1 or not n0:
+        return Model()
+    kept = sample.join(F.broadcast(docs.sparkSession.createDataFrame(pd.DataFrame({"id": ids}))), "id").select("id", "y", "f")  # max_train ids at most
+    counts = kept.select("y", F.explode("f").alias("f")).groupBy("f").agg(F.sum("y").alias("t"), F.count("*").alias("c")).where(F.col("t") >= LEAST).toArrow().sort_by("f")
+    cells, hit1, both = (counts.column(i).to_numpy() for i in range(3))
+    chosen = telling(cells, hit1.astype(float), (both - hit1).astype(float), n1, n0, max_features)
+    held = frozenset(chosen.tolist())
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = pa.array([[f for f in x.as_py() if f in held] for x in b.column(2)], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], names=["id", "y", "f"])
 
-    got = rows.select("id", "y", "text").mapInArrow(hashed, "id long, y int, f array<int>").toArrow().sort_by("id")
-    return fit_rows([x.values.to_numpy() for x in got.column("f")], got.column("y").to_numpy().astype(float), max_features)
+    got = kept.mapInArrow(pick, "id long, y int, f array<int>").toArrow().sort_by("id")
+    return fit_rows([x.values.to_numpy(zero_copy_only=False) for x in got.column("f")], got.column("y").to_numpy().astype(float), chosen)
 
 
 def severity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
