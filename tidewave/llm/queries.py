@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -89,6 +90,46 @@ from p left join f on p.d = f.d and p.n >= 100
 """
 
 
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def op6_sql() -> str:
+    """Pieces and matches of each rule alternate: a match ends where the lengths so far add up to."""
+    parts = [
+        f"""select doc_id, {rank} as rank, {_quoted(r.kind)} as kind, {r.least} as least, string_split_regex(t, {_quoted(r.pattern)}) as p,
+  regexp_extract_all(t, {_quoted(r.pattern)}, 0) as m, regexp_extract_all(t, {_quoted(r.pattern)}, {r.group}) as g from d where regexp_matches(t, {_quoted(r.pattern)})"""
+        for rank, r in enumerate(secrets.RULES)
+    ]
+    joined = lambda base: f"coalesce(string_agg(kind || ':' || s || ':' || e, ',' order by s, rank) filter (where kind is not null{base}), '')"
+    n = lambda kind: f"count(*) filter (where kind = '{kind}') as n_{kind}"
+    return f"""with d as (select doc_id, coalesce(text, '') as t from documents), r as ({' union all '.join(parts)}),
+u as (select doc_id, rank, kind, least, generate_subscripts(m, 1) as k, unnest(p[:len(m)]) as p, unnest(m) as m, unnest(g) as g from r),
+f as (select doc_id, rank, kind, least, length(m) as n, length(g) as j, sum(length(p) + length(m)) over (partition by doc_id, rank order by k) as e from u),
+h as (select doc_id, rank, kind, (e - n)::bigint as s, e::bigint as e from f where j >= least)
+select d.doc_id, {n('assign')}, {n('access')}, {n('hex')}, sha256({joined(" and kind in ('assign', 'access', 'hex')")}) as base_sha256, {joined('')} as spans
+from d left join h on d.doc_id = h.doc_id group by d.doc_id"""
+
+
+def op9_sql() -> str:
+    """The same windows, with every template's shingles counted exactly in each."""
+    rows, sizes = [], []
+    for i, (name, text) in enumerate((n, t) for n, texts in sorted(licenses.TEMPLATES.items()) for t in texts):
+        w = re.findall(r"[^\W_]+", text.lower())
+        own = {" ".join(w[k : k + licenses.WIDTH]) for k in range(len(w) - licenses.WIDTH + 1)}
+        step = 1 << (len(own) - 1).bit_length()
+        rows += [f"({i}, {_quoted(x)})" for x in sorted(own)]
+        sizes.append(f"({i}, {_quoted(name)}, {len(own)}, {step})")
+    five = " || ' ' || ".join(f"w[i + {k}]" for k in range(licenses.WIDTH))
+    return f"""with t(tid, shingle) as (values {', '.join(rows)}), n(tid, name, size, step) as (values {', '.join(sizes)}),
+d as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') as w from documents),
+s as (select doc_id, i - 1 as pos, {five} as shingle from (select doc_id, w, unnest(range(1, len(w) - {licenses.WIDTH - 2})) as i from d)),
+h as (select doc_id, tid, shingle, pos // step - back as win from s join t using (shingle) join n using (tid), (values (0), (1)) b(back) where pos // step >= back),
+m as (select doc_id, tid, win, count(distinct shingle) as c from h group by all), f as (select doc_id, name, c / size::double as share from m join n using (tid) where 100 * c >= 80 * size)
+select d.doc_id, coalesce(string_agg(distinct name, ',' order by name), '') as licenses, count(distinct name) as n_licenses, coalesce(max(share), 0.0) as containment
+from d left join f on d.doc_id = f.doc_id group by d.doc_id"""
+
+
 def queries() -> dict:
     found = (
         op1_best_fit_packing, op2_exact_dedup, op3_ngram_ratio_rules, op4_temperature_mixing, op5_minhash_near_dedup,
@@ -98,4 +139,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op8_warc_round_trip": OP8_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op6_secret_ledger": op6_sql(), "op8_warc_round_trip": OP8_SQL, "op9_license_scan": op9_sql()}
