@@ -354,3 +354,35 @@ def time2vec(x: Column, w_linear: float, phi_linear: float, w_periodic: float, p
         return v + (w_linear * t + phi_linear) + F.sin(w_periodic * t + phi_periodic)
 
     return F.transform(x, code)
+
+
+def _dot(x: Column, taps: np.ndarray, first: Column) -> Column:
+    """Sum of taps times the values from ``first`` on, zeros beyond the ends."""
+    total = F.lit(0.0)
+    for j, t in enumerate(taps.tolist()):
+        at = first + j
+        total = total + t * F.when((at >= 0) & (at < F.size(x)), F.get(x, at)).otherwise(0.0)
+    return total
+
+
+def dwt_bands(x: Column, wavelet: str = "db6") -> Column:
+    """Struct of ``low`` and ``high``: the fixed filters of ``dwt_layer`` on one channel, at half the rate."""
+    lo, hi, _, _ = filter_bank(wavelet)
+    pad = (lo.size - 2) // 2
+    half = lambda t: F.transform(F.sequence(F.lit(0), F.floor(F.size(x) / 2).cast("int") - 1), lambda i: _dot(x, t[::-1], 2 * i - pad))
+    return F.struct(half(lo).alias("low"), half(hi).alias("high"))
+
+
+def idwt_up(low: Column, high: Column, wavelet: str = "db6") -> Column:
+    """The fixed filters of ``idwt_layer`` on one channel, at twice the rate. They are reversed: it does not undo ``dwt_bands``."""
+    _, _, rl, rh = filter_bank(wavelet)
+    pad = (rl.size - 2) // 2
+
+    def at(c: Column, taps: np.ndarray, n: Column) -> Column:
+        total = F.lit(0.0)
+        for k, t in enumerate(taps[::-1].tolist()):
+            twice = n + pad - k
+            total = total + F.when((twice >= 0) & (twice % 2 == 0) & (twice < 2 * F.size(c)), t * F.get(c, (twice / 2).cast("int"))).otherwise(0.0)
+        return total
+
+    return F.transform(F.sequence(F.lit(0), 2 * F.size(low) - 1), lambda n: at(low, rl, n) + at(high, rh, n))

@@ -89,6 +89,17 @@ def _time2vec(spark, d):
     return tidy(table(spark, d, "embeddings").select("vec_id", F.posexplode(networks.time2vec(e, 0.05, 0.02, -0.07, 0.1)).alias("i", "v")), "v")
 
 
+def _dwt_layer(spark, d):
+    bands = table(spark, d, "embeddings").select("vec_id", networks.dwt_bands(F.col("embedding").cast("array<double>")).alias("b"))
+    parts = [bands.select("vec_id", F.lit(k).alias("band"), F.posexplode(f"b.{k}").alias("i", "c")) for k in ("low", "high")]
+    return tidy(parts[0].unionByName(parts[1]), "c")
+
+
+def _idwt_layer(spark, d):
+    e = F.col("embedding").cast("array<double>")
+    return tidy(table(spark, d, "embeddings").select("vec_id", F.posexplode(networks.idwt_up(F.slice(e, 1, 32), F.slice(e, 33, 32))).alias("i", "v")), "v")
+
+
 def _stft(spark, d):
     s = cycles.stft(table(spark, d, "embeddings"), "vec_id", "embedding", nperseg=16, noverlap=12, n_freq=9, n_frames=16, kind="double")
     return tidy(s.select("vec_id", F.posexplode(F.arrays_zip("re", "im")).alias("pos", "z")).select("vec_id", "pos", F.col("z.re").cast("double").alias("re"), F.col("z.im").cast("double").alias("im")), "re", "im")
@@ -135,9 +146,10 @@ def queries() -> dict:
         "rls": lambda s, d: tidy(adaptive.rls_anc(lines(s, d), *LI, F.expr(RAW), REFS, filter_order=1, SVM_condition=True), "clean"),
         "blms": lambda s, d: tidy(adaptive.blms_filter(lines(s, d), *LI, F.expr(RAW), REFS, L=10, mu=1e-4, filter_order=1, SVM_condition=True), "clean"),
         "gall_learn": lambda s, d: tidy(adaptive.gall_filter(lines(s, d), *LI, F.col(REFS[0]), F.expr(RAW), M=0), "err", "y"),
+        "gall_learn_first_order": lambda s, d: tidy(adaptive.gall_filter(lines(s, d), *LI, F.col(REFS[0]), F.expr(RAW), M=1), "err", "y"),
         "gall_freeze": lambda s, d: tidy(adaptive.gall_filter(lines(s, d), *LI, F.col(REFS[0]), F.expr(RAW), k0=K0, h0=H0), "err", "y"),
         "gall_coefficients": lambda s, d: adaptive.gall_coefficients(lines(s, d), *LI, F.col(REFS[0]), F.expr(RAW), M=3),
-        "hybrid_kalman": lambda s, d: tidy(adaptive.hybrid_gall_kalman(lines(s, d), *LI, F.expr(RAW), REFS, M_gall=3), "clean", "y_total", "wx", "wy", "wz"),
+        "hybrid_kalman": lambda s, d: tidy(adaptive.hybrid_gall_kalman(lines(s, d), *LI, F.expr(RAW), REFS, M_gall=1), "clean", "y_total", "wx", "wy", "wz", digits=4),
         "lms_five_taps": lambda s, d: adaptive.modified_lms_anc(lines(s, d), *LI, F.expr(RAW), F.expr(RAW), REFS, mu=1e-6),
         "rls_five_taps": lambda s, d: adaptive.rls_anc(lines(s, d), *LI, F.expr(RAW), REFS),
         "blms_32_taps": lambda s, d: adaptive.blms_filter(lines(s, d), *LI, F.expr(RAW), REFS, mu=1e-6),
@@ -151,6 +163,8 @@ def queries() -> dict:
         "focal_loss": lambda s, d: tidy(table(s, d, "embeddings").select((F.col("label") % 5).alias("label"), F.slice(F.col("embedding").cast("array<double>"), 1, 5).alias("x")).groupBy("label").agg(losses.focal_loss("x", "label").alias("loss")), "loss"),
         "swt_kernel": _swt,
         "time2vec": _time2vec,
+        "dwt_layer": _dwt_layer,
+        "idwt_layer": _idwt_layer,
         "emd_denoise": lambda s, d: static.emd_denoising(events(s, d), *EV, "value"),
         "miemd": lambda s, d: static.miemd(events(s, d), *EV, "value"),
         **{f"net_{name}": _net(name) for name in networks.NETS},
@@ -189,6 +203,10 @@ def oracle_sql() -> dict[str, str]:
         "rls": sql.rls(0.99),
         "blms": sql.blms(1e-4, 10),
         "gall_learn": sql.gall(1e-3),
+        "gall_learn_first_order": sql.gall_one(1e-3),
+        "hybrid_kalman": sql.hybrid(1e-3, 0.99),
+        "dwt_layer": sql.dwt_layer(*(x.tolist() for x in design.filter_bank("db6")[:2])),
+        "idwt_layer": sql.idwt_layer(*(x.tolist() for x in design.filter_bank("db6")[2:])),
         "gall_freeze": sql.gall_freeze(K0[1], H0[1], H0[2]),
         "scc_bounds": sql.scc_bounds(SCC["num_cycles"]),
         "scc_preprocess": sql.scc_preprocess(SCC["target"], SCC["num_cycles"], SCC["shortest"]),

@@ -204,3 +204,46 @@ z as (select x.vec_id, f.f, t.t, sum(x.v * {w} * cos(2 * pi() * f.f * k / {size}
   join (select unnest(range({size}))::int as k) k on x.n = t.t * {hop} + k - {size // 2} group by 1, 2, 3),
 s as (select vec_id, avg(re) as mr, stddev_pop(re) + 1e-8 as sr, avg(im) as mi, stddev_pop(im) + 1e-8 as si from z group by vec_id)
 select z.vec_id, (f * {n_frames} + t)::int as pos, {rounded('(re - mr) / sr')} as re, {rounded('(im - mi) / si')} as im from z join s using (vec_id)"""
+
+
+def _lattice1(eps: float, x: str, tag: str) -> str:
+    """Order 1 at alpha 0, beta 1: stage 0 has no delay, so each power is a running sum. Tables ``tag``1 to ``tag``3; the last has err and y."""
+    run = "(partition by l_suppkey order by n rows unbounded preceding)"
+    return f"""{tag}1 as (select l_suppkey, n, raw, {x} as x, {eps} + 2 * sum({x} * {x}) over {run} as q0, sum({x} * {x}) over {run} as d1, sum(raw * {x}) over {run} as c1 from li),
+{tag}2 as (select *, x - d1 / q0 * x as b1, raw - c1 / q0 * x as e1 from {tag}1),
+{tag}3 as (select l_suppkey, n, raw, c1 / q0 * x + h2 * b1 as y, e1 - h2 * b1 as err from (select *, sum(e1 * b1) over {run} / ({eps} + sum(b1 * b1) over {run} / 2) as h2 from {tag}2))"""
+
+
+def gall_one(eps: float) -> str:
+    return f"with {LI}, {_lattice1(eps, 'rx', 'x')} select l_suppkey, n, {rounded('err')} as err, {rounded('y')} as y from x3"
+
+
+def hybrid(eps: float, lam: float) -> str:
+    """Three order-1 lattices and the Kalman fusion; the correlation matrix is symmetric, so six numbers of it travel."""
+    axes = "xyz"
+    names = ["xx", "xy", "xz", "yy", "yz", "zz"]
+    k = lambda a, b: "k" + "".join(sorted(a + b))
+    pi = lambda a: "(" + " + ".join(f"{k(a, b)} * s.u{b}" for b in axes) + ")"
+    noise = "(" + " + ".join(f"w{a} * s.u{a}" for a in axes) + ")"
+    den = f"({lam} + " + " + ".join(f"s.u{a} * {pi(a)}" for a in axes) + ")"
+    start = "select l_suppkey, -1 as n, 0.0::double as clean, 0.0::double as y_total, " + ", ".join(f"1.0::double / 3 as w{a}" for a in axes) + ", " + ", ".join(f"{float(n[0] == n[1])}::double as k{n}" for n in names) + " from (select distinct l_suppkey from li)"
+    step = f"select s.l_suppkey, s.n, s.raw - {noise}, {noise}, " + ", ".join(f"w{a} + {pi(a)} / {den} * (s.raw - {noise})" for a in axes) + ", " + ", ".join(f"(k{n} - {pi(n[0])} * {pi(n[1])} / {den}) / {lam}" for n in names) + " from f join s on s.l_suppkey = f.l_suppkey and s.n = f.n + 1"
+    lattices = ", ".join(_lattice1(eps, f"r{a}", a) for a in axes)
+    return f"""with recursive {LI}, {lattices}, s as materialized (select l_suppkey, n, x3.raw, x3.y as ux, y3.y as uy, z3.y as uz from x3 join y3 using (l_suppkey, n) join z3 using (l_suppkey, n)),
+f as ({start} union all {step}) select l_suppkey, n, {', '.join(f"{rounded(c, 4)} as {c}" for c in ('clean', 'y_total', 'wx', 'wy', 'wz'))} from f where n >= 0"""
+
+
+def dwt_layer(lo, hi) -> str:
+    """Reversed taps at stride 2 over 64 values with zeros around them."""
+    pad = (len(lo) - 2) // 2
+    taps = lambda name, t: values(name, "k, t", enumerate(t[::-1]))
+    part = lambda band, t: f"select o.vec_id, '{band}' as band, o.i, {rounded('sum(t * coalesce(x.v, 0))')} as c from (select vec_id, unnest(range(32))::int as i from embeddings) o join {t} on true left join x on x.vec_id = o.vec_id and x.n = 2 * o.i + k - {pad} group by o.vec_id, o.i"
+    return f"with x as (select vec_id, unnest(embedding)::double as v, generate_subscripts(embedding, 1) - 1 as n from embeddings), {taps('l', lo)}, {taps('h', hi)} {part('low', 'l')} union all {part('high', 'h')}"
+
+
+def idwt_layer(rl, rh) -> str:
+    """The first 32 values as low and the others as high coefficients, up through reversed taps."""
+    pad = (len(rl) - 2) // 2
+    return f"""with x as (select vec_id, unnest(embedding)::double as v, generate_subscripts(embedding, 1) - 1 as n from embeddings), {values('l', 'k, t', enumerate(rl[::-1]))}, {values('h', 'k, t', enumerate(rh[::-1]))},
+c as (select vec_id, (2 * n + k - {pad})::int as i, v * t as v from x join l on true where n < 32 union all select vec_id, (2 * (n - 32) + k - {pad})::int, v * t from x join h on true where n >= 32)
+select vec_id, i, {rounded('sum(v)')} as v from c where i between 0 and 63 group by vec_id, i"""
