@@ -2,12 +2,13 @@
 
 Words and word pairs fall into ``buckets`` hash buckets. Two multinomials over the buckets are counted, one from
 trusted documents and one from the whole raw corpus, both smoothed by one; a document's verdict is the mean over all its
-n-grams of log(p_trusted / p_raw), held against a fixed threshold. Nothing is sampled: every document gets its verdict
-from every one of its n-grams, and the ratios are whole micro-nats, so sums don't depend on their order.
+n-grams of log(p_trusted / p_raw), held against a fixed threshold. Every document gets its verdict from every one of
+its n-grams, and the ratios are whole micro-nats, so sums don't depend on their order.
 
-Scale: counting is one pass with map-side combining to ``buckets`` rows, scoring another without a shuffle. The one
-shuffle of texts is the join that marks trusted documents; the model is ``buckets`` numbers, whatever the input. All
-work on a text is linear in its length or sorts its words.
+Scale: counting is one pass with map-side combining to ``buckets`` rows, scoring another; no text is shuffled. Of trusted
+ids at most ``max_trusted`` (those that hash lowest) teach the trusted model, which bounds the broadcast that marks their
+documents to a few megabytes; the raw model counts every document. The model is ``buckets`` numbers, whatever the
+input. All work on a text is linear in its length or sorts its words.
 
 Defined results: null text has no words, fails the base rules and is dropped. A text without n-grams has ratio 0. Without
 trusted documents the verdict is the base rules'. Rows that repeat an id are judged each; the trusted mark belongs to
@@ -21,9 +22,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewave.llm.common import WHITE, let, skew_join, text_of
+from tidewave.llm.common import WHITE, let, text_of
 
-BUCKETS, THRESHOLD = 1 << 15, -0.1
+BUCKETS, THRESHOLD, MAX_TRUSTED = 1 << 15, -0.1, 500_000
 FEW = 64
 
 
@@ -87,10 +88,10 @@ def ngram_buckets(words: Column, buckets: int) -> Column:
     return let(words, lambda w: F.concat(one(w), two(w)))
 
 
-def fit_ratio(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> list[int]:
+def fit_ratio(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, max_trusted: int = MAX_TRUSTED) -> list[int]:
     """log(p_trusted / p_raw) of every bucket in micro-nats; ``trusted_ids`` has the column ``id``."""
-    marks = trusted_ids.select("id").where("id is not null").distinct().withColumn("trusted", F.lit(1))
-    rows = skew_join(docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")), marks, ["id"], "left")
+    marks = trusted_ids.select("id").where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(max_trusted).withColumn("trusted", F.lit(1))
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(marks), "id", "left")
     grams = rows.select(F.coalesce("trusted", F.lit(0)).alias("trusted"), F.explode(ngram_buckets(words_of(F.col("text")), buckets)).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.sum("trusted").alias("t"), F.count("*").alias("r")).toArrow()
     t, r = [0] * buckets, [0] * buckets
