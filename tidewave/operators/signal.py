@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,21 +41,33 @@ def from_arrays(df: DataFrame, key: str, value: str = "v") -> DataFrame:
 def per_signal(df: DataFrame, key: str, order: str | Sequence[str], inputs: dict[str, Column | str], outputs: Sequence[str], fn: Callable[..., dict[str, np.ndarray]]) -> DataFrame:
     """(key, n, outputs...): ``fn`` gets the inputs of one signal as float arrays in order, and gives arrays of one length.
 
-    Only key, order and inputs are shuffled. A signal is one task's work; different signals run in parallel.
+    Only key, order and inputs are shuffled. Signals are put together and sorted in the JVM and cross to Python many to
+    an Arrow batch, so that short ones cost little each. A signal is one task's work; different signals run in parallel.
     """
     cols = names(order)
     picked = df.select(F.col(key).alias("__key"), *(F.col(c).alias(f"__o{i}") for i, c in enumerate(cols)), *((F.col(v) if isinstance(v, str) else v).cast("double").alias(k) for k, v in inputs.items()))
-    kind, sort = df.schema[key].dataType.simpleString(), [f"__o{i}" for i in range(len(cols))]
-
-    given = list(inputs)  # columns can't go into the closure
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(sort, kind="stable")
-        out = fn(**{k: pdf[k].to_numpy(float) for k in given})
-        size = len(next(iter(out.values())))
-        return pd.DataFrame({key: np.repeat(pdf["__key"].iloc[:1].to_numpy(), size), "n": np.arange(size, dtype=np.int32), **{k: np.asarray(out[k], float) for k in outputs}})
-
-    return picked.groupBy("__key").applyInPandas(run, f"`{key}` {kind}, n int, " + ", ".join(f"{o} double" for o in outputs))
+    given, kind = list(inputs), df.schema[key].dataType.simpleString()
+    whole = picked.groupBy("__key").agg(F.sort_array(F.collect_list(F.struct(*(f"__o{i}" for i in range(len(cols))), *given))).alias("r"))
+    arrays = whole.select("__key", *(F.col(f"r.{k}").alias(k) for k in given))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [batch.column(j + 1) for j in range(len(given))]
+            values = [x.flatten().to_numpy(zero_copy_only=False).astype(float) for x in lists]
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists[0]).to_numpy(zero_copy_only=False))]).astype(int)
+            held, size = [], 0
+            for i in range(batch.num_rows):
+                out = fn(**{k: v[ends[i] : ends[i + 1]].copy() for k, v in zip(given, values, strict=True)})
+                held.append((i, [np.asarray(out[o], float) for o in outputs]))
+                size += held[-1][1][0].size
+                if size >= 200_000 or i + 1 == batch.num_rows:
+                    sizes = [x[0].size for _, x in held]
+                    keys = batch.column(0).take(pa.array(np.repeat([j for j, _ in held], sizes)))
+                    n = np.concatenate([np.arange(s, dtype=np.int32) for s in sizes])
+                    yield pa.RecordBatch.from_arrays([keys, pa.array(n), *(pa.array(np.concatenate([x[o] for _, x in held])) for o in range(len(outputs)))], names=[key, "n", *outputs])
+                    held, size = [], 0
+
+    return arrays.mapInArrow(run, f"`{key}` {kind}, n int, " + ", ".join(f"{o} double" for o in outputs))
 
 
 def magnitude(x: Column | str, y: Column | str, z: Column | str) -> Column:
