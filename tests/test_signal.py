@@ -274,6 +274,21 @@ def test_layers_by_hand():
     assert networks.pool(np.arange(5.0)[None, None]).tolist() == [[[1, 3]]]
 
 
+def test_wavelet_layers_as_columns(spark):
+    x = rng.standard_normal(32)
+    df = spark.createDataFrame([(x.tolist(),)], "x array<double>")
+    got = df.select(networks.dwt_bands(F.col("x")).alias("b")).first().b
+    for band, taps in zip((got.low, got.high), networks._bank("db6", False), strict=True):
+        want = networks.correlate(x[None, None].astype(np.float32), taps[None, None], 2, ((5, 5),), (1,))
+        assert np.allclose(band, want[0, 0], atol=1e-5)
+    up = df.select(networks.idwt_up(F.slice("x", 1, 16), F.slice("x", 17, 16)).alias("y")).first().y
+    want = sum(networks.scatter(h[None, None].astype(np.float32), t[None, None], (2,), (5,), (0,)) for h, t in zip((x[:16], x[16:]), networks._bank("db6", True), strict=True))
+    assert np.allclose(up, want[0, 0], atol=1e-5)
+    four = df.select(networks.swt_kernels(F.slice("x", 1, 3)).alias("k")).first().k
+    a, b, c = x[:3]
+    assert four == [[a, b, c], [c, b, a], [a, -b, c], [c, -b, a]]
+
+
 def test_inference_in_spark(spark):
     weights = networks.seeded("ecgd", 3)
     x = rng.standard_normal((5, 1024)).astype(np.float32)
