@@ -13,6 +13,13 @@ WHITE = r"[\x20\x09-\x0D]"
 NO_ID = (1 << 63) - 1
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme that Spark would read it by (a bare path is the cluster's default store, not always local)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return "file://" + full.removeprefix("file:") if full.startswith("file:/") and not full.startswith("file://") else full
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where none is set (local tests)."""
     sc = spark.sparkContext
@@ -21,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
         path = tempfile.mkdtemp(prefix="tidewave-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
-    return path
+    return qualified(spark, path)
 
 
 def cut(df: DataFrame) -> DataFrame:

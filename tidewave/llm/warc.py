@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewave.llm.common import skew_join, text_of
+from tidewave.llm.common import qualified, skew_join, text_of
 
 SHARD_BYTES, ROLL_BYTES, MIN_REVISIT = 32 << 20, 32 << 20, 100
 DATE = "2000-01-01T00:00:00Z"
@@ -44,7 +44,7 @@ _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
 def _open(folder: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+    return fs.FileSystem.from_uri(folder)
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -148,6 +148,8 @@ def revisits(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
 
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, min_revisit: int = MIN_REVISIT, edge_sample: int = 10_000) -> DataFrame:
     """Writes the archives and gives the manifest, one row per file, which is also in ``folder``/manifest as Parquet."""
+    spark = pages.sparkSession
+    folder = qualified(spark, folder)
     store, top = _open(folder)
     store.create_dir(top, recursive=True)
     light = pages.select(F.col(id_col).cast("long").alias("i"), F.octet_length(text_of(html_col)).alias("b"))
@@ -165,7 +167,6 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     marks = revisits(pages, id_col, html_col, min_revisit).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "refers_to")
     rows = rows.unionByName(marks).withColumn("shard", shard_of("page_id"))
     placed = rows.repartition(int(4 * n_shards), "shard").sortWithinPartitions("shard", "page_id", "digest", F.col("html").isNotNull(), "url").select("shard", "page_id", "url", "html", "digest", "refers_to")
-    spark = pages.sparkSession
     placed.mapInArrow(_shards(folder, roll_bytes), _MANIFEST).write.mode("overwrite").parquet(f"{folder}/manifest")
     manifest = spark.read.parquet(f"{folder}/manifest")
     manifest.mapInArrow(_commit(folder), manifest.schema).count()
@@ -202,6 +203,7 @@ def records(data) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:
     """(page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to) of all records that the manifest names; payload is null for revisits."""
+    folder = qualified(spark, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = _open(folder)
