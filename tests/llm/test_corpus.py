@@ -177,6 +177,25 @@ def test_ngram_ratio_against_brute_force(spark):
         assert got[i] == pytest.approx(sum(ratio[g] for g in grams(t)) / len(grams(t)) / 1e6, abs=1e-12)
 
 
+@pytest.mark.parametrize("buckets", [1, 16, 1 << 12, 1 << 18])
+def test_sliced_table_gives_the_verdicts_of_the_whole_one(spark, docs, none, buckets):
+    trusted = spark.createDataFrame([(i,) for i in range(0, 40, 2)] + [(None,), (7,), (7,)], "id long")
+    want = quality_rules.judge(docs, quality_rules.fit_ratio(docs, trusted, buckets=buckets)).collect()
+    got = quality_rules.rule(docs, trusted, buckets=buckets).collect()
+    assert got[0].asDict().keys() == want[0].asDict().keys()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, want)) and len(got) == len(corpus())
+    assert quality_rules.rule(none, trusted).count() == 0
+    assert {r.llr for r in quality_rules.rule(docs, trusted.limit(0)).collect()} == {0.0}
+
+
+def test_ngram_table_grows_with_the_input(spark):
+    words = F.expr("concat_ws(' ', transform(sequence(1, 50), i -> concat('w', id * 50 + i)))")
+    for rows, n in ((1_000, 99_000), (20_000, 1_980_000)):  # distinct words and pairs
+        buckets = quality_rules.n_buckets(spark.range(rows).select(words.alias("text")).unionAll(spark.range(rows).select(words.alias("text"))))
+        assert 10 < n / buckets < 40
+    assert [quality_rules.slice_bits(1 << b) for b in (0, 4, 15, 20, 22, 26, 30)] == [0, 0, 11, 16, 16, 20, 20]
+
+
 def test_many_repeated_windows(spark):
     words = [f"w{i}" for i in range(300)]
     text = " ".join(words + words)

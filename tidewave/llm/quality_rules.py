@@ -1,14 +1,17 @@
 """Quality rules: base counts of the text and a hashed n-gram log-likelihood ratio, in DataFrame functions only.
 
-Words and word pairs fall into ``buckets`` hash buckets. Two multinomials over the buckets are counted, one from
-trusted documents and one from the whole raw corpus, both smoothed by one; a document's verdict is the mean over all its
-n-grams of log(p_trusted / p_raw), held against a fixed threshold. Every document gets its verdict from every one of
-its n-grams, and the ratios are whole micro-nats, so sums don't depend on their order.
-
-Scale: counting is one pass with map-side combining to ``buckets`` rows, scoring another; no text is shuffled. Of trusted
-ids at most ``max_trusted`` (those that hash lowest) teach the trusted model, which bounds the broadcast that marks their
-documents to a few megabytes; the raw model counts every document. The model is ``buckets`` numbers, whatever the
-input. All work on a text is linear in its length or sorts its words.
+Words and word pairs fall into hash buckets, a power of two of them that leaves about ``PER_BUCKET`` distinct n-grams to
+each (``n_buckets``, from an approximate distinct count of all n-grams). Two multinomials over the buckets are counted,
+one from trusted documents and one from the whole raw corpus, both smoothed by one; a document's verdict is the mean over
+all its n-grams of log(p_trusted / p_raw), held against a fixed threshold. Every document gets its verdict from every one
+of its n-grams, and the ratios are whole micro-nats, so sums don't depend on their order.
+
+Scale: the table is cut into slices of consecutive buckets (``slice_bits``). A document sends each slice its places
+there, packed, in one shuffle of about the size of the texts; counts, ratios and the documents' sums are then found slice
+by slice, and one light row per document and slice goes back. Neither the table nor the trusted ids ever reach the driver or a
+broadcast. The row of a document is known by a 64-bit hash of its id and text (a billion documents have 0.03 clashes to
+be expected). All work on a text is linear in its length or sorts its words. ``fit_ratio`` and ``judge`` do the same with
+a table of a given, small size as a constant of the plan.
 
 Defined results: null text has no words, fails the base rules and is dropped. A text without n-grams has ratio 0. Without
 trusted documents the verdict is the base rules'. Rows that repeat an id are judged each; the trusted mark belongs to
@@ -19,12 +22,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewave.llm.common import WHITE, let, text_of
+from tidewave.llm.common import WHITE, cut, let, skew_join, text_of
 
-BUCKETS, THRESHOLD, MAX_TRUSTED = 1 << 15, -0.1, 500_000
+PER_BUCKET, THRESHOLD, MAX_TRUSTED = 20, -0.1, 500_000
 FEW = 64
 
 
@@ -82,15 +85,37 @@ def base_counts(docs: DataFrame, text: str) -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
-def ngram_buckets(words: Column, buckets: int) -> Column:
-    one = lambda w: F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(buckets)).cast("int"))
-    two = lambda w: F.transform(_upto(0, F.size(w) - 2), lambda i: F.pmod(F.xxhash64(w[i], w[i + 1]), F.lit(buckets)).cast("int"))
+def _ngrams(words: Column, of) -> Column:
+    """``of(hash)`` of every word and then of every word pair."""
+    one = lambda w: F.transform(w, lambda x: of(F.xxhash64(x)))
+    two = lambda w: F.transform(_upto(0, F.size(w) - 2), lambda i: of(F.xxhash64(w[i], w[i + 1])))
     return let(words, lambda w: F.concat(one(w), two(w)))
 
 
-def fit_ratio(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, max_trusted: int = MAX_TRUSTED) -> list[int]:
-    """log(p_trusted / p_raw) of every bucket in micro-nats; ``trusted_ids`` has the column ``id``."""
-    marks = trusted_ids.select("id").where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(max_trusted).withColumn("trusted", F.lit(1))
+def ngram_buckets(words: Column, buckets: int) -> Column:
+    return _ngrams(words, lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
+
+
+def n_buckets(docs: DataFrame, text_col: str = "text") -> int:
+    """The power of two that leaves about ``PER_BUCKET`` distinct n-grams of ``docs`` to a bucket."""
+    grams = docs.select(F.explode(_ngrams(words_of(text_of(text_col)), lambda h: h)).alias("h"))
+    n = grams.agg(F.approx_count_distinct("h")).first()[0]
+    return 1 << max(0, round(math.log2(max(1, n / PER_BUCKET))))
+
+
+def slice_bits(buckets: int) -> int:
+    """A slice has 2^this buckets: 64 slices if those have 2^16 to 2^20 buckets each, 16 of small tables."""
+    bits = buckets.bit_length() - 1
+    return max(0, min(20, max(bits - 6, min(16, bits - 4))))
+
+
+def _marks(trusted_ids: DataFrame, max_trusted: int) -> DataFrame:
+    return trusted_ids.select("id").where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(max_trusted).withColumn("trusted", F.lit(1))
+
+
+def fit_ratio(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 1 << 15, max_trusted: int = MAX_TRUSTED) -> list[int]:
+    """log(p_trusted / p_raw) of every bucket in micro-nats, for small corpora; ``trusted_ids`` has the column ``id``."""
+    marks = _marks(trusted_ids, max_trusted)
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(marks), "id", "left")
     grams = rows.select(F.coalesce("trusted", F.lit(0)).alias("trusted"), F.explode(ngram_buckets(words_of(F.col("text")), buckets)).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.sum("trusted").alias("t"), F.count("*").alias("r")).toArrow()
@@ -103,11 +128,52 @@ def fit_ratio(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", t
     return [round(1e6 * math.log((x + 1) / n_t * n_r / (y + 1))) for x, y in zip(t, r, strict=True)]
 
 
+def _verdict(out: DataFrame, id_col: str, threshold: float) -> DataFrame:
+    return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("llr") >= threshold)).alias("kept"), "llr")
+
+
 def judge(docs: DataFrame, ratio: list[int], id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs``: id, the base counts, base_failed, kept, llr (mean ratio in nats)."""
     table = F.split(F.lit(",".join(map(str, ratio))), ",").cast("array<int>")  # folded to one constant
     rows = base_counts(docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")), "text")
     grams = ngram_buckets(F.col("words"), len(ratio))
     mean = let(grams, lambda g: F.aggregate(g, F.lit(0).cast("long"), lambda a, b: a + table[b]) / F.greatest(F.size(g), F.lit(1)) / 1e6)
-    out = rows.withColumn("llr", mean)
-    return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("llr") >= threshold)).alias("kept"), "llr")
+    return _verdict(rows.withColumn("llr", mean), id_col, threshold)
+
+
+def rule(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, buckets: int | None = None, max_trusted: int = MAX_TRUSTED) -> DataFrame:
+    """As ``judge`` by the ratios of ``docs`` and ``trusted_ids`` themselves, with a table as large as the data ask for."""
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("uid", F.xxhash64("id", "text"))
+    buckets = buckets or n_buckets(rows)
+    sizes = rows.select("id", "uid", let(F.size(words_of(F.col("text"))), lambda n: F.greatest(2 * n - 1, F.lit(0))).cast("long").alias("n"))
+    sizes = cut(skew_join(sizes, _marks(trusted_ids, max_trusted), ["id"], "left").select("uid", "n", "trusted"))
+    n_t, n_r = (int(x or 0) + buckets for x in sizes.agg(F.sum(F.when(F.col("trusted") == 1, F.col("n"))), F.sum("n")).first())
+    if n_t == buckets:
+        return judge(docs, [0], id_col, text_col, threshold)
+
+    bits, low = slice_bits(buckets), 1 << 15  # places start at -low, so that 2^16 of them are shorts
+    kind, slices = "short" if bits <= 16 else "int", buckets >> bits
+    of = lambda g: F.shiftright(g, bits)
+    place = lambda g: (g.bitwiseAND(F.lit((1 << bits) - 1)) - low).cast(kind)
+
+    def pieces(g: Column) -> Column:
+        starts = F.filter(_upto(0, F.size(g) - 1), lambda i: (i == 0) | (of(F.get(g, i)) != of(F.get(g, i - 1))))
+        piece = lambda b: F.transform(b, lambda i, j: F.struct(of(F.get(g, i)).cast("int").alias("slice"), F.transform(F.slice(g, i + 1, F.coalesce(F.get(b, j + 1), F.size(g)) - i), place).alias("at")))
+        return let(starts, piece)
+
+    # rows of three kinds meet in a slice: a document's places, the mark of a trusted document (no places), every place once (no document)
+    places = rows.select("uid", F.inline(let(F.sort_array(_ngrams(words_of(F.col("text")), lambda h: F.pmod(h, F.lit(buckets)))), pieces))).select("slice", "uid", "at")
+    marks = sizes.where("trusted = 1").select(F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), "uid", F.lit(None).cast(f"array<{kind}>").alias("at"))
+    every = docs.sparkSession.range(slices).select(F.col("id").cast("int").alias("slice"), F.lit(None).cast("long").alias("uid"), F.sequence(F.lit(-low), F.lit((1 << bits) - 1 - low)).cast(f"array<{kind}>").alias("at"))
+    sliced = places.unionAll(marks).unionAll(every).repartition("slice")
+
+    trusted = F.max(F.col("at").isNull() & F.col("uid").isNotNull()).over(Window.partitionBy("slice", "uid"))
+    grams = sliced.withColumn("trusted", trusted.cast("long")).select("slice", "uid", "trusted", F.explode("at").alias("at"))
+    counts = grams.groupBy("slice", "at").agg(F.sum("trusted").alias("t"), F.count("uid").alias("r"))
+    ratio = F.round(1e6 * F.log((F.col("t") + 1) / F.lit(n_t) * F.lit(n_r) / (F.col("r") + 1))).cast("int")
+    table = counts.groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("at", ratio.alias("ratio"))))["ratio"].alias("table"))
+    # explode would put a filter under this side's shuffle, so that the two sides could not share it
+    read = sliced.join(table.hint("shuffle_hash"), "slice").select("uid", "table", F.explode_outer("at").alias("at"))
+    sums = read.groupBy("uid").agg((F.sum(F.get("table", F.col("at").cast("int") + low)) / F.count("at") / 1e6).alias("llr"))
+    base = base_counts(rows, "text").drop("text", "words")
+    return _verdict(skew_join(base, sums, ["uid"], "left").withColumn("llr", F.coalesce("llr", F.lit(0.0))), id_col, threshold)

@@ -29,7 +29,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_ngram_ratio_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     trusted = _table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("id"))
-    return quality_rules.judge(docs, quality_rules.fit_ratio(docs, trusted))
+    return quality_rules.rule(docs, trusted)
 
 
 def op4_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
