@@ -196,6 +196,14 @@ def test_ngram_table_grows_with_the_input(spark):
     assert [quality_rules.slice_bits(1 << b) for b in (0, 4, 15, 20, 22, 26, 30)] == [0, 0, 11, 16, 16, 20, 20]
 
 
+def test_every_trusted_id_counts(spark, docs):
+    few, many = spark.range(0, 40, 2), spark.range(0, 1_200_000).where("id >= 40 or id % 2 = 0")
+    few, many = few.unionAll(spark.range(1000, 1001)), many.where("id < 40 or id >= 1000")  # the corpus has no ids from 1000
+    assert quality_rules.fit_ratio(docs, many, buckets=256) == quality_rules.fit_ratio(docs, few, buckets=256)
+    got, want = (Counter(map(tuple, quality_rules.rule(docs, t, buckets=256).collect())) for t in (many, few))
+    assert got == want
+
+
 def test_many_repeated_windows(spark):
     words = [f"w{i}" for i in range(300)]
     text = " ".join(words + words)

@@ -3,15 +3,17 @@
 Words and word pairs fall into hash buckets, a power of two of them that leaves about ``PER_BUCKET`` distinct n-grams to
 each (``n_buckets``, from an approximate distinct count of all n-grams). Two multinomials over the buckets are counted,
 one from trusted documents and one from the whole raw corpus, both smoothed by one; a document's verdict is the mean over
-all its n-grams of log(p_trusted / p_raw), held against a fixed threshold. Every document gets its verdict from every one
-of its n-grams, and the ratios are whole micro-nats, so sums don't depend on their order.
+all its n-grams of log(p_trusted / p_raw), held against a fixed threshold. Nothing is sampled: every trusted id counts,
+every document gets its verdict from every one of its n-grams, and the ratios are whole micro-nats, so sums don't depend
+on their order.
 
 Scale: the table is cut into slices of consecutive buckets (``slice_bits``). A document sends each slice its places
 there, packed, in one shuffle of about the size of the texts; counts, ratios and the documents' sums are then found slice
-by slice, and one light row per document and slice goes back. Neither the table nor the trusted ids ever reach the driver or a
-broadcast. The row of a document is known by a 64-bit hash of its id and text (a billion documents have 0.03 clashes to
-be expected). All work on a text is linear in its length or sorts its words. ``fit_ratio`` and ``judge`` do the same with
-a table of a given, small size as a constant of the plan.
+by slice, and one light row per document and slice goes back. Trusted ids meet light rows of the documents in a shuffled
+join. Neither the table nor the trusted ids ever reach the driver or a broadcast. The row of a document is known by a
+64-bit hash of its id and text (a billion documents have 0.03 clashes to be expected). All work on a text is linear in its
+length or sorts its words. ``fit_ratio`` and ``judge`` do the same with a table of a given, small size as a constant of the
+plan.
 
 Defined results: null text has no words, fails the base rules and is dropped. A text without n-grams has ratio 0. Without
 trusted documents the verdict is the base rules'. Rows that repeat an id are judged each; the trusted mark belongs to
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tidewave.llm.common import WHITE, cut, let, skew_join, text_of
 
-PER_BUCKET, THRESHOLD, MAX_TRUSTED = 20, -0.1, 500_000
+PER_BUCKET, THRESHOLD = 20, -0.1
 FEW = 64
 
 
@@ -109,14 +111,14 @@ def slice_bits(buckets: int) -> int:
     return max(0, min(20, max(bits - 6, min(16, bits - 4))))
 
 
-def _marks(trusted_ids: DataFrame, max_trusted: int) -> DataFrame:
-    return trusted_ids.select("id").where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(max_trusted).withColumn("trusted", F.lit(1))
+def _marks(trusted_ids: DataFrame) -> DataFrame:
+    return trusted_ids.select("id").where("id is not null").distinct().withColumn("trusted", F.lit(1))
 
 
-def fit_ratio(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 1 << 15, max_trusted: int = MAX_TRUSTED) -> list[int]:
+def fit_ratio(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 1 << 15) -> list[int]:
     """log(p_trusted / p_raw) of every bucket in micro-nats, for small corpora; ``trusted_ids`` has the column ``id``."""
-    marks = _marks(trusted_ids, max_trusted)
-    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(marks), "id", "left")
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    rows = skew_join(rows, _marks(trusted_ids), ["id"], "left")
     grams = rows.select(F.coalesce("trusted", F.lit(0)).alias("trusted"), F.explode(ngram_buckets(words_of(F.col("text")), buckets)).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.sum("trusted").alias("t"), F.count("*").alias("r")).toArrow()
     t, r = [0] * buckets, [0] * buckets
@@ -141,12 +143,12 @@ def judge(docs: DataFrame, ratio: list[int], id_col: str = "doc_id", text_col: s
     return _verdict(rows.withColumn("llr", mean), id_col, threshold)
 
 
-def rule(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, buckets: int | None = None, max_trusted: int = MAX_TRUSTED) -> DataFrame:
+def rule(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, buckets: int | None = None) -> DataFrame:
     """As ``judge`` by the ratios of ``docs`` and ``trusted_ids`` themselves, with a table as large as the data ask for."""
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("uid", F.xxhash64("id", "text"))
     buckets = buckets or n_buckets(rows)
     sizes = rows.select("id", "uid", let(F.size(words_of(F.col("text"))), lambda n: F.greatest(2 * n - 1, F.lit(0))).cast("long").alias("n"))
-    sizes = cut(skew_join(sizes, _marks(trusted_ids, max_trusted), ["id"], "left").select("uid", "n", "trusted"))
+    sizes = cut(skew_join(sizes, _marks(trusted_ids), ["id"], "left").select("uid", "n", "trusted"))
     n_t, n_r = (int(x or 0) + buckets for x in sizes.agg(F.sum(F.when(F.col("trusted") == 1, F.col("n"))), F.sum("n")).first())
     if n_t == buckets:
         return judge(docs, [0], id_col, text_col, threshold)
