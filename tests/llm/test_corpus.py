@@ -249,6 +249,18 @@ def test_licenses(spark, docs, none):
         licenses.prepare(spark, {"x": ["too short"]})
 
 
+def test_short_license_notices(spark):
+    texts = ["foo " * 40 + "(c) Acme. ALL  rights\nreserved. " + "bar " * 40, "All rights reserved.", "all rights are reserved", "rights reserved", "All rights reserved. Released under the MIT License.", "© X", "Copyleft"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in licenses.scan_licenses(df).collect()}
+    assert got == {0: ["all-rights-reserved"], 1: ["all-rights-reserved"], 2: [], 3: [], 4: ["all-rights-reserved", "mit"], 5: [], 6: []}
+    own = {"four": ["do not copy this"], "two": ["rights reserved"], "one": ["Copyleft!"]}
+    got = {r.doc_id: r.licenses for r in licenses.scan_licenses(df, own).collect()}
+    assert got == {0: ["two"], 1: ["two"], 2: [], 3: ["two"], 4: ["two"], 5: [], 6: ["one"]}
+    with pytest.raises(ValueError, match="without words"):
+        licenses.scan_licenses(df, {"x": ["..."]})
+
+
 def test_mixing(docs, none, spark):
     mix = mixing.solve({"a": 1000, "b": 100, "c": 10, "z": 0}, max_repeats=3.0)
     shown = {k: mix.quotas[k] / t for k, t in {"a": 1000, "b": 100, "c": 10}.items()}
