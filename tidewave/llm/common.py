@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What the operators call white space: space, tab, newline, vertical tab, form feed, carriage return.
 WHITE = r"[\x20\x09-\x0D]"
-#: Stands for a null id while rows are being linked; mapped back to null in results.
-NO_ID = (1 << 63) - 1
+#: Folders that ``cut`` and ``stored`` have written in this process, oldest first.
+_written: list[str] = []
 
 
 def qualified(spark: SparkSession, path: str) -> str:
@@ -21,10 +24,12 @@ def qualified(spark: SparkSession, path: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where none is set (local tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset, a local run gets a folder of its own; a cluster gets an error."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="tidewave-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
@@ -34,7 +39,35 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder now and go on from the files, so that nothing is computed twice and a lost executor costs a re-read."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    file = out._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        _written.append(file.get())
+    return out
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """As ``cut``, but as Parquet: for wide rows that are read again a few columns at a time."""
+    folder = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    _written.append(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What ``cut`` and ``stored`` write inside is deleted at its end. For one driver thread, and for results that are written inside too."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        while len(_written) > before:
+            remove(spark, _written.pop())
 
 
 def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

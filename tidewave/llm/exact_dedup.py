@@ -12,8 +12,11 @@ shuffled once, in the first round; later rounds carry the unread rest of the doc
 another. The width of a digit grows fourfold, so even texts of hundreds of megabytes need about a dozen rounds, and
 only the longest *shared* prefix counts.
 
+``drop_exact_copies`` numbers the rows in a written table and drops by those numbers, so there too equality alone decides.
+
 Defined results: null text counts as empty; empty texts equal one another. Null ids sort last and are never equal to
-another id. Of rows that repeat both id and text exactly one is kept. Other columns are ignored and may have any name.
+another id. Of rows that repeat both id and text exactly one is kept. Other columns are ignored and may have any name;
+``drop_exact_copies`` returns them as they were. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewave.llm.common import WHITE, cut, skew_join, text_of
+from tidewave.llm.common import WHITE, cut, skew_join, stored, text_of
 
 FIRST_DIGIT = 48
 GROWTH = 4
@@ -36,19 +39,18 @@ def _digit(width: int):
     return [F.substring("rest", 1, width).alias("digit"), (F.length("rest") <= width).alias("ended")]
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first_digit: int = FIRST_DIGIT, growth: int = GROWTH) -> DataFrame:
-    """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256, n_chars.
-
-    Of equal texts the one with the most code points in its original form stays, then the one with the smallest id.
-    """
-    base = docs.select(F.col(id_col).alias("id"), F.length(text_of(text_col)).cast("long").alias("n_chars"), _normal(text_col).alias("norm"))
-    first = base.select("id", "n_chars", F.sha2("norm", 256).alias("sha"), F.encode("norm", "UTF-8").alias("rest"))
+def _decided(docs: DataFrame, id_col: str, text_col: str, first_digit: int, growth: int, given: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: rid (a number of the row, unless ``given``), id, n_chars, sha, and of groups of several rows c (rows), keep (id) and keep_rid."""
+    base = docs.select(*given, F.col(id_col).alias("id"), F.length(text_of(text_col)).cast("long").alias("n_chars"), _normal(text_col).alias("norm"))
+    first = base.select(*given, "id", "n_chars", F.sha2("norm", 256).alias("sha"), F.encode("norm", "UTF-8").alias("rest"))
     heads = base.select(F.encode("norm", "UTF-8").alias("rest")).select(*_digit(first_digit)).groupBy("digit", "ended").agg(F.count("*").alias("c")).where("c > 1")
     shared = F.col("c").isNotNull()
     rows = skew_join(first.select("*", *_digit(first_digit)), heads, ["digit", "ended"], "left").select(
-        "id", "n_chars", "sha", F.when(shared, F.col("digit")).alias("gid"), F.when(shared, F.expr(f"substring(rest, {first_digit + 1})")).alias("rest")
+        *given, "id", "n_chars", "sha", F.when(shared, F.col("digit")).alias("gid"), F.when(shared, F.expr(f"substring(rest, {first_digit + 1})")).alias("rest")
     )
-    rows = cut(rows).withColumn("rid", F.monotonically_increasing_id())  # the files fix the rows' order, so ids are the same at every read
+    rows = cut(rows)
+    if not given:
+        rows = rows.withColumn("rid", F.monotonically_increasing_id())  # the files fix the rows' order, so ids are the same at every read
 
     active, done, width = rows.where("gid is not null").drop("sha"), [], first_digit * growth
     while True:
@@ -68,7 +70,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = done[0]
     for d in done[1:]:
         classes = classes.unionByName(d)
-    out = rows.select("rid", "id", "n_chars", "sha").join(classes, "rid", "left")
+    return rows.select("rid", "id", "n_chars", "sha").join(classes, "rid", "left")
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first_digit: int = FIRST_DIGIT, growth: int = GROWTH) -> DataFrame:
+    """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256, n_chars.
+
+    Of equal texts the one with the most code points in its original form stays, then the one with the smallest id.
+    """
+    out = _decided(docs.select(id_col, text_col), id_col, text_col, first_digit, growth)
     alone = F.col("c").isNull()
     return out.select(
         F.col("id").alias(id_col),
@@ -81,13 +91,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of equal texts, all columns as they were."""
-    found = exact_dedup(docs, id_col, text_col).select(F.col(id_col).alias("i"), F.col("text_sha256").alias("s"), F.col("n_chars").alias("n"), "kept")
-    keys = cut(found.groupBy("i", "s", "n").agg(F.sum(F.col("kept").cast("int")).alias("stay"), F.count("*").alias("c")).where("stay < c"))
-    own = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.struct(F.col(id_col).alias("i"), F.sha2(_normal(text_col), 256).alias("s"), F.length(text_of(text_col)).cast("long").alias("n")).alias("k"))
-    gone = keys.select(F.struct("i", "s", "n").alias("k"), "stay")
-    out = own.join(gone.select("k"), "k", "left_anti").select("row.*")
-    ties = gone.where("stay > 0")  # rows that repeat both id and text: the rest of each such set goes
-    if not ties.isEmpty():
-        out = out.unionByName(own.join(ties.select("k"), "k", "left_semi").dropDuplicates(["k"]).select("row.*"))
-    return out
+    """``docs`` with one row of each group of equal texts, all columns as they were; the same one as ``exact_dedup`` keeps."""
+    own = stored(docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.monotonically_increasing_id().alias("rid")))
+    found = _decided(own.select("rid", F.col(f"row.`{id_col}`").alias("id"), F.col(f"row.`{text_col}`").alias("text")), "id", "text", FIRST_DIGIT, GROWTH, ("rid",))
+    gone = cut(found.where("rid <> keep_rid").select("rid"))
+    return own.join(gone, "rid", "left_anti").select("row.*")

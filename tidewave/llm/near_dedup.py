@@ -7,8 +7,9 @@ independent minima. They are read as 40 bands of 6: two sets of similarity 0.85
 probability (1 - 0.85^6)^40 < 1e-8.
 
 The plan, in order:
-1. one pass over the texts makes shingle count, digest of the set, band keys and 240 sign bits per document;
-2. equal sets collapse to their smallest id (a hot group of copies is one map-side combined row from here on);
+1. one pass over the texts makes shingle count, digest of the set, band keys and 240 sign bits per row, and the rows
+   are numbered: from here to the end a document is a row, whatever its id;
+2. equal sets collapse to their first row (a hot group of copies is one map-side combined row from here on);
 3. in each bucket every member is paired with the smallest one, so a bucket costs as many pairs as it has members; a
    pair must pass a size bound (exact) and a bound on the sign bits (seven standard deviations below the threshold)
    before the full sets are compared, word for word;
@@ -18,9 +19,11 @@ The plan, in order:
 After step 4 every pair that shares a bucket is linked, compared or in one component already, so components
 are those of all links. Nothing is capped, and links, components and fingerprints stay distributed.
 
-Defined results: null or wordless text has an empty set and is linked with nothing. Rows that share an id are one
-document and share its fate. Rows with a null id stand for one unnamed document, have a null component, and stay.
-Other columns are ignored and may have any name.
+Defined results: null or wordless text has an empty set and is linked with nothing. Of rows that share an id
+``near_duplicates`` makes one document, linked with all that any of its texts is linked with; ``drop_near_copies`` goes by
+texts alone, so two texts that no chain of links joins both stay, even under one id. Each row with a null id is a document
+of its own; a component without any id is null and keeps one row. Of rows that repeat id and text one stays, empty ones
+all. An empty table gives an empty one. Other columns are ignored and may have any name.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewave.llm.common import NO_ID, cut, skew_join, text_of
+from tidewave.llm.common import cut, skew_join, text_of
 from tidewave.llm.components import components
 
 N_PERM, ROWS = 120, 6
@@ -109,24 +112,24 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sign_rows(width: int):
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), *((f"s{i}", pa.int64()) for i in range(4))])
+    schema = pa.schema([("doc", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), *((f"s{i}", pa.int64()) for i in range(4))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
-                sets = shingle_sets([t.as_buffer().to_pybytes() if hasattr(t, "as_buffer") else t.as_py().encode() for t in batch.column(1)], width)
+                sets = shingle_sets([t.as_buffer().to_pybytes() if hasattr(t, "as_buffer") else t.as_py().encode() for t in batch.column(2)], width)
                 full = [s for s in sets if s.size]
                 bands, signs = signatures(full) if full else (np.empty((0, BANDS), np.int64), np.empty((0, 4), np.int64))
                 has = np.array([s.size > 0 for s in sets], bool)
                 row = np.where(has, np.cumsum(has) - 1, 0)
                 lengths = np.where(has, BANDS, 0)
                 offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-                cols = [batch.column(0), pa.array([s.size for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands.ravel()))]
+                cols = [batch.column(0), batch.column(1), pa.array([s.size for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands.ravel()))]
                 cols += [pa.array(signs[row, i] if len(signs) else np.zeros(len(sets), np.int64), pa.int64()) for i in range(4)]
                 yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
-    return run, "id long, n long, digest binary, bands array<long>, s0 long, s1 long, s2 long, s3 long"
+    return run, "doc long, h long, n long, digest binary, bands array<long>, s0 long, s1 long, s2 long, s3 long"
 
 
 def _word_set(text: str, width: int) -> set:
@@ -218,33 +221,31 @@ def _apart(rest: DataFrame, own: DataFrame, facts: DataFrame, width: int, percen
     return cut(texts.groupBy("lead", "i", "j").applyInPandas(_links_of_block(width, percent), "a long, b long").distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, component_id (the smallest id reachable), kept.
-
-    ``width`` words make a shingle; two documents are linked when 100 * intersection >= ``percent`` * union.
-    ``percent`` is 75 or more: the bands are set for that.
-    """
+def _linked(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """One row per row of ``docs``: id (a number of the row), doc (its id), h (hash of its text), n (size of its set), comp (component of its text)."""
     if percent < 75:
         raise ValueError("percent must be 75 or more: 40 bands of 6 find lower similarities less surely")
     near = (100 - percent) / 100 / 2 * 2 * N_PERM
     differ = int(near + 7 * (near * (1 - near / 2 / N_PERM)) ** 0.5)
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text_of(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), text_of(text_col).alias("text")).select("doc", F.xxhash64("text").alias("h"), "text")
     run, schema = _sign_rows(width)
-    signed = cut(texts.mapInArrow(run, schema))
+    signed = cut(texts.mapInArrow(run, schema)).withColumn("id", F.monotonically_increasing_id())  # the files fix the rows' order
+    full = signed.where("n > 0")
 
-    classes = signed.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"))
-    nodes = signed.where("n > 0").select("id", "digest", "n")
-    member = skew_join(nodes, classes, ["digest"]).select("id", "n", "rep")
-    heads = skew_join(signed.where("n > 0"), classes, ["digest"]).where("id = rep").drop("rep", "digest")
-    heads = cut(heads.dropDuplicates(["id", "n", "s0", "s1", "s2", "s3"]))
+    classes = full.groupBy("digest").agg(F.min("id").alias("rep"))
+    member = skew_join(full.select("id", "doc", "h", "n", "digest"), classes, ["digest"]).select("id", "doc", "h", "n", "rep")
+    heads = cut(skew_join(full, classes, ["digest"]).where("id = rep").drop("rep", "digest"))
 
     spread = heads.select("id", F.explode("bands").alias("key"))
     shared = spread.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("key", "lead")
     spread = cut(skew_join(spread, shared, ["key"]))
 
     facts = heads.select("id", "n", "s0", "s1", "s2", "s3")
-    wanted = spread.select("id").distinct()
-    own = cut(skew_join(texts, wanted.withColumn("hit", F.lit(1)), ["id"]).select("id", "text"))
+    wanted = skew_join(heads.select("id", "doc", "h"), spread.select("id").distinct().withColumn("hit", F.lit(1)), ["id"]).drop("hit")
+    own = skew_join(texts, wanted, ["doc", "h"]).select("id", "text")  # id and hash name a text: hashes are only compared under one id
+    if not full.groupBy("doc", "h").count().where("count > 1").isEmpty():
+        own = own.groupBy("id").agg(F.first("text").alias("text"))
+    own = cut(own)
     alike = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m) and bit_count(s0 ^ t0) + bit_count(s1 ^ t1) + bit_count(s2 ^ t2) + bit_count(s3 ^ t3) <= {differ}")
     other = facts.select(F.col("id").alias("b"), F.col("n").alias("m"), *(F.col(f"s{i}").alias(f"t{i}") for i in range(4)))
 
@@ -267,14 +268,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             comp = cut(components(comp.where("id <> comp").select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(more)))
 
     named = skew_join(member.withColumnRenamed("rep", "node"), comp.withColumnRenamed("id", "node"), ["node"], "left")
-    named = named.select("id", "n", F.coalesce("comp", F.col("node")).alias("comp"))
-    bare = signed.where("n = 0").select("id", "n", F.col("id").alias("comp"))
-    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return named.unionByName(bare).select(real("id").alias(id_col), F.col("n").alias("n_shingles"), real("comp").alias("component_id"), ((F.col("id") == F.col("comp")) | (F.col("id") == NO_ID)).alias("kept"))
+    named = named.select("id", "doc", "h", "n", F.coalesce("comp", F.col("node")).alias("comp"))
+    return cut(named.unionByName(signed.where("n = 0").select("id", "doc", "h", "n", F.col("id").alias("comp"))))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """One row per row of ``docs``: id, n_shingles, component_id (the smallest id reachable), kept.
+
+    ``width`` words make a shingle; two documents are linked when 100 * intersection >= ``percent`` * union.
+    ``percent`` is 75 or more: the bands are set for that.
+    """
+    linked = _linked(docs, id_col, text_col, width, percent)
+    several = linked.where("doc is not null").groupBy("doc").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("doc", "lo")
+    if not several.isEmpty():  # one id, texts of several components
+        through = skew_join(linked.select("doc", "comp").distinct(), several, ["doc"]).select(F.col("comp").alias("a"), F.col("lo").alias("b"))
+        merged = cut(components(through)).select(F.col("comp").alias("into"), F.col("id").alias("comp"))
+        linked = skew_join(linked, merged, ["comp"], "left").withColumn("comp", F.coalesce("into", "comp")).drop("into")
+    least = linked.groupBy("comp").agg(F.min("doc").alias("component_id"), F.min("id").alias("first"))
+    kept = F.coalesce(F.col("doc") == F.col("component_id"), F.col("component_id").isNull() & (F.col("id") == F.col("first")))
+    return skew_join(linked, least, ["comp"]).select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates (the one with the smallest id), all columns as they were."""
-    gone = near_duplicates(docs, id_col, text_col, width, percent).where("not kept").select(F.col(id_col).alias("i")).distinct()
-    gone = cut(gone)
-    return docs.join(gone, docs[id_col] == gone["i"], "left_anti")
+    """``docs`` with one row of each group of near duplicates, all columns as they were.
+
+    The one with the smallest id stays; where an id names several texts of a group, one of them. Groups are those of texts:
+    an id alone neither links two texts nor takes another text with it.
+    """
+    rows = _linked(docs, id_col, text_col, width, percent).where("n > 0").select("doc", "h", "comp")
+    first = skew_join(rows, rows.groupBy("comp").agg(F.min("doc").alias("d"), F.count("*").alias("c")).where("c > 1"), ["comp"])
+    best = first.where("doc <=> d").groupBy("comp").agg(F.min("h").alias("best"))
+    judged = cut(skew_join(first, best, ["comp"]).select("doc", "h", (F.col("doc").eqNullSafe(F.col("d")) & (F.col("h") == F.col("best"))).alias("stays")))
+    key = lambda doc, h: F.struct(doc.alias("doc"), h.alias("h")).alias("key")
+    own = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), key(F.col(id_col).cast("long"), F.xxhash64(text_of(text_col))))
+    gone = judged.where("not stays").select(key(F.col("doc"), F.col("h"))).distinct()
+    again = judged.where("stays").groupBy("doc", "h").count().where("count > 1").select(key(F.col("doc"), F.col("h")))
+    if again.isEmpty():
+        return own.join(gone, "key", "left_anti").select("row.*")
+    once = own.join(again, "key", "left_semi").groupBy("key").agg(F.min_by("row", F.sha2(F.to_json("row"), 256)).alias("row"))
+    return own.join(gone.unionByName(again), "key", "left_anti").select("row.*").unionByName(once.select("row.*"))
