@@ -349,17 +349,87 @@ def test_mixing(docs, none, spark):
     assert -sum(x * math.log(x) for x in w) == pytest.approx(0.8 * math.log(2), abs=1e-6)
     mixed = mixing.mix(docs, max_repeats=2.0, block_tokens=300).toPandas()
     assert len(mixed) == len(corpus())
-    sizes = {k: int(v) for k, v in mixed.fillna({"source": ""}).groupby("source")["mix_tokens"].sum().items()}
-    want = mixing.solve(sizes, max_repeats=2.0)
     assert (mixed["mix_epochs"] >= 1).all()
-    for k, g in mixed.fillna({"source": ""}).groupby("source"):
-        tokens = int((g["mix_tokens"] * g["mix_epochs"]).sum())
-        assert want.quotas[k] <= tokens < want.quotas[k] + g["mix_tokens"].max() * 2
-    assert mixing.ordered(mixing.mix(docs)).count() == mixing.mix(docs).agg(F.sum("mix_epochs")).first()[0]
+    assert mixing.ordered(docs).count() == mixing.mix(docs).agg(F.sum("mix_epochs")).first()[0]
     assert mixing.mixed_rows(docs).columns == docs.columns
-    assert mixing.mix(none).count() == 0
+    assert mixing.mix(none).count() == mixing.mixed_rows(none).count() == 0
     tight = mixing.mix(docs, budget=500.0, max_repeats=None, block_tokens=100).agg(F.sum(F.col("mix_epochs") * F.col("mix_tokens"))).first()[0]
     assert tight >= 500
+    with pytest.raises(ValueError, match="more than 2 sources"):
+        mixing.mix(docs, max_sources=2)
+
+
+@pytest.mark.parametrize("options", [{"max_repeats": 2.0}, {"max_repeats": 3.5}, {"max_repeats": None, "entropy": 0.7}, {"max_repeats": None, "budget": 4000.0}])
+def test_mixing_against_brute_force(spark, docs, options):
+    rows = [(d, t, s or "") for d, t, _, s, *_ in corpus()]
+    size = lambda t: len([x for x in SPACE.split(t or "") if x])
+    have = Counter()
+    for _, t, s in rows:
+        have[s] += size(t)
+    have = {k: v for k, v in have.items() if v}
+    total = sum(have.values())
+
+    def weights(a):
+        power = {k: (v / total) ** a for k, v in have.items()}
+        return {k: x / sum(power.values()) for k, x in power.items()}
+
+    def fits(a):
+        w = weights(a)
+        budget = options.get("budget") or max(v / w[k] for k, v in have.items())
+        flat = "entropy" not in options or -sum(x * math.log(x) for x in w.values()) <= options["entropy"] * math.log(len(w)) + 1e-9
+        return flat and (options["max_repeats"] is None or all(budget * w[k] <= options["max_repeats"] * v * (1 + 1e-9) for k, v in have.items()))
+
+    grid = next((i for i in range(10_001) if fits(i / 10_000)), 10_000)  # by trial, no bisection
+    mix = mixing.solve(dict(have), **options)
+    assert abs(mix.exponent - grid / 10_000) <= 1.01e-4
+    for k, w in weights(mix.exponent).items():
+        assert mix.weights[k] == pytest.approx(w)
+
+    seed, block_tokens = 5, 300
+    found = mixing.ordered(docs, block_tokens=block_tokens, seed=seed, **options).fillna({"source": ""}).toPandas()
+    every = mixing.mix(docs, block_tokens=block_tokens, seed=seed, **options).withColumn("s", F.col("source").cast("string"))
+    last = (F.lit(max(math.ceil(q / have[k]) for k, q in mix.quotas.items()) + 1)).cast("long")
+    every = every.withColumn("keys", F.transform(F.sequence(F.lit(0).cast("long"), last), lambda e: F.xxhash64(F.lit(seed + 2), "s", "mix_block", e))).fillna({"source": ""}).toPandas()
+    for source, tokens in have.items():
+        mine, shown = every[every["source"] == source], found[found["source"] == source]
+        blocks = max(1, -(-tokens // block_tokens))
+        assert mine["mix_block"].between(0, blocks - 1).all()
+        whole, rest = divmod(mix.quotas[source], tokens)
+        for e in range(whole):  # every row once
+            assert sorted(shown[shown["mix_epoch"] == e]["mix_key"]) == sorted(mine["mix_key"])
+        part = shown[shown["mix_epoch"] == whole]
+        queue, want, spent = mine[mine["mix_tokens"] > 0].assign(o=[k[whole] for k in mine[mine["mix_tokens"] > 0]["keys"]]).sort_values(["o", "mix_block", "mix_key"]), [], 0
+        for _, same in queue.groupby(["o", "mix_block", "mix_key"], sort=False):
+            if spent < rest:
+                want += same["mix_key"].tolist()
+                spent += int(same["mix_tokens"].sum())
+        assert sorted(part["mix_key"]) == sorted(want)
+        assert shown["mix_epoch"].max() <= whole
+        # blocks stay together, and epochs follow one another, in the order of the whole
+        line = shown.sort_values("mix_place")
+        assert line["mix_epoch"].is_monotonic_increasing
+        runs = line[["mix_epoch", "mix_block"]].drop_duplicates()
+        assert line.groupby(["mix_epoch", "mix_block"])["mix_place"].nunique().eq(1).all() and len(runs) == line["mix_place"].nunique()
+    rows_out = mixing.mixed_rows(docs, block_tokens=block_tokens, seed=seed, **options).collect()
+    shown = mixing.ordered(docs, block_tokens=block_tokens, seed=seed, **options)
+    shown = shown.orderBy("mix_place", F.col("source").cast("string"), "mix_block", "mix_order.in_block", "mix_key").collect()
+    assert [(r.doc_id, r.text) for r in rows_out] == [(r.doc_id, r.text) for r in shown]
+
+
+def test_every_stretch_of_the_mix_has_the_weights(spark):
+    rows = [(i, "a b c d e f g h i j", "big" if i % 10 else "small") for i in range(3000)]
+    out = mixing.mixed_rows(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_tokens=100, max_repeats=2.0).collect()
+    share = sum(r.source == "small" for r in out) / len(out)
+    assert share == pytest.approx(2 / 11, abs=0.01)
+    for start in range(0, len(out) - 600, 600):
+        assert sum(r.source == "small" for r in out[start : start + 600]) / 600 == pytest.approx(share, abs=0.15)
+
+
+def test_mixing_keeps_columns_that_clash(spark):
+    df = spark.createDataFrame([(1, "a b", "x", 7, "o", "p"), (2, None, None, 8, "o", "p")], "doc_id long, text string, source string, mix_epochs int, mix_order string, s string")
+    out = mixing.mixed_rows(df)
+    assert out.columns == df.columns and {(r.doc_id, r.mix_epochs, r.mix_order, r.s) for r in out.collect()} == {(1, 7, "o", "p"), (2, 8, "o", "p")}
+    assert {r.mix_epochs for r in mixing.ordered(df).collect()} == {1}
 
 
 def one_by_one(lengths, caps, overhead):

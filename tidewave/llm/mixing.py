@@ -8,13 +8,17 @@ smallest one that shows each document of each source at least once, so nothing i
 A quota of e whole epochs and a rest is realised over blocks: documents are dealt into blocks of about
 ``block_tokens`` tokens by a hash, each epoch visits the blocks of a source in an order of its own, and the last,
 partial epoch takes whole blocks in that order and of one more block the documents that begin within the quota.
+``mixed_rows`` writes the permutation out: a block stands at (epoch + its place in the epoch) / (epochs of its source)
+of the whole, so that blocks stay together, epochs follow one another, and every stretch has the sources in their weights.
 
 Scale: two aggregates (tokens per source, tokens per block) and, for the one boundary block of each source, a running
 sum within that block. Blocks have a bounded size whatever share of the rows a source has, so no task ever holds a
-source. The driver sees one row per source (``max_sources`` is checked). Documents are repeated by ``explode``, not by a join.
+source. The driver sees one row per source (``max_sources`` is checked). Documents are repeated by ``explode``, not by a
+join. ``mixed_rows`` moves the texts once, to sort them by place; places are spread evenly, whatever the sources' sizes.
 
 Defined results: a null source is a source of its own; null or wordless text has no tokens and is shown in whole epochs
-only. Rows that repeat an id are separate documents in the same block. Extra columns are ignored.
+only. Rows that repeat an id are separate documents, and in the same block if they repeat the text too. Extra columns
+are kept; ``mix`` and ``ordered`` replace ones that have the names of their own (MIX_COLUMNS), ``mixed_rows`` keeps those too.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from pyspark.sql import functions as F
 from tidewave.llm.common import WHITE, cut, text_of
 
 BLOCK_TOKENS = 1_000_000
+MIX_COLUMNS = ("mix_epochs", "mix_tokens", "mix_block", "mix_key", "mix_passes", "mix_epoch", "mix_order", "mix_place")
 
 
 def word_tokens(text_col: str = "text") -> Column:
@@ -83,14 +88,11 @@ def solve(tokens: dict, entropy: float | None = None, max_repeats: float | None
     return Mix(high, w, quotas)
 
 
-def mix(
+def _mixed(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tokens: Column | None = None, entropy: float | None = None, max_repeats: float | None = 2.0,
     budget: float | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = 0, max_sources: int = 100_000,
 ) -> DataFrame:
-    """``docs`` with ``mix_epochs``: how often each row is shown, and ``mix_tokens``, ``mix_block``, ``mix_key`` to order it by.
-
-    The order of one epoch e is that of (hash of block and e, hash of row and e); ``ordered`` spells it out.
-    """
+    """``row`` (the row of ``docs``), s (its source), and mix_epochs, mix_tokens, mix_block, mix_key, mix_passes (epochs of the source, the partial one as a fraction)."""
     n_tokens = tokens if tokens is not None else word_tokens(text_col)
     by_source = docs.select(F.col(source_col).cast("string").alias("s"), n_tokens.alias("n")).groupBy("s").agg(F.sum("n").alias("n"))
     found = by_source.limit(max_sources + 1).collect()
@@ -98,15 +100,15 @@ def mix(
         raise ValueError(f"more than {max_sources} sources")
     sizes = {r.s: int(r.n or 0) for r in found}
     plan = solve(sizes, entropy, max_repeats, budget)
-    rows = [(k, t, int(plan.quotas.get(k, 0) // t) if t else 1, int(plan.quotas.get(k, 0) % t) if t else 0, max(1, -(-t // block_tokens))) for k, t in sizes.items()]
-    # For each source: tokens, whole epochs, tokens of the partial epoch, blocks. One row a source, max_sources at most.
-    quota = F.broadcast(docs.sparkSession.createDataFrame(rows, "q_s string, q_tokens long, q_epochs long, q_rest long, q_blocks long"))
+    rows = [(k, int(plan.quotas.get(k, 0) // t) if t else 1, int(plan.quotas.get(k, 0) % t) if t else 0, max(1, -(-t // block_tokens)), max(plan.quotas.get(k, 0) / t, 1e-9) if t else 1.0) for k, t in sizes.items()]
+    # For each source: whole epochs, tokens of the partial epoch, blocks, all epochs. One row a source, max_sources at most.
+    quota = F.broadcast(docs.sparkSession.createDataFrame(rows, "q_s string, q_epochs long, q_rest long, q_blocks long, q_passes double"))
 
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(source_col).cast("string").alias("s"), n_tokens.alias("n"), F.xxhash64(F.lit(seed), F.col(id_col), text_of(text_col)).alias("h"))
     own = own.join(quota, F.col("s").eqNullSafe(F.col("q_s"))).withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), "h"), "q_blocks"))
     order = F.xxhash64(F.lit(seed + 2), "s", "block", "q_epochs")  # the order of the blocks in the partial epoch
 
-    light = own.where("q_rest > 0").select("s", "block", "h", "n", "q_rest", order.alias("o"))
+    light = own.where("q_rest > 0 and n > 0").select("s", "block", "h", "n", "q_rest", order.alias("o"))
     blocks = light.groupBy("s", "block", "o", "q_rest").agg(F.sum("n").alias("n"))
     before = F.sum("n").over(Window.partitionBy("s").orderBy("o", "block").rowsBetween(Window.unboundedPreceding, -1))
     blocks = cut(blocks.withColumn("before", F.coalesce(before, F.lit(0))).where("before < q_rest"))
@@ -121,16 +123,36 @@ def mix(
     at, edge_at = F.struct("o", "block"), F.struct("edge_o", "edge_b")
     more = F.when(F.col("q_rest") == 0, False).when(at < edge_at, True).when(at == edge_at, F.col("last_h").isNull() | (F.col("h") <= F.col("last_h"))).otherwise(False)
     more = F.coalesce(more, F.lit(False)) & (F.col("n") > 0)
-    return own.select("row.*", (F.col("q_epochs") + more.cast("long")).alias("mix_epochs"), F.col("n").alias("mix_tokens"), F.col("block").alias("mix_block"), F.col("h").alias("mix_key"))
+    return own.select("row", "s", (F.col("q_epochs") + more.cast("long")).alias("mix_epochs"), F.col("n").alias("mix_tokens"), F.col("block").alias("mix_block"), F.col("h").alias("mix_key"), F.col("q_passes").alias("mix_passes"))
 
 
-def ordered(mixed: DataFrame, source_col: str = "source", seed: int = 0) -> DataFrame:
-    """One row per showing: ``mixed`` exploded to epochs, with ``mix_epoch`` and ``mix_order``, by which each epoch of a source is sorted block after block."""
+def _shown(mixed: DataFrame, seed: int) -> DataFrame:
+    """``mixed`` exploded to one row per showing, with mix_epoch, mix_order and mix_place."""
     shown = mixed.where("mix_epochs > 0").withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mix_epochs") - 1)))
-    order = F.struct(F.xxhash64(F.lit(seed + 2), F.col(source_col).cast("string"), "mix_block", "mix_epoch").alias("of_block"), F.xxhash64(F.lit(seed + 3), "mix_key", "mix_epoch").alias("in_block"))
-    return shown.withColumn("mix_order", order)
+    of_block = F.xxhash64(F.lit(seed + 2), "s", "mix_block", "mix_epoch")
+    order = F.struct(of_block.alias("of_block"), F.xxhash64(F.lit(seed + 3), "mix_key", "mix_epoch").alias("in_block"))
+    place = (F.col("mix_epoch") + of_block / F.lit(2.0**64) + 0.5) / F.col("mix_passes")
+    return shown.withColumn("mix_order", order).withColumn("mix_place", place)
+
+
+def _named(found: DataFrame, docs: DataFrame) -> DataFrame:
+    return found.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in MIX_COLUMNS), *(c for c in MIX_COLUMNS if c in found.columns))
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with ``mix_epochs``: how often each row is shown, and mix_tokens, mix_block, mix_key, mix_passes.
+
+    Options: id_col, text_col, source_col, tokens, entropy, max_repeats, budget, block_tokens, seed, max_sources.
+    """
+    return _named(_mixed(docs, **options), docs)
+
+
+def ordered(docs: DataFrame, **options) -> DataFrame:
+    """One row per showing: as ``mix``, with ``mix_epoch``; ``mix_order``, by which an epoch of a source is sorted block after block; ``mix_place``, where its block stands in the whole."""
+    return _named(_shown(_mixed(docs, **options), options.get("seed", 0)), docs)
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The documents as the mix shows them: each as often as it has epochs, with the columns of ``docs`` only."""
-    return ordered(mix(docs, **options), options.get("source_col", "source"), options.get("seed", 0)).select(*(f"`{c}`" for c in docs.columns))
+    """The documents as the mix shows them, in its order: each as often as it has epochs, with the columns of ``docs`` only."""
+    shown = _shown(_mixed(docs, **options), options.get("seed", 0))
+    return shown.orderBy("mix_place", "s", "mix_block", "mix_order.in_block", "mix_key").select("row.*")

@@ -33,9 +33,9 @@ def op3_ngram_ratio_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per showing of a document; sort by source, epoch, of_block, in_block for the order of an epoch."""
-    shown = mixing.ordered(mixing.mix(_table(spark, sf_dir, "documents"), max_repeats=2.0))
-    return shown.select("doc_id", "source", "mix_epoch", "mix_tokens", "mix_block", "mix_order.of_block", "mix_order.in_block")
+    """One row per showing of a document; sort by place, source, block, in_block for the order of the whole."""
+    shown = mixing.ordered(_table(spark, sf_dir, "documents"), max_repeats=2.0)
+    return shown.select("doc_id", "source", "mix_epoch", "mix_tokens", "mix_block", "mix_place", "mix_order.of_block", "mix_order.in_block")
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
