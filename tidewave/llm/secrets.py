@@ -1,22 +1,26 @@
 """Secret scanning with an incremental blob ledger, in DataFrame functions only.
 
 A version is a path with a text. Each text is content-addressed (SHA-256), so any number of paths and historical versions
-share one blob. The ledger says which (blob, rule version) pairs have been scanned and what was found; only pairs it
-doesn't have are scanned, and findings are joined back to all paths. Spans are in code points, end exclusive.
+share one blob. The ledger has one row per blob and rule version: what that rule found there. A rule's version is a hash
+of all that defines it, so a rule that is added or changed is scanned for, and only it, in every blob. Only pairs that the
+ledger doesn't have are scanned, and findings are joined back to all paths. Spans are in code points, end exclusive.
 
 Positions come from splitting a text at a rule's matches: pieces and matches alternate, so running sums of their
 lengths are the spans. That is linear in the text; matches become rows, and a window over the matches of one blob and
 rule adds them up.
 
 Scale: texts are shuffled once, to keep one per blob (copies collapse on the map side first); nothing else carries
-text. A hot blob's many paths meet its one finding in a join that adaptive execution can split.
+text. A hot blob's many paths meet its one finding in a join that adaptive execution can split. Of a blob the ledger
+holds one row with the rules that were scanned and their spans, not a row per rule.
 
 Defined results: null text counts as empty and has no spans. Rows that repeat a path are versions of their own. A null
-path keeps its findings. A ledger of another rule version is not used. Other columns are ignored and may have any name.
+path keeps its findings. Ledger rows that repeat a blob, be they equal or of several runs, count together and once. Spans
+of rules that are not asked for are left in the ledger and out of the result. Other columns are ignored and may have any name.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -34,6 +38,11 @@ class Rule:
     group: int = 0
     least: int = 1
 
+    @property
+    def version(self) -> str:
+        """Changes whenever the rule does."""
+        return hashlib.sha256(repr((self.kind, self.pattern, self.group, self.least)).encode()).hexdigest()[:16]
+
 
 #: The base rules, in their order, then more of the same sort.
 RULES = (
@@ -46,8 +55,7 @@ RULES = (
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
 )
 BASE = ("assign", "access", "hex")
-RULE_VERSION = "1"
-LEDGER = "blob string, rules string, spans array<struct<start:long,rank:int,kind:string,end:long>>"
+LEDGER = "blob string, rules array<string>, spans array<struct<start:long,rule:string,end:long>>"
 
 
 def versions_of(rows: DataFrame, path_col: str, text_col: str) -> DataFrame:
@@ -62,59 +70,76 @@ def _may_match(rule: Rule) -> str:
 
 
 def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob, start, rank, kind, end) for each match in (blob, text) rows."""
+    """(blob, start, rule, end) for each match in (blob, text, todo) rows, of the rules whose versions are in the array ``todo``."""
     parts = []
-    for rank, rule in enumerate(rules):
+    for rule in rules:
         # Short hex runs are everywhere; that pattern takes maximal runs, so asking for the least length finds the same ones.
         pattern = _may_match(rule)
         whole = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
         judged = F.regexp_extract_all("text", F.lit(pattern), F.lit(rule.group)) if rule.group else whole
         pieces = F.split("text", pattern, -1)
         size = lambda a: F.transform(a, lambda x: F.length(x).cast("long"))
-        parts.append(F.struct(F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), F.lit(rule.least).cast("long").alias("least"), F.when(F.col("text").rlike(pattern), F.arrays_zip(size(pieces).alias("piece"), size(whole).alias("match"), size(judged).alias("judged"))).alias("m")))
-    found = blobs.select("blob", F.explode(F.array(*parts)).alias("r")).where("r.m is not null").select("blob", "r.rank", "r.kind", "r.least", F.posexplode("r.m").alias("k", "m"))
-    before = Window.partitionBy("blob", "rank").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+        wanted = F.array_contains("todo", rule.version) & F.col("text").rlike(pattern)
+        parts.append(F.struct(F.lit(rule.version).alias("rule"), F.lit(rule.least).cast("long").alias("least"), F.when(wanted, F.arrays_zip(size(pieces).alias("piece"), size(whole).alias("match"), size(judged).alias("judged"))).alias("m")))
+    found = blobs.select("blob", F.explode(F.array(*parts)).alias("r")).where("r.m is not null").select("blob", "r.rule", "r.least", F.posexplode("r.m").alias("k", "m"))
+    before = Window.partitionBy("blob", "rule").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("m.piece") + F.coalesce("m.match", F.lit(0))).over(before)
-    return found.withColumn("end", end).where("m.match is not null and m.judged >= least").select("blob", (F.col("end") - F.col("m.match")).alias("start"), "rank", "kind", "end")
+    return found.withColumn("end", end).where("m.match is not null and m.judged >= least").select("blob", (F.col("end") - F.col("m.match")).alias("start"), "rule", "end")
+
+
+def _versions(rules: tuple[Rule, ...]) -> Column:
+    return F.array(*(F.lit(r.version) for r in rules))
+
 
+def known(ledger: DataFrame) -> DataFrame:
+    """The ledger with one row per blob: all rules that were scanned there, and all their spans, each once."""
+    merged = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("rules"))).alias("rules"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("spans")))).alias("spans"))
+    return merged.where("blob is not null")
 
-def unseen(versions: DataFrame, ledger: DataFrame, rule_version: str = RULE_VERSION) -> DataFrame:
-    """One (blob, text) for each blob that the ledger hasn't under this rule version."""
+
+def unseen(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """One (blob, text, todo) for each blob that some of the rules haven't been scanned for; ``todo`` has their versions."""
     one = versions.groupBy("blob").agg(F.first("text").alias("text"))
-    return one.join(ledger.where(F.col("rules") == rule_version).select("blob"), "blob", "left_anti")
+    seen = known(ledger).select("blob", F.col("rules").alias("seen"))
+    todo = F.array_except(_versions(rules), F.coalesce("seen", F.array().cast("array<string>")))
+    return one.join(seen, "blob", "left").withColumn("todo", todo).where(F.size("todo") > 0).select("blob", "text", "todo")
 
 
 def empty_ledger(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], LEDGER)
 
 
-def scan_new(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> DataFrame:
-    """The ledger's new rows: every unseen blob, with its spans in order (empty if it has none)."""
-    new = unseen(versions, ledger, rule_version)
-    spans = scan(new, rules).groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "kind", "end"))).alias("spans"))
-    known = versions.select("blob").distinct().join(ledger.where(F.col("rules") == rule_version).select("blob"), "blob", "left_anti")
-    none = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")
-    return known.join(spans, "blob", "left").select("blob", F.lit(rule_version).alias("rules"), F.coalesce("spans", none).alias("spans"))
+def scan_new(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The ledger's new rows: each blob with the rules scanned for now and their spans in order (empty if there are none)."""
+    spans = scan(unseen(versions, ledger, rules), rules).groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "rule", "end"))).alias("spans"))
+    seen = known(ledger).select("blob", F.col("rules").alias("seen"))
+    todo = F.array_except(_versions(rules), F.coalesce("seen", F.array().cast("array<string>")))
+    blobs = versions.select("blob").distinct().join(seen, "blob", "left").select("blob", todo.alias("rules")).where(F.size("rules") > 0)
+    none = F.array().cast("array<struct<start:bigint,rule:string,end:bigint>>")
+    return blobs.join(spans, "blob", "left").select("blob", "rules", F.coalesce("spans", none).alias("spans"))
 
 
-def findings(rows: DataFrame, ledger: DataFrame | None = None, path_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
-    """(path, blob, spans) for every row, and the ledger with what was scanned now.
+def findings(rows: DataFrame, ledger: DataFrame | None = None, path_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
+    """(path, blob, spans) for every row, spans (start, rank, kind, end) of ``rules`` in order; and the ledger's new rows.
 
-    Append the second's new rows to a stored ledger (``ledger_append``) and pass it again with the next versions.
+    Append the second to a stored ledger (``ledger_append``) and pass that again with the next versions.
     """
     spark = rows.sparkSession
-    seen = ledger if ledger is not None else empty_ledger(spark)
+    if len({r.version for r in rules}) < len(rules):
+        raise ValueError("a rule is given twice")
     versions = versions_of(rows, path_col, text_col)
-    new = cut(scan_new(versions, seen, rules, rule_version))
-    every = seen.where(F.col("rules") == rule_version).unionByName(new)
-    return skew_join(versions.select("path", "blob"), every.select("blob", "spans"), ["blob"]), seen.unionByName(new)
-
-
-def ledger_append(old: DataFrame | None, grown: DataFrame, folder: str) -> None:
-    """Adds to a ledger stored as Parquet the pairs of ``grown`` that it hasn't yet."""
-    if old is not None:
-        grown = grown.join(old.select("blob", "rules"), ["blob", "rules"], "left_anti")
-    grown.write.mode("append").parquet(folder)
+    new = cut(scan_new(versions, ledger if ledger is not None else empty_ledger(spark), rules))
+    every = new if ledger is None else known(ledger.select("blob", "rules", "spans").unionByName(new))
+    rank = F.create_map(*(x for i, r in enumerate(rules) for x in (F.lit(r.version), F.lit(i))))
+    kind = F.create_map(*(x for r in rules for x in (F.lit(r.version), F.lit(r.kind))))
+    asked = F.filter("spans", lambda s: F.array_contains(_versions(rules), s["rule"]))
+    named = F.array_sort(F.transform(asked, lambda s: F.struct(s["start"].alias("start"), rank[s["rule"]].alias("rank"), kind[s["rule"]].alias("kind"), s["end"].alias("end"))))
+    return skew_join(versions.select("path", "blob"), every.select("blob", named.alias("spans")), ["blob"]), new
+
+
+def ledger_append(new: DataFrame, folder: str) -> None:
+    """Adds the new rows of a run to a ledger stored as Parquet; a run that is repeated adds rows that count once."""
+    new.write.mode("append").parquet(folder)
 
 
 def _joined(spans: Column) -> Column:
