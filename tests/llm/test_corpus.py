@@ -538,8 +538,7 @@ def test_warc_round_trip(spark, tmp_path):
     for name in ("a", "b"):
         folder = str(tmp_path / name)
         manifest = warc.write_warc(df, folder, shard_bytes=150_000, roll_bytes=500).collect()
-        assert not list((tmp_path / name).glob("*.tmp"))
-        assert sorted(p.name for p in (tmp_path / name).glob("*.warc.gz")) == sorted(m.name for m in manifest)
+        assert sorted(p.name for p in (tmp_path / name).iterdir()) == sorted([*(m.name for m in manifest), "manifest"])
         assert sum(m.records for m in manifest) == len(pages) and len({m.part for m in manifest}) > 1
         sums.append({m.name: m.sha256 for m in manifest})
         for m in manifest:
@@ -554,10 +553,78 @@ def test_warc_round_trip(spark, tmp_path):
         want[i, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if revisit else "response", first if revisit else None] += 1
     assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == want
     assert all(r.payload is None if r.record_type == "revisit" else hashlib.sha256(r.payload).hexdigest() == r.payload_digest for r in got)
+    ids = [head["WARC-Record-ID"] for m in manifest for head, _ in warc.records(open(f"{folder}/{m.name}", "rb"))]
+    assert len(ids) == len(set(ids)) == len(pages) + len(manifest)
+    heads = [head for m in manifest for head, _ in warc.records(open(f"{folder}/{m.name}", "rb")) if head["WARC-Type"] != "warcinfo"]
+    named = {h["WARC-Record-ID"]: h for h in heads}
+    assert all(named[h["WARC-Refers-To"]]["X-Page-Id"] == h["X-Refers-To-Page"] and named[h["WARC-Refers-To"]]["WARC-Payload-Digest"] == h["WARC-Payload-Digest"] for h in heads if h["WARC-Type"] == "revisit")
     assert warc.write_warc(df.limit(0), str(tmp_path / "none")).count() == 0
     assert warc.read_warc(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_warc_shards_are_weighed_by_bytes(spark, tmp_path):
+    """Few large pages, many small ones, most of them under the null id: no shard is far larger than the others."""
+    pages = [(i, "u", "x" * 20_000 + str(i)) for i in range(100)] + [(None, "n", "y" * 2_000 + str(i)) for i in range(1000)] + [(5000 + i, "s", str(i)) for i in range(1000)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
+    held = Counter()
+    for m in warc.write_warc(df, str(tmp_path / "w"), shard_bytes=400_000).collect():
+        with open(tmp_path / "w" / m.name, "rb") as f:
+            held[m.shard] += sum(int(h["Content-Length"]) + warc.HEAD_BYTES for h, _ in warc.records(f) if h["WARC-Type"] != "warcinfo")
+    assert 10 <= len(held) <= 15 and max(held.values()) < 2.2 * 400_000
+    assert len({m.shard for m in warc.write_warc(df, str(tmp_path / "few"), shard_bytes=400_000, max_shards=3).collect()}) == 3
+    got = warc.read_warc(spark, str(tmp_path / "few"))
+    assert Counter((r.page_id, r.payload.decode()) for r in got.collect()) == Counter((i, h) for i, _, h in pages)
+
+
+def test_warc_repeated_rows_and_a_used_folder(spark, tmp_path):
+    page = "<p>" + "z" * 200
+    df = spark.createDataFrame([(None, "u", page), (None, "u", page), (4, "u", page), (4, "u", page), (4, "v", page), (4, "u", "w" * 300), (9, "u", page)], "page_id long, url string, html string")
+    folder = tmp_path / "w"
+    manifest = warc.write_warc(df, str(folder), roll_bytes=1).collect()
+    assert len(manifest) == 7
+    ids = [h["WARC-Record-ID"] for m in manifest for h, _ in warc.records(open(folder / m.name, "rb")) if h["WARC-Type"] != "warcinfo"]
+    assert len(ids) == len(set(ids)) == 7
+    before = {p.name: p.read_bytes() for p in folder.glob("*.gz")}
+    with pytest.raises(FileExistsError):
+        warc.write_warc(df.limit(1), str(folder))
+    assert {p.name: p.read_bytes() for p in folder.glob("*.gz")} == before
+    assert Counter((r.page_id, r.record_type, r.refers_to) for r in warc.read_warc(spark, str(folder)).collect())[9, "revisit", 4] == 1
+
+
+def test_warc_commit_cut_off(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(i, "u", "q" * 500 + str(i)) for i in range(20)], "page_id long, url string, html string").repartition(3)
+    whole = {p.name: p.read_bytes() for p in [warc.write_warc(df, str(tmp_path / "whole"), roll_bytes=2000) and None, *(tmp_path / "whole").glob("*.gz")] if p}
+    folder = tmp_path / "w"
+
+    def lost(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:  # the driver goes after the journal
+        m.setattr(warc, "_publish", lost)
+        with pytest.raises(KeyboardInterrupt):
+            warc.write_warc(df, str(folder), roll_bytes=2000)
+    assert not (folder / "manifest").exists() and not list(folder.glob("*.gz"))
+    (folder / "tmp" / "part-000000-00000.warc.gz.99-stale").write_bytes(b"of an attempt that didn't count")
+    journal = spark.read.parquet(str(folder / "journal")).collect()
+    for r in journal[:2]:  # and was half through with renaming
+        (folder / r.temp).rename(folder / r.name)
+    with pytest.raises(FileExistsError):
+        warc.write_warc(df, str(folder))
+    assert warc.resume(spark, str(folder)).count() == len(journal) == warc.resume(spark, str(folder)).count()
+    assert {p.name: p.read_bytes() for p in folder.glob("*.gz")} == whole
+    assert sorted(p.name for p in folder.iterdir()) == sorted([*whole, "manifest"])
+    other = tmp_path / "x"  # the driver goes while the archives are written
+    (other / "tmp").mkdir(parents=True)
+    (other / "tmp" / "part-000000-00000.warc.gz.1-ab").write_bytes(b"?")
+    with pytest.raises(FileExistsError):
+        warc.write_warc(df, str(other))
+    assert warc.resume(spark, str(other)) is None and not list(other.iterdir())
+    assert warc.write_warc(df, str(other), roll_bytes=2000).count() == len(journal)
+    (folder / journal[0].name).unlink()
+    with pytest.raises(Exception, match="FileNotFound|No such file|Failed to open"):
+        warc.read_warc(spark, str(folder)).count()
+
+
 def test_quality_model(spark, none):
     rng = random.Random(4)
     rows = []

@@ -1,22 +1,28 @@
 """Deterministic sharded WARC writer and its reader.
 
-Records are range-sorted by id into shards, each shard is written by one task as gzip-per-record WARC files that roll
-over at a compressed size, with headers and digests made anew, and the set is committed through temporary names and a
-manifest: a task writes ``<name>.<attempt>.tmp`` files, the rows it returns (one per file) are the manifest, and only
-when the manifest of all tasks is on disk are the files of the attempts that it names renamed. A lost executor or a
-speculative attempt leaves a temporary file that no manifest names and the commit removes. The same input gives the
-same bytes: the range edges come from the ids whose hashes are lowest, dates and record ids are functions of the row.
+Records are range-sorted by id and payload digest into shards, each shard is written by one task as gzip-per-record WARC
+files that roll over at a compressed size, with headers and digests made anew. The commit has three steps, each of which
+can be repeated: tasks write ``tmp/<name>.<attempt>``, and the rows they return (one per file) are the journal; only when
+the journal is complete are the files it names renamed; and only the job that has renamed them all publishes the
+manifest. A lost executor or a speculative attempt leaves a temporary file that no journal names. After a lost driver
+``resume`` goes on from the journal, or clears away what had none. A folder that is in use is refused.
+
+The same input gives the same bytes: the edges of the shards come from records chosen by their hashes with chances in
+proportion to their bytes, dates are fixed, and a record's id is made of page id, payload digest and its number among the
+records that have both in common.
 
 Payloads of at least ``min_revisit`` bytes that were seen with a smaller id are written as ``revisit`` records without
 a block, which name the response; their length is in the header. Reading back checks every digest.
 
 Scale: the duplicates are found by a map-side combined aggregate over digests and joined to ids only, so that a hot
-digest is split; payloads are shuffled once, into shards of about ``shard_bytes``. A shard is streamed: no task holds more than
-an Arrow batch (64 MB) and one record. Files go to any folder that pyarrow's file systems reach (file, hdfs, s3, ...).
+digest is split; payloads are shuffled once, into shards of about ``shard_bytes``, of which there are at most
+``MAX_SHARDS``: beyond that shards grow, and files roll over as before. Edges are weighed by bytes and may fall between
+payloads of one id or of the null id. A shard is streamed: no task holds more than an Arrow batch (64 MB) and one record.
+The driver sees ``EDGE_SAMPLE`` keys a shard. Files go to any folder that pyarrow's file systems reach (file, hdfs, ...).
 
 Defined results: null html counts as empty; null url is written as ``about:blank``; null ids sort first and are written
-without an id; rows that repeat an id are records of their own. Line breaks in urls are percent-escaped. An empty table
-gives an empty manifest. Extra columns are ignored.
+without an id; rows that repeat an id, or all of a row, are records of their own. Line breaks in urls are percent-escaped.
+An empty table gives an empty manifest. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,10 +31,10 @@ import gzip
 import hashlib
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from io import BytesIO
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
@@ -39,6 +45,8 @@ from pyspark.sql import functions as F
 from tidewave.llm.common import qualified, skew_join, text_of
 
 SHARD_BYTES, ROLL_BYTES, MIN_REVISIT = 32 << 20, 32 << 20, 100
+MAX_SHARDS, EDGE_SAMPLE = 20_000, 20
+HEAD_BYTES = 600  # about what a record's headers add
 DATE = "2000-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
@@ -47,22 +55,22 @@ def _open(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One WARC record, uncompressed."""
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, number: int = 0) -> bytes:
+    """One WARC record, uncompressed; ``number`` counts records of equal page id and digest."""
     uri = (url or "about:blank").replace("\r", "%0D").replace("\n", "%0A")
-    name = lambda i: f"<urn:uuid:{uuid.uuid5(_SPACE, f'{i}')}>"
+    name = lambda i, k: f"<urn:uuid:{uuid.uuid5(_SPACE, f'{i} {digest} {k}')}>"
     if refers_to is None:
         block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
         kind, more = "response", []
     else:
         block, kind = b"", "revisit"
-        more = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", name(refers_to)), ("X-Refers-To-Page", str(refers_to))]
-    head = [("WARC-Type", kind), ("WARC-Record-ID", name(page_id)), ("WARC-Date", DATE), ("WARC-Target-URI", uri), *([] if page_id is None else [("X-Page-Id", str(page_id))]), *more]
+        more = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", name(refers_to, 0)), ("X-Refers-To-Page", str(refers_to))]
+    head = [("WARC-Type", kind), ("WARC-Record-ID", name(page_id, number)), ("WARC-Date", DATE), ("WARC-Target-URI", uri), *([] if page_id is None else [("X-Page-Id", str(page_id))]), *more]
     head += [("WARC-Payload-Digest", f"sha256:{digest}"), ("WARC-Block-Digest", f"sha256:{hashlib.sha256(block).hexdigest()}"), ("X-Payload-Length", str(len(payload))), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def _info(first: str, n_records: int) -> bytes:
+def _info(first: str) -> bytes:
     block = f"software: tidewave\r\nformat: WARC File Format 1.1\r\nfirst-record: {first}\r\n".encode()
     head = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid5(_SPACE, 'info' + first)}>\r\nWARC-Date: {DATE}\r\nWARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(block)}\r\n\r\n"
     return head.encode() + block + b"\r\n\r\n"
@@ -88,6 +96,7 @@ def _shards(folder: str, roll_bytes: int):
         attempt = f"{context.taskAttemptId() if context else 0}-{uuid.uuid4().hex[:8]}"
         now: dict = {}
         mark: tuple = (None, None, None, None)
+        last, number = None, 0
 
         def close() -> list[pa.RecordBatch]:
             if "out" not in now:
@@ -103,15 +112,17 @@ def _shards(folder: str, roll_bytes: int):
                 if r is not None:  # a mark for the rows that follow
                     mark = (s, p, digest[i].as_py(), r)
                     continue
-                r = mark[3] if mark[:3] == (s, p, digest[i].as_py()) else None
-                data = _member(record(p, url[i].as_py(), html[i].as_py().encode(), digest[i].as_py(), r))
+                key = (s, p, digest[i].as_py())
+                r = mark[3] if mark[:3] == key else None
+                last, number = key, number + 1 if key == last else 0
+                data = _member(record(p, url[i].as_py(), html[i].as_py().encode(), key[2], r, number))
                 if now.get("shard") != s or now["bytes"] >= roll_bytes:
                     yield from close()
                     part = now["part"] + 1 if now.get("shard") == s else 0
                     name = f"part-{s:06d}-{part:05d}.warc.gz"
-                    now = {"shard": s, "part": part, "name": name, "temp": f"{name}.{attempt}.tmp", "bytes": 0, "records": 0, "first_id": p, "last_id": p, "sha256": hashlib.sha256()}
+                    now = {"shard": s, "part": part, "name": name, "temp": f"tmp/{name}.{attempt}", "bytes": 0, "records": 0, "first_id": p, "last_id": p, "sha256": hashlib.sha256()}
                     now["out"] = store.open_output_stream(f"{top}/{now['temp']}", compression=None)
-                    data = _member(_info(name, 0)) + data
+                    data = _member(_info(name)) + data
                 now["out"].write(data)
                 now["sha256"].update(data)
                 now["bytes"] += len(data)
@@ -146,34 +157,68 @@ def revisits(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
     return skew_join(light, first, ["digest"]).where("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
-def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, min_revisit: int = MIN_REVISIT, edge_sample: int = 10_000) -> DataFrame:
+def _edges(rows: DataFrame, n_shards: int, total: int) -> list[tuple[int, int, str]]:
+    """Up to n_shards - 1 keys (0 if the id is null else 1, id, digest) that cut ``rows`` (page_id, html, url, size) into shards of about as many bytes."""
+    chance = F.col("size") * (EDGE_SAMPLE * n_shards / total)
+    chosen = rows.where(F.xxhash64("page_id", "url", "size") / F.lit(2.0**64) + 0.5 < chance)
+    keys = chosen.select("page_id", F.sha2("html", 256).alias("digest")).distinct().collect()  # EDGE_SAMPLE * n_shards of them are to be expected
+    keys = sorted((0, 0, r.digest) if r.page_id is None else (1, r.page_id, r.digest) for r in keys)
+    return sorted({keys[i * len(keys) // n_shards] for i in range(1, n_shards)}) if keys else []
+
+
+def _exists(store: fs.FileSystem, path: str) -> bool:
+    return store.get_file_info(path).type != fs.FileType.NotFound
+
+
+def _publish(spark: SparkSession, folder: str) -> DataFrame:
+    """From a complete journal on: rename what it names, publish the manifest, clear away the rest."""
+    store, top = _open(folder)
+    if not _exists(store, f"{top}/manifest/_SUCCESS"):
+        journal = spark.read.schema(_MANIFEST).parquet(f"{folder}/journal")
+        journal.mapInArrow(_commit(folder), journal.schema).write.mode("overwrite").parquet(f"{folder}/manifest")
+    for left in ("tmp", "journal"):
+        if _exists(store, f"{top}/{left}"):
+            store.delete_dir(f"{top}/{left}")
+    return spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
+
+
+def resume(spark: SparkSession, folder: str) -> DataFrame | None:
+    """Finishes a commit that was cut off and gives the manifest; if the writing itself was, clears the folder and gives None."""
+    folder = qualified(spark, folder)
+    store, top = _open(folder)
+    if _exists(store, f"{top}/manifest/_SUCCESS") or _exists(store, f"{top}/journal/_SUCCESS"):
+        return _publish(spark, folder)
+    for left in ("tmp", "journal", "manifest"):
+        if _exists(store, f"{top}/{left}"):
+            store.delete_dir(f"{top}/{left}")
+    return None
+
+
+def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, min_revisit: int = MIN_REVISIT, max_shards: int = MAX_SHARDS) -> DataFrame:
     """Writes the archives and gives the manifest, one row per file, which is also in ``folder``/manifest as Parquet."""
     spark = pages.sparkSession
     folder = qualified(spark, folder)
     store, top = _open(folder)
-    store.create_dir(top, recursive=True)
-    light = pages.select(F.col(id_col).cast("long").alias("i"), F.octet_length(text_of(html_col)).alias("b"))
-    total = light.agg(F.sum("b")).first()[0] or 0
-    n_shards = max(1, -(-total // shard_bytes))
-    lowest = light.select("i").where("i is not null").distinct().orderBy(F.xxhash64("i"), "i").limit(edge_sample).toPandas()["i"].sort_values().to_numpy()
-    edges = np.unique(lowest[(np.arange(1, n_shards) * lowest.size) // n_shards]) if lowest.size and n_shards > 1 else np.empty(0, np.int64)
-
-    @F.pandas_udf("long")
-    def shard_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, ids.fillna(np.iinfo(np.int64).min).astype(np.int64), "right"))
-
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), text_of(html_col).alias("html"), F.sha2(text_of(html_col), 256).alias("digest"), F.lit(None).cast("long").alias("refers_to"))
+    if any(_exists(store, f"{top}/{x}") for x in ("tmp", "journal", "manifest")):
+        raise FileExistsError(f"{folder} holds archives, or the rest of a run that was cut off: see resume")
+    store.create_dir(f"{top}/tmp", recursive=True)
+    given = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), text_of(html_col).alias("html"))
+    sized = given.withColumn("size", F.octet_length("html") + HEAD_BYTES)
+    total = sized.agg(F.sum("size")).first()[0] or 0
+    n_shards = int(min(max_shards, max(1, -(-total // shard_bytes))))
+    edges = _edges(sized, n_shards, total) if n_shards > 1 else []
+
+    @F.pandas_udf("int")
+    def shard_of(ids: pd.Series, digests: pd.Series) -> pd.Series:  # ids as text: pandas has no nulls among longs
+        return pd.Series([bisect_right(edges, (0, 0, d) if i is None else (1, int(i), d)) for i, d in zip(ids, digests, strict=True)])
+
+    rows = given.withColumn("digest", F.sha2("html", 256)).withColumn("refers_to", F.lit(None).cast("long"))
     # A revisit's mark travels as a row of its own that sorts just before the page, so that payloads are shuffled once.
     marks = revisits(pages, id_col, html_col, min_revisit).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "refers_to")
-    rows = rows.unionByName(marks).withColumn("shard", shard_of("page_id"))
-    placed = rows.repartition(int(4 * n_shards), "shard").sortWithinPartitions("shard", "page_id", "digest", F.col("html").isNotNull(), "url").select("shard", "page_id", "url", "html", "digest", "refers_to")
-    placed.mapInArrow(_shards(folder, roll_bytes), _MANIFEST).write.mode("overwrite").parquet(f"{folder}/manifest")
-    manifest = spark.read.parquet(f"{folder}/manifest")
-    manifest.mapInArrow(_commit(folder), manifest.schema).count()
-    for left in store.get_file_info(fs.FileSelector(top)):  # what attempts that didn't count have left
-        if left.path.endswith(".tmp"):
-            store.delete_file(left.path)
-    return manifest
+    rows = rows.unionByName(marks).withColumn("shard", shard_of(F.col("page_id").cast("string"), F.col("digest")) if edges else F.lit(0))
+    placed = rows.repartitionById(n_shards, F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", F.col("html").isNotNull(), "url").select("shard", "page_id", "url", "html", "digest", "refers_to")
+    placed.mapInArrow(_shards(folder, roll_bytes), _MANIFEST).write.parquet(f"{folder}/journal")
+    return _publish(spark, folder)
 
 
 def records(data) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -230,6 +275,6 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    files = spark.read.parquet(f"{folder}/manifest").select("name")
-    n = max(1, files.count())
+    files = spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest").select("name")
+    n = min(MAX_SHARDS, max(1, files.count()))
     return files.repartition(n, "name").mapInArrow(run, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
