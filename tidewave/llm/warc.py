@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from tidewave.llm.common import qualified, skew_join, text_of
 
 SHARD_BYTES, ROLL_BYTES, MIN_REVISIT = 32 << 20, 32 << 20, 100
-MAX_SHARDS, EDGE_SAMPLE = 20_000, 20
+MAX_SHARDS, EDGE_SAMPLE = 20_000, 50
 HEAD_BYTES = 600  # about what a record's headers add
 DATE = "2000-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -158,10 +158,10 @@ def revisits(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
 
 
 def _edges(rows: DataFrame, n_shards: int, total: int) -> list[tuple[int, int, str]]:
-    """Up to n_shards - 1 keys (0 if the id is null else 1, id, digest) that cut ``rows`` (page_id, html, url, size) into shards of about as many bytes."""
+    """Up to n_shards - 1 keys (0 if the id is null else 1, id, start of the digest) that cut ``rows`` (page_id, html, url, size) into shards of about as many bytes."""
     chance = F.col("size") * (EDGE_SAMPLE * n_shards / total)
     chosen = rows.where(F.xxhash64("page_id", "url", "size") / F.lit(2.0**64) + 0.5 < chance)
-    keys = chosen.select("page_id", F.sha2("html", 256).alias("digest")).distinct().collect()  # EDGE_SAMPLE * n_shards of them are to be expected
+    keys = chosen.select("page_id", F.substring(F.sha2("html", 256), 1, 16).alias("digest")).distinct().collect()  # EDGE_SAMPLE * n_shards of them are to be expected
     keys = sorted((0, 0, r.digest) if r.page_id is None else (1, r.page_id, r.digest) for r in keys)
     return sorted({keys[i * len(keys) // n_shards] for i in range(1, n_shards)}) if keys else []
 
