@@ -120,7 +120,7 @@ def test_moving_windows(wave):
     want = np.median(np.lib.stride_tricks.sliding_window_view(np.pad(x, 2), 5), axis=1)
     assert np.allclose(column(static.moving_median(wave, "k", "t", "v", 4)), want)
     for op in (static.moving_average, static.moving_median):
-        with pytest.raises(Exception, match="exceeds signal length"):
+        with pytest.raises(Exception, match="more than the signal has"):
             op(wave, "k", "t", "v", 201).collect()
 
 
@@ -129,10 +129,46 @@ def test_null_and_tied_order(spark):
     with pytest.raises(Exception, match="null in v"):
         signal.indexed(df, "k", "t", {"v": "v"}).collect()
     with pytest.raises(Exception, match="tied order"):
-        signal.indexed(df.fillna(0.0), "k", "t", {"v": "v"}, unique=True).collect()
+        signal.indexed(df.fillna(0.0), "k", "t", {"v": "v"}).collect()
+
+
+OPERATORS = {
+    "moving_average": lambda d: static.moving_average(d, "k", "t", "a", 3),
+    "moving_median": lambda d: static.moving_median(d, "k", "t", "a", 3),
+    "fir": lambda d: static.fir_filter(d, "k", "t", "a", 5, 40, fs=250),
+    "fir_causal": lambda d: static.fir_filter(d, "k", "t", "a", 5, 40, fs=250, zero_phase=False),
+    "fir_long": lambda d: static.fir_filter(d, "k", "t", "a", 101, 40, fs=250, zero_phase=False),
+    "fir_window": lambda d: static.fir_zero_phase_window(d, "k", "t", "a", [0.5, 0.5]),
+    "iir": lambda d: static.iir_filter(d, "k", "t", "a", 2, 40, fs=250),
+    "iir_causal": lambda d: static.iir_filter(d, "k", "t", "a", 2, 40, fs=250, zero_phase=False),
+    "wavelet_denoising": lambda d: static.wavelet_denoising(d, "k", "t", "a"),
+    "wavelet_baseline": lambda d: static.wavelet_baseline_removal(d, "k", "t", "a", "db2"),
+    "dwt_analysis": lambda d: static.dwt_analysis(d, "k", "t", "a"),
+    "emd": lambda d: static.emd_denoising(d, "k", "t", "a"),
+    "miemd": lambda d: static.miemd(d, "k", "t", "a"),
+    "lms": lambda d: adaptive.modified_lms_anc(d, "k", "t", "b", "b", ("a", "b", "b")),
+    "rls": lambda d: adaptive.rls_anc(d, "k", "t", "b", ("a", "b", "b")),
+    "blms": lambda d: adaptive.blms_filter(d, "k", "t", "b", ("b", "b", "a"), filter_order=4),
+    "gall": lambda d: adaptive.gall_filter(d, "k", "t", "a", "b", M=2),
+    "gall_frozen": lambda d: adaptive.gall_filter(d, "k", "t", "a", "b", k0=[0, 0.1], h0=[0, 1, 1]),
+    "gall_coefficients": lambda d: adaptive.gall_coefficients(d.withColumnRenamed("k", "s"), "s", "t", "b", "a", 2),
+    "hybrid": lambda d: adaptive.hybrid_gall_kalman(d, "k", "t", "b", ("b", "a", "b")),
+    "hybrid_raw": lambda d: adaptive.hybrid_gall_kalman(d, "k", "t", "a", ("b", "b", "b")),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_no_operator_takes_nulls_or_tied_orders(spark, name):
+    rows = [(1, i, float(i % 7), float(i % 5)) for i in range(40)]
+    make = lambda r: spark.createDataFrame(r, "k long, t int, a double, b double")
+    assert OPERATORS[name](make(rows)).count() > 0
+    with pytest.raises(Exception, match="null in"):
+        OPERATORS[name](make([*rows, (2, 0, 1.0, 1.0), (1, 40, None, 1.0)])).collect()
+    with pytest.raises(Exception, match="tied order"):
+        OPERATORS[name](make([*rows, (1, 39, 3.0, 2.0)])).collect()
 
 
-def test_adaptive_filters():
+def test_adaptive_filters(wave):
     n = 200
     ref = rng.standard_normal((3, n))
     noise = 0.5 * ref[0] - 0.3 * np.concatenate([[0], ref[1][:-1]])
@@ -150,11 +186,76 @@ def test_adaptive_filters():
     assert np.allclose(e2 + y2, raw)
     c, total, w = kernels.hybrid(raw, ref)
     assert np.allclose(c + total, raw) and w.shape == (n, 3)
+    with pytest.raises(ValueError, match="rename"):
+        adaptive.gall_coefficients(wave.withColumn("w", F.col("v")), "k", "t", "v", "w", 2)
     for call in (lambda: kernels.lms(raw, raw, ref[:, :5]), lambda: kernels.rls(raw, ref, lam=0), lambda: kernels.rls(raw, ref, lam=1.1), lambda: kernels.blms(raw, ref, 0), lambda: kernels.lms(raw[:3], raw, ref[:, :3], order=5), lambda: kernels.hybrid(raw, ref, lam=0), lambda: kernels.lattice(raw, raw), lambda: kernels.lattice(raw, raw, 2, alpha=1), lambda: kernels.lattice(raw, raw[:4], 2), lambda: kernels.lattice(raw, raw, k0=[0], h0=[0])):
         with pytest.raises(ValueError):  # noqa: PT011
             call()
 
 
+def lattice_by_hand(x, d, order, beta, alpha, eps):
+    """The recursions for one signal as difference equations over whole histories: every quantity is kept for every n."""
+    size = len(x)
+    f, b, c = np.zeros((order + 1, size)), np.zeros((order + 1, size)), np.zeros((order + 1, size))
+    power = [[eps] * (order + 1)]
+    cross, joint, fits = np.zeros(order + 1), np.zeros(order + 1), np.zeros(size)
+    before = lambda a, m, n: a[m, n - 1] if n else 0.0
+    for n in range(size):
+        q = list(power[-1])
+        f[0, n] = b[0, n] = alpha * before(b, 0, n) + np.sqrt(1 - alpha**2) * x[n]
+        q[0] = beta * q[0] + f[0, n] ** 2
+        for m in range(1, order + 1):
+            late = b[0, n] if m == 1 else before(b, m - 1, n)
+            c[m - 1, n] = late + alpha * (before(c, m - 1, n) - b[m - 1, n])
+            q[m - 1] = beta * q[m - 1] + 0.5 * (f[m - 1, n] ** 2 + c[m - 1, n] ** 2)
+            cross[m] = beta * cross[m] + f[m - 1, n] * c[m - 1, n]
+            k = cross[m] / q[m - 1]
+            f[m, n], b[m, n] = f[m - 1, n] - k * c[m - 1, n], c[m - 1, n] - k * f[m - 1, n]
+        q[order] = beta * q[order] + 0.5 * f[order, n] ** 2
+        e = d[n]
+        for m in range(order + 1):
+            joint[m] = beta * joint[m] + e * b[m, n]
+            fits[n] += joint[m] / q[m] * b[m, n]
+            e -= joint[m] / q[m] * b[m, n]
+        power.append(q)
+    return fits
+
+
+@pytest.mark.parametrize(("order", "beta", "alpha"), [(0, 1.0, 0.0), (1, 1.0, 0.5), (4, 0.98, 0.3), (6, 1.0, 0.0)])
+def test_lattice(order, beta, alpha):
+    x, d = rng.standard_normal((2, 120))
+    err, y, _, _ = kernels.lattice(x, d, order, beta, alpha)
+    assert np.allclose(y, lattice_by_hand(x, d, order, beta, alpha, 1e-3)) and np.allclose(err, d - y)
+
+
+def test_signals_of_different_lengths_together():
+    sizes = (90, 7, 33, 90, 60)
+    raw, low = ([rng.standard_normal(n) for n in sizes] for _ in range(2))
+    ref = [rng.standard_normal((3, n)) for n in sizes]
+    one = [r[0] for r in ref]
+    for many, single in (
+        (kernels.lms_all(raw, low, ref, 0.01), [kernels.lms(*a, 0.01) for a in zip(raw, low, ref, strict=True)]),
+        (kernels.rls_all(raw, ref, 3), [kernels.rls(*a, 3) for a in zip(raw, ref, strict=True)]),
+        (kernels.blms_all(raw, ref, 4, 0.01, 6), [kernels.blms(*a, 4, 0.01, 6) for a in zip(raw, ref, strict=True)]),
+        *zip(zip(*kernels.lattice_all(raw, one, 3, 0.99, 0.2), strict=True), zip(*(kernels.lattice(*a, 3, 0.99, 0.2) for a in zip(raw, one, strict=True)), strict=True), strict=True),
+        *zip(zip(*kernels.hybrid_all(raw, ref), strict=True), zip(*(kernels.hybrid(*a) for a in zip(raw, ref, strict=True)), strict=True), strict=True),
+    ):
+        assert all(np.allclose(a, b, atol=1e-12) and a.shape == b.shape for a, b in zip(many, single, strict=True))
+    u = kernels.lagged(ref[0], 3)
+    assert u[5].tolist() == [ref[0][c, 7 - i] for c in range(3) for i in range(3)]
+
+
+def test_low_passed_signal_drives_the_weights():
+    raw, low, ref = rng.standard_normal(50), rng.standard_normal(50), rng.standard_normal((2, 50))
+    w, want = np.zeros(6), raw.copy()
+    for n in range(2, 50):
+        u = np.array([ref[c, n - i] for c in range(2) for i in range(3)])
+        want[n] = raw[n] - w @ u
+        w = w + 2 * 0.02 * (low[n] - w @ u) * u
+    assert np.allclose(kernels.lms(raw, low, ref, 0.02, 3), want)
+    assert not np.allclose(kernels.lms(low, raw, ref, 0.02, 3), want)
+
+
 def test_adaptive_operators(spark):
     df = spark.createDataFrame(pd.DataFrame({"k": 1, "t": range(60), **{c: rng.standard_normal(60) for c in ("raw", "x", "y", "z")}}))
     p = df.toPandas()
@@ -192,7 +293,7 @@ def test_cycle_stack(spark):
     assert [(r.start, r.end) for r in b] == cycles.bounds_of(x.size, peaks)
     again = cycles.postprocess(cycles.preprocess(s, p, "k"), "k").orderBy("n").toPandas()
     assert np.allclose(again["v"], back)
-    with pytest.raises(Exception, match="two peaks"):
+    with pytest.raises(Exception, match="needs two peaks"):
         cycles.preprocess(s, p.limit(1), "k").collect()
     assert cycles.preprocess(s, p.limit(1), "k", strict=False).count() == 0
     # A short cycle in the middle leaves an empty row, and what follows moves up when the signal is put back.
@@ -216,10 +317,15 @@ def test_spectra(spark):
     assert back.size == 1024 and np.abs(back - x)[:896].max() < 1e-5 < np.abs(back - x)[900:].max()
     full, meta = cycles.spectrum(x, 250, n_frames=33)
     assert np.abs(cycles.from_spectrum(full, meta) - x).max() < 1e-5
-    with pytest.raises(ValueError, match="smaller"):
+    with pytest.raises(ValueError, match="asked for"):
         cycles.spectrum(x[:100], 250)
     df = spark.createDataFrame([(1, x.tolist())], "k long, v array<double>")
     assert np.allclose(cycles.istft(cycles.stft(df, "k", "v"), "k").first().v, back, atol=1e-5)
+    stats = ((0.1, -0.2), (2.0, 3.0))
+    own = cycles.stft(df, "k", "v", stats=stats).first()
+    want, _ = cycles.spectrum(x, 250, stats=tuple(np.array(s).reshape(2, 1, 1) for s in stats))
+    assert np.allclose(own.re, want[0].ravel()) and np.allclose(own.im, want[1].ravel()) and (own.meta.loc_im, own.meta.scale_re) == (-0.2, 2.0)
+    assert np.allclose(cycles.istft(cycles.stft(df, "k", "v", stats=stats), "k").first().v, back, atol=1e-5)
 
 
 def test_decomposition():
@@ -241,9 +347,9 @@ def test_network_shapes_and_sizes():
         if n != "sced":
             y = net.forward(networks.Weights(networks.seeded(n)), np.ones((2, *net.shape), np.float32))
             assert y.shape == ((2, 5) if n == "cstrans_classification" else (2, *net.shape)) and y.dtype == np.float32 and np.isfinite(y).all()
-    with pytest.raises(ValueError, match="divisible by 4"):
+    with pytest.raises(ValueError, match="multiple of 4"):
         networks.ecgd(networks.Weights(seed=0), np.zeros((1, 1, 10), np.float32))
-    with pytest.raises(ValueError, match="even"):
+    with pytest.raises(ValueError, match="odd"):
         networks.dwt_layer(networks.Weights(seed=0), "x", np.zeros((1, 1, 32), np.float32), 3)
     with pytest.raises(AssertionError):
         networks.swt_conv(networks.Weights(seed=0), "x", np.zeros((1, 1, 32), np.float32), 6)
@@ -317,6 +423,8 @@ def test_stream_states_match_batch():
     assert np.allclose(joined(causal.LmsStream(3, 5, 0.01), raw, raw, ref), kernels.lms(raw, raw, ref, 0.01))
     assert np.allclose(joined(causal.RlsStream(), raw, raw, ref), kernels.rls(raw, ref))
     assert np.allclose(joined(causal.BlmsStream(3, 8, 0.01, 10), raw, raw, ref), kernels.blms(raw, ref, 10, 0.01, 8))
+    assert np.allclose(joined(causal.LatticeStream(3, 0.99, 0.4), raw, raw, ref[:1]), kernels.lattice(ref[0], raw, 3, 0.99, 0.4)[0])
+    assert np.allclose(joined(causal.FusionStream(), raw, raw, ref), kernels.hybrid(raw, ref)[0])
 
 
 def test_stream(spark, tmp_path):

@@ -24,10 +24,10 @@ def window(kind, n: int) -> np.ndarray:
 
 def check_band(cutoff, fs: float | None, what: str) -> np.ndarray:
     if fs is None:
-        raise ValueError("fs must be provided (in Hz)")
+        raise ValueError("the sampling rate fs is missing")
     edges = np.atleast_1d(np.asarray(cutoff, float))
     if np.any(edges <= 0) or np.any(edges >= fs / 2):
-        raise ValueError(f"{what} must lie in (0, fs/2) = (0, {fs / 2})")
+        raise ValueError(f"{what}: {edges.tolist()} Hz, but band edges are above 0 and below half of fs, {fs / 2}")
     return edges
 
 
@@ -99,20 +99,20 @@ def prototype(kind: str, n: int, rp: float | None, rs: float | None) -> tuple[np
         return none, circle, 1.0
     if kind in ("cheby1", "chebyshev1"):
         if rp is None:
-            raise ValueError("passband ripple (rp) must be provided")
+            raise ValueError("a ripple in the passband, rp, is needed")
         eps = math.sqrt(10 ** (rp / 10) - 1)
         p = -np.sinh(math.asinh(1 / eps) / n + 1j * np.pi * m / (2 * n))
         return none, p, float(np.prod(-p).real) / (math.sqrt(1 + eps * eps) if n % 2 == 0 else 1.0)
     if kind in ("cheby2", "chebyshev2"):
         if rs is None:
-            raise ValueError("stopband attenuation (rs) must be provided")
+            raise ValueError("an attenuation of the stopband, rs, is needed")
         mu = math.asinh(math.sqrt(10 ** (rs / 10) - 1)) / n
         z = 1j / np.sin(np.pi * m[m != 0] / (2 * n))
         p = 1 / (circle.real * math.sinh(mu) + 1j * circle.imag * math.cosh(mu))
         return z, p, float((np.prod(-p) / np.prod(-z)).real)
     if kind in ("ellip", "elliptic"):
         if rp is None or rs is None:
-            raise ValueError("both rp and rs must be provided")
+            raise ValueError("rp and rs are both needed")
         ep, es = math.sqrt(10 ** (rp / 10) - 1), math.sqrt(10 ** (rs / 10) - 1)
         k1 = ep / es
         if n == 1:
@@ -136,7 +136,7 @@ def iir_sections(order: int, wn, rp: float | None = None, rs: float | None = Non
     """Second-order sections, one row b0 b1 b2 a0 a1 a2 each."""
     edges = check_band(wn, fs, "Wn")
     if analog:
-        raise ValueError("fs cannot be given for an analog filter")
+        raise ValueError("an analog filter has no sampling rate")
     kinds = {"low": "lowpass", "lp": "lowpass", "high": "highpass", "hp": "highpass", "band": "bandpass", "pass": "bandpass", "bp": "bandpass", "stop": "bandstop", "bs": "bandstop"}
     btype = kinds.get(btype, btype)
     if btype not in kinds.values():

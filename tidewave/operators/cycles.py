@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +23,7 @@ def segment_bounds(peaks: DataFrame, lengths: DataFrame, key: str, num_cycles: i
     w = Window.partitionBy(key).orderBy("peak_no")
     rows = peaks.select(key, "peak_no", "r", F.lead("r").over(w).alias("next"), F.count("*").over(Window.partitionBy(key)).alias("n_peaks"))
     if strict:
-        rows = rows.withColumn("r", F.when(F.col("n_peaks") < 2, F.raise_error(F.lit("at least two peaks are needed")).cast("int")).otherwise(F.col("r")))
+        rows = rows.withColumn("r", F.when(F.col("n_peaks") < 2, F.raise_error(F.lit("a cycle needs two peaks")).cast("int")).otherwise(F.col("r")))
     rows = rows.where("next is not null")
     end = F.least(F.col("nn"), F.floor((F.col("r") + F.col("next")) / 2).cast("int"))
     first = F.greatest(F.lit(0), F.col("r") - F.floor((F.col("next") - F.col("r")) / 2).cast("int"))
@@ -31,7 +34,7 @@ def segment_bounds(peaks: DataFrame, lengths: DataFrame, key: str, num_cycles: i
 
 def bounds_of(n: int, peaks: np.ndarray, num_cycles: int = CYCLES) -> list[tuple[int, int]]:
     if len(peaks) < 2:
-        raise ValueError("at least two peaks are needed")
+        raise ValueError("a cycle needs two peaks")
     ends = [min(n, int(a + b) // 2) for a, b in zip(peaks, peaks[1:], strict=False)]
     starts = [max(0, int(peaks[0]) - int(peaks[1] - peaks[0]) // 2), *ends]
     return [(s, e) for s, e in zip(starts, ends, strict=False) if e > s][:num_cycles]
@@ -45,7 +48,7 @@ def stack(x: np.ndarray, peaks: np.ndarray, stats: tuple[float, float] | None =
             rows[i], lengths[i] = kernels.fourier_resample(x[s:e], target), e - s
     valid = np.array(lengths) > 0
     if not valid.any():
-        raise ValueError("no valid cycle")
+        raise ValueError("all cycles are too short")
     low, high = stats or (float(rows[valid].min()), float(rows[valid].max()))
     rows[valid] = (rows[valid] - low) / (high - low if high > low else 1.0)
     return rows, lengths, low, high
@@ -63,18 +66,25 @@ def preprocess(signals: DataFrame, peaks: DataFrame, key: str, stats: tuple[floa
 
     A signal without two peaks or a valid cycle is an error, or has no rows if not ``strict``.
     """
-    kind = signals.schema[key].dataType.simpleString()
-
-    def run(s: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        x, r = s.sort_values("n")["v"].to_numpy(float), p.sort_values("peak_no")["r"].to_numpy()
-        if not strict and (len(r) < 2 or max((e - b for b, e in bounds_of(x.size, r, num_cycles)), default=0) < shortest):
-            return pd.DataFrame(columns=[key, "cycle", "orig_len", "vals", "g_min", "g_max"])
-        rows, lengths, low, high = stack(x, r, stats, target, num_cycles, shortest)
-        k = s[key].iloc[0] if len(s) else p[key].iloc[0]
-        return pd.DataFrame({key: k, "cycle": np.arange(len(rows), dtype=np.int32), "orig_len": np.array(lengths, np.int32), "vals": list(rows), "g_min": low, "g_max": high})
-
-    out = f"`{key}` {kind}, cycle int, orig_len int, vals array<double>, g_min double, g_max double"
-    return signals.select(key, "n", "v").groupBy(key).cogroup(peaks.select(key, "peak_no", "r").groupBy(key)).applyInPandas(run, out)
+    kind, out = signals.schema[key].dataType.simpleString(), f"`{key}` KIND, cycle int, orig_len int, vals array<double>, g_min double, g_max double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                x, r = (batch.column(i)[row].values.to_numpy(zero_copy_only=False) for i in (1, 2))
+                if not strict and (len(r) < 2 or max((e - b for b, e in bounds_of(x.size, r, num_cycles)), default=0) < shortest):
+                    continue
+                rows, lengths, low, high = stack(x, r, stats, target, num_cycles, shortest)
+                vals = pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, target, dtype=np.int32)), pa.array(rows.ravel()))
+                cols = [batch.column(0).take(pa.array([row] * len(rows))), pa.array(np.arange(len(rows), dtype=np.int32)), pa.array(lengths, pa.int32()), vals, *(pa.array(np.full(len(rows), v)) for v in (low, high))]
+                yield pa.RecordBatch.from_arrays(cols, names=[key, "cycle", "orig_len", "vals", "g_min", "g_max"])
+
+    # samples and peaks of a signal meet in one shuffle, as rows of one table
+    sample, peak = F.struct(F.col("n"), F.col("v").cast("double").alias("v")), F.struct(F.col("peak_no"), F.col("r").cast("long").alias("r"))
+    rows = signals.select(F.col(key).alias("k"), sample.alias("s")).unionByName(peaks.select(F.col(key).alias("k"), peak.alias("p")), allowMissingColumns=True)
+    sorted_of = lambda c: F.sort_array(F.collect_list(c))
+    arrays = rows.groupBy("k").agg(sorted_of("s").alias("s"), sorted_of("p").alias("p")).select("k", "s.v", "p.r")
+    return arrays.mapInArrow(run, out.replace("KIND", kind))
 
 
 def postprocess(scc: DataFrame, key: str) -> DataFrame:
@@ -97,7 +107,7 @@ def spectrum(x: np.ndarray, fs: float, nperseg: int = NPERSEG, noverlap: int = N
     """Standardised planes (2, n_freq, n_frames) of the real and imaginary parts (float32 unless ``kind`` says otherwise), and what is needed to go back."""
     z = kernels.stft(np.asarray(x, float).ravel(), nperseg, noverlap)
     if z.shape[0] < n_freq or z.shape[1] < n_frames:
-        raise ValueError(f"the spectrum {z.shape} is smaller than ({n_freq}, {n_frames})")
+        raise ValueError(f"{n_freq} frequencies by {n_frames} frames asked for, {z.shape[0]} by {z.shape[1]} found")
     planes = np.stack([z.real, z.imag])[:, :n_freq, :n_frames]
     loc, scale = stats or (planes.mean(axis=(1, 2), keepdims=True), planes.std(axis=(1, 2), keepdims=True) + 1e-8)
     meta = {"stats": (loc, scale), "fs": fs, "nperseg": nperseg, "noverlap": noverlap, "n": int(np.size(x)), "full_shape": z.shape}
@@ -117,14 +127,18 @@ def from_spectrum(planes: np.ndarray, meta: dict) -> np.ndarray:
 _META = "loc_re:double,loc_im:double,scale_re:double,scale_im:double,fs:double,nperseg:int,noverlap:int,n:int,full_freq:int,full_frames:int"
 
 
-def stft(arrays: DataFrame, key: str, value: str, fs: float = 250.0, nperseg: int = NPERSEG, noverlap: int = NOVERLAP, n_freq: int = N_FREQ, n_frames: int = N_FRAMES, kind: str = "float") -> DataFrame:
-    """(key, re, im, meta): per signal (an array column) the standardised planes, flattened by frequency, and a struct for the way back."""
+def stft(arrays: DataFrame, key: str, value: str, fs: float = 250.0, nperseg: int = NPERSEG, noverlap: int = NOVERLAP, n_freq: int = N_FREQ, n_frames: int = N_FRAMES, kind: str = "float", stats: tuple | None = None) -> DataFrame:
+    """(key, re, im, meta): per signal (an array column) the standardised planes, flattened by frequency, and a struct for the way back.
+
+    ``stats``, two means and two deviations ((re, im), (re, im)), are used for all signals in place of each one's own.
+    """
+    shared = tuple(np.array(x, float).reshape(2, 1, 1) for x in stats) if stats is not None else None
 
     @F.pandas_udf(f"re array<{kind}>, im array<{kind}>, meta struct<{_META}>")
     def run(values: pd.Series) -> pd.DataFrame:
         out = []
         for v in values:
-            planes, m = spectrum(np.asarray(v, float), fs, nperseg, noverlap, n_freq, n_frames, kind=np.float32 if kind == "float" else np.float64)
+            planes, m = spectrum(np.asarray(v, float), fs, nperseg, noverlap, n_freq, n_frames, shared, np.float32 if kind == "float" else np.float64)
             (loc, scale), full = m["stats"], m["full_shape"]
             meta = {"loc_re": float(loc[0, 0, 0]), "loc_im": float(loc[1, 0, 0]), "scale_re": float(scale[0, 0, 0]), "scale_im": float(scale[1, 0, 0]), "fs": float(fs), "nperseg": nperseg, "noverlap": noverlap, "n": m["n"], "full_freq": full[0], "full_frames": full[1]}
             out.append({"re": planes[0].ravel(), "im": planes[1].ravel(), "meta": meta})

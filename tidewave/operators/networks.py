@@ -123,7 +123,7 @@ def _bank(name: str, reconstruct: bool) -> list[Array]:
 def dwt_layer(w: Weights, name: str, x: Array, out: int, wavelet: str = "db6") -> Array:
     """Each channel through the low and high filters at stride 2, a convolution of width 8 after each, side by side."""
     if out % 2:
-        raise ValueError(f"out_channels must be even, got {out}")
+        raise ValueError(f"half of the channels come from each branch: {out} is odd")
     parts = []
     for branch, taps in zip(("conv_lpf", "conv_hpf"), _bank(wavelet, False), strict=True):
         pad = (taps.size - 2) // 2
@@ -148,7 +148,7 @@ def idwt_layer(w: Weights, name: str, x: Array, out: int, wavelet: str = "db6")
 def swt_conv(w: Weights, name: str, x: Array, out: int, kernel: int = 3) -> Array:
     """One kernel as four: itself, reversed, with alternating signs, reversed with alternating signs."""
     if out % 4:
-        raise AssertionError("out_channels must be divisible by 4")
+        raise AssertionError(f"four filters per kernel: {out} channels are no multiple of 4")
     base = w.get(f"{name}.weight", (out // 4, x.shape[1], kernel), x.shape[1] * kernel)
     signs = (-1.0) ** np.arange(kernel)
     four = np.concatenate([base, base[..., ::-1], base * signs, base[..., ::-1] * signs]).astype(np.float32)
@@ -159,7 +159,7 @@ def swt_conv(w: Weights, name: str, x: Array, out: int, kernel: int = 3) -> Arra
 def time_code(w: Weights, name: str, x: Array, seq_len: int) -> Array:
     """x is (batch, time, features): a linear and a periodic term are both added."""
     if x.shape[1] != seq_len:
-        raise ValueError(f"sequence length must be {seq_len}, got {x.shape[1]}")
+        raise ValueError(f"time codes for {seq_len} places, {x.shape[1]} given")
     wl, pl, wp, pp = (w.get(f"{name}.{k}", (seq_len, x.shape[2]), fan=100) for k in ("w_linear", "phi_linear", "w_periodic", "phi_periodic"))
     t = (np.arange(seq_len, dtype=np.float32) / max(seq_len - 1, 1))[:, None]
     return x + (wl * t + pl) + np.sin(wp * t + pp)
@@ -240,9 +240,9 @@ def cstrans_classification(w: Weights, x: Array, classes: int = 5) -> Array:
 
 def ecgd(w: Weights, x: Array) -> Array:
     if x.ndim != 3 or x.shape[1] != 1:
-        raise ValueError(f"expected input of shape (batch, 1, length), got {x.shape}")
+        raise ValueError(f"one channel per signal is needed, the batch is {x.shape}")
     if x.shape[2] % 4:
-        raise ValueError(f"sequence length must be divisible by 4, got {x.shape[2]}")
+        raise ValueError(f"two halvings need a length that is a multiple of 4: {x.shape[2]}")
     for i, out in enumerate((16, 32, 64, 64, 32)):
         x = relu(conv(w, f"feature_extractor.{i}", x, out, (5,)))
         x = pool(x) if i < 2 else x

@@ -15,22 +15,16 @@ def names(x: str | Sequence[str]) -> list[str]:
     return [x] if isinstance(x, str) else list(x)
 
 
-def indexed(df: DataFrame, key: str, order: str | Sequence[str], values: dict[str, Column | str], unique: bool = False) -> DataFrame:
-    """(key, n, nn, values...): n counts from 0 in ``order``, nn is the signal's length. Null values are an error, and so are tied orders if ``unique``."""
-    cols = names(order)
-    w = Window.partitionBy(key).orderBy(*cols)
-    checked = [F.coalesce((F.col(v) if isinstance(v, str) else v).cast("double"), F.raise_error(F.lit(f"null in {k}")).cast("double")).alias(k) for k, v in values.items()]
-    n = F.row_number().over(w)
-    if unique:
-        n = F.when(F.count("*").over(w.rangeBetween(Window.currentRow, Window.currentRow)) > 1, F.raise_error(F.lit("tied order")).cast("int")).otherwise(n)
-    return df.select(F.col(key), (n - 1).alias("n"), F.count("*").over(Window.partitionBy(key)).cast("int").alias("nn"), *checked)
+def _checked(value: Column | str, name: str) -> Column:
+    return F.coalesce((F.col(value) if isinstance(value, str) else value).cast("double"), F.raise_error(F.lit(f"null in {name}")).cast("double")).alias(name)
 
 
-def to_arrays(df: DataFrame, key: str, order: str | Sequence[str], values: Sequence[str]) -> DataFrame:
-    """One row per signal: key and an array per value, in order."""
-    cols = names(order)
-    rows = F.sort_array(F.collect_list(F.struct(*cols, *(v for v in values if v not in cols))))
-    return df.groupBy(key).agg(rows.alias("r")).select(key, *(F.col(f"r.{v}").alias(v) for v in values))
+def indexed(df: DataFrame, key: str, order: str | Sequence[str], values: dict[str, Column | str]) -> DataFrame:
+    """(key, n, nn, values...): n counts from 0 in ``order``, nn is the signal's length. Null values and tied orders are errors."""
+    at = F.struct(*names(order))
+    w = Window.partitionBy(key).orderBy(*names(order))
+    n = F.when(at.eqNullSafe(F.lag(at).over(w)), F.raise_error(F.lit("tied order")).cast("int")).otherwise(F.row_number().over(w) - 1)
+    return df.select(F.col(key), n.alias("n"), F.count("*").over(Window.partitionBy(key)).cast("int").alias("nn"), *(_checked(v, k) for k, v in values.items()))
 
 
 def from_arrays(df: DataFrame, key: str, value: str = "v") -> DataFrame:
@@ -38,36 +32,54 @@ def from_arrays(df: DataFrame, key: str, value: str = "v") -> DataFrame:
     return df.select(key, F.posexplode(value).alias("n", "v")).select(key, "n", F.col("v").cast("double").alias("v"))
 
 
-def per_signal(df: DataFrame, key: str, order: str | Sequence[str], inputs: dict[str, Column | str], outputs: Sequence[str], fn: Callable[..., dict[str, np.ndarray]]) -> DataFrame:
+def gathered(df: DataFrame, key: str, order: str | Sequence[str], inputs: dict[str, Column | str]) -> DataFrame:
+    """One row per signal: ``__key`` and an array of doubles per input, in order. Null values and tied orders are errors.
+
+    Only key, order and inputs are shuffled, and all is put together, sorted and checked in the JVM.
+    """
+    at = F.struct(*(F.col(c).alias(f"o{i}") for i, c in enumerate(names(order)))).alias("__at")
+    picked = df.select(F.col(key).alias("__key"), at, *(_checked(v, k) for k, v in inputs.items()))
+    whole = picked.groupBy("__key").agg(F.sort_array(F.collect_list(F.struct("__at", *inputs))).alias("r"))
+    tied = F.exists(F.sequence(F.lit(1), F.size("r") - 1), lambda i: F.col("r")[i]["__at"].eqNullSafe(F.col("r")[i - 1]["__at"]))
+    checked = F.when((F.size("r") > 1) & tied, F.raise_error(F.lit("tied order")).cast(whole.schema["r"].dataType)).otherwise(F.col("r"))
+    return whole.withColumn("r", checked).select("__key", *(F.col(f"r.{k}").alias(k) for k in inputs))
+
+
+#: Signals step together in groups of so many samples, so that memory is bounded.
+TOGETHER = 500_000
+
+
+def per_signal(df: DataFrame, key: str, order: str | Sequence[str], inputs: dict[str, Column | str], outputs: Sequence[str], fn: Callable[..., dict], together: bool = False) -> DataFrame:
     """(key, n, outputs...): ``fn`` gets the inputs of one signal as float arrays in order, and gives arrays of one length.
 
-    Only key, order and inputs are shuffled. Signals are put together and sorted in the JVM and cross to Python many to
-    an Arrow batch, so that short ones cost little each. A signal is one task's work; different signals run in parallel.
+    With ``together`` it gets lists of arrays, one per signal, and gives lists. Signals cross to Python many to an Arrow
+    batch, so that short ones cost little each. A signal is one task's work; different signals run in parallel.
     """
-    cols = names(order)
-    picked = df.select(F.col(key).alias("__key"), *(F.col(c).alias(f"__o{i}") for i, c in enumerate(cols)), *((F.col(v) if isinstance(v, str) else v).cast("double").alias(k) for k, v in inputs.items()))
     given, kind = list(inputs), df.schema[key].dataType.simpleString()
-    whole = picked.groupBy("__key").agg(F.sort_array(F.collect_list(F.struct(*(f"__o{i}" for i in range(len(cols))), *given))).alias("r"))
-    arrays = whole.select("__key", *(F.col(f"r.{k}").alias(k) for k in given))
+    if key in ("n", *outputs):
+        raise ValueError(f"the key column is named like a result, {key}: rename it")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = [batch.column(j + 1) for j in range(len(given))]
             values = [x.flatten().to_numpy(zero_copy_only=False).astype(float) for x in lists]
             ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists[0]).to_numpy(zero_copy_only=False))]).astype(int)
-            held, size = [], 0
-            for i in range(batch.num_rows):
-                out = fn(**{k: v[ends[i] : ends[i + 1]].copy() for k, v in zip(given, values, strict=True)})
-                held.append((i, [np.asarray(out[o], float) for o in outputs]))
-                size += held[-1][1][0].size
-                if size >= 200_000 or i + 1 == batch.num_rows:
-                    sizes = [x[0].size for _, x in held]
-                    keys = batch.column(0).take(pa.array(np.repeat([j for j, _ in held], sizes)))
-                    n = np.concatenate([np.arange(s, dtype=np.int32) for s in sizes])
-                    yield pa.RecordBatch.from_arrays([keys, pa.array(n), *(pa.array(np.concatenate([x[o] for _, x in held])) for o in range(len(outputs)))], names=[key, "n", *outputs])
-                    held, size = [], 0
-
-    return arrays.mapInArrow(run, f"`{key}` {kind}, n int, " + ", ".join(f"{o} double" for o in outputs))
+            longest_first = np.argsort(-np.diff(ends), kind="stable").tolist()
+            while longest_first:
+                room = max(1, TOGETHER // max(1, ends[longest_first[0] + 1] - ends[longest_first[0]]))
+                rows, longest_first = longest_first[:room], longest_first[room:]
+                parts = {k: [v[ends[i] : ends[i + 1]].copy() for i in rows] for k, v in zip(given, values, strict=True)}
+                if together:
+                    out = fn(**parts)
+                else:
+                    each = [fn(**dict(zip(given, one, strict=True))) for one in zip(*parts.values(), strict=True)]
+                    out = {o: [e[o] for e in each] for o in outputs}
+                sizes = [np.size(x) for x in out[outputs[0]]]
+                keys = batch.column(0).take(pa.array(np.repeat(rows, sizes)))
+                n = np.concatenate([np.arange(s, dtype=np.int32) for s in sizes])
+                yield pa.RecordBatch.from_arrays([keys, pa.array(n), *(pa.array(np.concatenate([np.asarray(x, float) for x in out[o]])) for o in outputs)], names=[key, "n", *outputs])
+
+    return gathered(df, key, order, inputs).mapInArrow(run, f"`{key}` {kind}, n int, " + ", ".join(f"{o} double" for o in outputs))
 
 
 def magnitude(x: Column | str, y: Column | str, z: Column | str) -> Column:

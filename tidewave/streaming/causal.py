@@ -63,24 +63,24 @@ class LmsStream(_Adaptive):
 class RlsStream(_Adaptive):
     def __init__(self, channels: int = 3, order: int = 5, lam: float = 0.99, delta: float = 1.0) -> None:
         super().__init__(channels, order)
-        if not 0 < lam <= 1:
-            raise ValueError("lam must lie in (0, 1]")
-        self.lam, self.p = lam, np.eye(channels * order) * delta
+        kernels.check_forgetting(lam)
+        self.lam, self.p = lam, np.eye(channels * order)[None] * delta
 
     def push(self, raw: np.ndarray, low: np.ndarray, ref: np.ndarray) -> np.ndarray:
         out = raw.copy()
         rows, skip = self.rows(ref)
+        w = self.w[None]
         for i, u in enumerate(rows, skip):
-            out[i] -= self.w @ u
-            self.w, self.p = kernels._rls_step(self.w, self.p, u, out[i], self.lam)
+            out[i] -= w[0] @ u
+            w, self.p = kernels.rls_step(w, self.p, u[None], out[i : i + 1], self.lam)
+        self.w = w[0]
         return out
 
 
 class BlmsStream(_Adaptive):
     def __init__(self, channels: int = 3, order: int = 32, mu: float = 0.01, block: int = 10) -> None:
         super().__init__(channels, order)
-        if block < 1:
-            raise ValueError("L must be a positive integer")
+        kernels.check_block(block)
         self.mu, self.block, self.seen, self.sum = mu, block, 0, np.zeros(channels * order)
 
     def push(self, raw: np.ndarray, low: np.ndarray, ref: np.ndarray) -> np.ndarray:
@@ -95,6 +95,26 @@ class BlmsStream(_Adaptive):
         return out
 
 
+class LatticeStream:
+    """A learning lattice on one reference; gives the error."""
+
+    def __init__(self, order: int = 5, beta: float = 1.0, alpha: float = 0.0, eps: float = 1e-3) -> None:
+        self.net = kernels.Lattice(1, order, beta, alpha, eps)
+
+    def push(self, raw: np.ndarray, low: np.ndarray, ref: np.ndarray) -> np.ndarray:
+        return np.array([self.net.step(ref[:, i], raw[i : i + 1])[0][0] for i in range(raw.size)])
+
+
+class FusionStream:
+    """A lattice per axis, fused by the Kalman filter; gives the clean signal."""
+
+    def __init__(self, axes: int = 3, order: int = 5, beta: float = 1.0, alpha: float = 0.0, eps: float = 1e-3, lam: float = 0.99, delta: float = 1.0) -> None:
+        self.net, self.fusion = kernels.Lattice(axes, order, beta, alpha, eps), kernels.Fusion(1, axes, lam, delta)
+
+    def push(self, raw: np.ndarray, low: np.ndarray, ref: np.ndarray) -> np.ndarray:
+        return np.array([self.fusion.step(raw[i : i + 1], self.net.step(ref[:, i], np.repeat(raw[i], len(ref)))[1][None])[0][0] for i in range(raw.size)])
+
+
 def _stateful(df: DataFrame, key: str, order: str, inputs: dict[str, str], make: Callable, push: Callable[..., np.ndarray], late: str) -> DataFrame:
     if late not in ("drop", "fail"):
         raise ValueError("late is drop or fail")
@@ -123,6 +143,6 @@ def iir_stream(df: DataFrame, key: str, order: str, value: str, sos: np.ndarray,
 
 
 def adaptive_stream(df: DataFrame, key: str, order: str, raw: str, refs: Sequence[str], make: Callable, lowpass: str | None = None, late: str = "drop") -> DataFrame:
-    """(key, order, clean): ``make`` gives a LmsStream, RlsStream or BlmsStream for a new signal."""
+    """(key, order, clean): ``make`` gives a LmsStream, RlsStream, BlmsStream, LatticeStream (one reference) or FusionStream for a new signal."""
     names = {"raw": raw, "low": lowpass or raw, **{f"r{i}": c for i, c in enumerate(refs)}}
     return _stateful(df, key, order, names, make, lambda f, raw, low, *ref: f.push(raw, low, np.stack(ref)), late)
