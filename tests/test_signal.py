@@ -29,7 +29,7 @@ def column(df, key=1, name="v"):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", ["moving_average", "moving_median", "fir_causal", "fir_zero_phase_window", "iir_zero_phase_ellip", "wavelet_denoise", "lms", "blms", "scc_preprocess", "stft", "regressor", "focal_loss"])
+@pytest.mark.parametrize("name", ["lms_five_taps", "rls_five_taps", "blms_32_taps", "gall_laguerre", "gall_coefficients", "iir_causal_ellip_band", "iir_causal_butter", "dwt_analysis_three_levels", "wavelet_denoise_hard", "wavelet_denoise_garrote", "beat_triples", "moving_average", "moving_median", "fir_causal", "fir_zero_phase_window", "iir_zero_phase_ellip", "wavelet_denoise", "lms", "blms", "scc_preprocess", "stft", "regressor", "focal_loss"])
 def test_sql(spark, name):
     con = duckdb.connect()
     for t in ("events", "lineitem", "embeddings"):
@@ -84,12 +84,71 @@ def test_iir_design(kind, edge, btype, wn, order):
 
 
 def test_iir_errors(wave):
-    for args in ({"Wn": 40}, {"Wn": 200, "fs": 250}, {"Wn": 0, "fs": 250}, {"Wn": 40, "fs": 250, "analog": True}, {"Wn": 40, "fs": 250, "ftype": "cheby1"}, {"Wn": 40, "fs": 250, "ftype": "bessel"}):
+    for args in ({"Wn": 40}, {"Wn": 200, "fs": 250}, {"Wn": 0, "fs": 250}, {"Wn": 40, "fs": 250, "analog": True}, {"Wn": 40, "fs": 250, "ftype": "cheby1"}, {"Wn": 40, "fs": 250, "ftype": "other"}):
         with pytest.raises(ValueError):  # noqa: PT011
             static.iir_filter(wave, "k", "t", "v", 2, **args)
 
 
-@pytest.mark.parametrize("name", ["haar", "db2", "db4", "db8", "db12"])
+def test_bessel():
+    """Third order: roots of s^3 + 6 s^2 + 15 s + 15, and a delay that is flat in the pass band."""
+    _, p, k = design.prototype("bessel", 3, None, None)
+    c = 15 ** (1 / 3)
+    assert np.allclose(np.poly(p).real, [1, 6 / c, 15 / c**2, 1]) and k == 1
+    sos = design.iir_sections(4, 20, fs=1000, ftype="bessel")
+    w = np.linspace(1, 10, 50)
+    delay = -np.diff(np.unwrap(np.angle(response(sos, w, 1000)))) / np.diff(w)
+    assert np.ptp(delay) < 0.01 * delay.mean()
+    other = design.iir_sections(4, 20, fs=1000, ftype="butter")
+    assert np.ptp(-np.diff(np.unwrap(np.angle(response(other, w, 1000)))) / np.diff(w)) > 0.05 * delay.mean()
+
+
+WINDOWS = ["hamming", "hann", "blackman", "nuttall", "blackmanharris", "flattop", "boxcar", "bartlett", "triang", "barthann", "bohman", "cosine", "lanczos", "parzen", "tukey", "exponential", ("kaiser", 6.0), 6.0, ("gaussian", 3.0), ("general_gaussian", 1.5, 3.0), ("general_hamming", 0.6), ("general_cosine", (0.5, 0.4, 0.1)), ("tukey", 0.3)]
+
+
+@pytest.mark.parametrize("kind", WINDOWS, ids=str)
+@pytest.mark.parametrize("n", [1, 10, 21])
+def test_windows(kind, n):
+    w = design.window(kind, n)
+    assert w.shape == (n,) and np.allclose(w, w[::-1]) and (0.9 < w.max() <= 1 + 1e-8 or n == 10)
+    assert design.fir_taps(21, 40, window_kind=kind, fs=250).sum() == pytest.approx(1)
+
+
+def test_windows_by_hand():
+    """Published ones of a few windows."""
+    assert np.allclose(design.window("parzen", 5), [0.016, 0.424, 1, 0.424, 0.016])
+    assert np.allclose(design.window("bohman", 5), [0, 0.5 * 0 + 1 / np.pi, 1, 1 / np.pi, 0])
+    assert np.allclose(design.window("cosine", 4), np.sin(np.pi * (np.arange(4) + 0.5) / 4))
+    assert np.allclose(design.window("tukey", 9), [0, 0.5, 1, 1, 1, 1, 1, 0.5, 0])
+    assert np.allclose(design.window("barthann", 3), [0, 1, 0])
+    assert design.window("flattop", 11)[0] == pytest.approx(-0.000421051)
+    with pytest.raises(ValueError, match="unknown window"):
+        design.window("dpss", 9)
+
+
+def test_symlets():
+    """The usual tables of symlets and of the first coiflet, to eight digits."""
+    table = {
+        "sym2": [0.48296291, 0.83651630, 0.22414387, -0.12940952],
+        "sym4": [0.03222310, -0.01260397, -0.09921954, 0.29785780, 0.80373875, 0.49761867, -0.02963553, -0.07576571],
+        "sym5": [0.01953888, -0.02110183, -0.17532809, 0.01660211, 0.63397896, 0.72340769, 0.19939753, -0.03913425, 0.02951949, 0.02733307],
+        "sym6": [-0.00780071, 0.00176771, 0.04472490, -0.02106029, -0.07263752, 0.33792942, 0.78764114, 0.49105594, -0.04831174, -0.11799011, 0.00349071, 0.01540411],
+        "coif1": [-0.07273262, 0.33789766, 0.85257202, 0.38486485, -0.07273262, -0.01565573],
+    }
+    for name, taps in table.items():
+        assert np.allclose(design.scaling_taps(name), taps, atol=1e-7), name
+
+
+def test_beats_in_rows(spark):
+    weights = networks.seeded("cstrans_classification", 2)
+    x, rr = rng.standard_normal((7, 360)).astype(np.float32), rng.standard_normal((7, 4)).astype(np.float32)
+    df = spark.createDataFrame([(i // 5, i % 5, x[i].tolist(), rr[i].tolist()) for i in range(7)], "k long, b long, x array<float>, rr array<float>")
+    got = {(r.k, r.b): r.y for r in networks.classify_beats(df, "k", "b", "x", "rr", weights).collect()}
+    assert set(got) == {(0, 1), (0, 2), (0, 3)}
+    flat = np.concatenate([x[1], x[2], x[3], rr[2]])[None, None]
+    assert np.allclose(got[0, 2], networks.cstrans_classification(networks.Weights(weights), flat)[0], atol=1e-5)
+
+
+@pytest.mark.parametrize("name", ["haar", "db2", "db4", "db8", "db12", "db20", "sym4", "sym7", "sym8", "coif1"])
 @pytest.mark.parametrize("n", [64, 67])
 def test_wavelets(name, n):
     x = rng.standard_normal(n)
@@ -102,7 +161,7 @@ def test_wavelets(name, n):
 
 def test_wavelet_modes_and_quirks():
     with pytest.raises(ValueError, match="not supported"):
-        design.filter_bank("sym4")
+        design.filter_bank("rbio3.1")
     c = np.array([-3.0, -1.0, 0.0, 1.0, 3.0])
     assert kernels.threshold(c, 2, "soft").tolist() == [-1, 0, 0, 0, 1]
     assert kernels.threshold(c, 2, "hard").tolist() == [-3, 0, 0, 0, 3]

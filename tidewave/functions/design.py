@@ -3,23 +3,66 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 
 #: Shares of cosines in generalised cosine windows.
-_COSINES = {"hamming": (0.54, 0.46), "hann": (0.5, 0.5), "blackman": (0.42, 0.5, 0.08), "boxcar": (1.0,), "rectangular": (1.0,)}
+_COSINES = {
+    "hamming": (0.54, 0.46),
+    "hann": (0.5, 0.5),
+    "blackman": (0.42, 0.5, 0.08),
+    "nuttall": (0.3635819, 0.4891775, 0.1365995, 0.0106411),
+    "blackmanharris": (0.35875, 0.48829, 0.14128, 0.01168),
+    "flattop": (0.21557895, 0.41663158, 0.277263158, 0.083578947, 0.006947368),
+    "boxcar": (1.0,),
+    "rectangular": (1.0,),
+}
+
+
+def _tukey(x: np.ndarray, alpha: float = 0.5) -> np.ndarray:
+    if alpha <= 0:
+        return np.ones_like(x)
+    return np.where(np.abs(x) <= 1 - alpha, 1.0, 0.5 * (1 + np.cos(np.pi * (np.abs(x) - 1 + alpha) / alpha)))
+
+
+def _parzen(n: int) -> np.ndarray:
+    y = np.abs(np.arange(n) - (n - 1) / 2) / (n / 2)
+    return np.where(y <= 0.5, 1 - 6 * y**2 * (1 - y), 2 * (1 - y) ** 3)
 
 
 def window(kind, n: int) -> np.ndarray:
-    """A symmetric window by name, or ("kaiser", beta)."""
-    if isinstance(kind, tuple) and kind[0] == "kaiser":
-        return np.kaiser(n, kind[1])
-    if kind in ("bartlett", "triang"):
-        return np.bartlett(n) if kind == "bartlett" else 1 - np.abs((np.arange(n) - (n - 1) / 2) / ((n + n % 2) / 2))
-    if kind not in _COSINES:
-        raise ValueError(f"unknown window {kind!r}")
+    """A symmetric window by name, or a tuple of name and parameters; a bare number is the beta of a Kaiser window."""
+    name, *given = ("kaiser", kind) if isinstance(kind, (int, float)) else kind if isinstance(kind, (tuple, list)) else (kind,)
+    if name in ("general_cosine", "general_hamming"):
+        shares = given[0] if name == "general_cosine" else (given[0], 1 - given[0])
+        return window_of_cosines(shares, n)
+    if name in _COSINES:
+        return window_of_cosines(_COSINES[name], n)
+    m = np.arange(n) - (n - 1) / 2
+    x = m / max((n - 1) / 2, 0.5)  # from -1 to 1
+    shapes = {
+        "kaiser": lambda beta: np.kaiser(n, beta),
+        "gaussian": lambda std: np.exp(-0.5 * (m / std) ** 2),
+        "general_gaussian": lambda power, sig: np.exp(-0.5 * np.abs(m / sig) ** (2 * power)),
+        "exponential": lambda centre=None, tau=1.0: np.exp(-np.abs(m if centre is None else np.arange(n) - centre) / tau),
+        "tukey": lambda alpha=0.5: _tukey(x, alpha),
+        "bartlett": lambda: np.bartlett(n),
+        "triang": lambda: 1 - np.abs(m / ((n + n % 2) / 2)),
+        "barthann": lambda: 0.62 - 0.48 * np.abs(x / 2) + 0.38 * np.cos(np.pi * x),
+        "bohman": lambda: np.where(np.abs(x) < 1, (1 - np.abs(x)) * np.cos(np.pi * np.abs(x)) + np.sin(np.pi * np.abs(x)) / np.pi, 0.0),
+        "cosine": lambda: np.cos(np.pi * m / n),
+        "lanczos": lambda: np.sinc(x),
+        "parzen": lambda: _parzen(n),
+    }
+    if name not in shapes:
+        raise ValueError(f"unknown window {kind!r}: {', '.join(sorted([*_COSINES, 'general_cosine', 'general_hamming', *shapes]))}")
+    return shapes[name](*given) if n > 1 else np.ones(n)
+
+
+def window_of_cosines(shares, n: int) -> np.ndarray:
     t = 2 * np.pi * np.arange(n) / max(1, n - 1)
-    return sum(c * (-1) ** i * np.cos(i * t) for i, c in enumerate(_COSINES[kind])) * np.ones(n)
+    return sum(c * (-1) ** i * np.cos(i * t) for i, c in enumerate(shares)) * np.ones(n) if n > 1 else np.ones(n)
 
 
 def check_band(cutoff, fs: float | None, what: str) -> np.ndarray:
@@ -129,7 +172,10 @@ def prototype(kind: str, n: int, rp: float | None, rs: float | None) -> tuple[np
             p = np.append(p, (1j * _sn(1j * v0, k)).real + 0j)
         gain = float((np.prod(-p) / np.prod(-z)).real)
         return z, p, gain * (10 ** (-rp / 20) if n % 2 == 0 else 1.0)
-    raise ValueError(f"filter family {kind!r} is not supported: butter, cheby1, cheby2 or ellip")
+    if kind == "bessel":  # roots of the reverse Bessel polynomial, scaled so that their product is one (the phase's norm)
+        p = np.roots([math.factorial(2 * n - k) / (2 ** (n - k) * math.factorial(k) * math.factorial(n - k)) for k in range(n, -1, -1)]).astype(complex)
+        return none, p / abs(np.prod(p)) ** (1 / n), 1.0
+    raise ValueError(f"filter family {kind!r} is not supported: butter, cheby1, cheby2, ellip or bessel")
 
 
 def iir_sections(order: int, wn, rp: float | None = None, rs: float | None = None, btype: str = "lowpass", analog: bool = False, fs: float | None = None, ftype: str = "butter") -> np.ndarray:
@@ -176,28 +222,56 @@ def iir_sections(order: int, wn, rp: float | None = None, rs: float | None = Non
     return sections
 
 
-def daubechies(name: str) -> np.ndarray:
-    """The scaling (reconstruction low-pass) taps of haar or dbN, by spectral factorisation."""
-    if name in ("haar", "db1"):
-        return np.array([1.0, 1.0]) / math.sqrt(2)
-    if not name.startswith("db") or not name[2:].isdigit() or not 1 <= int(name[2:]) <= 20:
-        raise ValueError(f"wavelet {name!r} is not supported: haar, db1 to db20")
-    n = int(name[2:])
-    y = np.roots([math.comb(n - 1 + k, k) for k in range(n - 1, -1, -1)])
-    taps = np.array([1.0 + 0j])
-    for r in y:  # y = (2 - z - 1/z) / 4: of the two z take the one inside the circle
+def _factors(n: int) -> list[np.ndarray]:
+    """The polynomial of dbN's half-band filter beside its zeros at -1, in real factors: each has its roots inside the circle."""
+    found = []
+    for r in np.roots([math.comb(n - 1 + k, k) for k in range(n - 1, -1, -1)]):  # roots in y = (2 - z - 1/z) / 4
+        if r.imag < -1e-12:
+            continue
         b = 1 - 2 * r
         z = b + np.sqrt(b * b - 1 + 0j)
-        taps = np.convolve(taps, [1, -(z if abs(z) < 1 else 1 / z)])
-    for _ in range(n):
-        taps = np.convolve(taps, [1, 1])
-    taps = taps.real
+        z = z if abs(z) < 1 else 1 / z
+        found.append(np.array([1, -z.real]) if abs(r.imag) <= 1e-12 else np.array([1, -2 * z.real, abs(z) ** 2]))
+    return found
+
+
+def _scaling(n: int, factors: list[np.ndarray]) -> np.ndarray:
+    taps = np.ones(1)
+    for f in [*factors, *[np.ones(2)] * n]:
+        taps = np.convolve(taps, f)
     return taps * math.sqrt(2) / taps.sum()
 
 
+def symlet(n: int) -> np.ndarray:
+    """Of all choices of roots inside or outside the circle the one with the most nearly linear phase."""
+    factors, best = _factors(n), None
+    w = np.linspace(0, np.pi, 257)[1:-1]
+    for choice in range(1 << len(factors)):
+        taps = _scaling(n, [f[::-1] if choice >> i & 1 else f for i, f in enumerate(factors)])
+        phase = np.unwrap(np.angle(np.exp(-1j * np.outer(w, np.arange(2 * n))) @ taps))
+        off = phase - w * (w @ phase) / (w @ w)
+        price = float(off @ off)
+        if best is None or price < best[0] - 1e-9:
+            best = (price, taps)
+    taps = best[1]
+    return taps if (abs(taps[0]) > abs(taps[-1])) == (n == 7) else taps[::-1]  # fixed: the usual tables' direction
+
+
+def scaling_taps(name: str) -> np.ndarray:
+    """The scaling (reconstruction low-pass) taps of haar, dbN, symN or coif1."""
+    n = int(name.lstrip("dbsym")) if name[:2] == "db" and name[2:].isdigit() or name[:3] == "sym" and name[3:].isdigit() else 1 if name == "haar" else 0
+    if name == "coif1":
+        r = math.sqrt(7)
+        return np.array([1 - r, 5 + r, 14 + 2 * r, 14 - 2 * r, 1 - r, r - 3]) / (16 * math.sqrt(2))
+    if not (1 <= n <= 20 and name[:3] != "sym" or 2 <= n <= 8):
+        raise ValueError(f"wavelet {name!r} is not supported: haar, db1 to db20, sym2 to sym8, coif1")
+    return symlet(n) if name[:3] == "sym" and n > 3 else _scaling(n, _factors(n))
+
+
+@lru_cache(64)
 def filter_bank(name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """dec_lo, dec_hi, rec_lo, rec_hi"""
-    rec_lo = daubechies(name)
+    rec_lo = scaling_taps(name)
     dec_lo = rec_lo[::-1]
     dec_hi = rec_lo * (-1.0) ** (np.arange(rec_lo.size) + 1)
     return dec_lo, dec_hi, rec_lo, dec_hi[::-1]

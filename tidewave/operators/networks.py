@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewave.functions.design import filter_bank
@@ -323,6 +323,21 @@ def infer(df: DataFrame, column: str, name: str, weights: dict[str, Array]) -> D
     return df.withColumn("y", run(F.col(column)))
 
 
+def beat_triples(beats: DataFrame, key: str, order: str, samples: str, intervals: str) -> DataFrame:
+    """(key, order, x): each beat's samples between those of its neighbours, then its intervals, as ``cstrans_classification`` takes them.
+
+    ``beats`` has one row per beat; the first and the last of a recording have no two neighbours and are left out.
+    """
+    w = Window.partitionBy(key).orderBy(order)
+    parts = beats.select(key, order, F.struct(F.lag(samples).over(w).alias("a"), F.col(samples).alias("b"), F.lead(samples).over(w).alias("c"), F.col(intervals).alias("i")).alias("__p"))
+    return parts.where("__p.a is not null and __p.c is not null").select(key, order, F.concat("__p.a", "__p.b", "__p.c", "__p.i").alias("x"))
+
+
+def classify_beats(beats: DataFrame, key: str, order: str, samples: str, intervals: str, weights: dict[str, Array]) -> DataFrame:
+    """(key, order, y): logits of each beat that has two neighbours."""
+    return infer(beat_triples(beats, key, order, samples, intervals), "x", "cstrans_classification", weights).select(key, order, "y")
+
+
 def _typed(net: Net, held):
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         w = Weights(held.value)

@@ -18,7 +18,14 @@ from tidewave.sources.tables import events, lines, table
 
 LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_shipdate"]
 REFS = ("l_quantity", "l_discount", "l_tax")
-RAW = "l_extendedprice / 1000"
+RAW, LOW = "l_extendedprice / 1000", "l_extendedprice / 2000 + l_quantity / 10"
+GALL = {"M": 3, "beta": 0.99, "alpha": 0.3}
+DEEP = {
+    "cheby1_five": (5, 40.0, {"ftype": "cheby1", "rp": 1.0}),
+    "ellip_band": (3, [20.0, 60.0], {"btype": "bandpass", "ftype": "ellip", "rp": 1.0, "rs": 40.0}),
+    "cheby2_stop": (2, [30.0, 70.0], {"btype": "bandstop", "ftype": "cheby2", "rs": 30.0}),
+    "butter_high": (3, 30.0, {"btype": "highpass"}),
+}
 FIR = {
     "lowpass": {"numtaps": 11, "cutoff": 40.0},
     "highpass": {"numtaps": 10, "cutoff": 40.0, "pass_zero": False},
@@ -135,6 +142,10 @@ def queries() -> dict:
         **{f"fir_{k}": _fir(k, True) for k in ("highpass", "bandpass", "bandstop", "kaiser")},
         **{f"iir_causal_{k}": _iir(k, False) for k in IIR},
         **{f"iir_zero_phase_{k}": _iir(k, True) for k in IIR},
+        **{f"iir_causal_{k}": lambda s, d, n=n, wn=wn, o=o: tidy(static.iir_filter(events(s, d), *EV, "value", n, wn, fs=FS, zero_phase=False, **o), "v") for k, (n, wn, o) in DEEP.items()},
+        "dwt_analysis_three_levels": lambda s, d: tidy(static.dwt_analysis(events(s, d), *EV, "value", "db2", 3), "c"),
+        "wavelet_denoise_hard": lambda s, d: tidy(static.wavelet_denoising(events(s, d), *EV, "value", "sym4", 2, "hard"), "v"),
+        "wavelet_denoise_garrote": lambda s, d: tidy(static.wavelet_denoising(events(s, d), *EV, "value", "haar", 2, "garrote"), "v"),
         "dwt_analysis": lambda s, d: tidy(static.dwt_analysis(events(s, d), *EV, "value", "db4", 1), "c"),
         "dwt_synthesis": lambda s, d: tidy(static.dwt_synthesis(static.dwt_analysis(events(s, d), *EV, "value", "db4", 3), "user_id").join(_samples(s, d).select("user_id", "n"), ["user_id", "n"]), "v"),
         "wavelet_denoise": lambda s, d: tidy(static.wavelet_denoising(events(s, d), *EV, "value", "db4", 1), "v"),
@@ -148,11 +159,12 @@ def queries() -> dict:
         "gall_learn": lambda s, d: tidy(adaptive.gall_filter(lines(s, d), *LI, F.col(REFS[0]), F.expr(RAW), M=0), "err", "y"),
         "gall_learn_first_order": lambda s, d: tidy(adaptive.gall_filter(lines(s, d), *LI, F.col(REFS[0]), F.expr(RAW), M=1), "err", "y"),
         "gall_freeze": lambda s, d: tidy(adaptive.gall_filter(lines(s, d), *LI, F.col(REFS[0]), F.expr(RAW), k0=K0, h0=H0), "err", "y"),
-        "gall_coefficients": lambda s, d: adaptive.gall_coefficients(lines(s, d), *LI, F.col(REFS[0]), F.expr(RAW), M=3),
+        "gall_laguerre": lambda s, d: tidy(adaptive.gall_filter(lines(s, d), *LI, F.col(REFS[0]), F.expr(RAW), **GALL), "err", "y", digits=4),
+        "gall_coefficients": lambda s, d: tidy(adaptive.gall_coefficients(lines(s, d), *LI, F.col(REFS[0]), F.expr(RAW), **GALL).withColumn("k", F.when(~F.isnan("k"), F.col("k"))), "h", "k", digits=4),
         "hybrid_kalman": lambda s, d: tidy(adaptive.hybrid_gall_kalman(lines(s, d), *LI, F.expr(RAW), REFS, M_gall=1), "clean", "y_total", "wx", "wy", "wz", digits=4),
-        "lms_five_taps": lambda s, d: adaptive.modified_lms_anc(lines(s, d), *LI, F.expr(RAW), F.expr(RAW), REFS, mu=1e-6),
-        "rls_five_taps": lambda s, d: adaptive.rls_anc(lines(s, d), *LI, F.expr(RAW), REFS),
-        "blms_32_taps": lambda s, d: adaptive.blms_filter(lines(s, d), *LI, F.expr(RAW), REFS, mu=1e-6),
+        "lms_five_taps": lambda s, d: tidy(adaptive.modified_lms_anc(lines(s, d), *LI, F.expr(RAW), F.expr(LOW), REFS, mu=1e-6), "clean", digits=5),
+        "rls_five_taps": lambda s, d: tidy(adaptive.rls_anc(lines(s, d), *LI, F.expr(RAW), REFS), "clean", digits=2),
+        "blms_32_taps": lambda s, d: tidy(adaptive.blms_filter(lines(s, d), *LI, F.expr(RAW), REFS, mu=1e-6), "clean", digits=5),
         "scc_bounds": _bounds,
         "scc_preprocess": lambda s, d: tidy(_scc(s, d).select("user_id", "cycle", "orig_len", F.posexplode("vals").alias("i", "v")), "v"),
         "scc_postprocess": lambda s, d: tidy(cycles.postprocess(_scc(s, d), "user_id"), "v"),
@@ -165,6 +177,7 @@ def queries() -> dict:
         "time2vec": _time2vec,
         "dwt_layer": _dwt_layer,
         "idwt_layer": _idwt_layer,
+        "beat_triples": _triples,
         "emd_denoise": lambda s, d: static.emd_denoising(events(s, d), *EV, "value"),
         "miemd": lambda s, d: static.miemd(events(s, d), *EV, "value"),
         **{f"net_{name}": _net(name) for name in networks.NETS},
@@ -172,6 +185,12 @@ def queries() -> dict:
     return q
 
 
+def _triples(s, d):
+    """Vectors of a label stand in for the beats of a recording; what there are of intervals are their ids."""
+    beats = table(s, d, "embeddings").select("label", "vec_id", F.slice("embedding", 1, 6).cast("array<double>").alias("s"), F.array(F.col("vec_id").cast("double"), F.lit(0.5)).alias("i"))
+    return tidy(networks.beat_triples(beats, "label", "vec_id", "s", "i").select("label", "vec_id", F.posexplode("x").alias("i", "v")), "v")
+
+
 def _line(s, d):
     return signal.indexed(lines(s, d), *LI, {"raw": F.expr(RAW), "rx": REFS[0], "ry": REFS[1], "rz": REFS[2]})
 
@@ -186,11 +205,12 @@ def oracle_sql() -> dict[str, str]:
     return {
         "moving_average": sql.moving_average(2),
         "moving_median": sql.moving_median(2),
-        "fir_causal": sql.fir_causal(_taps("lowpass")),
+        "fir_causal": sql.fir_causal(FIR["lowpass"]["numtaps"], FIR["lowpass"]["cutoff"], FS),
         "fir_zero_phase": sql.fir_zero_phase(_taps("lowpass")),
         "fir_zero_phase_window": sql.fir_zero_phase(_taps("lowpass")),
         **{f"fir_{k}": sql.fir_zero_phase(_taps(k)) for k in ("highpass", "bandpass", "bandstop", "kaiser")},
-        **{f"iir_causal_{k}": sql.iir_causal(_sos(k)) for k in IIR},
+        "iir_causal_butter": sql.butterworth(40.0, FS),
+        **{f"iir_causal_{k}": sql.iir_causal(_sos(k)) for k in IIR if k != "butter"},
         **{f"iir_zero_phase_{k}": sql.iir_zero_phase(_sos(k), 9) for k in IIR},
         "dwt_analysis": sql.dwt_analysis(lo, hi),
         "dwt_synthesis": f"with {sql.EV} select user_id, n, {sql.rounded('v')} as v from ev",
@@ -198,7 +218,16 @@ def oracle_sql() -> dict[str, str]:
         "wavelet_baseline": sql.wavelet(lo, hi, rl, rh, "baseline"),
         "soft_threshold": f"select event_id, {sql.rounded('sign(value - 50) * greatest(abs(value - 50) - 10.0, 0.0)')} as v from events",
         "signal_vector_magnitude": f"with {sql.LI} select l_suppkey, n, {sql.rounded('sqrt(rx * rx + ry * ry + rz * rz)')} as svm from li",
-        "regressor": f"with {sql.LI} select a.l_suppkey, a.n, k.i, case when k.i < 3 then b.rx else b.ry end as x from li a join (select unnest(range(6))::int as i) k on true join li b on b.l_suppkey = a.l_suppkey and b.n = a.n - k.i % 3 where a.n >= 2",
+        "regressor": sql.regressor(3),
+        "lms_five_taps": sql.lms_taps(1e-6, 5, 5),
+        "rls_five_taps": sql.rls_taps(0.99, 5, 2),
+        "blms_32_taps": sql.blms_taps(1e-6, 10, 32, 5),
+        "gall_laguerre": sql.laguerre(GALL["M"], GALL["beta"], GALL["alpha"], 1e-3, 4),
+        "gall_coefficients": sql.laguerre_coefficients(GALL["M"], GALL["beta"], GALL["alpha"], 1e-3, 4),
+        **{f"iir_causal_{k}": sql.cascade(design.iir_sections(n, wn, fs=FS, **o)) for k, (n, wn, o) in DEEP.items()},
+        "dwt_analysis_three_levels": sql.deep_analysis(*(x.tolist() for x in design.filter_bank("db2")[:2]), 3),
+        "wavelet_denoise_hard": sql.deep_denoise(*(x.tolist() for x in design.filter_bank("sym4")), 2, "hard"),
+        "wavelet_denoise_garrote": sql.deep_denoise(*(x.tolist() for x in design.filter_bank("haar")), 2, "garrote"),
         "lms": sql.lms(1e-5),
         "rls": sql.rls(0.99),
         "blms": sql.blms(1e-4, 10),
@@ -217,6 +246,9 @@ def oracle_sql() -> dict[str, str]:
         "improved_mse": f"select l_suppkey, {sql.rounded('avg((l_discount - l_tax) ^ 2 * (1 + 2 * abs(l_tax)))')} as loss from lineitem group by l_suppkey",
         "focal_loss": f"""with e as (select label % 5 as label, list_transform(embedding[1:5], lambda x: x::double) as x from embeddings), c as (select label, ln(list_sum(list_transform(x, lambda v: exp(v)))) - x[label + 1] as ce from e)
 select label, {sql.rounded('avg((1 - exp(-ce)) ^ 2 * ce)')} as loss from c group by label""",
+        "beat_triples": """with b as (select label, vec_id, list_transform(embedding[1:6], lambda x: x::double) as s from embeddings),
+t as (select label, vec_id, lag(s) over w || s || lead(s) over w || [vec_id::double, 0.5] as x, lag(vec_id) over w as p, lead(vec_id) over w as q from b window w as (partition by label order by vec_id))
+select label, vec_id, (generate_subscripts(x, 1) - 1)::int as i, round(unnest(x), 6) + 0.0 as v from t where p is not null and q is not null""",
         "swt_kernel": "with w as (select vec_id, embedding[1]::double as a, embedding[2]::double as b, embedding[3]::double as c from embeddings), f as (select vec_id, [[a, b, c], [c, b, a], [a, -b, c], [c, -b, a]] as f from w) select vec_id, (p - 1)::int as filter, (i - 1)::int as i, round(f[p][i], 6) + 0.0 as w from f, (select unnest([1, 2, 3, 4]) as p), (select unnest([1, 2, 3]) as i)",
         "time2vec": "with x as (select vec_id, unnest(embedding)::double as v, (generate_subscripts(embedding, 1) - 1)::int as i from embeddings) select vec_id, i, round(v + 0.05 * (i / 63.0) + 0.02 + sin(-0.07 * (i / 63.0) + 0.1), 6) + 0.0 as v from x",
     }

@@ -9,7 +9,7 @@ LINE_ORDER = "l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity,
 #: (user_id, n, nn, v) and (l_suppkey, n, nn, raw, rx, ry, rz)
 EV = f"ev as materialized (select user_id, (row_number() over w - 1)::int as n, (count(*) over (partition by user_id))::int as nn, v from ({EVENTS}) window w as (partition by user_id order by ts))"
 LI = f"""li as materialized (select l_suppkey, (row_number() over w - 1)::int as n, (count(*) over (partition by l_suppkey))::int as nn,
-  l_extendedprice / 1000 as raw, l_quantity as rx, l_discount as ry, l_tax as rz from lineitem window w as (partition by l_suppkey order by {LINE_ORDER}))"""
+  l_extendedprice / 1000 as raw, l_extendedprice / 2000 + l_quantity / 10 as low, l_quantity as rx, l_discount as ry, l_tax as rz from lineitem window w as (partition by l_suppkey order by {LINE_ORDER}))"""
 
 
 def rounded(x: str, digits: int = 6) -> str:
@@ -37,8 +37,11 @@ def moving_median(half: int) -> str:
 select m.user_id, m.pos as n, {rounded('m.v')} as v from m join ev on m.user_id = ev.user_id and m.pos = ev.n"""
 
 
-def fir_causal(taps) -> str:
-    return f"""with {EV}, {values('taps', 'k, t', enumerate(taps))}
+def fir_causal(numtaps: int, cutoff: float, fs: float) -> str:
+    """The taps too are made in SQL: a sinc under a Hamming window, scaled to sum to one."""
+    x = f"(k - {(numtaps - 1) / 2})"
+    return f"""with {EV}, sinc as (select k, case when {x} = 0 then 1.0 else sin(pi() * {2 * cutoff / fs} * {x}) / (pi() * {2 * cutoff / fs} * {x}) end * (0.54 - 0.46 * cos(2 * pi() * k / {numtaps - 1})) as t from (select unnest(range({numtaps})) as k)),
+taps as (select k, t / sum(t) over () as t from sinc)
 select a.user_id, a.n, {rounded('sum(t * b.v)')} as v from ev a join taps on true join ev b on b.user_id = a.user_id and b.n = a.n - k group by a.user_id, a.n"""
 
 
@@ -247,3 +250,137 @@ def idwt_layer(rl, rh) -> str:
     return f"""with x as (select vec_id, unnest(embedding)::double as v, generate_subscripts(embedding, 1) - 1 as n from embeddings), {values('l', 'k, t', enumerate(rl[::-1]))}, {values('h', 'k, t', enumerate(rh[::-1]))},
 c as (select vec_id, (2 * n + k - {pad})::int as i, v * t as v from x join l on true where n < 32 union all select vec_id, (2 * (n - 32) + k - {pad})::int, v * t from x join h on true where n >= 32)
 select vec_id, i, {rounded('sum(v)')} as v from c where i between 0 and 63 group by vec_id, i"""
+
+
+def butterworth(cutoff: float, fs: float) -> str:
+    """Order 2, causal; the coefficients come from the tangent of half the angle, in SQL."""
+    c = f"(select c, 1 / (1 + sqrt(2) * c + c * c) as g from (select tan(pi() * {cutoff} / {fs}) as c))"
+    return f"""with recursive {EV}, k as (select c * c * g as b, 2 * (c * c - 1) * g as a1, (1 - sqrt(2) * c + c * c) * g as a2 from {c}), f as (
+  select user_id, n, v as x0, 0.0::double as x1, b * v as y0, 0.0::double as y1 from ev, k where n = 0
+  union all select ev.user_id, ev.n, ev.v, f.x0, b * (ev.v + 2 * f.x0 + f.x1) - a1 * f.y0 - a2 * f.y1, f.y0 from f join ev on ev.user_id = f.user_id and ev.n = f.n + 1 join k on true
+) select user_id, n, {rounded('y0')} as v from f"""
+
+
+def cascade(sos) -> str:
+    """Any number of sections, causal: each has two numbers of state."""
+    states = [f"{c}{i}" for i in range(len(sos)) for c in "st"]
+    inner, value = "select ev.user_id, ev.n, ev.v as v0, " + ", ".join(f"f.{x}" for x in states) + " from f join ev on ev.user_id = f.user_id and ev.n = f.n + 1", "v0"
+    for i, (b0, *_) in enumerate(sos):
+        inner, value = f"select *, {float(b0)!r} * {value} + s{i} as v{i + 1} from ({inner})", f"v{i + 1}"
+    step = ", ".join(f"({float(b1)!r}) * v{i} - ({float(a1)!r}) * v{i + 1} + t{i}, ({float(b2)!r}) * v{i} - ({float(a2)!r}) * v{i + 1}" for i, (_, b1, b2, _, a1, a2) in enumerate(sos))
+    return f"""with recursive {EV}, f as (
+  select distinct user_id, -1 as n, 0.0::double as y, {', '.join(f'0.0::double as {x}' for x in states)} from ev
+  union all select user_id, n, {value}, {step} from ({inner})
+) select user_id, n, {rounded('y')} as v from f where n >= 0"""
+
+
+def _lags(names, order: int) -> str:
+    return "[" + ", ".join(f"lag({c}, {i}) over w" if i else c for c in names for i in range(order)) + "]"
+
+
+def _recursion(order: int, state: str, step: str, digits: int) -> str:
+    """Rows ``r`` with regressors u of three channels; ``step`` gives clean and the new state from a row of r with the old state."""
+    return f"""with recursive {LI}, r as materialized (select *, {_lags(('rx', 'ry', 'rz'), order)} as u from li window w as (partition by l_suppkey order by n)), f as (
+  select distinct l_suppkey, {order - 2} as n, 0.0::double as clean, {state} from li
+  union all {step}
+) select l_suppkey, n, {rounded('clean', digits)} as clean from f where n > {order - 2} union all select l_suppkey, n, {rounded('raw', digits)} from li where n <= {order - 2}"""
+
+
+def lms_taps(mu: float, order: int, digits: int) -> str:
+    step = f"""select l_suppkey, n, raw - y, list_transform(list_zip(w, u), lambda p: p[1] + 2 * {mu} * (low - y) * p[2])
+  from (select r.l_suppkey, r.n, raw, low, u, w, list_dot_product(w, u) as y from f join r on r.l_suppkey = f.l_suppkey and r.n = f.n + 1)"""
+    return _recursion(order, f"list_transform(range({3 * order}), lambda i: 0.0::double) as w", step, digits)
+
+
+def rls_taps(lam: float, order: int, digits: int) -> str:
+    m = 3 * order
+    one = f"select r.l_suppkey, r.n, raw - list_dot_product(w, u) as clean, w, p, u, list_transform(p, lambda row: list_dot_product(row, u)) as pu from f join r on r.l_suppkey = f.l_suppkey and r.n = f.n + 1"
+    step = f"""select l_suppkey, n, clean, list_transform(list_zip(w, pu), lambda x: x[1] + x[2] / den * clean), list_transform(p, lambda row, i: list_transform(row, lambda x, j: (x - pu[i] * pu[j] / den) / {lam}))
+  from (select *, {lam} + list_dot_product(u, pu) as den from ({one}))"""
+    state = f"list_transform(range({m}), lambda i: 0.0::double) as w, list_transform(range({m}), lambda i: list_transform(range({m}), lambda j: (i = j)::int::double)) as p"
+    return _recursion(order, state, step, digits)
+
+
+def blms_taps(mu: float, block: int, order: int, digits: int) -> str:
+    """``acc`` sums the block's products; the weights move when the next block begins."""
+    step = f"""select l_suppkey, n, raw - y, w, list_transform(list_zip(acc, u), lambda p: p[1] + p[2] * (raw - y))
+  from (select *, list_dot_product(w, u) as y from (select r.l_suppkey, r.n, raw, u, case when (r.n - {order - 1}) % {block} = 0 then list_transform(list_zip(w, acc), lambda p: p[1] + {mu} / {block} * p[2]) else w end as w,
+    case when (r.n - {order - 1}) % {block} = 0 then list_transform(acc, lambda x: 0.0::double) else acc end as acc from f join r on r.l_suppkey = f.l_suppkey and r.n = f.n + 1))"""
+    zeros = f"list_transform(range({3 * order}), lambda i: 0.0::double)"
+    return _recursion(order, f"{zeros} as w, {zeros} as acc", step, digits)
+
+
+def _laguerre(order: int, beta: float, alpha: float, eps: float) -> str:
+    """The learning lattice of any order as a recursion ``f``: err, y, and of each stage reflection k and ladder h."""
+    m = range(order + 1)
+    state = [*(f"b{i}" for i in m), *(f"c{i}" for i in range(order)), *(f"q{i}" for i in m), *(f"d{i}" for i in range(order)), *(f"j{i}" for i in m)]
+    start = ", ".join(f"{eps if x[0] == 'q' else 0.0}::double as {x}" for x in state)
+    rows = "select li.l_suppkey, li.n, li.raw, li.rx, " + ", ".join(f"f.{x} as o{x}" for x in state) + " from f join li on li.l_suppkey = f.l_suppkey and li.n = f.n + 1"
+
+    def more(columns: str) -> None:
+        nonlocal rows
+        rows = f"select *, {columns} from ({rows})"
+
+    more(f"{alpha} * ob0 + sqrt(1 - {alpha} * {alpha}) * rx as f0")
+    more(f"f0 as b0, {beta} * oq0 + f0 * f0 as p0")
+    for i in range(order):
+        more(f"{'b0' if i == 0 else f'ob{i}'} + {alpha} * (oc{i} - b{i}) as c{i}")
+        more(f"{beta} * {'p0' if i == 0 else f'oq{i}'} + (f{i} * f{i} + c{i} * c{i}) / 2 as q{i}, {beta} * od{i} + f{i} * c{i} as d{i}")
+        more(f"d{i} / q{i} as k{i + 1}")
+        more(f"f{i} - k{i + 1} * c{i} as f{i + 1}, c{i} - k{i + 1} * f{i} as b{i + 1}")
+    more(f"{beta} * {'p0' if order == 0 else f'oq{order}'} + f{order} * f{order} / 2 as q{order}, raw as e0, 0.0 as y0")
+    for i in m:
+        more(f"{beta} * oj{i} + e{i} * b{i} as j{i}")
+        more(f"j{i} / q{i} as h{i + 1}")
+        more(f"e{i} - h{i + 1} * b{i} as e{i + 1}, y{i} + h{i + 1} * b{i} as y{i + 1}")
+    found = [*(f"k{i}" for i in range(1, order + 1)), *(f"h{i}" for i in range(1, order + 2))]
+    return f"""with recursive {LI}, f as (
+  select distinct l_suppkey, -1 as n, 0.0::double as err, 0.0::double as y, {', '.join(f'0.0::double as {x}' for x in found)}, {start} from li
+  union all select l_suppkey, n, e{order + 1}, y{order + 1}, {', '.join(found)}, {', '.join(state)} from ({rows}))"""
+
+
+def laguerre(order: int, beta: float, alpha: float, eps: float, digits: int) -> str:
+    return f"{_laguerre(order, beta, alpha, eps)} select l_suppkey, n, {rounded('err', digits)} as err, {rounded('y', digits)} as y from f where n >= 0"
+
+
+def laguerre_coefficients(order: int, beta: float, alpha: float, eps: float, digits: int) -> str:
+    """The state after the last sample, one row per coefficient."""
+    each = [f"select l_suppkey, {i} as n, {f'h{i}' if i else '0.0'} as h, {'null' if i > order else f'k{i}' if i else '0.0'} as k from z" for i in range(order + 2)]
+    return f"{_laguerre(order, beta, alpha, eps)}, z as (select f.* from f join (select l_suppkey, max(n) as n from li group by 1) using (l_suppkey, n)) select l_suppkey, n, {rounded('h', digits)} as h, {rounded('k', digits)} as k from ({' union all '.join(each)})"
+
+
+def regressor(order: int) -> str:
+    return f"with {LI}, u as (select l_suppkey, n, {_lags(('rx', 'ry'), order)} as u from li window w as (partition by l_suppkey order by n)) select l_suppkey, n, (generate_subscripts(u, 1) - 1)::int as i, unnest(u) as x from u where n >= {order - 1}"
+
+
+def _levels(lo, hi, levels: int) -> str:
+    """Tables x0 (the signal) to x``levels`` (approximations) and d1 to d``levels`` (details): (user_id, n, nn, v)."""
+    f = len(lo)
+    parts = ["x0 as materialized (select user_id, n, nn, v from ev)", values("lo_taps", "k, t", enumerate(lo)), values("hi_taps", "k, t", enumerate(hi))]
+    for lev in range(1, levels + 1):
+        src = f"x{lev - 1}"
+        parts.append(f"o{lev} as (select user_id, max(nn) as m, unnest(range((max(nn) + {f - 1}) // 2))::int as i, (max(nn) + {f - 1}) // 2 as nn from {src} group by user_id)")
+        for name, taps in (("x", "lo_taps"), ("d", "hi_taps")):
+            at = f"(2 * o.i + 1 - k + {2 * f} * o.m)"  # mirrored at both ends, half a sample out
+            parts.append(f"{name}{lev} as materialized (select o.user_id, o.i as n, o.nn, sum(t * s.v) as v from o{lev} o join {taps} on true join {src} s on s.user_id = o.user_id and s.n = case when {at} % (2 * o.m) < o.m then {at} % (2 * o.m) else 2 * o.m - 1 - {at} % (2 * o.m) end group by 1, 2, 3)")
+    return ", ".join(parts)
+
+
+def deep_analysis(lo, hi, levels: int) -> str:
+    bands = [f"select user_id, {levels} as level, 'a' as band, n as i, {rounded('v')} as c from x{levels}"] + [f"select user_id, {lev}, 'd', n, {rounded('v')} from d{lev}" for lev in range(levels, 0, -1)]
+    return f"with {EV}, {_levels(lo, hi, levels)} {' union all '.join(bands)}"
+
+
+def deep_denoise(lo, hi, rl, rh, levels: int, mode: str) -> str:
+    """Details of all levels by one threshold from the finest ones, hard or garrote, and back."""
+    f = len(lo)
+    kept = {"hard": "case when abs(v) < t then 0.0 else v end", "garrote": "case when abs(v) < t then 0.0 else v - t * t / v end"}[mode]
+    parts = [_levels(lo, hi, levels), values("rl_taps", "k, t", enumerate(rl)), values("rh_taps", "k, t", enumerate(rh)), "th as (select user_id, median(abs(d1.v)) / 0.6745 * sqrt(2 * ln(max(ev.nn))) as t from d1 join (select distinct user_id, nn from ev) ev using (user_id) group by 1)"]
+    low = f"x{levels}"
+    for lev in range(levels, 0, -1):
+        parts.append(f"t{lev} as (select d.user_id, d.n, {kept} as v from d{lev} d join th using (user_id))")
+        size = f"select user_id, max(nn) as nn from x{lev - 1} group by user_id"
+        part = lambda src, taps: f"select o.user_id, o.n, k.t * s.v as v from o join {taps} k on true join {src} s on s.user_id = o.user_id and 2 * s.n = o.n + {f - 2} - k.k"
+        parts.append(f"r{lev} as materialized (with o as (select user_id, unnest(range(nn))::int as n from ({size})) select user_id, n, sum(v) as v from ({part(low, 'rl_taps')} union all {part(f't{lev}', 'rh_taps')}) group by 1, 2)")
+        low = f"r{lev}"
+    return f"with {EV}, {', '.join(parts)} select user_id, n, {rounded('v')} as v from r1"
