@@ -240,13 +240,23 @@ def test_quality_rules(docs, none, spark):
     assert quality_rules.fit_ratio(none, spark.createDataFrame([], "id long"), buckets=16) == [0] * 16
 
 
-def test_ngram_ratio_against_brute_force(spark):
+def gram_hashes(text):
+    """Spark's xxhash64 of every word, and of the hashes of every two words in a row."""
+    import struct
+
     import xxhash
 
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    h = [signed(xxhash.xxh64(x.encode(), seed=42).intdigest()) for x in SPACE.split(text or "") if x]
+    pair = lambda a, b: signed(xxhash.xxh64(struct.pack("<q", b), seed=xxhash.xxh64(struct.pack("<q", a), seed=42).intdigest()).intdigest())
+    return h + [pair(*x) for x in zip(h, h[1:], strict=False)]
+
+
+def test_ngram_ratio_against_brute_force(spark):
     rows = [(0, "good good fine"), (1, "bad worse"), (2, "good fine fine")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    n, h = 64, lambda *w: (lambda s: s - (1 << 64) if s >> 63 else s)(__import__("functools").reduce(lambda seed, x: xxhash.xxh64(x.encode(), seed=seed).intdigest(), w, 42)) % 64
-    grams = lambda t: [h(x) for x in t.split()] + [h(a, b) for a, b in zip(t.split(), t.split()[1:], strict=False)]
+    n = 64
+    grams = lambda t: [h % n for h in gram_hashes(t)]
     raw, good = Counter(g for _, t in rows for g in grams(t)), Counter(g for i, t in rows if i != 1 for g in grams(t))
     ratio = [round(1e6 * math.log((good[b] + 1) / (sum(good.values()) + n) * (sum(raw.values()) + n) / (raw[b] + 1))) for b in range(n)]
     assert quality_rules.fit_ratio(df, spark.createDataFrame([(0,), (2,)], "id long"), buckets=n) == ratio
@@ -255,30 +265,54 @@ def test_ngram_ratio_against_brute_force(spark):
         assert got[i] == pytest.approx(sum(ratio[g] for g in grams(t)) / len(grams(t)) / 1e6, abs=1e-12)
 
 
-@pytest.mark.parametrize("buckets", [1, 16, 1 << 12, 1 << 18])
+@pytest.mark.parametrize("buckets", [1, 16, 1 << 12, 1 << 18, 1 << 21])
 def test_sliced_table_gives_the_verdicts_of_the_whole_one(spark, docs, none, buckets):
+    if buckets == 1 << 21:  # places of more than 16 bits
+        rows = [(i, " ".join(f"w{j}" for j in range(i, i + 40))) for i in range(40)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
     trusted = spark.createDataFrame([(i,) for i in range(0, 40, 2)] + [(None,), (7,), (7,)], "id long")
     want = quality_rules.judge(docs, quality_rules.fit_ratio(docs, trusted, buckets=buckets)).collect()
-    got = quality_rules.rule(docs, trusted, buckets=buckets).collect()
+    got = quality_rules.rule(docs, trusted, buckets=buckets, heads=0).collect()
     assert got[0].asDict().keys() == want[0].asDict().keys()
-    assert Counter(map(tuple, got)) == Counter(map(tuple, want)) and len(got) == len(corpus())
+    assert Counter(map(tuple, got)) == Counter(map(tuple, want)) and len(got) == docs.count()
     assert quality_rules.rule(none, trusted).count() == 0
     assert {r.llr for r in quality_rules.rule(docs, trusted.limit(0)).collect()} == {0.0}
 
 
-def test_ngram_table_grows_with_the_input(spark):
+@pytest.mark.parametrize(("heads", "slots", "buckets", "broadcast_ids"), [(40, 256, 64, 1 << 20), (40, 256, 1 << 17, 3), (256, 256, 16, 1 << 20), (1000, 1 << 12, 32, 3)])
+def test_heavy_slots_against_brute_force(spark, docs, heads, slots, buckets, broadcast_ids):
+    """A bucket for each of the heaviest slots, and buckets for the rest, counted one n-gram at a time."""
+    good_ids = set(range(0, 40, 2))
+    got = quality_rules.rule(docs, spark.createDataFrame([(i,) for i in good_ids], "id long"), buckets=buckets, heads=heads, slots=slots, broadcast_ids=broadcast_ids).collect()
+    slot = lambda h: (h % (1 << 64)) >> (64 - slots.bit_length() + 1)
+    grams = [gram_hashes(t) for _, t, *_ in corpus()]
+    weight = Counter(slot(h) for g in grams for h in g)
+    heavy = set(sorted(weight, key=lambda x: (-weight[x], x))[:heads])
+    bucket = lambda h: ("heavy", slot(h)) if slot(h) in heavy else ("rest", h % buckets)
+    raw, good = Counter(bucket(h) for g in grams for h in g), Counter(bucket(h) for g, (d, *_) in zip(grams, corpus(), strict=True) for h in g if d in good_ids)
+    n_t, n_r = (sum(c.values()) + buckets + len(heavy) for c in (good, raw))
+    ratio = lambda b: round(1e6 * math.log((good[b] + 1) / n_t * n_r / (raw[b] + 1)))
+    want = Counter((d, round(sum(ratio(bucket(h)) for h in g) / max(1, len(g)) / 1e6, 9)) for g, (d, *_) in zip(grams, corpus(), strict=True))
+    assert Counter((r.doc_id, round(r.llr, 9)) for r in got) == want
+
+
+def test_ngram_table_grows_with_the_input(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(quality_rules, "n_slices", lambda n: asked.append(n) or 16)
     words = F.expr("concat_ws(' ', transform(sequence(1, 50), i -> concat('w', id * 50 + i)))")
     for rows, n in ((1_000, 99_000), (20_000, 1_980_000)):  # distinct words and pairs
-        buckets = quality_rules.n_buckets(spark.range(rows).select(words.alias("text")).unionAll(spark.range(rows).select(words.alias("text"))))
-        assert 10 < n / buckets < 40
-    assert [quality_rules.slice_bits(1 << b) for b in (0, 4, 15, 20, 22, 26, 30)] == [0, 0, 11, 16, 16, 20, 20]
+        half = spark.range(rows).select(F.col("id").alias("doc_id"), words.alias("text"))
+        quality_rules.rule(half.unionAll(half), spark.range(10), heads=0)
+        assert 10 < n / asked[-1] < 40
+    monkeypatch.undo()
+    assert [quality_rules.n_slices(1 << b) for b in (0, 2, 8, 20, 24, 26, 30)] == [1, 4, 16, 16, 16, 64, 1024]
 
 
 def test_every_trusted_id_counts(spark, docs):
     few, many = spark.range(0, 40, 2), spark.range(0, 1_200_000).where("id >= 40 or id % 2 = 0")
     few, many = few.unionAll(spark.range(1000, 1001)), many.where("id < 40 or id >= 1000")  # the corpus has no ids from 1000
     assert quality_rules.fit_ratio(docs, many, buckets=256) == quality_rules.fit_ratio(docs, few, buckets=256)
-    got, want = (Counter(map(tuple, quality_rules.rule(docs, t, buckets=256).collect())) for t in (many, few))
+    got, want = (Counter(map(tuple, quality_rules.rule(docs, t, buckets=256, broadcast_ids=n).collect())) for t, n in ((many, 1000), (few, 1 << 20)))
     assert got == want
 
 
