@@ -272,40 +272,23 @@ def test_sliced_table_gives_the_verdicts_of_the_whole_one(spark, docs, none, buc
         docs = spark.createDataFrame(rows, "doc_id long, text string")
     trusted = spark.createDataFrame([(i,) for i in range(0, 40, 2)] + [(None,), (7,), (7,)], "id long")
     want = quality_rules.judge(docs, quality_rules.fit_ratio(docs, trusted, buckets=buckets)).collect()
-    got = quality_rules.rule(docs, trusted, buckets=buckets, heads=0).collect()
+    got = quality_rules.rule(docs, trusted, buckets=buckets).collect()
     assert got[0].asDict().keys() == want[0].asDict().keys()
     assert Counter(map(tuple, got)) == Counter(map(tuple, want)) and len(got) == docs.count()
     assert quality_rules.rule(none, trusted).count() == 0
     assert {r.llr for r in quality_rules.rule(docs, trusted.limit(0)).collect()} == {0.0}
 
 
-@pytest.mark.parametrize(("heads", "slots", "buckets", "broadcast_ids"), [(40, 256, 64, 1 << 20), (40, 256, 1 << 17, 3), (256, 256, 16, 1 << 20), (1000, 1 << 12, 32, 3)])
-def test_heavy_slots_against_brute_force(spark, docs, heads, slots, buckets, broadcast_ids):
-    """A bucket for each of the heaviest slots, and buckets for the rest, counted one n-gram at a time."""
-    good_ids = set(range(0, 40, 2))
-    got = quality_rules.rule(docs, spark.createDataFrame([(i,) for i in good_ids], "id long"), buckets=buckets, heads=heads, slots=slots, broadcast_ids=broadcast_ids).collect()
-    slot = lambda h: (h % (1 << 64)) >> (64 - slots.bit_length() + 1)
-    grams = [gram_hashes(t) for _, t, *_ in corpus()]
-    weight = Counter(slot(h) for g in grams for h in g)
-    heavy = set(sorted(weight, key=lambda x: (-weight[x], x))[:heads])
-    bucket = lambda h: ("heavy", slot(h)) if slot(h) in heavy else ("rest", h % buckets)
-    raw, good = Counter(bucket(h) for g in grams for h in g), Counter(bucket(h) for g, (d, *_) in zip(grams, corpus(), strict=True) for h in g if d in good_ids)
-    n_t, n_r = (sum(c.values()) + buckets + len(heavy) for c in (good, raw))
-    ratio = lambda b: round(1e6 * math.log((good[b] + 1) / n_t * n_r / (raw[b] + 1)))
-    want = Counter((d, round(sum(ratio(bucket(h)) for h in g) / max(1, len(g)) / 1e6, 9)) for g, (d, *_) in zip(grams, corpus(), strict=True))
-    assert Counter((r.doc_id, round(r.llr, 9)) for r in got) == want
-
-
 def test_ngram_table_grows_with_the_input(spark, monkeypatch):
     asked = []
     monkeypatch.setattr(quality_rules, "n_slices", lambda n: asked.append(n) or 16)
     words = F.expr("concat_ws(' ', transform(sequence(1, 50), i -> concat('w', id * 50 + i)))")
     for rows, n in ((1_000, 99_000), (20_000, 1_980_000)):  # distinct words and pairs
         half = spark.range(rows).select(F.col("id").alias("doc_id"), words.alias("text"))
-        quality_rules.rule(half.unionAll(half), spark.range(10), heads=0)
+        quality_rules.rule(half.unionAll(half), spark.range(10))
         assert 10 < n / asked[-1] < 40
     monkeypatch.undo()
-    assert [quality_rules.n_slices(1 << b) for b in (0, 2, 8, 20, 24, 26, 30)] == [1, 4, 16, 16, 16, 64, 1024]
+    assert [quality_rules.n_slices(1 << b) for b in (0, 2, 8, 20, 25, 26, 30)] == [1, 4, 8, 8, 8, 16, 256]
 
 
 def test_every_trusted_id_counts(spark, docs):

@@ -1,22 +1,20 @@
 """Quality rules: base counts of the text and a hashed n-gram log-likelihood ratio, in DataFrame functions only.
 
-Words and word pairs fall into hash buckets. The most frequent n-grams, those of the ``HEADS`` heaviest of ``SLOTS`` hash
-slots, have a bucket per slot; all others share a power of two of buckets that leaves about ``PER_BUCKET`` distinct n-grams
-to each (``n_buckets``, from the number of distinct n-grams with hashes in one of ``PART`` classes, counted over all
-documents), so the table grows with the corpus. Two
+Words and word pairs fall into hash buckets, a power of two of them that leaves about ``PER_BUCKET`` distinct n-grams to
+each (``n_buckets``, from an approximate distinct count of all n-grams), so the table grows with the corpus. Two
 multinomials over the buckets are counted, one from trusted documents and one from the whole raw corpus, both smoothed by
-one; a document's verdict is the mean over all its n-grams of log(p_trusted / p_raw), held against a fixed threshold. Every
-trusted id counts, every document counts and gets its verdict from every one of its n-grams, and the ratios are whole
-micro-nats, so sums don't depend on their order. Which slots are heaviest is judged from documents with about ``SAMPLE``
-n-grams, chosen by their hashes; that decides which bucket an n-gram is counted in, not whether it is.
-
-Scale: counts of the heavy slots combine on the map side, and their ratios go to the documents in a broadcast of at most
-``HEADS`` rows. The rest of the table is cut into slices of consecutive buckets (``n_slices``). A document sends each slice its places
-there, packed, in one shuffle; counts, ratios and the documents' sums are then found slice by slice, and one light row per
-document and slice goes back. Trusted ids are broadcast up to ``BROADCAST_IDS`` of them; beyond that, texts meet them
-in a shuffled join. The row of a document is known by a 63-bit hash of its id and text (a billion documents have
-0.05 clashes to be expected). All work on a text is linear in its length or sorts its words. ``fit_ratio`` and ``judge``
-do the same with a table of a given, small size as a constant of the plan.
+one; a document's verdict is the mean over all its n-grams of log(p_trusted / p_raw), held against a fixed threshold.
+Nothing is sampled: every trusted id counts, every document counts and gets its verdict from every one of its n-grams, and
+the ratios are whole micro-nats, so sums don't depend on their order.
+
+Scale: the table is cut into slices of consecutive buckets (``n_slices``). A document sends each slice its places there,
+packed into two or three bytes each, in one shuffle; counts, ratios and the documents' sums are then found slice by slice,
+and one light row per document and slice goes back. A table of up to 2^25 buckets (some 8 GB of text) has 8 slices, a larger one
+slices of 2^22, which a task holds in memory; as slices grow in number, a document sends more and smaller rows. Trusted ids are
+broadcast up to ``BROADCAST_IDS`` of them; beyond that, texts meet them in a shuffled join. The row of a document is known
+by a 63-bit hash of its id and text (a billion documents have 0.05 clashes to be expected). All work on a text is linear in
+its length or sorts its words. ``fit_ratio`` and ``judge`` do the same with a table of a given, small size as a constant
+of the plan.
 
 Defined results: null text has no words, fails the base rules and is dropped. A text without n-grams has ratio 0. Without
 trusted documents the verdict is the base rules'. Rows that repeat an id are judged each; the trusted mark belongs to
@@ -33,7 +31,6 @@ from pyspark.sql import functions as F
 from tidewave.llm.common import WHITE, cut, let, skew_join, text_of
 
 PER_BUCKET, THRESHOLD = 20, -0.1
-HEADS, SLOTS, SAMPLE, PART = 1 << 17, 1 << 21, 1 << 24, 1 << 10
 BROADCAST_IDS = 1 << 21
 FEW = 64
 
@@ -113,8 +110,8 @@ def n_buckets(distinct: int) -> int:
 
 
 def n_slices(buckets: int) -> int:
-    """16 slices of up to 2^20 buckets each, more of 2^20."""
-    return min(buckets, max(16, buckets >> 20))
+    """8 slices of up to 2^22 buckets each, more of 2^22."""
+    return min(buckets, max(8, buckets >> 22))
 
 
 def _marks(trusted_ids: DataFrame) -> DataFrame:
@@ -149,73 +146,41 @@ def judge(docs: DataFrame, ratio: list[int], id_col: str = "doc_id", text_col: s
     return _verdict(rows.withColumn("llr", mean), id_col, threshold)
 
 
-def _slot(h: Column, slots: int) -> Column:
-    return F.shiftrightunsigned(h, 64 - (slots.bit_length() - 1)).cast("int")
-
-
-def _bits(chosen: DataFrame, slots: int) -> Column:
-    """The chosen slots as a constant of the plan, a bit each: an array of slots / 64 numbers."""
-    own = chosen.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, slot & 63)")).alias("bits"))
-    words = chosen.sparkSession.range(slots >> 6).select(F.col("id").cast("int").alias("word")).join(own, "word", "left").select("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
-    line = F.array_join(F.sort_array(F.collect_list(F.struct("word", "bits")))["bits"], ",")
-    return F.split(F.lit(words.agg(line).first()[0]), ",").cast("array<long>")
-
-
 def _ratio(t: str, r: str, n_t: int, n_r: int) -> Column:
     return F.round(1e6 * F.log((F.col(t) + 1) / F.lit(n_t) * F.lit(n_r) / (F.col(r) + 1))).cast("int")
 
 
-def rule(
-    docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
-    buckets: int | None = None, heads: int = HEADS, slots: int = SLOTS, sample: int = SAMPLE, broadcast_ids: int = BROADCAST_IDS,
-) -> DataFrame:
-    """As ``judge``, by the ratios of ``docs`` and ``trusted_ids`` themselves, with a table as large as the data ask for; ``slots`` is a power of two, 64 or more."""
+def rule(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, buckets: int | None = None, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """As ``judge``, by the ratios of ``docs`` and ``trusted_ids`` themselves, with a table as large as the data ask for."""
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("uid", F.xxhash64("id", "text"))
     marks = _marks(trusted_ids)
     few = marks.limit(broadcast_ids + 1).count() <= broadcast_ids
     marked = rows.join(F.broadcast(marks), "id", "left") if few else cut(skew_join(rows, marks, ["id"], "left"))
     marked = marked.select("text", "uid", F.coalesce("trusted", F.lit(0)).alias("trusted"))
-
-    total = marked.agg(F.sum(let(F.size(words_of(F.col("text"))), lambda n: F.greatest(2 * n - 1, F.lit(0))).cast("long"))).first()[0] or 0
-    some = marked.where(F.pmod(F.xxhash64(F.lit(1), "uid"), F.lit(1 << 20)) < math.ceil((1 << 20) * min(1.0, sample / max(1, total))))
-    weights = _exploded(some).groupBy(_slot(F.col("h"), slots).alias("slot")).count()
-    chosen = cut(weights.orderBy(F.desc("count"), "slot").limit(heads).select("slot"))
-
-    # One count by key: the slot of a heavy n-gram, -1 for all others, but for a part of the hashes one key per n-gram
-    heavy = F.broadcast(chosen.withColumn("heavy", F.lit(True)))
-    h = F.col("h")
-    others = F.when(h.bitwiseAND(F.lit(PART - 1)) == 0, -2 - F.shiftrightunsigned("h", PART.bit_length() - 1)).otherwise(F.lit(-1))
-    keys = _exploded(marked, "trusted").withColumn("slot", _slot(h, slots)).join(heavy, "slot", "left")
-    counts = cut(keys.groupBy(F.when(F.col("heavy"), F.col("slot").cast("long")).otherwise(others).alias("key")).agg(F.sum("trusted").alias("t"), F.count("*").alias("r")))
-    distinct, of_trusted, n_heads = counts.agg(F.count_if(F.col("key") < -1) * PART, F.coalesce(F.sum("t"), F.lit(0)), F.count_if(F.col("key") >= 0)).first()
+    distinct, total, of_trusted = _exploded(marked, "trusted").agg(F.approx_count_distinct("h"), F.count("*"), F.sum("trusted")).first()
     if not of_trusted:
         return judge(docs, [0], id_col, text_col, threshold)
     buckets = buckets or n_buckets(distinct)
-    n_t, n_r = of_trusted + buckets + n_heads, total + buckets + n_heads
-    ratios = F.broadcast(counts.where("key >= 0").select(F.col("key").cast("int").alias("slot"), _ratio("t", "r", n_t, n_r).alias("x")))  # ``heads`` rows at most
-    found = _exploded(rows, "uid").withColumn("slot", _slot(h, slots)).join(ratios, "slot")
-    of_heads = found.groupBy(F.shiftright("uid", 1).alias("key")).agg(F.sum("x").alias("s"), F.count("*").alias("n"))
-    bits_of = _bits(chosen, slots)
-    is_heavy = lambda x: F.getbit(bits_of[F.shiftright(_slot(x, slots), 6)], _slot(x, slots).bitwiseAND(F.lit(63))) == 1
+    n_t, n_r = of_trusted + buckets, total + buckets
 
     slices = n_slices(buckets)
     bits, low = (buckets // slices).bit_length() - 1, 1 << 15  # places in a slice go as 16 bits and, where there are more, the bits above them
     of = lambda g: F.shiftright(g, bits).cast("int")
     place = lambda g: g.bitwiseAND(F.lit((1 << bits) - 1))
     short = lambda p: (p.bitwiseAND(F.lit(0xFFFF)) - low).cast("short")
-    above = lambda a: F.transform(a, lambda p: F.shiftright(p, 16).cast("byte")) if bits > 16 else F.lit(None).cast("array<byte>")
+    above = lambda a: F.transform(a, lambda x: F.shiftright(place(x), 16).cast("byte")) if bits > 16 else F.lit(None).cast("array<byte>")
 
     def pieces(g: Column) -> Column:
         starts = F.filter(_upto(0, F.size(g) - 1), lambda i: (i == 0) | (of(F.get(g, i)) != of(F.get(g, i - 1))))
-        packed = lambda first, own: F.struct(of(first).alias("slice"), F.transform(own, lambda x: short(place(x))).alias("at"), above(F.transform(own, place)).alias("up"))
+        packed = lambda first, own: F.struct(of(first).alias("slice"), F.transform(own, lambda x: short(place(x))).alias("at"), above(own).alias("up"))
         piece = lambda b: F.transform(b, lambda i, j: packed(F.get(g, i), F.slice(g, i + 1, F.coalesce(F.get(b, j + 1), F.size(g)) - i)))
         return let(starts, piece)
 
     # Rows of two kinds meet in a slice: a document's places, and every place once (no document). A document goes by its
     # uid's upper bits, the lowest says whether it is trusted: so both readers of the shuffle want the same columns and share it.
     tag = F.col("uid").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("trusted").cast("long")).alias("tag")
-    rest = let(_ngrams(words_of(F.col("text"))), lambda g: F.sort_array(F.transform(F.filter(g, lambda x: ~is_heavy(x)), lambda h: F.pmod(h, F.lit(buckets)))))
-    places = marked.select(tag, let(rest, pieces).alias("pieces")).select("tag", F.inline("pieces"))
+    every_place = F.sort_array(F.transform(_ngrams(words_of(F.col("text"))), lambda h: F.pmod(h, F.lit(buckets))))
+    places = marked.select(tag, let(every_place, pieces).alias("pieces")).select("tag", F.inline("pieces"))
     all_of = F.sequence(F.lit(0), F.lit((1 << bits) - 1))
     every = docs.sparkSession.range(slices).select(F.lit(None).cast("long").alias("tag"), F.col("id").cast("int").alias("slice"), F.transform(all_of, short).alias("at"), above(all_of).alias("up"))
     sliced = places.unionAll(every).repartition("slice")
@@ -228,8 +193,6 @@ def rule(
     by_place = opened.groupBy("slice", "p").agg(F.sum(F.coalesce(F.col("tag").bitwiseAND(F.lit(1)), F.lit(0))).alias("t"), F.count("tag").alias("r"))
     tables = by_place.groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("p", _ratio("t", "r", n_t, n_r).alias("x"))))["x"].alias("table"))
     read = sliced.join(tables.hint("shuffle_hash"), "slice").select("tag", "table", "up", F.posexplode_outer("at").alias("i", "p"))
-    of_rest = read.groupBy(F.shiftright("tag", 1).alias("key")).agg(F.sum(F.get("table", at)).alias("s"), F.count("p").alias("n"))
-
-    sums = of_heads.unionByName(of_rest).groupBy("key").agg((F.sum("s") / F.sum("n") / 1e6).alias("llr"))
+    sums = read.groupBy(F.shiftright("tag", 1).alias("key")).agg((F.sum(F.get("table", at)) / F.count("p") / 1e6).alias("llr"))
     base = base_counts(rows.withColumn("key", F.shiftright("uid", 1)), "text").drop("text", "words")
     return _verdict(skew_join(base, sums, ["key"], "left").withColumn("llr", F.coalesce("llr", F.lit(0.0))), id_col, threshold)
