@@ -150,6 +150,13 @@ def _ratio(t: str, r: str, n_t: int, n_r: int) -> Column:
     return F.round(1e6 * F.log((F.col(t) + 1) / F.lit(n_t) * F.lit(n_r) / (F.col(r) + 1))).cast("int")
 
 
+def _ranks(g: Column, bits: int, slices: int) -> Column:
+    """How many numbers of a sorted array lie below k * 2^bits, for k = 0, ..., ``slices``: by steps of halving size."""
+    steps = F.transform(F.sequence(F.floor(F.log2(F.greatest(F.size(g), F.lit(1)))).cast("int"), F.lit(0), F.lit(-1)), lambda e: F.call_function("shiftleft", F.lit(1), e))
+    below = lambda v, s: F.aggregate(s, F.lit(0), lambda at, n: F.when((at + n <= F.size(g)) & (F.get(g, at + n - 1) < v), at + n).otherwise(at))
+    return let(steps, lambda s: F.transform(F.sequence(F.lit(0), F.lit(slices)), lambda k: below(F.call_function("shiftleft", k.cast("long"), F.lit(bits)), s)))
+
+
 def rule(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, buckets: int | None = None, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """As ``judge``, by the ratios of ``docs`` and ``trusted_ids`` themselves, with a table as large as the data ask for."""
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("uid", F.xxhash64("id", "text"))
@@ -157,7 +164,8 @@ def rule(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_c
     few = marks.limit(broadcast_ids + 1).count() <= broadcast_ids
     marked = rows.join(F.broadcast(marks), "id", "left") if few else cut(skew_join(rows, marks, ["id"], "left"))
     marked = marked.select("text", "uid", F.coalesce("trusted", F.lit(0)).alias("trusted"))
-    distinct, total, of_trusted = _exploded(marked, "trusted").agg(F.approx_count_distinct("h"), F.count("*"), F.sum("trusted")).first()
+    one_of = F.when(F.col("h").bitwiseAND(F.lit(15)) == 0, F.col("h"))  # of every 16 hashes one: as exact for a large corpus, and cheaper
+    distinct, total, of_trusted = _exploded(marked, "trusted").agg(F.approx_count_distinct(one_of) * 16, F.count("*"), F.sum("trusted")).first()
     if not of_trusted:
         return judge(docs, [0], id_col, text_col, threshold)
     buckets = buckets or n_buckets(distinct)
@@ -165,21 +173,22 @@ def rule(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_c
 
     slices = n_slices(buckets)
     bits, low = (buckets // slices).bit_length() - 1, 1 << 15  # places in a slice go as 16 bits and, where there are more, the bits above them
-    of = lambda g: F.shiftright(g, bits).cast("int")
-    place = lambda g: g.bitwiseAND(F.lit((1 << bits) - 1))
-    short = lambda p: (p.bitwiseAND(F.lit(0xFFFF)) - low).cast("short")
-    above = lambda a: F.transform(a, lambda x: F.shiftright(place(x), 16).cast("byte")) if bits > 16 else F.lit(None).cast("array<byte>")
+    short = lambda x: (x.bitwiseAND(F.lit((1 << min(16, bits)) - 1)) - low).cast("short")
+    upper_bits = lambda x: F.shiftright(x, 16).bitwiseAND(F.lit((1 << max(0, bits - 16)) - 1)).cast("byte")
+    above = lambda a: F.transform(a, upper_bits) if bits > 16 else F.lit(None).cast("array<byte>")
 
     def pieces(g: Column) -> Column:
-        starts = F.filter(_upto(0, F.size(g) - 1), lambda i: (i == 0) | (of(F.get(g, i)) != of(F.get(g, i - 1))))
-        packed = lambda first, own: F.struct(of(first).alias("slice"), F.transform(own, lambda x: short(place(x))).alias("at"), above(own).alias("up"))
-        piece = lambda b: F.transform(b, lambda i, j: packed(F.get(g, i), F.slice(g, i + 1, F.coalesce(F.get(b, j + 1), F.size(g)) - i)))
-        return let(starts, piece)
+        def cut_at(ends: Column) -> Column:
+            own = lambda k: F.slice(g, F.get(ends, k) + 1, F.get(ends, k + 1) - F.get(ends, k))
+            piece = lambda k: let(own(k), lambda x: F.struct(k.alias("slice"), F.transform(x, short).alias("at"), above(x).alias("up")))
+            return F.transform(F.filter(F.sequence(F.lit(0), F.lit(slices - 1)), lambda k: F.get(ends, k) < F.get(ends, k + 1)), piece)
+
+        return let(_ranks(g, bits, slices), cut_at)
 
     # Rows of two kinds meet in a slice: a document's places, and every place once (no document). A document goes by its
     # uid's upper bits, the lowest says whether it is trusted: so both readers of the shuffle want the same columns and share it.
     tag = F.col("uid").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("trusted").cast("long")).alias("tag")
-    every_place = F.sort_array(F.transform(_ngrams(words_of(F.col("text"))), lambda h: F.pmod(h, F.lit(buckets))))
+    every_place = F.sort_array(F.transform(_ngrams(words_of(F.col("text"))), lambda h: h.bitwiseAND(F.lit(buckets - 1))))  # buckets is a power of two
     places = marked.select(tag, let(every_place, pieces).alias("pieces")).select("tag", F.inline("pieces"))
     all_of = F.sequence(F.lit(0), F.lit((1 << bits) - 1))
     every = docs.sparkSession.range(slices).select(F.lit(None).cast("long").alias("tag"), F.col("id").cast("int").alias("slice"), F.transform(all_of, short).alias("at"), above(all_of).alias("up"))
