@@ -47,7 +47,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """As ``cut``, but as Parquet: for wide rows that are read again a few columns at a time."""
+    """As ``cut``, but as Parquet: for wide rows that are read again a few columns at a time, and for joins upon joins.
+
+    A checkpoint hands on the planner's estimate of its size, and a join's estimate is the product of its sides', so after
+    a few joins and rounds the estimate alone has millions of digits and fills the driver. Files are of a known size.
+    Use ``cut`` where row numbers are given to what was written: a checkpoint's partitions are the same at every read.
+    """
     folder = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(folder)
     _written.append(folder)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewave.llm.common import cut, skew_join
+from tidewave.llm.common import skew_join, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -25,15 +25,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, comp) for every id on an edge; ``comp`` is the smallest id that can be reached.
 
     Hubs with very many edges are only ever reduced by ``min`` (with map-side combining) or met in joins that adaptive
-    execution can split; nothing is gathered on the driver but a count and a checksum per round.
+    execution can split; nothing is gathered on the driver but a count and a checksum per round. Rounds go through written
+    tables, see ``stored``.
     """
     e = edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
-    e = cut(e)
+    e = stored(e)
     seen = None
     while True:
         mark = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen or mark[0] == 0:
             break
         seen = mark
-        e = cut(_small_star(_large_star(e)))
+        e = stored(_small_star(_large_star(e)))
     return e.select(F.col("b").alias("id"), F.col("a").alias("comp")).unionByName(e.select(F.col("a").alias("id"), F.col("a").alias("comp")).distinct())

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewave.llm.common import cut, skew_join, text_of
+from tidewave.llm.common import cut, skew_join, stored, text_of
 from tidewave.llm.components import components
 
 N_PERM, ROWS = 120, 6
@@ -218,7 +218,7 @@ def _apart(rest: DataFrame, own: DataFrame, facts: DataFrame, width: int, percen
     dealt = dealt.select("lead", "id", "comp", "blk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("with"))
     dealt = dealt.select("lead", "id", "comp", F.least("blk", "with").alias("i"), F.greatest("blk", "with").alias("j"))
     texts = skew_join(dealt, own, ["id"])
-    return cut(texts.groupBy("lead", "i", "j").applyInPandas(_links_of_block(width, percent), "a long, b long").distinct())
+    return stored(texts.groupBy("lead", "i", "j").applyInPandas(_links_of_block(width, percent), "a long, b long").distinct())
 
 
 def _linked(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
@@ -234,42 +234,42 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
 
     classes = full.groupBy("digest").agg(F.min("id").alias("rep"))
     member = skew_join(full.select("id", "doc", "h", "n", "digest"), classes, ["digest"]).select("id", "doc", "h", "n", "rep")
-    heads = cut(skew_join(full, classes, ["digest"]).where("id = rep").drop("rep", "digest"))
+    heads = stored(skew_join(full, classes, ["digest"]).where("id = rep").drop("rep", "digest"))
 
     spread = heads.select("id", F.explode("bands").alias("key"))
     shared = spread.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("key", "lead")
-    spread = cut(skew_join(spread, shared, ["key"]))
+    spread = stored(skew_join(spread, shared, ["key"]))
 
     facts = heads.select("id", "n", "s0", "s1", "s2", "s3")
     wanted = skew_join(heads.select("id", "doc", "h"), spread.select("id").distinct().withColumn("hit", F.lit(1)), ["id"]).drop("hit")
     own = skew_join(texts, wanted, ["doc", "h"]).select("id", "text")  # id and hash name a text: hashes are only compared under one id
     if not full.groupBy("doc", "h").count().where("count > 1").isEmpty():
         own = own.groupBy("id").agg(F.first("text").alias("text"))
-    own = cut(own)
+    own = stored(own)
     alike = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m) and bit_count(s0 ^ t0) + bit_count(s1 ^ t1) + bit_count(s2 ^ t2) + bit_count(s3 ^ t3) <= {differ}")
     other = facts.select(F.col("id").alias("b"), F.col("n").alias("m"), *(F.col(f"s{i}").alias(f"t{i}") for i in range(4)))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         with_a = skew_join(pairs, own.select(F.col("id").alias("a"), F.col("text").alias("x")), ["a"])
         both = skew_join(with_a, own.select(F.col("id").alias("b"), F.col("text").alias("y")), ["b"])
-        return cut(both.select("a", "b", "x", "y").mapInArrow(_confirm(width, percent), "a long, b long").distinct())
+        return stored(both.select("a", "b", "x", "y").mapInArrow(_confirm(width, percent), "a long, b long").distinct())
 
     star = spread.where("id <> lead").select(F.col("lead").alias("b"), F.col("id").alias("a")).distinct()
     star = skew_join(skew_join(star, facts.withColumnRenamed("id", "a"), ["a"]), other, ["b"]).where(alike).select("a", "b").distinct()
     links = confirmed(star)
-    comp = cut(components(links))
+    comp = stored(components(links))
 
     rest = skew_join(spread.where("id <> lead"), comp, ["id"], "left").select("key", "lead", "id", F.coalesce("comp", "id").alias("comp"))
     mixed = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    rest = cut(skew_join(rest, mixed, ["key"]).select("lead", "id", "comp").distinct())
+    rest = stored(skew_join(rest, mixed, ["key"]).select("lead", "id", "comp").distinct())
     if not rest.isEmpty():
         more = _apart(rest, own, facts, width, percent)
         if not more.isEmpty():
-            comp = cut(components(comp.where("id <> comp").select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(more)))
+            comp = stored(components(comp.where("id <> comp").select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(more)))
 
     named = skew_join(member.withColumnRenamed("rep", "node"), comp.withColumnRenamed("id", "node"), ["node"], "left")
     named = named.select("id", "doc", "h", "n", F.coalesce("comp", F.col("node")).alias("comp"))
-    return cut(named.unionByName(signed.where("n = 0").select("id", "doc", "h", "n", F.col("id").alias("comp"))))
+    return stored(named.unionByName(signed.where("n = 0").select("id", "doc", "h", "n", F.col("id").alias("comp"))))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -282,7 +282,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     several = linked.where("doc is not null").groupBy("doc").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("doc", "lo")
     if not several.isEmpty():  # one id, texts of several components
         through = skew_join(linked.select("doc", "comp").distinct(), several, ["doc"]).select(F.col("comp").alias("a"), F.col("lo").alias("b"))
-        merged = cut(components(through)).select(F.col("comp").alias("into"), F.col("id").alias("comp"))
+        merged = stored(components(through)).select(F.col("comp").alias("into"), F.col("id").alias("comp"))
         linked = skew_join(linked, merged, ["comp"], "left").withColumn("comp", F.coalesce("into", "comp")).drop("into")
     least = linked.groupBy("comp").agg(F.min("doc").alias("component_id"), F.min("id").alias("first"))
     kept = F.coalesce(F.col("doc") == F.col("component_id"), F.col("component_id").isNull() & (F.col("id") == F.col("first")))
@@ -298,7 +298,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = _linked(docs, id_col, text_col, width, percent).where("n > 0").select("doc", "h", "comp")
     first = skew_join(rows, rows.groupBy("comp").agg(F.min("doc").alias("d"), F.count("*").alias("c")).where("c > 1"), ["comp"])
     best = first.where("doc <=> d").groupBy("comp").agg(F.min("h").alias("best"))
-    judged = cut(skew_join(first, best, ["comp"]).select("doc", "h", (F.col("doc").eqNullSafe(F.col("d")) & (F.col("h") == F.col("best"))).alias("stays")))
+    judged = stored(skew_join(first, best, ["comp"]).select("doc", "h", (F.col("doc").eqNullSafe(F.col("d")) & (F.col("h") == F.col("best"))).alias("stays")))
     key = lambda doc, h: F.struct(doc.alias("doc"), h.alias("h")).alias("key")
     own = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), key(F.col(id_col).cast("long"), F.xxhash64(text_of(text_col))))
     gone = judged.where("not stays").select(key(F.col("doc"), F.col("h"))).distinct()
