@@ -5,11 +5,11 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewave.llm import licenses, mixing, packing, quality_model, quality_rules, secrets, toxicity, warc
-from tidewave.llm.common import shared_dir
+from tidewave.llm import byte_bpe, hard_negatives, licenses, mixing, packing, periodic_runs, quality_model, quality_rules, secrets, toxicity, warc
+from tidewave.llm.common import WHITE, let, shared_dir, text_of
 from tidewave.llm.exact_dedup import exact_dedup
 from tidewave.llm.near_dedup import near_duplicates
 
@@ -68,6 +68,45 @@ def op10_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = byte_bpe.read_ranks(spark, "file://" + public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    both = byte_bpe.decode(byte_bpe.encode(_table(spark, sf_dir, "documents"), ranks), ranks)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.expr("case when vec_id % 7 = 0 then (label + 1) % 10 else label end")
+    return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"), F.expr("vec_id % 50 = 0"), label)
+
+
+def planted(doc_id: Column, text: Column) -> Column:
+    """One document in ten with words that repeat from some place on: where crc32(doc_id) ends in 0, as its other digits say."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(w: Column) -> Column:
+        def at(x: Column) -> Column:
+            return F.transform(w, lambda v, i: F.when(i < x["a"], v).otherwise(F.get(w, (x["a"] + (i - x["a"]) % x["p"]).cast("int"))))
+
+        a = g % F.size(w)
+        return F.array_join(let(F.struct(a.alias("a"), (1 + F.floor((F.size(w) - a) / (3 + g % 8))).alias("p")), at), " ")
+
+    words = F.array_remove(F.split(text, WHITE + "+", -1), "")
+    return F.when(h % 10 == 0, let(words, lambda w: F.when(F.size(w) > 0, repeated(w)).otherwise(""))).otherwise(text)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = periodic_runs.find_runs(docs.select("doc_id", planted(F.col("doc_id"), text_of("text")).alias("text")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("n"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    out = found.withColumn("m", longest).select("doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("m.s")).alias("start"), F.col("m.n").alias("length"), (-F.col("m.p")).alias("period"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+    return out.withColumn("exponent_milli", F.expr("1000 * length div period"))
+
+
 OP2_SQL = r"""
 with n as (
   select doc_id, coalesce(text, '') as t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as norm from documents
@@ -90,6 +129,22 @@ from p left join f on p.d = f.d and p.n >= 100
 """
 
 
+OP12_SQL = """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as e
+  from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select a.vec_id as anchor_id, r.vec_id as id, a.label = r.label as same, list_dot_product(a.e, r.e)::bigint as score
+  from v a join v r on a.vec_id % 50 = 0 and a.vec_id <> r.vec_id
+), p as (
+  select anchor_id, id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, id) <= 5
+)
+select p.anchor_id, positive_id, (row_number() over w)::int as rank, id as negative_id, positive_score, score as negative_score
+from p join s on s.anchor_id = p.anchor_id and not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+window w as (partition by p.anchor_id, positive_id order by score desc, id) qualify row_number() over w <= 3
+"""
+
+
 def _quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
@@ -134,9 +189,10 @@ def queries() -> dict:
     found = (
         op1_best_fit_packing, op2_exact_dedup, op3_ngram_ratio_rules, op4_temperature_mixing, op5_minhash_near_dedup,
         op6_secret_ledger, op7_ordinal_toxicity, op8_warc_round_trip, op9_license_scan, op10_fourier_quality,
+        op11_byte_bpe, op12_hard_negatives, op13_periodic_runs,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op6_secret_ledger": op6_sql(), "op8_warc_round_trip": OP8_SQL, "op9_license_scan": op9_sql()}
+    return {"op2_exact_dedup": OP2_SQL, "op6_secret_ledger": op6_sql(), "op8_warc_round_trip": OP8_SQL, "op9_license_scan": op9_sql(), "op12_hard_negatives": OP12_SQL}
