@@ -1,16 +1,20 @@
-"""Static filters. Order statistics, means and short FIR filters are windows; recurrences and transforms are grouped maps."""
+"""Static filters. Order statistics, means, FIR filters and wavelets are windows; recurrences and decompositions are grouped maps.
+
+Where signals are long, ``block`` sets a number of samples: then signals are numbered and filtered in blocks of so many
+(``operators.blocks``), and no task holds a whole one. Results are the same. Without it a signal is one task's.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewave.functions import design, kernels
-from tidewave.operators.signal import gathered, indexed, per_signal
+from tidewave.operators import blocks, wavelets
+from tidewave.operators.signal import indexed, per_signal
 
 #: Up to so many taps a FIR filter is a window expression; longer ones are a convolution per signal.
 WINDOW_TAPS = 64
@@ -25,13 +29,21 @@ def _fits(width: int, what: str) -> Column:
     return F.when(F.col("nn") < width, F.raise_error(F.lit(f"{what}: {width} samples, more than the signal has")).cast("int")).otherwise(F.col("n"))
 
 
-def _frame(key: str, half: int):
-    return Window.partitionBy(key).orderBy("at").rowsBetween(-half, half)
+def _rows(df: DataFrame, key: str, order, value, block: int | None) -> DataFrame:
+    return indexed(df, key, order, {"v": value}) if block is None else blocks.numbered(df, key, order, {"v": value}).withColumns({"n": F.col("n").cast("int"), "nn": F.col("nn").cast("int")})
+
+
+def _framed(rows: DataFrame, key: str, block: int | None, before: int, after: int) -> tuple:
+    """The rows, their window by ``at``, and which of them are results."""
+    if block is None:
+        return rows, Window.partitionBy(key).orderBy("at"), F.col("at") == F.col("n")
+    rows = blocks.spread(rows, "at", block, before, after)
+    return rows, Window.partitionBy(key, "block").orderBy("at"), (F.col("at") == F.col("n")) & blocks.own("at", block)
 
 
-def moving_average(df: DataFrame, key: str, order, value, smooth_interval: int = 2) -> DataFrame:
+def moving_average(df: DataFrame, key: str, order, value, smooth_interval: int = 2, block: int | None = None) -> DataFrame:
     """(key, n, v): centred mean over an odd window, the signal mirrored at its ends; under 2 nothing changes."""
-    rows = indexed(df, key, order, {"v": value})
+    rows = _rows(df, key, order, value, block)
     if smooth_interval < 2:
         return rows.select(key, "n", "v")
     width = _odd(smooth_interval)
@@ -39,15 +51,15 @@ def moving_average(df: DataFrame, key: str, order, value, smooth_interval: int =
     n, last = F.col("n"), F.col("nn") - 1
     mirrored = F.array(_fits(width, "smooth_interval"), F.when((n >= 1) & (n <= half), -n), F.when((n < last) & (n >= last - half), 2 * last - n))
     rows = rows.select(key, "n", "nn", "v", F.explode(F.array_compact(mirrored)).alias("at"))
-    mean = F.avg("v").over(_frame(key, half))
-    return rows.withColumn("v", mean).where("at = n").select(key, "n", "v")
+    rows, w, result = _framed(rows, key, block, half, half)
+    return rows.withColumn("v", F.avg("v").over(w.rowsBetween(-half, half))).where(result).select(key, "n", "v")
 
 
-def moving_median(df: DataFrame, key: str, order, value, window_size: int = 2) -> DataFrame:
+def moving_median(df: DataFrame, key: str, order, value, window_size: int = 2, block: int | None = None) -> DataFrame:
     """(key, n, v): centred median over an odd window, zeros beyond the ends."""
     width = _odd(window_size)
     half = width // 2
-    rows = indexed(df, key, order, {"v": value})
+    rows = _rows(df, key, order, value, block)
     n, last = F.col("n"), F.col("nn") - 1
     if half:
         pads = F.concat(F.when(n == 0, F.sequence(F.lit(-half), F.lit(-1))).otherwise(F.array().cast("array<int>")), F.when(n == last, F.sequence(F.col("nn"), last + half)).otherwise(F.array().cast("array<int>")))
@@ -55,26 +67,56 @@ def moving_median(df: DataFrame, key: str, order, value, window_size: int = 2) -
     else:
         rows = rows.withColumn("at", _fits(width, "window_size"))
     rows = rows.withColumn("v", F.when(F.col("at") == F.col("n"), F.col("v")).otherwise(0.0))
-    median = F.expr("percentile(v, 0.5)").over(_frame(key, half))
-    return rows.withColumn("m", median).where("at = n").select(key, "n", F.col("m").alias("v"))
+    rows, w, result = _framed(rows, key, block, half, half)
+    median = F.expr("percentile(v, 0.5)").over(w.rowsBetween(-half, half))
+    return rows.withColumn("m", median).where(result).select(key, "n", F.col("m").alias("v"))
 
 
-def fir_filter(df: DataFrame, key: str, order, value, numtaps: int, cutoff, width=None, window="hamming", pass_zero=True, scale=True, fs=None, zero_phase=True) -> DataFrame:
+def fir_filter(df: DataFrame, key: str, order, value, numtaps: int, cutoff, width=None, window="hamming", pass_zero=True, scale=True, fs=None, zero_phase=True, block: int | None = None) -> DataFrame:
     """(key, n, v): window-method FIR, forward and backward by default.
 
     Causal and up to ``WINDOW_TAPS`` taps: a weighted sum of lags. Otherwise a convolution per signal in Arrow batches,
     which took 0.9 s where ``fir_zero_phase_window``, the same as one window sum, took 2 s (11 taps, 100,000 samples).
+    In blocks: the sum of lags, or beyond ``WINDOW_TAPS`` overlap-save; both directions are one filter of nearly twice as
+    many taps, but for signals shorter than the filter, which are filtered one by one.
     """
     taps = design.fir_taps(numtaps, cutoff, width, window, pass_zero, scale, fs)
+    if block is not None:
+        return _fir_blocks(df, key, order, value, taps, zero_phase, block)
     if zero_phase:
         return per_signal(df, key, order, {"v": value}, ["v"], lambda v: {"v": kernels.fir_zero_phase(taps, v)})
     if taps.size > WINDOW_TAPS:
         return per_signal(df, key, order, {"v": value}, ["v"], lambda v: {"v": kernels.fir(taps, v)})
-    w = Window.partitionBy(key).orderBy("n")
+    return _lag_sum(indexed(df, key, order, {"v": value}), Window.partitionBy(key).orderBy("n"), taps).select(key, "n", "v")
+
+
+def _lag_sum(rows: DataFrame, w, taps: np.ndarray) -> DataFrame:
     total = F.lit(float(taps[0])) * F.col("v")
     for i, t in enumerate(taps[1:].tolist(), 1):
         total = total + F.lit(t) * F.lag("v", i, 0.0).over(w)
-    return indexed(df, key, order, {"v": value}).select(key, "n", total.alias("v"))
+    return rows.withColumn("v", total)
+
+
+def _fir_blocks(df: DataFrame, key: str, order, value, taps: np.ndarray, zero_phase: bool, block: int) -> DataFrame:
+    rows, reach = blocks.numbered(df, key, order, {"v": value}), taps.size - 1
+    if zero_phase:
+        both = np.convolve(taps, taps[::-1])
+        short = per_signal(rows.where(F.col("nn") <= reach), key, "n", {"v": "v"}, ["v"], lambda v: {"v": kernels.fir_zero_phase(taps, v)})
+        long = blocks.odd_edges(rows.where(F.col("nn") > reach), key, reach).select(key, (F.col("at") - reach).alias("at"), "v")
+        return _causal_blocks(long, key, both, block).unionByName(short)
+    before = F.when(F.col("n") == 0, F.sequence(F.lit(-reach), F.lit(0))).otherwise(F.array(F.lit(0)))
+    long = rows.select(key, "n", "v", F.explode(before).alias("by")).select(key, (F.col("n") + F.col("by")).alias("at"), F.when(F.col("by") == 0, F.col("v")).otherwise(0.0).alias("v"))
+    return _causal_blocks(long, key, taps, block)
+
+
+def _causal_blocks(rows: DataFrame, key: str, taps: np.ndarray, block: int) -> DataFrame:
+    """(key, n, v) of (key, at, v), where all of the filter's taps but one stand before place 0."""
+    if taps.size > WINDOW_TAPS:
+        out = blocks.convolved(rows, key, taps, block)
+    else:
+        met = blocks.spread(rows, "at", block, taps.size - 1, 0)
+        out = _lag_sum(met, Window.partitionBy(key, "block").orderBy("at"), taps).where(blocks.own("at", block) & (F.col("at") >= 0)).withColumnRenamed("at", "n")
+    return out.select(key, F.col("n").cast("int").alias("n"), "v")
 
 
 def fir_zero_phase_window(df: DataFrame, key: str, order, value, taps: Sequence[float]) -> DataFrame:
@@ -94,52 +136,38 @@ def fir_zero_phase_window(df: DataFrame, key: str, order, value, taps: Sequence[
     return rows.select(key, "n", "at", total.alias("v")).where("at = n").select(key, "n", "v")
 
 
-def iir_filter(df: DataFrame, key: str, order, value, filter_order: int, Wn, rp=None, rs=None, btype="lowpass", analog=False, fs=None, ftype="butter", zero_phase=True) -> DataFrame:  # noqa: N803
-    """(key, n, v): Butterworth, Chebyshev or elliptic sections, forward and backward by default."""
+def iir_filter(df: DataFrame, key: str, order, value, filter_order: int, Wn, rp=None, rs=None, btype="lowpass", analog=False, fs=None, ftype="butter", zero_phase=True, block: int | None = None) -> DataFrame:  # noqa: N803
+    """(key, n, v): Butterworth, Chebyshev, elliptic or Bessel sections, forward and backward by default."""
     sos = design.iir_sections(filter_order, Wn, rp, rs, btype, analog, fs, ftype)
+    if block is not None:
+        return blocks.sections_filter(df, key, order, value, sos, zero_phase, block)
     run = kernels.sos_zero_phase if zero_phase else kernels.sos_filter
     return per_signal(df, key, order, {"v": value}, ["v"], lambda v: {"v": run(sos, v)})
 
 
-def wavelet_denoising(df: DataFrame, key: str, order, value, wavelet="db4", level=1, mode="soft") -> DataFrame:
+def wavelet_denoising(df: DataFrame, key: str, order, value, wavelet="db4", level=1, mode="soft", block: int | None = None) -> DataFrame:
     """(key, n, v): details thresholded at sigma sqrt(2 ln N), sigma from the finest ones."""
-    design.filter_bank(wavelet)
-    return per_signal(df, key, order, {"v": value}, ["v"], lambda v: {"v": kernels.wavelet_denoise(v, wavelet, level, mode)})
+    return wavelets.denoised(df, key, order, value, wavelet, level, mode, block)
 
 
-def wavelet_baseline_removal(df: DataFrame, key: str, order, value, wavelet="db8", level=9) -> DataFrame:
+def wavelet_baseline_removal(df: DataFrame, key: str, order, value, wavelet="db8", level=9, block: int | None = None) -> DataFrame:
     """(key, n, v): the signal without its approximation band."""
-    design.filter_bank(wavelet)
-    return per_signal(df, key, order, {"v": value}, ["v"], lambda v: {"v": kernels.wavelet_baseline(v, wavelet, level)})
+    return wavelets.without_baseline(df, key, order, value, wavelet, level, block)
 
 
-def dwt_analysis(df: DataFrame, key: str, order, value, wavelet="db4", level=1) -> DataFrame:
+def dwt_analysis(df: DataFrame, key: str, order, value, wavelet="db4", level=1, block: int | None = None) -> DataFrame:
     """(key, level, band, i, c): all coefficients; band a is the approximation at the deepest level."""
-    design.filter_bank(wavelet)
-    kind = df.schema[key].dataType.simpleString()
-    labels = [(level, "a"), *((lev, "d") for lev in range(level, 0, -1))]
+    return wavelets.coefficients(df, key, order, value, wavelet, level, block)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                parts = kernels.decompose(batch.column(1)[row].values.to_numpy(zero_copy_only=False), wavelet, level)
-                sizes = [c.size for c in parts]
-                keys = batch.column(0).take(pa.array(np.full(sum(sizes), row)))
-                bands = [pa.array(np.repeat([x[i] for x in labels], sizes)) for i in (0, 1)]
-                at = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
-                yield pa.RecordBatch.from_arrays([keys, bands[0].cast(pa.int32()), bands[1], pa.array(at), pa.array(np.concatenate(parts))], names=[key, "level", "band", "i", "c"])
 
-    return gathered(df, key, order, {"v": value}).mapInArrow(run, f"`{key}` {kind}, level int, band string, i int, c double")
+def dwt_synthesis(coeffs: DataFrame, key: str, wavelet="db4", levels: int | None = None, block: int | None = None) -> DataFrame:
+    """(key, n, v) from the rows of ``dwt_analysis``; a signal of odd length comes back one sample longer.
 
-
-def dwt_synthesis(coeffs: DataFrame, key: str, wavelet="db4") -> DataFrame:
-    """(key, n, v) from the rows of ``dwt_analysis``; a signal of odd length comes back one sample longer."""
-    depth = F.when(F.col("band") == "a", -F.col("level") - 1).otherwise(-F.col("level"))  # deepest first, the approximation before all
-
-    def back(v: np.ndarray, depth: np.ndarray) -> dict[str, np.ndarray]:
-        return {"v": kernels.recompose(np.split(v, np.flatnonzero(np.diff(depth)) + 1), wavelet)}
-
-    return per_signal(coeffs.withColumn("depth", depth), key, ["depth", "i"], {"v": "c", "depth": F.col("depth")}, ["v"], back)
+    ``levels`` is the deepest level; without it the rows are asked for it.
+    """
+    if levels is None:
+        levels = coeffs.agg(F.max("level")).first()[0] or 1
+    return wavelets.signal_of(coeffs, key, wavelet, levels, block)
 
 
 def emd_denoising(df: DataFrame, key: str, order, value, max_imf=6, noise_components=3) -> DataFrame:
