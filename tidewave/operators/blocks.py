@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewave.functions import kernels, sections
-from tidewave.operators.signal import _checked, names
+from tidewave.operators.signal import checked, names
 from tidewave.sources.written import written
 
 #: Samples in a block, where the caller asks for blocks without a size.
@@ -29,7 +29,7 @@ FAN = 1 << 12
 def numbered(df: DataFrame, key: str, order: str | Sequence[str], values: dict[str, Column | str]) -> DataFrame:
     """(key, n, nn, values...) as ``signal.indexed``, with no signal in one task. Null values and tied orders are errors."""
     at = F.struct(*(F.col(c).alias(f"o{i}") for i, c in enumerate(names(order)))).alias("at")
-    rows = df.select(F.col(key).alias("k"), at, *(_checked(v, k) for k, v in values.items()))
+    rows = df.select(F.col(key).alias("k"), at, *(checked(v, k) for k, v in values.items()))
     # equal (k, at) go to one range, so a tie is seen within it
     rows = written(rows.repartitionByRange("k", "at").withColumn("part", F.spark_partition_id()))
     sizes = rows.groupBy("k", "part").agg(F.count("*").alias("c"))

@@ -15,7 +15,8 @@ def names(x: str | Sequence[str]) -> list[str]:
     return [x] if isinstance(x, str) else list(x)
 
 
-def _checked(value: Column | str, name: str) -> Column:
+def checked(value: Column | str, name: str) -> Column:
+    """The value as a double, named; a null is an error."""
     return F.coalesce((F.col(value) if isinstance(value, str) else value).cast("double"), F.raise_error(F.lit(f"null in {name}")).cast("double")).alias(name)
 
 
@@ -24,7 +25,7 @@ def indexed(df: DataFrame, key: str, order: str | Sequence[str], values: dict[st
     at = F.struct(*names(order))
     w = Window.partitionBy(key).orderBy(*names(order))
     n = F.when(at.eqNullSafe(F.lag(at).over(w)), F.raise_error(F.lit("tied order")).cast("int")).otherwise(F.row_number().over(w) - 1)
-    return df.select(F.col(key), n.alias("n"), F.count("*").over(Window.partitionBy(key)).cast("int").alias("nn"), *(_checked(v, k) for k, v in values.items()))
+    return df.select(F.col(key), n.alias("n"), F.count("*").over(Window.partitionBy(key)).cast("int").alias("nn"), *(checked(v, k) for k, v in values.items()))
 
 
 def from_arrays(df: DataFrame, key: str, value: str = "v") -> DataFrame:
@@ -38,11 +39,11 @@ def gathered(df: DataFrame, key: str, order: str | Sequence[str], inputs: dict[s
     Only key, order and inputs are shuffled, and all is put together, sorted and checked in the JVM.
     """
     at = F.struct(*(F.col(c).alias(f"o{i}") for i, c in enumerate(names(order)))).alias("__at")
-    picked = df.select(F.col(key).alias("__key"), at, *(_checked(v, k) for k, v in inputs.items()))
+    picked = df.select(F.col(key).alias("__key"), at, *(checked(v, k) for k, v in inputs.items()))
     whole = picked.groupBy("__key").agg(F.sort_array(F.collect_list(F.struct("__at", *inputs))).alias("r"))
     tied = F.exists(F.sequence(F.lit(1), F.size("r") - 1), lambda i: F.col("r")[i]["__at"].eqNullSafe(F.col("r")[i - 1]["__at"]))
-    checked = F.when((F.size("r") > 1) & tied, F.raise_error(F.lit("tied order")).cast(whole.schema["r"].dataType)).otherwise(F.col("r"))
-    return whole.withColumn("r", checked).select("__key", *(F.col(f"r.{k}").alias(k) for k in inputs))
+    in_order = F.when((F.size("r") > 1) & tied, F.raise_error(F.lit("tied order")).cast(whole.schema["r"].dataType)).otherwise(F.col("r"))
+    return whole.withColumn("r", in_order).select("__key", *(F.col(f"r.{k}").alias(k) for k in inputs))
 
 
 #: Signals step together in groups of so many samples, so that memory is bounded.

@@ -11,7 +11,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewave.functions import design, kernels
+from tidewave.functions import design
 from tidewave.operators import adaptive, cycles, losses, networks, signal, static
 from tidewave.plans import sql_oracles as sql
 from tidewave.sources.tables import events, lines, table
@@ -81,7 +81,7 @@ def _scc(spark, d):
 
 
 def _resample(spark, d):
-    return tidy(signal.per_signal(events(spark, d), *EV, {"v": "value"}, ["v"], lambda v: {"v": kernels.fourier_resample(v, 64)}), "v")
+    return tidy(cycles.resample(events(spark, d), *EV, "value", 64), "v")
 
 
 def _swt(spark, d):
