@@ -12,7 +12,6 @@ import __spark_entry__
 from tidewave.functions import design, kernels
 from tidewave.operators import adaptive, cycles, losses, networks, signal, static
 from tidewave.plans import signal_queries
-from tidewave.streaming import causal
 
 SF = "/root/testdata/sf0.001"
 rng = np.random.default_rng(7)
@@ -471,31 +470,3 @@ def test_losses(spark):
     assert df.agg(losses.focal_loss("x", "y", 0.5).alias("l")).first().l == pytest.approx(want)
     pairs = spark.createDataFrame([(1.0, 2.0), (0.0, -1.0)], "p double, t double")
     assert pairs.agg(losses.improved_mse("p", "t").alias("l")).first().l == pytest.approx((1 * 5 + 1 * 3) / 2)
-
-
-def test_stream_states_match_batch():
-    ref, raw = rng.standard_normal((3, 90)), rng.standard_normal(90)
-    sos = design.iir_sections(4, 40, fs=250)
-    cuts = [(0, 3), (3, 40), (40, 41), (41, 90)]
-    joined = lambda f, *a: np.concatenate([f.push(*(x[..., s:e] for x in a)) for s, e in cuts])
-    assert np.allclose(joined(causal.SosStream(sos), raw), kernels.sos_filter(sos, raw))
-    assert np.allclose(joined(causal.LmsStream(3, 5, 0.01), raw, raw, ref), kernels.lms(raw, raw, ref, 0.01))
-    assert np.allclose(joined(causal.RlsStream(), raw, raw, ref), kernels.rls(raw, ref))
-    assert np.allclose(joined(causal.BlmsStream(3, 8, 0.01, 10), raw, raw, ref), kernels.blms(raw, ref, 10, 0.01, 8))
-    assert np.allclose(joined(causal.LatticeStream(3, 0.99, 0.4), raw, raw, ref[:1]), kernels.lattice(ref[0], raw, 3, 0.99, 0.4)[0])
-    assert np.allclose(joined(causal.FusionStream(), raw, raw, ref), kernels.hybrid(raw, ref)[0])
-
-
-def test_stream(spark, tmp_path):
-    x = rng.standard_normal(60)
-    src = tmp_path / "in"
-    src.mkdir()
-    for i, (s, e) in enumerate([(0, 25), (25, 60)]):
-        pd.DataFrame({"k": 1, "t": range(s, e), "v": x[s:e]}).to_json(src / f"{i}.json", orient="records", lines=True)
-        os.utime(src / f"{i}.json", (i, i))
-    sos = design.iir_sections(2, 40, fs=250)
-    stream = spark.readStream.schema("k long, t long, v double").option("maxFilesPerTrigger", 1).json(str(src))
-    query = causal.iir_stream(stream, "k", "t", "v", sos).writeStream.format("memory").queryName("clean").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    got = spark.table("clean").orderBy("t").toPandas()
-    assert np.allclose(got["clean"], kernels.sos_filter(sos, x))
