@@ -34,6 +34,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,10 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 PAST = 3
 #: Characters of a text, and bytes of a piece, that are encoded without halving.
 CHUNK, LEAF = 1 << 14, 64
+#: Bytes that are merged as they are.
+SHORT = 6
+#: Marks that often follow a word.
+MARKS = frozenset(".,;:!?")
 CACHE, CACHED_CHARS = 1 << 19, 64
 MAX_TOKENS = 1 << 21
 
@@ -72,8 +77,8 @@ class Encoder:
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.split = regex.compile(PATTERN).findall
         self.loose, self.cut = regex.compile(r" (?!\S)").search, regex.compile(r" (?=\S)").split
-        self.pieces = Known(self.piece)
-        self.agree = lru_cache(1 << 16)(self._agree)
+        self.pieces, self.short = Known(self.piece), Known(self.merge)
+        self.two = lru_cache(CACHE)(self._two)
 
     # ---- byte strings of one piece ----
 
@@ -114,29 +119,33 @@ class Encoder:
                 heapq.heappush(heap, (rank, k, stop))
         return [ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
 
-    def _agree(self, a: int, b: int) -> bool:
-        return self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+    def _two(self, a: int, b: int) -> list[int]:
+        return self.merge(self.bytes_of[a] + self.bytes_of[b])
 
     def text(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
     def join_tokens(self, left: list[int], right: list[int]) -> list[int]:
+        if not left or not right:
+            return left + right
+        two = self.two
+        middle = two(left[-1], right[0])
         x = y = 1
-        while left and right:
-            x, y = min(x, len(left)), min(y, len(right))
-            middle = self.merge(self.text(left[-x:]) + self.text(right[:y]))
-            first = x == len(left) or self.agree(left[-x - 1], middle[0])
-            last = y == len(right) or self.agree(middle[-1], right[y])
+        while True:
+            first = x >= len(left) or two(left[-x - 1], middle[0])[0] == left[-x - 1]
+            last = y >= len(right) or two(middle[-1], right[y])[-1] == right[y]
             if first and last:
                 return left[:-x] + middle + right[y:]
-            x, y = x if first else 2 * x, y if last else 2 * y
-        return left + right
+            x, y = x if first else min(2 * x, len(left)), y if last else min(2 * y, len(right))
+            middle = self.merge(self.text(left[-x:]) + self.text(right[:y]))
 
     def tokens(self, piece: bytes) -> list[int]:
-        """The left half is the greatest power of two, so that the parts of a repeated character fit together at once."""
-        if len(piece) <= self.leaf:
-            return self.merge(piece)
-        half = 1 << ((len(piece) - 1).bit_length() - 1)
+        """Halves are looked up or halved again. A long piece's left half is the greatest power of two, so that the parts of a
+        repeated character fit together at once."""
+        n = len(piece)
+        if n <= SHORT:
+            return self.short[piece]
+        half = n // 2 if n <= self.leaf else 1 << ((n - 1).bit_length() - 1)
         return self.join_tokens(self.tokens(piece[:half]), self.tokens(piece[half:]))
 
     def piece(self, piece: str) -> bytes:
@@ -190,17 +199,27 @@ class Encoder:
             return b"".join(self.encode(text)[1])
         first, *others = self._cut(text)
         pieces, span = self.pieces, self._span
-        return span(first) + b"".join([pieces[" " + x] if x.isalpha() else span(" " + x) for x in others])  # letters are one piece
+        out = [span(first)]
+        add = out.append
+        for x in others:
+            if x.isalpha():  # one piece, as it is known without the pattern
+                add(pieces[" " + x])
+            elif x[-1] in MARKS and x[:-1].isalpha():  # two
+                add(pieces[" " + x[:-1]])
+                add(pieces[x[-1]])
+            else:
+                add(span(" " + x))
+        return b"".join(out)
 
 
 class Known(dict):
     """Strings and their ids, looked up or found."""
 
-    def __init__(self, find: Callable[[str], bytes]) -> None:
+    def __init__(self, find: Callable) -> None:
         super().__init__()
         self.find = find
 
-    def __missing__(self, x: str) -> bytes:
+    def __missing__(self, x: str | bytes) -> bytes | list[int]:
         ids = self.find(x)
         if len(x) <= CACHED_CHARS:
             if len(self) >= CACHE:
@@ -239,16 +258,26 @@ def decode(tokens: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") ->
         raise ValueError("a column is named like the result, decoded: rename it")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bytes_of = {rank: token for token, rank in shared.value.items()}
+        size = max(shared.value.values()) + 1
+        table: list[bytes | None] = [None] * size
+        for token, rank in shared.value.items():
+            table[rank] = token
+        vocabulary = pa.array(table, pa.large_binary())
         for whole in parts:
             for start in range(0, whole.num_rows, TOGETHER):
                 batch = whole.slice(start, TOGETHER)
                 lists = batch.column(batch.schema.get_field_index(ids_col))
-                try:
-                    out = [b"".join(map(bytes_of.__getitem__, x.values.to_pylist())) if x.is_valid else b"" for x in lists]
-                except KeyError as unknown:
-                    raise ValueError(f"id {unknown.args[0]} is not in the vocabulary") from None
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
+                ids = lists.flatten()  # of lists that aren't null
+                known = pc.fill_null(pc.and_(pc.less(ids, size), pc.greater_equal(ids, 0)), False)
+                tokens = vocabulary.take(pc.if_else(known, ids, 0))
+                if tokens.null_count or not pc.all(known).as_py():
+                    odd = next(i for i in ids.to_pylist() if i is None or not 0 <= i < size or table[i] is None)
+                    raise ValueError(f"id {odd} is not in the vocabulary")
+                # the tokens' bytes already stand one after the other: a text's are those from its first token to its last
+                ends = np.cumsum([0, *(n or 0 for n in lists.value_lengths().to_pylist())])
+                places = np.frombuffer(tokens.buffers()[1], np.int64, len(tokens) + 1) if len(tokens) else np.zeros(1, np.int64)
+                out = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(places[ends].tobytes()), tokens.buffers()[2]])
+                yield pa.RecordBatch.from_arrays([*batch.columns, out.cast(pa.binary())], names=[*batch.schema.names, "decoded"])
 
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema.fields)
     return tokens.mapInArrow(run, f"{names}, decoded binary")
