@@ -45,12 +45,12 @@ def _fill(room: int, left: list[int], counts: dict[int, int]) -> int:
     return used
 
 
-def _open(size: int, left: list[int], counts: dict[int, int], lengths: tuple[int, ...], overhead: float) -> int:
-    """The permitted length to open for a piece of ``size``; ``left``: the shorter lengths still to come."""
+def _open(size: int, todo: int, left: list[int], counts: dict[int, int], lengths: tuple[int, ...], overhead: float) -> int:
+    """The permitted length to open for a piece of ``size``, of which ``todo`` are to come; ``left``: the shorter lengths still to come."""
     best = None
     for cap in lengths:
         if cap >= size:
-            own = min(counts[size], cap // size) * size
+            own = min(todo, cap // size) * size
             used = own + _fill(cap - own, left, counts)
             shrunk = next(c for c in lengths if c >= used)
             price = ((shrunk + overhead) / used, cap)
@@ -82,9 +82,9 @@ def plan(histogram: dict[int, int], lengths: tuple[int, ...] = LENGTHS, overhead
                     del bins[room]
                     rooms.pop(at)
             else:
-                room = _open(size, left, counts, lengths, overhead)
-                each = room // size
-                first, number = n_bins, -(-todo // each)
+                room = _open(size, todo, left, counts, lengths, overhead)
+                # the next bins are opened alike as long as the pieces of this length still to come could fill any bin
+                first, number = n_bins, max(0, todo - lengths[-1] // size) // (room // size) + 1
                 n_bins += number
                 used.append((first, number, room))
             each = room // size
@@ -166,11 +166,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens
                 inside = rank[mine] - first[run]
                 bins[mine] = b[run] + inside // k[run]
                 offset[mine] = offsets[int(size)][run] + inside % k[run] * size
-            none = pa.array(bins < 0)
             total = filled[np.maximum(np.searchsorted(edges, bins, "right") - 1, 0)] if len(edges) else np.zeros(n.size, np.int64)
             cap = caps[np.minimum(np.searchsorted(caps, total), len(caps) - 1)]
-            out = [pa.array(x, pa.int64(), mask=np.asarray(bins < 0)) for x in (bins, offset, total, cap)]
-            del none
+            out = [pa.array(x, pa.int64(), mask=bins < 0) for x in (bins, offset, total, cap)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), *out], names=[id_col, "piece", "start", "n_tokens", "bin_id", "bin_offset", "bin_used", "bin_length"])
 
     return ranked.mapInArrow(place, f"`{id_col}` {kind}, piece long, start long, n_tokens long, bin_id long, bin_offset long, bin_used long, bin_length long")
