@@ -11,8 +11,8 @@ The same input gives the same bytes: the edges of the shards come from records c
 proportion to their bytes, dates are fixed, and a record's id is made of page id, payload digest and its number among the
 records that have both in common.
 
-Payloads of at least ``min_revisit`` bytes that were seen with a smaller id are written as ``revisit`` records without
-a block, which name the response; their length is in the header. Reading back checks every digest.
+Of equal payloads of at least ``min_revisit`` bytes one record, of the smallest id, is the response; the others are written
+as ``revisit`` records without a block, which name it; their length is in the header. Reading back checks every digest.
 
 Scale: the duplicates are found by a map-side combined aggregate over digests and joined to ids only, so that a hot
 digest is split; payloads are shuffled once, into shards of about ``shard_bytes``, of which there are at most
@@ -21,7 +21,9 @@ payloads of one id or of the null id. A shard is streamed: no task holds more th
 The driver sees ``EDGE_SAMPLE`` keys a shard. Files go to any folder that pyarrow's file systems reach (file, hdfs, ...).
 
 Defined results: null html counts as empty; null url is written as ``about:blank``; null ids sort first and are written
-without an id; rows that repeat an id, or all of a row, are records of their own. Line breaks in urls are percent-escaped.
+without an id; rows that repeat an id, or all of a row, are records of their own, and of those with one payload that the
+smallest id has only the first by url is a response. Rows without an id revisit the response; where no row with their payload has
+an id, nothing could name a response, and all are responses. Line breaks in urls are percent-escaped.
 An empty table gives an empty manifest. Extra columns are ignored.
 """
 
@@ -87,7 +89,7 @@ def _member(raw: bytes) -> bytes:
 _MANIFEST = "shard long, part long, temp string, name string, bytes long, records long, first_id long, last_id long, sha256 string"
 
 
-def _shards(folder: str, roll_bytes: int):
+def _shards(folder: str, roll_bytes: int, min_revisit: int):
     schema = pa.schema([("shard", pa.int64()), ("part", pa.int64()), ("temp", pa.string()), ("name", pa.string()), ("bytes", pa.int64()), ("records", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +117,10 @@ def _shards(folder: str, roll_bytes: int):
                 key = (s, p, digest[i].as_py())
                 r = mark[3] if mark[:3] == key else None
                 last, number = key, number + 1 if key == last else 0
-                data = _member(record(p, url[i].as_py(), html[i].as_py().encode(), key[2], r, number))
+                payload = html[i].as_py().encode()
+                if r is None and number and p is not None and len(payload) >= min_revisit:
+                    r = p  # the response is the first of the rows that share id and payload
+                data = _member(record(p, url[i].as_py(), payload, key[2], r, number))
                 if now.get("shard") != s or now["bytes"] >= roll_bytes:
                     yield from close()
                     part = now["part"] + 1 if now.get("shard") == s else 0
@@ -150,11 +155,12 @@ def _commit(folder: str):
 
 
 def revisits(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """(page_id, digest, refers_to) for payloads that a smaller id has too; refers_to is the smallest. Payloads stay where they are."""
+    """(page_id, digest, refers_to) for payloads that a smaller id, or for a null id any id, has too; refers_to is the smallest. Payloads stay where they are."""
     light = pages.select(F.col(id_col).cast("long").alias("page_id"), F.octet_length(text_of(html_col)).alias("size"), F.sha2(text_of(html_col), 256).alias("digest"))
-    light = light.where((F.col("size") >= min_revisit) & F.col("page_id").isNotNull()).select("page_id", "digest")
-    first = light.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("refers_to < last").select("digest", "refers_to")
-    return skew_join(light, first, ["digest"]).where("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
+    light = light.where(F.col("size") >= min_revisit).select("page_id", "digest")
+    first = light.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last"), F.count("*").alias("rows"), F.count("page_id").alias("named"))
+    first = first.where("refers_to < last or named > 0 and named < rows").select("digest", "refers_to")
+    return skew_join(light, first, ["digest"]).where("page_id is null or page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def _edges(rows: DataFrame, n_shards: int, total: int) -> list[tuple[int, int, str]]:
@@ -217,7 +223,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     marks = revisits(pages, id_col, html_col, min_revisit).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "refers_to")
     rows = rows.unionByName(marks).withColumn("shard", shard_of(F.col("page_id").cast("string"), F.col("digest")) if edges else F.lit(0))
     placed = rows.repartitionById(n_shards, F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", F.col("html").isNotNull(), "url").select("shard", "page_id", "url", "html", "digest", "refers_to")
-    placed.mapInArrow(_shards(folder, roll_bytes), _MANIFEST).write.parquet(f"{folder}/journal")
+    placed.mapInArrow(_shards(folder, roll_bytes, min_revisit), _MANIFEST).write.parquet(f"{folder}/journal")
     return _publish(spark, folder)
 
 
