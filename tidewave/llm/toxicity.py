@@ -9,7 +9,7 @@ Scale: the model is fitted on the driver from at most ``max_train`` labelled row
 same ones at every run) and holds at most ``max_features`` weights; near copies in the sample count once. Scoring is one
 pass over the texts without a shuffle.
 
-Defined results: null text counts as empty; empty text has the base severity of a row without features. Without any
+Defined results: null text counts as empty; empty text has the base severity of a row without features and is never toxic. Without any
 toxic label every row has severity 0. Labels without an id or a grade are not used, and of labels or documents that
 repeat an id the largest label and the smallest text count in training. Other columns are ignored and may have any name.
 """
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tidewave.llm.common import cut, text_of
 
 MAX_TRAIN, MAX_FEATURES, LEAST = 20_000, 4_096, 4
-GRADES = (2, 4)
+GRADES, RIDGE = (2, 4), 1e-5
 _WORD = re.compile(r"[^\W\d_]+")
 _MASK = (1 << 21) - 1  # the bit above it marks beginnings
 _BATCH = 512
@@ -61,9 +61,10 @@ class Model:
 
 
 def _cut(s: np.ndarray, toxic: np.ndarray, strict: float = 4.0) -> float:
-    """The w.x from which on a row counts as toxic: highest (share of toxic rows found) - strict * (share of clean rows hit), in the middle of a gap."""
+    """The w.x from which on a row counts as toxic: highest (share of toxic rows found) - strict * (share of clean rows hit), in the middle of a
+    gap, and above 0: a text without any telling word is never toxic."""
     at = np.unique(s)
-    mids = np.concatenate([(at[1:] + at[:-1]) / 2, at[-1:] + 1])
+    mids = np.maximum(np.concatenate([(at[1:] + at[:-1]) / 2, at[-1:] + 1]), 1e-9)
     found = lambda x: 1 - np.searchsorted(np.sort(x), mids, "left") / x.size
     gain = found(s[toxic > 0]) - strict * found(s[toxic == 0])
     return float(mids[np.argmax(gain)])
@@ -114,31 +115,38 @@ def fit_rows(rows: list[np.ndarray], toxic: np.ndarray, chosen: np.ndarray, step
 
     # Full-batch Adam on w and on thresholds written as a first one and positive steps, so that they stay in order.
     w, t = np.zeros(chosen.size), np.concatenate([[1.0], np.zeros(top - 1)])
-    at_least = (grade[:, None] >= np.arange(1, top + 1)).astype(float)
     m = [np.zeros_like(w), np.zeros_like(t)]
     v = [np.zeros_like(w), np.zeros_like(t)]
     for step in range(1, steps + 1):
-        theta = np.cumsum(np.concatenate([t[:1], np.exp(t[1:])]))
-        s = np.bincount(own, w[col], len(rows))
-        q = 1 / (1 + np.exp(-np.clip(s[:, None] - theta, -50, 50)))  # P(grade >= k)
-        wide = np.concatenate([np.ones((len(rows), 1)), q, np.zeros((len(rows), 1))], axis=1)
-        p = np.maximum(wide[np.arange(len(rows)), grade] - wide[np.arange(len(rows)), grade + 1], 1e-12)
-        slope = q * (1 - q)
-        own_slope = np.where(np.arange(1, top + 1) == grade[:, None], slope, 0.0)
-        next_slope = np.where(np.arange(1, top + 1) == grade[:, None] + 1, slope, 0.0)
-        by_k = (own_slope - next_slope) / p[:, None]  # derivative of the log-likelihood by (s - t_k)
-        g_s = by_k.sum(axis=1)
-        g_theta = -by_k.sum(axis=0)
-        g_t = np.cumsum(g_theta[::-1])[::-1] * np.concatenate([[1.0], np.exp(t[1:])])
-        grads = [-np.bincount(col, g_s[own], chosen.size) / len(rows) + 1e-5 * w, -g_t / len(rows)]
+        _, grads = loss(w, t, own, col, grade)
         for i, (x, g) in enumerate(zip((w, t), grads, strict=True)):
             m[i] = 0.9 * m[i] + 0.1 * g
             v[i] = 0.999 * v[i] + 0.001 * g * g
             x -= 0.1 * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
-    theta = np.cumsum(np.concatenate([t[:1], np.exp(t[1:])]))
-    assert at_least.shape[1] == theta.size
     s = np.bincount(own, w[col], len(rows))
-    return Model({int(c): float(x) for c, x in zip(chosen, w, strict=True)}, tuple(float(x) for x in theta), _cut(s, toxic))
+    return Model({int(c): float(x) for c, x in zip(chosen, w, strict=True)}, tuple(ordered(t).tolist()), _cut(s, toxic))
+
+
+def ordered(t: np.ndarray) -> np.ndarray:
+    """Thresholds from a first one and the logarithms of the steps between them."""
+    return np.cumsum(np.concatenate([t[:1], np.exp(t[1:])]))
+
+
+def loss(w: np.ndarray, t: np.ndarray, own: np.ndarray, col: np.ndarray, grade: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """The mean negative log-likelihood of the grades, with a little ridge on w, and its gradients by w and t; row ``own[i]`` has feature ``col[i]``."""
+    n, at, top = grade.size, np.arange(grade.size), t.size
+    s = np.bincount(own, w[col], n)
+    q = 1 / (1 + np.exp(-np.clip(s[:, None] - ordered(t), -50, 50)))  # P(grade >= k)
+    wide = np.concatenate([np.ones((n, 1)), q, np.zeros((n, 1))], axis=1)
+    p = np.maximum(wide[at, grade] - wide[at, grade + 1], 1e-12)
+    slope = q * (1 - q)
+    own_slope = np.where(np.arange(1, top + 1) == grade[:, None], slope, 0.0)
+    next_slope = np.where(np.arange(1, top + 1) == grade[:, None] + 1, slope, 0.0)
+    by_k = (own_slope - next_slope) / p[:, None]  # derivative of the log-likelihood by (s - t_k)
+    g_theta = -by_k.sum(axis=0)
+    g_t = np.cumsum(g_theta[::-1])[::-1] * np.concatenate([[1.0], np.exp(t[1:])])
+    value = -np.log(p).mean() + 0.5 * RIDGE * float(w @ w)
+    return value, [-np.bincount(col, by_k.sum(axis=1)[own], w.size) / n + RIDGE * w, -g_t / n]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES) -> Model:
