@@ -2,9 +2,10 @@
 
 Sixteen statistics of the whole text (sizes, shares of kinds of characters, repetition of words, trigrams and lines)
 are standardised and mapped to ``dim`` random Fourier features, whose inner products approximate a Gaussian kernel
-(Rahimi and Recht, 2007). Every partition sums its share of the normal equations; the sums meet in an aggregate, and the
-driver solves one (dim + 1)-square system. A histogram of the fitted scores by label then gives an isotonic (pool
-adjacent violators) map from score to the share of good rows.
+(Rahimi and Recht, 2007). Every partition sums its share of the normal equations of each of ``FOLDS`` folds; the sums are added
+up a tree of tasks, and the driver solves one (dim + 1)-square system of all folds, for the model, and one of all others for
+each fold. A histogram by label of the scores that each row gets from the system without its fold then gives an isotonic
+(pool adjacent violators) map from score to the share of good rows, so no row calibrates what it has taught.
 
 Scale: one pass over the texts; after that 16 numbers per document. All labelled rows take part, and what reaches the
 driver has the size of the system and of the histogram whatever the input. Features are rounded to multiples of 2^-12,
@@ -29,6 +30,8 @@ from tidewave.llm.common import cut, skew_join, text_of
 
 STATS = ("log_words", "log_bytes", "word_length", "unique_words", "same_as_last", "repeated_trigrams", "repeated_lines", "upper", "digits", "symbols", "pipes", "bangs", "marks", "other_bytes", "line_length", "longest_word")
 DIM, WIDTH, RIDGE, BINS = 256, 2.0, 1e-3, 2048
+#: Sums of so many partitions are added in one task.
+FOLDS, FAN = 3, 32
 _SYMBOLS = np.frombuffer(b"#*$%&<>", np.uint8)
 _MARKS = np.frombuffer(b".,;:?'\"-()", np.uint8)
 
@@ -116,8 +119,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def fit(rows: DataFrame, dim: int = DIM, width: float = WIDTH, ridge: float = RIDGE, bins: int = BINS) -> Model:
-    """Fits to rows (x, y) with y 0 or 1."""
-    rows = cut(rows.select("x", F.col("y").cast("int").alias("y")))
+    """Fits to rows (x, y) with y 0 or 1; equal rows are of one fold."""
+    rows = cut(rows.select("x", F.col("y").cast("int").alias("y"), F.pmod(F.xxhash64("x"), F.lit(FOLDS)).cast("int").alias("fold")))
     sums = rows.select(F.count("*").alias("n"), *(F.avg(F.round(F.col("x")[i], 9).cast("decimal(20,9)")).cast("double").alias(f"m{i}") for i in range(len(STATS)))).first()
     if not sums.n:
         return Model(np.zeros(len(STATS)), np.ones(len(STATS)), np.zeros(dim + 1), dim, width, np.empty(0), np.empty(0))
@@ -127,25 +130,40 @@ def fit(rows: DataFrame, dim: int = DIM, width: float = WIDTH, ridge: float = RI
     side = dim + 1
 
     def normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, c = np.zeros((side, side)), np.zeros(side)
+        sums = np.zeros((FOLDS, side * (side + 1)))
         for b in batches:
-            z = model.fourier(_matrix(b.column(0)))
-            a += z.T @ z
-            c += z.T @ b.column(1).to_numpy()
-        flat = np.concatenate([a[np.triu_indices(side)], c])
-        yield pa.RecordBatch.from_arrays([pa.array([flat], pa.list_(pa.float64()))], names=["part"])
-
-    # One row per cell of the system: partitions' sums meet in an aggregate with map-side combining.
-    cells = rows.mapInArrow(normal, "part array<double>").select(F.posexplode("part").alias("cell", "v")).groupBy("cell").agg(F.sum("v").alias("v")).toArrow().sort_by("cell").column("v").to_numpy()
-    a = np.zeros((side, side))
-    a[np.triu_indices(side)] = cells[: side * (side + 1) // 2]
-    a = a + np.triu(a, 1).T
-    model.weights = np.linalg.solve(a + ridge * sums.n * np.eye(side), cells[side * (side + 1) // 2 :])
+            z, y, fold = model.fourier(_matrix(b.column(0))), b.column(1).to_numpy(), b.column(2).to_numpy()
+            for k in range(FOLDS):
+                own = z[fold == k]
+                sums[k] += np.concatenate([(own.T @ own).ravel(), own.T @ y[fold == k]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(FOLDS), pa.int64()), pa.array(list(sums), pa.list_(pa.float64()))], names=["fold", "part"])
+
+    def added(parts: pa.Table) -> pa.Table:
+        total = parts.column("part").combine_chunks().flatten().to_numpy().reshape(parts.num_rows, -1).sum(axis=0)
+        return pa.table({"fold": parts.column("fold")[:1], "part": pa.array([total], pa.list_(pa.float64()))})
+
+    parts, n = rows.mapInArrow(normal, "fold long, part array<double>"), rows.rdd.getNumPartitions()
+    while n > 1:  # a level of the tree
+        n = -(-n // FAN)
+        parts = parts.groupBy("fold", F.pmod(F.spark_partition_id(), F.lit(n)).alias("task")).applyInArrow(added, "fold long, part array<double>")
+    folds = np.zeros((FOLDS, side * (side + 1)))
+    found = parts.toArrow()
+    for fold, part in zip(found.column("fold").to_pylist(), found.column("part"), strict=True):
+        folds[fold] += part.values.to_numpy()
+
+    def solved(sums: np.ndarray, count: float) -> np.ndarray:
+        return np.linalg.solve(sums[: side * side].reshape(side, side) + ridge * count * np.eye(side), sums[side * side :])
+
+    whole = folds.sum(axis=0)
+    model.weights = solved(whole, sums.n)
+    # the last cell, the constant's square, counts rows
+    without = np.stack([solved(whole - own, max(1.0, (whole - own)[side * side - 1])) for own in folds])
 
     def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, good = np.zeros(bins, np.int64), np.zeros(bins, np.int64)
         for b in batches:
-            at = np.clip(np.floor((model.raw(_matrix(b.column(0))) + 0.5) / 2 * bins), 0, bins - 1).astype(int)
+            raw = (model.fourier(_matrix(b.column(0))) * without[b.column(2).to_numpy()]).sum(axis=1)
+            at = np.clip(np.floor((raw + 0.5) / 2 * bins), 0, bins - 1).astype(int)
             n += np.bincount(at, minlength=bins)
             good += np.bincount(at, b.column(1).to_numpy().astype(float), bins).astype(np.int64)
         has = np.flatnonzero(n)
