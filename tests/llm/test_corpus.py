@@ -475,6 +475,21 @@ def test_mixing_keeps_columns_that_clash(spark):
     assert {r.mix_epochs for r in mixing.ordered(df).collect()} == {1}
 
 
+def cheapest(size, to_come, caps, overhead):
+    """The permitted length with the least cost per token, if filled with this piece and then always with the longest one still to come that fits."""
+    prices = []
+    for cap in caps:
+        if cap < size:
+            continue
+        rest, held = sorted(to_come, reverse=True), size
+        rest.remove(size)
+        for x in rest:
+            if held + x <= cap:
+                held += x
+        prices.append(((min(c for c in caps if c >= held) + overhead) / held, cap))
+    return min(prices)[1]
+
+
 def one_by_one(lengths, caps, overhead):
     """Best fit decreasing, a piece at a time."""
     counts = Counter(lengths)
@@ -487,10 +502,10 @@ def one_by_one(lengths, caps, overhead):
                 room = min(fits)
                 b = rooms[room].popleft()
             else:
-                room, b = packing._open(size, left, counts | {size: counts[size] - done}, caps, overhead), len(bins)
+                room, b = cheapest(size, [x for x in left for _ in range(counts[x])] + [size] * (counts[size] - done), caps, overhead), len(bins)
                 bins.append(0)
             bins[b] += size
-            rooms[room - size].appendleft(b)
+            rooms[room - size].append(b)  # of equal rooms the one that has been so for longest
     return bins
 
 
@@ -540,6 +555,75 @@ def test_toxicity(spark, none):
     assert toxicity.severity(docs, toxicity.Model()).where("toxic").count() == 0
 
 
+def test_packing_opens_what_costs_least():
+    rng = random.Random(8)
+    for _ in range(60):
+        caps = tuple(sorted(rng.sample(range(5, 60), rng.randrange(1, 4))))
+        lengths = [rng.randrange(1, caps[-1] + 1) for _ in range(rng.randrange(1, 40))]
+        overhead = rng.choice([0, 3, 16])
+        runs, used = packing.plan(Counter(lengths), caps, overhead)
+        got = Counter()
+        for size, _, first, n, k in runs:
+            for b in range(first, first + n):
+                got[b] += size * k
+        assert sorted(got.values()) == sorted(one_by_one(lengths, caps, overhead))
+        assert sum(n for _, n, _ in used) == len(got)
+
+
+def test_ordinal_gradient_against_finite_differences():
+    rng = np.random.default_rng(3)
+    n, m, top = 30, 7, 3
+    own, col = rng.integers(0, n, 90), rng.integers(0, m, 90)
+    grade = rng.integers(0, top + 1, n)
+    w, t = rng.standard_normal(m) * 0.3, np.array([0.4, -0.2, 0.3])
+    value, (g_w, g_t) = toxicity.loss(w, t, own, col, grade)
+    # the loss itself, by its definition
+    theta, total = [0.4, 0.4 + math.exp(-0.2), 0.4 + math.exp(-0.2) + math.exp(0.3)], 0.0
+    for i in range(n):
+        s = sum(w[c] for r, c in zip(own, col, strict=True) if r == i)
+        at_least = [1.0, *(1 / (1 + math.exp(-(s - x))) for x in theta), 0.0]
+        total -= math.log(at_least[grade[i]] - at_least[grade[i] + 1]) / n
+    assert value == pytest.approx(total + 0.5e-5 * float(w @ w))
+    for x, g in ((w, g_w), (t, g_t)):
+        for i in range(x.size):
+            h = np.zeros(x.size)
+            h[i] = 1e-6
+            args = [(w + h, t), (w - h, t)] if x is w else [(w, t + h), (w, t - h)]
+            up, down = (toxicity.loss(*a, own, col, grade)[0] for a in args)
+            assert g[i] == pytest.approx((up - down) / 2e-6, abs=1e-6)
+
+
+def test_severity_by_hand(spark):
+    """Scores of given weights, over long texts, ties, repeated rows and ids."""
+    import zlib
+
+    low = (1 << 21) - 1
+    word, start = zlib.crc32(b"nastyword") & low, (zlib.crc32(b"^nasty") & low) | (1 << 21)
+    model = toxicity.Model({word: 2.0, start: 1.5}, (1.0, 2.0, 3.0), 2.5)
+    of = lambda s: sum(1 / (1 + math.exp(-(s - t))) for t in (1.0, 2.0, 3.0))
+    rows = [(1, "NastyWord here"), (1, "nastyworld"), (2, "nastyword " * 50_000), (2, "nastyword nastyword"), (3, "clean " * 50_000), (3, ""), (None, None), (4, "nastyword9 nasty_word"), (4, "NastyWord here")]
+    got = toxicity.severity(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    want = {"NastyWord here": 3.5, "nastyworld": 1.5, "nastyword " * 50_000: 3.5, "nastyword nastyword": 3.5, "nastyword9 nasty_word": 3.5}
+    expect = Counter((d, round(of(want.get(t, 0.0)), 9), want.get(t, 0.0) >= 2.5, 3 if want.get(t, 0.0) >= 2.5 else 0) for d, t in rows)
+    assert Counter((r.doc_id, round(r.severity, 9), r.toxic, r.grade) for r in got) == expect
+
+
+def test_texts_without_telling_words_are_never_toxic():
+    s, toxic = np.array([-3.0, -2.0, -1.0, -5.0]), np.array([1, 1, 1, 0])
+    assert toxicity._cut(s, toxic) > 0
+
+
+def test_training_takes_long_texts_ties_and_repeated_rows(spark):
+    own = lambda i: " ".join("".join(random.Random(i * 1000 + j).choices("abcdefghij", k=7)) for j in range(60))
+    docs = [(i, ("foulone foultwo " if i % 2 else "fine words ") * (40_000 if i < 2 else 3) + own(i)) for i in range(60)] * 2 + [(None, "foulone"), (5, "another text of this id")]
+    labels = [(i, i % 2) for i in range(60)] * 3 + [(7, 0), (None, 1)]
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model, again = (toxicity.fit(d, labels) for d in (docs, docs.repartition(5)))
+    assert model == again and model.weights
+    got = toxicity.severity(docs, model).collect()
+    assert len(got) == 122 and all(r.toxic == bool(r.doc_id % 2) for r in got if r.doc_id is not None and r.doc_id != 5)
+
+
 def test_ordinal_gradient_orders_grades():
     rows = [np.array([1], np.int32)] * 20 + [np.array([1, 2, 3], np.int32)] * 20 + [np.array([], np.int32)] * 60
     model = toxicity.fit_rows(rows, np.array([1.0] * 40 + [0.0] * 60), np.array([1, 2, 3]))
@@ -562,11 +646,12 @@ def test_warc_round_trip(spark, tmp_path):
             assert hashlib.sha256((tmp_path / name / m.name).read_bytes()).hexdigest() == m.sha256
     assert sums[0] == sums[1]
     got = warc.read_warc(spark, folder).collect()
-    want = Counter()
+    want, seen = Counter(), set()
     for i, _, html in pages:
         raw = (html or "").encode()
-        first = min((p for p, _, h in pages if h == html and p is not None), default=None) if len(raw) >= 100 and i is not None else None
-        revisit = first is not None and i > first
+        first = min((p for p, _, h in pages if h == html and p is not None), default=None) if len(raw) >= 100 else None
+        revisit = first is not None and (i != first or (i, raw) in seen)
+        seen.add((i, raw))
         want[i, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if revisit else "response", first if revisit else None] += 1
     assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == want
     assert all(r.payload is None if r.record_type == "revisit" else hashlib.sha256(r.payload).hexdigest() == r.payload_digest for r in got)
@@ -605,7 +690,11 @@ def test_warc_repeated_rows_and_a_used_folder(spark, tmp_path):
     with pytest.raises(FileExistsError):
         warc.write_warc(df.limit(1), str(folder))
     assert {p.name: p.read_bytes() for p in folder.glob("*.gz")} == before
-    assert Counter((r.page_id, r.record_type, r.refers_to) for r in warc.read_warc(spark, str(folder)).collect())[9, "revisit", 4] == 1
+    got = Counter((r.page_id, r.record_type, r.refers_to) for r in warc.read_warc(spark, str(folder)).collect())
+    assert got == {(4, "response", None): 2, (4, "revisit", 4): 2, (9, "revisit", 4): 1, (None, "revisit", 4): 2}  # one response for each payload
+    nameless = spark.createDataFrame([(None, "u", page), (None, "v", page), (3, "u", "short"), (3, "u", "short")], "page_id long, url string, html string")
+    warc.write_warc(nameless, str(tmp_path / "n"))
+    assert Counter((r.page_id, r.record_type, r.refers_to) for r in warc.read_warc(spark, str(tmp_path / "n")).collect()) == {(None, "response", None): 2, (3, "response", None): 2}
 
 
 def test_warc_commit_cut_off(spark, tmp_path, monkeypatch):
@@ -662,6 +751,45 @@ def test_quality_model(spark, none):
     assert {r.score for r in quality_model.quality(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_ridge_against_dense_normal_equations(spark, monkeypatch):
+    """Weights from all rows, calibration from the weights without a row's fold."""
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(quality_model, "FAN", 2)
+    x = rng.standard_normal((200, len(quality_model.STATS)))
+    x[150:] = x[:50]  # ties
+    y = (x[:, 0] + 0.5 * x[:, 1] + 0.3 * rng.standard_normal(200) > 0).astype(int)
+    df = spark.createDataFrame([(a.tolist(), int(b)) for a, b in zip(x, y, strict=True)], "x array<double>, y int").repartition(7)
+    model = quality_model.fit(df, dim=20, ridge=0.01, bins=64)
+    z = model.fourier(x)
+    dense = lambda keep: np.linalg.solve(z[keep].T @ z[keep] + 0.01 * keep.sum() * np.eye(21), z[keep].T @ y[keep])
+    assert np.allclose(model.centre, x.mean(axis=0), atol=1e-8) and np.allclose(model.scale, x.std(axis=0), atol=1e-5)
+    assert np.allclose(model.weights, dense(np.ones(200, bool)), atol=1e-9)
+    fold = np.array([r.f for r in spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(x)], "i int, x array<double>").select("i", F.pmod(F.xxhash64("x"), F.lit(quality_model.FOLDS)).alias("f")).orderBy("i").collect()])
+    assert len(set(fold)) == quality_model.FOLDS
+    raw = np.array([z[i] @ dense(fold != fold[i]) for i in range(200)])
+    at = np.clip(np.floor((raw + 0.5) / 2 * 64), 0, 63).astype(int)
+    n, good = np.bincount(at, minlength=64), np.bincount(at, y, 64)
+    assert np.allclose(model.steps, (np.flatnonzero(n) + 0.5) / 64 * 2 - 0.5)
+    assert np.allclose(model.values, quality_model.isotonic(n[n > 0], good[n > 0]))
+    # what the isotonic fit is: no other values that don't descend are nearer
+    best = ((model.values - good[n > 0] / n[n > 0]) ** 2 * n[n > 0]).sum()
+    for _ in range(300):
+        other = np.sort(np.clip(model.values + 0.05 * rng.standard_normal(model.values.size), 0, 1))
+        assert ((other - good[n > 0] / n[n > 0]) ** 2 * n[n > 0]).sum() >= best - 1e-12
+
+
+def test_quality_of_long_texts_and_repeated_rows(spark):
+    rows = [(i, ("good words all different " if i % 2 else "### %%% $$$ ") * (30_000 if i < 4 else 5) + str(i)) for i in range(90)] * 2 + [(None, "x"), (3, "a second text")]
+    labels = [(i, i % 2) for i in range(90)] * 2 + [(4, 1)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    got = quality_model.quality(docs, labels).collect()
+    assert len(got) == 182 and all(0 <= r.score <= 1 for r in got)
+    by_row = Counter((r.doc_id, round(r.score, 12)) for r in got)
+    assert sum(v == 2 for v in by_row.values()) == 90  # equal rows, equal scores
+    held = [r for r in got if r.held_out and r.doc_id not in (None, 3)]
+    assert sum(r.predicted == r.doc_id % 2 for r in held) / len(held) > 0.9
+
+
 def test_isotonic():
     v = quality_model.isotonic(np.array([1, 1, 2, 1]), np.array([0, 1, 0, 1]))
     assert v.tolist() == pytest.approx([0, 1 / 3, 1 / 3, 1])
@@ -672,8 +800,11 @@ def test_pipeline_stages(spark, docs, none, tmp_path):
     import corpus_pipeline
 
     folder = str(tmp_path / "sf")
-    docs.select("doc_id", "text", "lang", "source", F.length("text").alias("n_chars")).write.parquet(f"{folder}/documents.parquet")
-    spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    foul = [(1000 + i, f"foulone foultwo nastyword text number{i} " + " ".join("".join(random.Random(i * 1000 + j).choices("abcdefghij", k=7)) for j in range(30)), "en", f"s{i % 3}") for i in range(30)]
+    given = docs.select("doc_id", "text", "lang", "source").union(spark.createDataFrame(foul, "doc_id long, text string, lang string, source string"))
+    given.withColumn("n_chars", F.length("text")).write.parquet(f"{folder}/documents.parquet")
+    labels = [(i, 1, 0) for i in range(40)] + [(d, 0, 1) for d, *_ in foul[:20]]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact dedup", "near dedup", "mixing", "packing"]
     now = spark.read.parquet(f"{folder}/documents.parquet")
     for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
@@ -683,14 +814,40 @@ def test_pipeline_stages(spark, docs, none, tmp_path):
         out.write.parquet(f"{folder}/{i}")
         before, now = now, spark.read.parquet(f"{folder}/{i}")
         rows = [tuple(r) for r in before.collect()]
-        if name == "toxicity":
-            assert now.count() == len(rows)
+        if name == "toxicity":  # all toxic documents go, labelled or not, and no others
+            assert Counter(r.text for r in now.collect()) == Counter(t for _, t, *_ in corpus())
         if name == "exact dedup":
             assert now.count() == len({SPACE.sub("", r[1] or "") for r in rows})
         if name == "near dedup":
             check_dropped(before, rows, 5, 80)
-        if name == "mixing":
-            assert {r.doc_id for r in now.collect()} == {r[0] for r in rows}
+        if name == "mixing":  # every document once, those of rarer sources up to twice
+            shown = Counter(tuple(r) for r in now.collect())
+            assert set(shown) == set(rows) and set(shown.values()) <= {1, 2}
+            words, tokens = Counter(), Counter()
+            for row, k in shown.items():
+                n = len([x for x in SPACE.split(row[1] or "") if x])
+                words[row[3]] += n
+                tokens[row[3]] += n * k
+            assert tokens[max(words, key=words.get)] == max(words.values()) and sum(tokens.values()) > sum(words.values())
+        if name == "packing":  # every word of every document once, in bins that are as long as they need be
+            packed = now.collect()
+            want = Counter()
+            for r in rows:
+                want[r[0]] += len([x for x in SPACE.split(r[1] or "") if x])
+            got, bins = Counter(), defaultdict(list)
+            for r in packed:
+                got[r.doc_id] += r.n_tokens
+                if r.bin_id is not None:
+                    bins[r.bin_id].append(r)
+            assert got == want
+            for own in bins.values():
+                own.sort(key=lambda r: r.bin_offset)
+                ends = [0]
+                for r in own:
+                    assert r.bin_offset == ends[-1]
+                    ends.append(ends[-1] + r.n_tokens)
+                assert all(r.bin_used == ends[-1] and r.bin_length == min(c for c in packing.LENGTHS if c >= ends[-1]) for r in own)
+            assert Counter(sum(r.n_tokens for r in own) for own in bins.values()) == Counter(one_by_one([r.n_tokens for r in packed if r.n_tokens], packing.LENGTHS, packing.OVERHEAD))
     assert corpus_pipeline.run(spark, folder).count() == now.count()
     empty = spark.createDataFrame([], before.schema)
     for _, stage in corpus_pipeline.STAGES:

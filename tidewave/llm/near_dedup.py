@@ -9,7 +9,9 @@ probability (1 - 0.85^6)^40 < 1e-8.
 The plan, in order:
 1. one pass over the texts makes shingle count, digest of the set, band keys and 240 sign bits per row, and the rows
    are numbered: from here to the end a document is a row, whatever its id;
-2. equal sets collapse to their first row (a hot group of copies is one map-side combined row from here on);
+2. equal sets collapse to their first row (a hot group of copies is one map-side combined row from here on). Sets count as
+   equal if a 128-bit digest of their sorted 64-bit shingle hashes is: that is not confirmed word for word, and a false match
+   asks for two different shingles of equal hash in sets that are otherwise equal (below 1e-9 for 10^5 such pairs);
 3. in each bucket every member is paired with the smallest one, so a bucket costs as many pairs as it has members; a
    pair must pass a size bound (exact) and a bound on the sign bits (seven standard deviations below the threshold)
    before the full sets are compared, word for word;

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -120,12 +119,12 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(norm) as te
 
 OP8_SQL = """
 with p as (
-  select page_id, coalesce(html, '') as html, octet_length(encode(coalesce(html, ''))) as n, sha256(coalesce(html, '')) as d from pages
-), f as (select d, min(page_id) as first_id from p where n >= 100 group by d)
-select page_id, cast(n as bigint) as payload_bytes, p.d as payload_digest,
-  case when n >= 100 and page_id > first_id then 'revisit' else 'response' end as record_type,
-  case when n >= 100 and page_id > first_id then first_id end as refers_to
-from p left join f on p.d = f.d and p.n >= 100
+  select page_id, octet_length(encode(coalesce(html, ''))) as n, sha256(coalesce(html, '')) as d from pages
+), k as (select *, min(page_id) over (partition by d) as first_id, row_number() over (partition by d order by page_id nulls last) as place from p)
+select page_id, cast(n as bigint) as payload_bytes, d as payload_digest,
+  case when n >= 100 and place > 1 and first_id is not null then 'revisit' else 'response' end as record_type,
+  case when n >= 100 and place > 1 then first_id end as refers_to
+from k
 """
 
 
@@ -166,20 +165,36 @@ select d.doc_id, {n('assign')}, {n('access')}, {n('hex')}, sha256({joined(" and
 from d left join h on d.doc_id = h.doc_id group by d.doc_id"""
 
 
+#: The notices that the license query must find, written out apart from the operator's own.
+NOTICES = (
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
+    ("cc-by-nc-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0."),
+    ("cc-by-sa-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("gpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("mit", "Released under the MIT License."),
+    ("mit", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("all-rights-reserved", "All rights reserved."),
+)
+
+
 def op9_sql() -> str:
-    """The same windows, with every template's shingles counted exactly in each."""
-    rows, sizes = [], []
-    for i, (name, text) in enumerate((n, t) for n, texts in sorted(licenses.TEMPLATES.items()) for t in texts):
-        w = re.findall(r"[^\W_]+", text.lower())
-        own = {" ".join(w[k : k + licenses.WIDTH]) for k in range(len(w) - licenses.WIDTH + 1)}
-        step = 1 << (len(own) - 1).bit_length()
-        rows += [f"({i}, {_quoted(x)})" for x in sorted(own)]
-        sizes.append(f"({i}, {_quoted(name)}, {len(own)}, {step})")
-    five = " || ' ' || ".join(f"w[i + {k}]" for k in range(licenses.WIDTH))
-    return f"""with t(tid, shingle) as (values {', '.join(rows)}), n(tid, name, size, step) as (values {', '.join(sizes)}),
-d as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') as w from documents),
-s as (select doc_id, i - 1 as pos, {five} as shingle from (select doc_id, w, unnest(range(1, len(w) - {licenses.WIDTH - 2})) as i from d)),
-h as (select doc_id, tid, shingle, pos // step - back as win from s join t using (shingle) join n using (tid), (values (0), (1)) b(back) where pos // step >= back),
+    """The same windows, with every notice's shingles (of five words, or of all words of a shorter one) counted exactly in each."""
+    rows = ", ".join(f"({i}, {_quoted(name)}, {_quoted(text)})" for i, (name, text) in enumerate(NOTICES))
+    words = lambda text: f"list_filter(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+    return f"""with t0(tid, name, text) as (values {rows}), t1 as (select tid, name, {words('text')} as w from t0), t2 as (select tid, name, w, least(5, len(w)) as width from t1),
+t as (select distinct tid, width, array_to_string(w[i:i + width - 1], ' ') as shingle from (select tid, w, width, unnest(range(1, len(w) - width + 2)) as i from t2)),
+n as (select tid, name, size, pow(2, ceil(log2(size)))::bigint as step from (select tid, count(*) as size from t group by tid) join t2 using (tid)),
+d as (select doc_id, {words("coalesce(text, '')")} as w from documents),
+s as (select doc_id, width, i - 1 as pos, array_to_string(w[i:i + width - 1], ' ') as shingle from (select doc_id, w, width, unnest(range(1, len(w) - width + 2)) as i from d, (select distinct width from t))),
+h as (select doc_id, tid, shingle, pos // step - back as win from s join t using (width, shingle) join n using (tid), (values (0), (1)) b(back) where pos // step >= back),
 m as (select doc_id, tid, win, count(distinct shingle) as c from h group by all), f as (select doc_id, name, c / size::double as share from m join n using (tid) where 100 * c >= 80 * size)
 select d.doc_id, coalesce(string_agg(distinct name, ',' order by name), '') as licenses, count(distinct name) as n_licenses, coalesce(max(share), 0.0) as containment
 from d left join f on d.doc_id = f.doc_id group by d.doc_id"""
