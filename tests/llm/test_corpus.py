@@ -279,6 +279,14 @@ def test_sliced_table_gives_the_verdicts_of_the_whole_one(spark, docs, none, buc
     assert {r.llr for r in quality_rules.rule(docs, trusted.limit(0)).collect()} == {0.0}
 
 
+def test_slices_are_shared_among_tasks(spark, docs, monkeypatch):
+    trusted = spark.createDataFrame([(i,) for i in range(0, 40, 2)], "id long")
+    want = Counter(map(tuple, quality_rules.rule(docs, trusted, buckets=1 << 10).collect()))
+    assert quality_rules.n_shares(1, 8) == 1 and quality_rules.n_shares(8 * quality_rules.SHARE + 1, 8) == 2
+    monkeypatch.setattr(quality_rules, "SHARE", 100)
+    assert Counter(map(tuple, quality_rules.rule(docs, trusted, buckets=1 << 10).collect())) == want
+
+
 def test_ngram_table_grows_with_the_input(spark, monkeypatch):
     asked = []
     monkeypatch.setattr(quality_rules, "n_slices", lambda n: asked.append(n) or 16)

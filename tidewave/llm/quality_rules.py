@@ -7,10 +7,13 @@ one; a document's verdict is the mean over all its n-grams of log(p_trusted / p_
 Nothing is sampled: every trusted id counts, every document counts and gets its verdict from every one of its n-grams, and
 the ratios are whole micro-nats, so sums don't depend on their order.
 
-Scale: the table is cut into slices of consecutive buckets (``n_slices``). A document sends each slice its places there,
-packed into two or three bytes each, in one shuffle; counts, ratios and the documents' sums are then found slice by slice,
-and one light row per document and slice goes back. A table of up to 2^25 buckets (some 8 GB of text) has 8 slices, a larger one
-slices of 2^22, which a task holds in memory; as slices grow in number, a document sends more and smaller rows. Trusted ids are
+Scale: the texts are split into words twice. The first pass writes, for each document, the base counts and one in ``SAMPLE``
+of its n-grams by hash, from which the distinct ones are estimated. The table is cut into slices of consecutive buckets
+(``n_slices``), and a slice's documents into shares of about ``SHARE`` places (``n_shares``), so a slice is as many tasks as it
+has work for. A document sends each slice its places there, packed into two or three bytes each, in one shuffle; shares
+count their places, the counts of a slice's shares are added up, its ratios go to each of its shares, and one light row
+per document and slice goes back. A table of up to 2^25 buckets (some 8 GB of text) has 8 slices, a larger one slices
+of 2^22, which a task holds in memory; as slices grow in number, a document sends more and smaller rows. Trusted ids are
 broadcast up to ``BROADCAST_IDS`` of them; beyond that, texts meet them in a shuffled join. The row of a document is known
 by a 63-bit hash of its id and text (a billion documents have 0.05 clashes to be expected). All work on a text is linear in
 its length or sorts its words. ``fit_ratio`` and ``judge`` do the same with a table of a given, small size as a constant
@@ -31,6 +34,7 @@ from pyspark.sql import functions as F
 from tidewave.llm.common import WHITE, cut, let, skew_join, text_of
 
 PER_BUCKET, THRESHOLD = 20, -0.1
+SAMPLE, SHARE = 64, 1 << 26
 BROADCAST_IDS = 1 << 21
 FEW = 64
 
@@ -99,11 +103,6 @@ def ngram_buckets(words: Column, buckets: int) -> Column:
     return F.transform(_ngrams(words), lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
 
 
-def _exploded(rows: DataFrame, *keep: str) -> DataFrame:
-    # as a column first: explode of a plain column is compiled, of a lambda's result it is not
-    return rows.select(*keep, _ngrams(words_of(F.col("text"))).alias("hashes")).select(*keep, F.explode("hashes").alias("h"))
-
-
 def n_buckets(distinct: int) -> int:
     """The power of two that leaves about ``PER_BUCKET`` of so many n-grams to a bucket."""
     return 1 << max(0, round(math.log2(max(1, distinct / PER_BUCKET))))
@@ -114,6 +113,10 @@ def n_slices(buckets: int) -> int:
     return min(buckets, max(8, buckets >> 22))
 
 
+def n_shares(places: int, slices: int) -> int:
+    return max(1, -(-places // (slices * SHARE)))
+
+
 def _marks(trusted_ids: DataFrame) -> DataFrame:
     return trusted_ids.select("id").where("id is not null").distinct().withColumn("trusted", F.lit(1))
 
@@ -163,11 +166,13 @@ def rule(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_c
     marks = _marks(trusted_ids)
     few = marks.limit(broadcast_ids + 1).count() <= broadcast_ids
     marked = rows.join(F.broadcast(marks), "id", "left") if few else cut(skew_join(rows, marks, ["id"], "left"))
-    marked = marked.select("text", "uid", F.coalesce("trusted", F.lit(0)).alias("trusted"))
-    one_of = F.when(F.col("h").bitwiseAND(F.lit(15)) == 0, F.col("h"))  # of every 16 hashes one: as exact for a large corpus, and cheaper
-    distinct, total, of_trusted = _exploded(marked, "trusted").agg(F.approx_count_distinct(one_of) * 16, F.count("*"), F.sum("trusted")).first()
+    marked = marked.select("id", "text", "uid", F.coalesce("trusted", F.lit(0)).alias("trusted"))
+    seen = let(_ngrams(F.col("words")), lambda g: F.struct(F.size(g).alias("grams"), F.filter(g, lambda h: h.bitwiseAND(F.lit(SAMPLE - 1)) == 0).alias("sample")))
+    base = cut(base_counts(marked, "text").withColumn("seen", seen).drop("text", "words"))
+    total, of_trusted = base.agg(F.sum("seen.grams"), F.sum(F.col("trusted") * F.col("seen.grams"))).first()
     if not of_trusted:
-        return judge(docs, [0], id_col, text_col, threshold)
+        return _verdict(base.withColumn("llr", F.lit(0.0)), id_col, threshold)
+    distinct = SAMPLE * base.select(F.explode("seen.sample").alias("h")).agg(F.approx_count_distinct("h")).first()[0]
     buckets = buckets or n_buckets(distinct)
     n_t, n_r = of_trusted + buckets, total + buckets
 
@@ -185,23 +190,25 @@ def rule(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_c
 
         return let(_ranks(g, bits, slices), cut_at)
 
-    # Rows of two kinds meet in a slice: a document's places, and every place once (no document). A document goes by its
-    # uid's upper bits, the lowest says whether it is trusted: so both readers of the shuffle want the same columns and share it.
+    # A document goes by its uid's upper bits, the lowest says whether it is trusted.
+    shares = n_shares(total, slices)
     tag = F.col("uid").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("trusted").cast("long")).alias("tag")
     every_place = F.sort_array(F.transform(_ngrams(words_of(F.col("text"))), lambda h: h.bitwiseAND(F.lit(buckets - 1))))  # buckets is a power of two
     places = marked.select(tag, let(every_place, pieces).alias("pieces")).select("tag", F.inline("pieces"))
-    all_of = F.sequence(F.lit(0), F.lit((1 << bits) - 1))
-    every = docs.sparkSession.range(slices).select(F.lit(None).cast("long").alias("tag"), F.col("id").cast("int").alias("slice"), F.transform(all_of, short).alias("at"), above(all_of).alias("up"))
-    sliced = places.unionAll(every).repartition("slice")
+    share = F.pmod(F.shiftright("tag", 1), F.lit(shares)).cast("int")
+    sliced = places.withColumn("share", share).repartition("slice", "share")
 
     upper = F.shiftleft(F.get("up", "i").cast("int"), 16) if bits > 16 else F.lit(0)
     at = F.col("p").cast("int") + low + upper
 
-    # explode would put a filter under this side's shuffle, so that the two sides could not share it
-    opened = sliced.select("tag", "slice", "up", F.posexplode_outer("at").alias("i", "p")).select("tag", "slice", at.alias("p"))
-    by_place = opened.groupBy("slice", "p").agg(F.sum(F.coalesce(F.col("tag").bitwiseAND(F.lit(1)), F.lit(0))).alias("t"), F.count("tag").alias("r"))
-    tables = by_place.groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("p", _ratio("t", "r", n_t, n_r).alias("x"))))["x"].alias("table"))
-    read = sliced.join(tables.hint("shuffle_hash"), "slice").select("tag", "table", "up", F.posexplode_outer("at").alias("i", "p"))
+    # every place counts once more, as nothing: so a slice's table is its ratios in order, without gaps
+    opened = sliced.select("slice", "tag", "up", F.posexplode("at").alias("i", "p")).select("slice", at.alias("p"), F.col("tag").bitwiseAND(F.lit(1)).alias("t"), F.lit(1).cast("long").alias("r"))
+    nothing = F.lit(0).cast("long")
+    every = docs.sparkSession.range(buckets).select(F.shiftright("id", bits).cast("int").alias("slice"), F.col("id").bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("p"), nothing.alias("t"), nothing.alias("r"))
+    counted = opened.unionAll(every).groupBy("slice", "p").agg(F.sum("t").alias("t"), F.sum("r").alias("r"))
+    ratios = counted.groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("p", _ratio("t", "r", n_t, n_r).alias("x"))))["x"].alias("table"))
+    tables = ratios.select("slice", "table", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"))
+    read = sliced.join(tables.hint("shuffle_hash"), ["slice", "share"]).select("tag", "table", "up", F.posexplode("at").alias("i", "p"))
     sums = read.groupBy(F.shiftright("tag", 1).alias("key")).agg((F.sum(F.get("table", at)) / F.count("p") / 1e6).alias("llr"))
-    base = base_counts(rows.withColumn("key", F.shiftright("uid", 1)), "text").drop("text", "words")
-    return _verdict(skew_join(base, sums, ["key"], "left").withColumn("llr", F.coalesce("llr", F.lit(0.0))), id_col, threshold)
+    found = skew_join(base.withColumn("key", F.shiftright("uid", 1)), sums, ["key"], "left")
+    return _verdict(found.withColumn("llr", F.coalesce("llr", F.lit(0.0))), id_col, threshold)
