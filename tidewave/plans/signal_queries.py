@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewave.functions import design
-from tidewave.operators import adaptive, cycles, losses, networks, signal, static
+from tidewave.operators import adaptive, cycles, losses, networks, selection, signal, static, wavelets
 from tidewave.plans import sql_oracles as sql
 from tidewave.sources.tables import events, lines, table
 
@@ -36,6 +36,7 @@ FIR = {
 FS = 250.0
 IIR = {"butter": {}, "cheby1": {"rp": 1.0}, "cheby2": {"rs": 40.0}, "ellip": {"rp": 1.0, "rs": 40.0}}
 EV, LI = ("user_id", "ts"), ("l_suppkey", LINE_ORDER)
+BLOCK, SCALES, MODES = 16, (0.0, 0.5), ("soft", "hard", "garrote", "greater", "less")
 SCC = {"target": 64, "num_cycles": 32, "shortest": 3}
 K0, H0 = (0.0, 0.3), (0.0, 0.5, -0.25)
 
@@ -118,6 +119,25 @@ def _istft(spark, d):
     return tidy(signal.from_arrays(cycles.istft(s, "vec_id", 9, 17), "vec_id"), "v")
 
 
+def _istft_cropped(spark, d):
+    """Twelve of 17 frames and seven of nine waves are kept: what is left out is missing from the signal."""
+    s = cycles.stft(table(spark, d, "embeddings"), "vec_id", "embedding", nperseg=16, noverlap=12, n_freq=7, n_frames=12, kind="double")
+    return tidy(signal.from_arrays(cycles.istft(s, "vec_id", 7, 12), "vec_id"), "v")
+
+
+def _scaled(spark, d):
+    """The finest details out, the next ones halved: the way back is no identity."""
+    c = static.dwt_analysis(events(spark, d), *EV, "value", "db2", len(SCALES))
+    factor = F.element_at(F.array(*(F.lit(x) for x in SCALES)), F.col("level"))
+    c = c.withColumn("c", F.when(F.col("band") == "d", F.col("c") * factor).otherwise(F.col("c")))
+    back = static.dwt_synthesis(c, "user_id", "db2", len(SCALES))
+    return tidy(back.join(_samples(spark, d).select("user_id", "n"), ["user_id", "n"]), "v")
+
+
+def _long_taps():
+    return design.fir_taps(33, 40.0, fs=FS)
+
+
 def _net(name: str):
     """The vectors in order, joined into inputs of the net's size (the last one filled up with zeros), through a net with seeded weights."""
 
@@ -143,6 +163,19 @@ def queries() -> dict:
         **{f"iir_causal_{k}": _iir(k, False) for k in IIR},
         **{f"iir_zero_phase_{k}": _iir(k, True) for k in IIR},
         **{f"iir_causal_{k}": lambda s, d, n=n, wn=wn, o=o: tidy(static.iir_filter(events(s, d), *EV, "value", n, wn, fs=FS, zero_phase=False, **o), "v") for k, (n, wn, o) in DEEP.items()},
+        "iir_causal_bessel": lambda s, d: tidy(static.iir_filter(events(s, d), *EV, "value", 2, 40.0, fs=FS, ftype="bessel", zero_phase=False), "v"),
+        # the same operators in blocks, here of a few samples, so that a signal is many of them
+        "moving_average_blocks": lambda s, d: tidy(static.moving_average(events(s, d), *EV, "value", 9, block=BLOCK), "v"),
+        "moving_median_blocks": lambda s, d: tidy(static.moving_median(events(s, d), *EV, "value", 9, block=BLOCK), "v"),
+        "fir_causal_blocks": lambda s, d: tidy(static.fir_filter(events(s, d), *EV, "value", fs=FS, zero_phase=False, block=BLOCK, **FIR["lowpass"]), "v"),
+        "fir_zero_phase_blocks": lambda s, d: tidy(static.fir_filter(events(s, d), *EV, "value", 33, 40.0, fs=FS, block=BLOCK), "v"),
+        "iir_causal_blocks": lambda s, d: tidy(static.iir_filter(events(s, d), *EV, "value", 3, [20.0, 60.0], fs=FS, btype="bandpass", ftype="ellip", rp=1.0, rs=40.0, zero_phase=False, block=BLOCK), "v"),
+        "iir_zero_phase_blocks": lambda s, d: tidy(static.iir_filter(events(s, d), *EV, "value", 2, 40.0, fs=FS, ftype="ellip", block=BLOCK, **IIR["ellip"]), "v"),
+        "wavelet_denoise_blocks": lambda s, d: tidy(static.wavelet_denoising(events(s, d), *EV, "value", "db4", 1, block=BLOCK), "v"),
+        "dwt_synthesis_scaled": _scaled,
+        "medians": lambda s, d: tidy(selection.medians(table(s, d, "lineitem"), "l_suppkey", "l_extendedprice", cells=16, gather=32), "median"),
+        "threshold_modes": lambda s, d: tidy(table(s, d, "events").select("event_id", *(wavelets.shrunk(F.col("value") - 50, F.lit(10.0), m).alias(m) for m in MODES)), *MODES),
+        "istft_cropped": _istft_cropped,
         "dwt_analysis_three_levels": lambda s, d: tidy(static.dwt_analysis(events(s, d), *EV, "value", "db2", 3), "c"),
         "wavelet_denoise_hard": lambda s, d: tidy(static.wavelet_denoising(events(s, d), *EV, "value", "sym4", 2, "hard"), "v"),
         "wavelet_denoise_garrote": lambda s, d: tidy(static.wavelet_denoising(events(s, d), *EV, "value", "haar", 2, "garrote"), "v"),
@@ -209,7 +242,19 @@ def oracle_sql() -> dict[str, str]:
         "fir_zero_phase": sql.fir_zero_phase(_taps("lowpass")),
         "fir_zero_phase_window": sql.fir_zero_phase(_taps("lowpass")),
         **{f"fir_{k}": sql.fir_zero_phase(_taps(k)) for k in ("highpass", "bandpass", "bandstop", "kaiser")},
-        "iir_causal_butter": sql.butterworth(40.0, FS),
+        "iir_causal_butter": sql.second_order(40.0, FS),
+        "iir_causal_bessel": sql.second_order(40.0, FS, 3),
+        "moving_average_blocks": sql.moving_average(4),
+        "moving_median_blocks": sql.moving_median(4),
+        "fir_causal_blocks": sql.fir_causal(FIR["lowpass"]["numtaps"], FIR["lowpass"]["cutoff"], FS),
+        "fir_zero_phase_blocks": sql.fir_zero_phase(_long_taps()),
+        "iir_causal_blocks": sql.cascade(design.iir_sections(3, [20.0, 60.0], fs=FS, btype="bandpass", ftype="ellip", rp=1.0, rs=40.0)),
+        "iir_zero_phase_blocks": sql.iir_zero_phase(_sos("ellip"), 9),
+        "wavelet_denoise_blocks": sql.wavelet(lo, hi, rl, rh, "denoise"),
+        "dwt_synthesis_scaled": sql.deep_synthesis(*(x.tolist() for x in design.filter_bank("db2")), SCALES),
+        "medians": f"select l_suppkey, count(*) as n, {sql.rounded('median(l_extendedprice)')} as median from lineitem group by l_suppkey",
+        "threshold_modes": sql.thresholds(10.0),
+        "istft_cropped": sql.cropped_istft(16, 4, 7, 12, 64),
         **{f"iir_causal_{k}": sql.iir_causal(_sos(k)) for k in IIR if k != "butter"},
         **{f"iir_zero_phase_{k}": sql.iir_zero_phase(_sos(k), 9) for k in IIR},
         "dwt_analysis": sql.dwt_analysis(lo, hi),

@@ -252,10 +252,11 @@ c as (select vec_id, (2 * n + k - {pad})::int as i, v * t as v from x join l on
 select vec_id, i, {rounded('sum(v)')} as v from c where i between 0 and 63 group by vec_id, i"""
 
 
-def butterworth(cutoff: float, fs: float) -> str:
-    """Order 2, causal; the coefficients come from the tangent of half the angle, in SQL."""
-    c = f"(select c, 1 / (1 + sqrt(2) * c + c * c) as g from (select tan(pi() * {cutoff} / {fs}) as c))"
-    return f"""with recursive {EV}, k as (select c * c * g as b, 2 * (c * c - 1) * g as a1, (1 - sqrt(2) * c + c * c) * g as a2 from {c}), f as (
+def second_order(cutoff: float, fs: float, damping: int = 2) -> str:
+    """Low-pass of order 2, causal: 1 / (s^2 + sqrt(damping) s + 1), 2 for Butterworth and 3 for Bessel; the coefficients come from the
+    tangent of half the angle, in SQL."""
+    c = f"(select c, 1 / (1 + sqrt({damping}) * c + c * c) as g from (select tan(pi() * {cutoff} / {fs}) as c))"
+    return f"""with recursive {EV}, k as (select c * c * g as b, 2 * (c * c - 1) * g as a1, (1 - sqrt({damping}) * c + c * c) * g as a2 from {c}), f as (
   select user_id, n, v as x0, 0.0::double as x1, b * v as y0, 0.0::double as y1 from ev, k where n = 0
   union all select ev.user_id, ev.n, ev.v, f.x0, b * (ev.v + 2 * f.x0 + f.x1) - a1 * f.y0 - a2 * f.y1, f.y0 from f join ev on ev.user_id = f.user_id and ev.n = f.n + 1 join k on true
 ) select user_id, n, {rounded('y0')} as v from f"""
@@ -373,14 +374,51 @@ def deep_analysis(lo, hi, levels: int) -> str:
 
 def deep_denoise(lo, hi, rl, rh, levels: int, mode: str) -> str:
     """Details of all levels by one threshold from the finest ones, hard or garrote, and back."""
-    f = len(lo)
     kept = {"hard": "case when abs(v) < t then 0.0 else v end", "garrote": "case when abs(v) < t then 0.0 else v - t * t / v end"}[mode]
-    parts = [_levels(lo, hi, levels), values("rl_taps", "k, t", enumerate(rl)), values("rh_taps", "k, t", enumerate(rh)), "th as (select user_id, median(abs(d1.v)) / 0.6745 * sqrt(2 * ln(max(ev.nn))) as t from d1 join (select distinct user_id, nn from ev) ev using (user_id) group by 1)"]
+    threshold = "th as (select user_id, median(abs(d1.v)) / 0.6745 * sqrt(2 * ln(max(ev.nn))) as t from d1 join (select distinct user_id, nn from ev) ev using (user_id) group by 1)"
+    return _back(lo, hi, rl, rh, levels, [threshold], [f"select d.user_id, d.n, {kept} as v from d{lev} d join th using (user_id)" for lev in range(1, levels + 1)])
+
+
+def deep_synthesis(lo, hi, rl, rh, factors) -> str:
+    """The way back from details multiplied by a factor at each level."""
+    return _back(lo, hi, rl, rh, len(factors), [], [f"select user_id, n, {float(x)!r} * v as v from d{lev}" for lev, x in enumerate(factors, 1)])
+
+
+def _back(lo, hi, rl, rh, levels: int, more: list[str], details: list[str]) -> str:
+    """Down ``levels`` levels and back; ``details`` are queries for the details of each level, from the finest."""
+    f = len(lo)
+    parts = [_levels(lo, hi, levels), values("rl_taps", "k, t", enumerate(rl)), values("rh_taps", "k, t", enumerate(rh)), *more]
     low = f"x{levels}"
     for lev in range(levels, 0, -1):
-        parts.append(f"t{lev} as (select d.user_id, d.n, {kept} as v from d{lev} d join th using (user_id))")
+        parts.append(f"t{lev} as ({details[lev - 1]})")
         size = f"select user_id, max(nn) as nn from x{lev - 1} group by user_id"
         part = lambda src, taps: f"select o.user_id, o.n, k.t * s.v as v from o join {taps} k on true join {src} s on s.user_id = o.user_id and 2 * s.n = o.n + {f - 2} - k.k"
         parts.append(f"r{lev} as materialized (with o as (select user_id, unnest(range(nn))::int as n from ({size})) select user_id, n, sum(v) as v from ({part(low, 'rl_taps')} union all {part(f't{lev}', 'rh_taps')}) group by 1, 2)")
         low = f"r{lev}"
     return f"with {EV}, {', '.join(parts)} select user_id, n, {rounded('v')} as v from r1"
+
+
+def cropped_istft(size: int, hop: int, n_freq: int, n_frames: int, length: int) -> str:
+    """The spectrum of the first ``n_frames`` frames and ``n_freq`` waves, and back: half a frame of zeros at both ends, frames added and divided
+    by the power of all windows, also those of frames left out."""
+    w = f"(0.5 - 0.5 * cos(2 * pi() * k / {size}))"
+    frames = -(-length // hop) + 1
+    return f"""with x as (select vec_id, unnest(embedding)::double as v, generate_subscripts(embedding, 1) - 1 as n from embeddings),
+k as (select unnest(range({size}))::int as k), t as (select unnest(range({n_frames}))::int as t), f as (select unnest(range({n_freq}))::int as f),
+z as materialized (select x.vec_id, f, t, sum(v * {w} * cos(2 * pi() * f * k / {size})) as re, -sum(v * {w} * sin(2 * pi() * f * k / {size})) as im from x join k on true join t on x.n = t * {hop} + k - {size // 2} join f on true group by 1, 2, 3),
+y as (select vec_id, t * {hop} + k - {size // 2} as n, sum({w} / {size} * case when f = 0 or 2 * f = {size} then 1 else 2 end * (re * cos(2 * pi() * f * k / {size}) - im * sin(2 * pi() * f * k / {size}))) as v from z join k on true group by 1, 2),
+p as (select a.t * {hop} + k - {size // 2} as n, sum({w} * {w}) as p from (select unnest(range({frames}))::int as t) a join k on true group by 1)
+select vec_id, n::int as n, {rounded('coalesce(y.v / case when p > 1e-10 then p else 1 end, 0.0)')} as v from x left join y using (vec_id, n) left join p using (n)"""
+
+
+def thresholds(limit: float) -> str:
+    """All modes on the distance of a value from 50."""
+    c = "(value - 50)"
+    kinds = {
+        "soft": f"case when {c} = 0 then 0.0 else {c} * greatest(0.0, 1 - {limit} / abs({c})) end",
+        "hard": f"case when abs({c}) < {limit} then 0.0 else {c} end",
+        "garrote": f"case when abs({c}) < {limit} then 0.0 else {c} - {limit} * {limit} / {c} end",
+        "greater": f"case when {c} < {limit} then 0.0 else {c} end",
+        "less": f"case when {c} > {limit} then 0.0 else {c} end",
+    }
+    return "select event_id, " + ", ".join(f"{rounded(x)} as {k}" for k, x in kinds.items()) + " from events"
