@@ -58,6 +58,33 @@ def synthesis(rows: DataFrame, key: str, lo, hi, block: int | None = None, keep:
     return leads.select(key, *keep, F.inline(two))
 
 
+def layer_analysis(rows: DataFrame, key: str, lo, hi) -> DataFrame:
+    """(key, n, low, high): a network's wavelet layer, one level of (key, n, nn, v) with zeros around it and half as many outputs."""
+    f = len(lo)
+    behind = f // 2  # places from an output's own pair to the last of its taps
+    by = F.when(F.col("n") == F.col("nn") - 1, F.sequence(F.lit(0), F.lit(behind))).otherwise(F.array(F.lit(0)))
+    rows = rows.select(key, "n", "nn", "v", F.explode(by).alias("by")).select(key, "nn", (F.col("n") + F.col("by")).alias("at"), F.when(F.col("by") == 0, F.col("v")).otherwise(0.0).alias("v"))
+    w = Window.partitionBy(key).orderBy("at")
+    lags = rows.select(key, "nn", "at", *(F.lag("v", k, 0.0).over(w).alias(f"v{k}") if k else F.col("v").alias("v0") for k in range(f)))
+    n = F.floor((F.col("at") - behind) / 2).cast("int")
+    weighted = lambda taps: _sum([float(t) * F.col(f"v{k}") for k, t in enumerate(taps)])
+    return lags.where((F.pmod(F.col("at") - behind, F.lit(2)) == 0) & (F.col("at") >= behind) & (n < F.floor(F.col("nn") / 2))).select(key, n.alias("n"), weighted(lo).alias("low"), weighted(hi).alias("high"))
+
+
+def layer_synthesis(rows: DataFrame, key: str, lo, hi) -> DataFrame:
+    """(key, n, v): a network's inverse wavelet layer, twice as many values as (key, n, nn, a, d), whose coefficients have zeros around them; the layer holds its taps reversed."""
+    pad = len(lo) // 2 - 1
+    zeros = (pad + 1) // 2
+    reach = lambda start: F.sequence(F.lit(start), F.lit(start + zeros - 1))
+    none = F.array().cast("array<int>")
+    by = F.concat(F.array(F.lit(0)), F.when(F.col("n") == 0, reach(-zeros)).otherwise(none), F.when(F.col("n") == F.col("nn") - 1, reach(1)).otherwise(none)) if zeros else F.array(F.lit(0))
+    wide = rows.select(key, "n", "nn", "a", "d", F.explode(by).alias("by"))
+    own = lambda c: F.when(F.col("by") == 0, F.col(c)).otherwise(0.0).alias(c)
+    wide = wide.select(key, "nn", (F.col("n") + F.col("by") + zeros).alias("n"), own("a"), own("d"))
+    n = F.col("n") - (2 * zeros - pad)
+    return synthesis(wide, key, lo[::-1], hi[::-1], keep=("nn",)).where((n >= 0) & (n < 2 * F.col("nn"))).select(key, n.cast("int").alias("n"), "v")
+
+
 def _sum(terms: list[Column]) -> Column:
     total = terms[0]
     for t in terms[1:]:

@@ -97,15 +97,24 @@ def _time2vec(spark, d):
     return tidy(table(spark, d, "embeddings").select("vec_id", F.posexplode(networks.time2vec(e, 0.05, 0.02, -0.07, 0.1)).alias("i", "v")), "v")
 
 
+def _values(spark, d):
+    rows = signal.from_arrays(table(spark, d, "embeddings"), "vec_id", "embedding")
+    return rows.withColumn("nn", F.lit(64))
+
+
 def _dwt_layer(spark, d):
-    bands = table(spark, d, "embeddings").select("vec_id", networks.dwt_bands(F.col("embedding").cast("array<double>")).alias("b"))
-    parts = [bands.select("vec_id", F.lit(k).alias("band"), F.posexplode(f"b.{k}").alias("i", "c")) for k in ("low", "high")]
-    return tidy(parts[0].unionByName(parts[1]), "c")
+    lo, hi, _, _ = design.filter_bank("db6")
+    bands = wavelets.layer_analysis(_values(spark, d), "vec_id", lo, hi)
+    return tidy(bands.select("vec_id", F.col("n").alias("i"), F.inline(F.array(*(F.struct(F.lit(k).alias("band"), F.col(k).alias("c")) for k in ("low", "high"))))), "c")
 
 
 def _idwt_layer(spark, d):
-    e = F.col("embedding").cast("array<double>")
-    return tidy(table(spark, d, "embeddings").select("vec_id", F.posexplode(networks.idwt_up(F.slice(e, 1, 32), F.slice(e, 33, 32))).alias("i", "v")), "v")
+    """The first 32 values as low and the others as high coefficients."""
+    _, _, lo, hi = design.filter_bank("db6")
+    rows = _values(spark, d)
+    low, high = rows.where("n < 32").withColumnRenamed("v", "a"), rows.where("n >= 32").select("vec_id", (F.col("n") - 32).alias("n"), F.col("v").alias("d"))
+    met = low.join(high, ["vec_id", "n"]).withColumn("nn", F.lit(32))
+    return tidy(wavelets.layer_synthesis(met, "vec_id", lo, hi).withColumnRenamed("n", "i"), "v")
 
 
 def _stft(spark, d):
