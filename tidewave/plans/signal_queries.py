@@ -7,11 +7,12 @@ references per supplier). Values are rounded to six digits so that the order of
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewave.functions import design
+from tidewave.functions import design, table_functions
 from tidewave.operators import adaptive, cycles, losses, networks, selection, signal, static, wavelets
 from tidewave.plans import sql_oracles as sql
 from tidewave.sources.tables import events, lines, table
@@ -206,6 +207,7 @@ def queries() -> dict:
         "hybrid_kalman": lambda s, d: tidy(adaptive.hybrid_gall_kalman(lines(s, d), *LI, F.expr(RAW), REFS, M_gall=1), "clean", "y_total", "wx", "wy", "wz", digits=4),
         "lms_five_taps": lambda s, d: tidy(adaptive.modified_lms_anc(lines(s, d), *LI, F.expr(RAW), F.expr(LOW), REFS, mu=1e-6), "clean", digits=5),
         "rls_five_taps": lambda s, d: tidy(adaptive.rls_anc(lines(s, d), *LI, F.expr(RAW), REFS), "clean", digits=2),
+        "rls_table_function": _rls_sql,
         "blms_32_taps": lambda s, d: tidy(adaptive.blms_filter(lines(s, d), *LI, F.expr(RAW), REFS, mu=1e-6), "clean", digits=5),
         "scc_bounds": _bounds,
         "scc_preprocess": lambda s, d: tidy(_scc(s, d).select("user_id", "cycle", "orig_len", F.posexplode("vals").alias("i", "v")), "v"),
@@ -233,6 +235,14 @@ def _triples(s, d):
     return tidy(networks.beat_triples(beats, "label", "vec_id", "s", "i").select("label", "vec_id", F.posexplode("x").alias("i", "v")), "v")
 
 
+def _rls_sql(s, d):
+    """The same filter, called in SQL."""
+    table_functions.register(s)
+    rows, name = _line(s, d), f"lines_{uuid.uuid4().hex}"
+    rows.createOrReplaceTempView(name)
+    return tidy(s.sql(f"SELECT l_suppkey, n, clean FROM rls(TABLE({name}) PARTITION BY l_suppkey ORDER BY n, key => 'l_suppkey')"), "clean", digits=2)
+
+
 def _line(s, d):
     return signal.indexed(lines(s, d), *LI, {"raw": F.expr(RAW), "rx": REFS[0], "ry": REFS[1], "rz": REFS[2]})
 
@@ -275,6 +285,7 @@ def oracle_sql() -> dict[str, str]:
         "regressor": sql.regressor(3),
         "lms_five_taps": sql.lms_taps(1e-6, 5, 5),
         "rls_five_taps": sql.rls_taps(0.99, 5, 2),
+        "rls_table_function": sql.rls_taps(0.99, 5, 2),
         "blms_32_taps": sql.blms_taps(1e-6, 10, 32, 5),
         "gall_laguerre": sql.laguerre(GALL["M"], GALL["beta"], GALL["alpha"], 1e-3, 4),
         "gall_coefficients": sql.laguerre_coefficients(GALL["M"], GALL["beta"], GALL["alpha"], 1e-3, 4),
