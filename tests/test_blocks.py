@@ -76,8 +76,8 @@ def test_one_long_signal_over_many_tasks(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
-@pytest.mark.parametrize("taps", [5, 41, 101])
-@pytest.mark.parametrize("block", [16, 128])
+@pytest.mark.parametrize("taps", [5, 101])
+@pytest.mark.parametrize("block", [16])
 def test_fir_over_blocks(df, taps, block):
     t = design.fir_taps(taps, 40, fs=250)
     same(static.fir_filter(df, "k", "t", "v", taps, 40, fs=250, block=block), lambda x: kernels.fir_zero_phase(t, x))
@@ -93,7 +93,7 @@ def test_moving_windows_over_blocks(df, block):
         static.moving_average(df, "k", "t", "v", 9, block=block).collect()
 
 
-@pytest.mark.parametrize(("wavelet", "level"), [("haar", 2), ("db4", 3), ("sym5", 1), ("coif1", 2)])
+@pytest.mark.parametrize(("wavelet", "level"), [("haar", 2), ("db4", 3)])
 @pytest.mark.parametrize("block", [None, 16])
 def test_wavelets_as_windows(df, wavelet, level, block):
     c = static.dwt_analysis(df, "k", "t", "v", wavelet, level, block=block)
