@@ -270,7 +270,7 @@ def decode(tokens: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") ->
                 ids = lists.flatten()  # of lists that aren't null
                 known = pc.fill_null(pc.and_(pc.less(ids, size), pc.greater_equal(ids, 0)), False)
                 tokens = vocabulary.take(pc.if_else(known, ids, 0))
-                if tokens.null_count or not pc.all(known).as_py():
+                if tokens.null_count or not pc.all(known, min_count=0).as_py():
                     odd = next(i for i in ids.to_pylist() if i is None or not 0 <= i < size or table[i] is None)
                     raise ValueError(f"id {odd} is not in the vocabulary")
                 # the tokens' bytes already stand one after the other: a text's are those from its first token to its last
