@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewave.functions import design, kernels, sections
-from tidewave.operators import blocks, cycles, selection, static, wavelets
+from tidewave.operators import blocks, cycles, networks, selection, signal, static, wavelets
 
 rng = np.random.default_rng(5)
 SIGNALS = {1: 1, 2: 2, 3: 7, 4: 20, 5: 333, 6: 1100}
@@ -183,6 +183,26 @@ def test_cycles_and_spectra_refuse_nulls(spark):
         cycles.stft(twice, "k", "v", nperseg=8, noverlap=4, n_freq=5, n_frames=4).collect()
 
 
+def test_regressors_magnitudes_and_nets_refuse_nulls(spark):
+    df = lambda rows: spark.createDataFrame(rows, "k long, n int, a double, b double, c double")
+    good = [(1, i, 1.0 * i, 2.0, 3.0) for i in range(6)]
+    first = (1, 0, None, 2.0, 3.0)
+    u = lambda rows: df(rows).select("n", signal.regressor(["a", "b"], 2, "k").alias("u"))
+    assert [r.u for r in u(good).orderBy("n").collect()][:2] == [None, [1.0, 0.0, 2.0, 2.0]]
+    svm = lambda rows: df(rows).select(signal.magnitude("a", "b", "c").alias("m"))
+    assert svm(good).first().m == pytest.approx(13**0.5)
+    for op in (u, svm):
+        for at in (first, (1, 6, 1.0, None, 3.0)):
+            with pytest.raises(Exception, match="null in"):
+                op([at, *good[1:]]).collect()
+    with pytest.raises(Exception, match="tied order"):
+        u([*good, good[3]]).collect()
+    weights = networks.seeded("ecgd", 3)
+    for x in (None, [None] + [1.0] * 1023, [float("nan")] * 1024):
+        with pytest.raises(Exception, match="null in x"):
+            networks.infer(spark.createDataFrame([(1, x)], "i long, x array<float>"), "x", "ecgd", weights).collect()
+
+
 def test_short_signals_have_frames_of_zeros(spark):
     """Frames that hold no sample are zeros, as in the whole transform."""
     x = rng.standard_normal(9)

@@ -316,11 +316,16 @@ def weights_from(table: DataFrame) -> dict[str, Array]:
 
 
 def infer(df: DataFrame, column: str, name: str, weights: dict[str, Array]) -> DataFrame:
-    """``df`` with ``y``, the flat output of the net for the flat array in ``column``. The weights are broadcast once (24 MB for the largest net)."""
-    net, held = NETS[name], df.sparkSession.sparkContext.broadcast(weights)
+    """``df`` with ``y``, the flat output of the net for the flat array in ``column``. The weights are broadcast once (24 MB for the largest net).
 
+    A null array or element is an error, and so is one that isn't a number.
+    """
+    net, held = NETS[name], df.sparkSession.sparkContext.broadcast(weights)
+    x = F.col(column)
+    whole = x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v))
+    checked = F.when(whole, x).otherwise(F.raise_error(F.lit(f"null in {column}")).cast(df.schema[column].dataType))
     run = F.pandas_udf(_typed(net, held), "array<float>")
-    return df.withColumn("y", run(F.col(column)))
+    return df.withColumn("y", run(checked))
 
 
 def beat_triples(beats: DataFrame, key: str, order: str, samples: str, intervals: str) -> DataFrame:

@@ -84,13 +84,14 @@ def per_signal(df: DataFrame, key: str, order: str | Sequence[str], inputs: dict
 
 
 def magnitude(x: Column | str, y: Column | str, z: Column | str) -> Column:
-    """Length of a vector of three axes."""
-    x, y, z = (F.col(c) if isinstance(c, str) else c for c in (x, y, z))
+    """Length of a vector of three axes. A null is an error."""
+    x, y, z = (checked(c, f"axis {n}") for c, n in zip((x, y, z), "xyz", strict=True))
     return F.sqrt(x * x + y * y + z * z)
 
 
 def regressor(channels: Sequence[str], order: int, key: str, by: str = "n") -> Column:
-    """The last ``order`` values of each channel, newest first, channel after channel; null where there are fewer."""
+    """The last ``order`` values of each channel, newest first, channel after channel; null where there are fewer. A null value and a tied order are errors."""
     w = Window.partitionBy(key).orderBy(by)
-    lags = F.array(*(F.lag(c, i).over(w) if i else F.col(c) for c in channels for i in range(order)))
-    return F.when(F.col(by) >= order - 1, lags)
+    lags = F.array(*(F.lag(c, i).over(w) if i else checked(c, c) for c in channels for i in range(order)))
+    tied = F.lag(by).over(w) == F.col(by)
+    return F.when(tied, F.raise_error(F.lit("tied order")).cast("array<double>")).when(F.col(by) >= order - 1, lags).otherwise(F.when(F.size(F.array(*(checked(c, c) for c in channels))) < 0, lags))
