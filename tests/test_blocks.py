@@ -42,7 +42,7 @@ def test_numbering(df):
 SOS = design.iir_sections(3, 40, fs=250)
 
 
-@pytest.mark.parametrize(("block", "fan"), [(64, 3), (7, 2), (5000, 4096)])
+@pytest.mark.parametrize(("block", "fan"), [(7, 2), (5000, 4096)])
 def test_sections_over_blocks(df, block, fan):
     same(blocks.sections_filter(df, "k", "t", "v", SOS, False, block, fan), lambda x: kernels.sos_filter(SOS, x))
     same(blocks.sections_filter(df, "k", "t", "v", SOS, True, block, fan), lambda x: kernels.sos_zero_phase(SOS, x))
@@ -93,8 +93,7 @@ def test_moving_windows_over_blocks(df, block):
         static.moving_average(df, "k", "t", "v", 9, block=block).collect()
 
 
-@pytest.mark.parametrize(("wavelet", "level"), [("haar", 2), ("db4", 3)])
-@pytest.mark.parametrize("block", [None, 16])
+@pytest.mark.parametrize(("wavelet", "level", "block"), [("haar", 2, 16), ("db4", 3, None), ("sym5", 1, 64)])
 def test_wavelets_as_windows(df, wavelet, level, block):
     c = static.dwt_analysis(df, "k", "t", "v", wavelet, level, block=block)
     found = {}
@@ -108,7 +107,7 @@ def test_wavelets_as_windows(df, wavelet, level, block):
     same(static.wavelet_baseline_removal(df, "k", "t", "v", wavelet, level, block=block), lambda x: kernels.wavelet_baseline(x, wavelet, level))
 
 
-@pytest.mark.parametrize(("mode", "block"), [("soft", None), ("hard", None), ("garrote", None), ("greater", None), ("less", None), ("soft", 16), ("garrote", 64)])
+@pytest.mark.parametrize(("mode", "block"), [("soft", None), ("less", None), ("garrote", 16)])
 def test_denoising_as_windows(df, mode, block):
     same(static.wavelet_denoising(df, "k", "t", "v", "db2", 2, mode, block=block), lambda x: kernels.wavelet_denoise(x, "db2", 2, mode))
 
@@ -125,7 +124,7 @@ def test_unknown_threshold_modes_are_errors(df):
     assert wavelets.shrunk(F.lit(1.0), F.lit(1.0), "soft") is not None
 
 
-@pytest.mark.parametrize(("cells", "gather"), [(4096, 1 << 15), (4, 5), (3, 1), (2, 2)])
+@pytest.mark.parametrize(("cells", "gather"), [(4096, 1 << 15), (3, 1)])
 def test_medians(spark, cells, gather):
     groups = {k: np.round(x, 1) for k, x in X.items()} | {9: np.full(300, 5.0), 10: np.array([1e308, -1e308]), 11: np.array([0.0, -0.0, 1.0]), 12: np.repeat([1.0, 2.0], 50), None: np.array([3.0, 4.0, 9.0, 1.0])}
     df = spark.createDataFrame([(k, float(v)) for k, x in groups.items() for v in x] + [(8, None), (9, None)], "k long, x double").repartition(4)
