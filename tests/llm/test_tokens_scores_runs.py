@@ -167,7 +167,7 @@ def vectors(seed=2):
     return rows + [rows[100], rows[100], rows[7]]  # repeated rows, one of them an anchor
 
 
-@pytest.mark.parametrize("blocks", [(1 << 14, 1 << 14), (64, 3), (7, 1)])
+@pytest.mark.parametrize("blocks", [(1 << 14, 1 << 14), (64, 3)])
 def test_hard_negatives(spark, blocks):
     df = spark.createDataFrame([(*r, "clash", 1, "clash") for r in vectors()], VECTORS).repartition(3)
     label = F.expr("case when vec_id % 7 = 0 then (label + 1) % 10 else label end")
