@@ -195,20 +195,22 @@ def rule(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_c
     tag = F.col("uid").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("trusted").cast("long")).alias("tag")
     every_place = F.sort_array(F.transform(_ngrams(words_of(F.col("text"))), lambda h: h.bitwiseAND(F.lit(buckets - 1))))  # buckets is a power of two
     places = marked.select(tag, let(every_place, pieces).alias("pieces")).select("tag", F.inline("pieces"))
-    share = F.pmod(F.shiftright("tag", 1), F.lit(shares)).cast("int")
+    share = F.coalesce(F.pmod(F.shiftright("tag", 1), F.lit(shares)).cast("int"), F.lit(0))  # never null, as the planner can see: see below
     sliced = places.withColumn("share", share).repartition("slice", "share")
 
     upper = F.shiftleft(F.get("up", "i").cast("int"), 16) if bits > 16 else F.lit(0)
     at = F.col("p").cast("int") + low + upper
 
-    # every place counts once more, as nothing: so a slice's table is its ratios in order, without gaps
-    opened = sliced.select("slice", "tag", "up", F.posexplode("at").alias("i", "p")).select("slice", at.alias("p"), F.col("tag").bitwiseAND(F.lit(1)).alias("t"), F.lit(1).cast("long").alias("r"))
+    # Both readers share the shuffle, as long as neither has a filter to push under it: explode would (for empty arrays), and
+    # a join would by keys that may be null. Every place counts once more, as nothing: so a slice's table is its ratios in
+    # order, without gaps.
+    opened = sliced.select("slice", "tag", "up", F.posexplode_outer("at").alias("i", "p")).select("slice", at.alias("p"), F.col("tag").bitwiseAND(F.lit(1)).alias("t"), F.lit(1).cast("long").alias("r"))
     nothing = F.lit(0).cast("long")
     every = docs.sparkSession.range(buckets).select(F.shiftright("id", bits).cast("int").alias("slice"), F.col("id").bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("p"), nothing.alias("t"), nothing.alias("r"))
     counted = opened.unionAll(every).groupBy("slice", "p").agg(F.sum("t").alias("t"), F.sum("r").alias("r"))
     ratios = counted.groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("p", _ratio("t", "r", n_t, n_r).alias("x"))))["x"].alias("table"))
     tables = ratios.select("slice", "table", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"))
-    read = sliced.join(tables.hint("shuffle_hash"), ["slice", "share"]).select("tag", "table", "up", F.posexplode("at").alias("i", "p"))
+    read = sliced.join(tables.hint("shuffle_hash"), ["slice", "share"]).select("tag", "table", "up", F.posexplode_outer("at").alias("i", "p"))
     sums = read.groupBy(F.shiftright("tag", 1).alias("key")).agg((F.sum(F.get("table", at)) / F.count("p") / 1e6).alias("llr"))
     found = skew_join(base.withColumn("key", F.shiftright("uid", 1)), sums, ["key"], "left")
     return _verdict(found.withColumn("llr", F.coalesce("llr", F.lit(0.0))), id_col, threshold)
