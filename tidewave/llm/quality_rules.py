@@ -194,7 +194,7 @@ def rule(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_c
     shares = n_shares(total, slices)
     tag = F.col("uid").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("trusted").cast("long")).alias("tag")
     every_place = F.sort_array(F.transform(_ngrams(words_of(F.col("text"))), lambda h: h.bitwiseAND(F.lit(buckets - 1))))  # buckets is a power of two
-    places = marked.select(tag, let(every_place, pieces).alias("pieces")).select("tag", F.inline("pieces"))
+    places = marked.select(tag, let(every_place, pieces).alias("pieces")).select("tag", F.inline_outer("pieces")).where("slice is not null")  # inline would test the pieces' number first, making them twice
     share = F.coalesce(F.pmod(F.shiftright("tag", 1), F.lit(shares)).cast("int"), F.lit(0))  # never null, as the planner can see: see below
     sliced = places.withColumn("share", share).repartition("slice", "share")
 
