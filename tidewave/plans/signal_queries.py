@@ -238,9 +238,10 @@ def _triples(s, d):
 def _rls_sql(s, d):
     """The same filter, called in SQL."""
     table_functions.register(s)
-    rows, name = _line(s, d), f"lines_{uuid.uuid4().hex}"
-    rows.createOrReplaceTempView(name)
-    return tidy(s.sql(f"SELECT l_suppkey, n, clean FROM rls(TABLE({name}) PARTITION BY l_suppkey ORDER BY n, key => 'l_suppkey')"), "clean", digits=2)
+    signals = signal.gathered(lines(s, d), *LI, {"raw": F.expr(RAW), "rx": REFS[0], "ry": REFS[1], "rz": REFS[2]}).withColumnRenamed("__key", "l_suppkey")
+    name = f"lines_{uuid.uuid4().hex}"
+    signals.createOrReplaceTempView(name)
+    return tidy(s.sql(f"SELECT l_suppkey, posexplode(clean) AS (n, clean) FROM rls(TABLE({name}), key => 'l_suppkey')"), "clean", digits=2)
 
 
 def _line(s, d):
