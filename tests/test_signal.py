@@ -470,3 +470,26 @@ def test_losses(spark):
     assert df.agg(losses.focal_loss("x", "y", 0.5).alias("l")).first().l == pytest.approx(want)
     pairs = spark.createDataFrame([(1.0, 2.0), (0.0, -1.0)], "p double, t double")
     assert pairs.agg(losses.improved_mse("p", "t").alias("l")).first().l == pytest.approx((1 * 5 + 1 * 3) / 2)
+
+
+@pytest.mark.parametrize("block", [None, 4])
+def test_levels_are_made_once_and_go_on_together(spark, block):
+    sizes = [1, 2, 3, 7, 8, 13, 30]
+    signals = {n: rng.standard_normal(n) for n in sizes}
+    df = spark.createDataFrame([(n, i, float(v)) for n, x in signals.items() for i, v in enumerate(x)], "k long, t int, v double")
+    got = static.dwt_analysis(df, "k", "t", "v", "db2", 3, block=block)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan and (block is not None or plan.count("Sort [") <= 3 + 1)
+    collected, found = got.collect(), {}
+    assert len({(r.k, r.level, r.band, r.i) for r in collected}) == len(collected)
+    for r in collected:
+        found.setdefault((r.k, r.level, r.band), {})[r.i] = r.c
+    lo, hi, _, _ = design.filter_bank("db2")
+    for n, a in signals.items():
+        for level in (1, 2, 3):
+            a, d = kernels.dwt(a, lo, hi)
+            bands = {"d": d} | ({"a": a} if level == 3 else {})
+            for band, want in bands.items():
+                have = found.pop((n, level, band))
+                assert sorted(have) == list(range(want.size)) and np.allclose([have[i] for i in range(want.size)], want)
+    assert not found

@@ -35,16 +35,22 @@ def _mirrored(n: Column, nn: Column, reach: int) -> Column:
     return F.when((n >= reach) & (n < nn - reach), F.array(n)).otherwise(F.concat(places(n), places(-1 - n)))
 
 
-def analysis(rows: DataFrame, key: str, lo, hi, block: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, n, nn, keep..., a, d): one level of (key, n, nn, keep..., v)."""
+def analysis(rows: DataFrame, key: str, lo, hi, block: int | None = None, keep: tuple[str, ...] = (), carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, n, nn, keep..., carry..., a, d): one level of (key, n, nn, keep..., carry..., v).
+
+    The columns of ``carry`` are arrays: those of places 2n and 2n + 1 go on, joined, with coefficient n. Mirrored samples have none.
+    """
     f = len(lo)
     at = F.explode(_mirrored(F.col("n"), F.col("nn"), f - 1)).alias("at")
-    met, w, own = _window(rows.select(key, "nn", *keep, "v", at), key, "at", block, f - 1, 0)
-    lags = met.select(key, "nn", *keep, "at", own.alias("own"), *(F.lag("v", k).over(w).alias(f"v{k}") if k else F.col("v").alias("v0") for k in range(f)))
+    met = rows.select(key, "n", "nn", *keep, *carry, "v", at)
+    met = met.select(key, "nn", *keep, "v", "at", *(F.when(F.col("at") == F.col("n"), F.col(c)).otherwise(F.array().cast("array<double>")).alias(c) for c in carry))
+    met, w, own = _window(met, key, "at", block, f - 1, 0)
+    pairs = [F.concat(F.lag(c, 1).over(w), F.col(c)).alias(c) for c in carry]
+    lags = met.select(key, "nn", *keep, *pairs, "at", own.alias("own"), *(F.lag("v", k).over(w).alias(f"v{k}") if k else F.col("v").alias("v0") for k in range(f)))
     size = F.floor((F.col("nn") + f - 1) / 2).cast("long")
     odd = lags.where((F.pmod("at", F.lit(2)) == 1) & (F.col("at") >= 1) & (F.col("at") < 2 * size) & F.col("own"))
     weighted = lambda taps: _sum([float(t) * F.col(f"v{k}") for k, t in enumerate(taps)])
-    return odd.select(key, F.floor(F.col("at") / 2).cast("long").alias("n"), size.alias("nn"), *keep, weighted(lo).alias("a"), weighted(hi).alias("d"))
+    return odd.select(key, F.floor(F.col("at") / 2).cast("long").alias("n"), size.alias("nn"), *keep, *carry, weighted(lo).alias("a"), weighted(hi).alias("d"))
 
 
 def synthesis(rows: DataFrame, key: str, lo, hi, block: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -98,18 +104,23 @@ def _signal(df: DataFrame, key: str, order, value, block: int | None) -> DataFra
 
 
 def coefficients(df: DataFrame, key: str, order, value, wavelet: str, level: int, block: int | None = None) -> DataFrame:
-    """(key, level, band, i, c): details of every level, and the approximation (band a) of the deepest."""
+    """(key, level, band, i, c): details of every level, and the approximation (band a) of the deepest.
+
+    A level's details go on with the approximation they stand at, in an array for each level, so every level is made once and
+    none is sorted anew for the rows of another.
+    """
     lo, hi, _, _ = design.filter_bank(wavelet)
-    rows, found = _signal(df, key, order, value, block), []
-    row = lambda lev, band, c: (key, F.lit(lev).alias("level"), F.lit(band).alias("band"), F.col("n").cast("int").alias("i"), F.col(c).alias("c"))
+    rows, done = _signal(df, key, order, value, block), ()
     for lev in range(1, level + 1):
-        parts = analysis(rows, key, lo, hi, block)
-        found.append(parts.select(*row(lev, "d", "d")))
-        rows = parts.select(key, "n", "nn", F.col("a").alias("v"))
-    out = rows.select(*row(level, "a", "v"))
-    for part in found:
-        out = out.unionAll(part)
-    return out
+        rows = analysis(rows, key, lo, hi, block, carry=done).select(key, "n", "nn", *done, F.array("d").alias(f"d{lev}"), F.col("a").alias("v"))
+        done = (*done, f"d{lev}")
+    row = lambda lev, band, i, c: F.struct(F.lit(lev).alias("level"), F.lit(band).alias("band"), i.cast("int").alias("i"), c.alias("c"))
+
+    def listed(lev: int, c: str) -> Column:
+        return F.transform(c, lambda x, at: row(lev, "d", F.col("n") * (1 << level - lev) + at, x))
+
+    details = [listed(lev, c) for lev, c in enumerate(done, 1)]
+    return rows.select(key, F.inline(F.concat(F.array(row(level, "a", F.col("n"), F.col("v"))), *details)))
 
 
 def signal_of(coeffs: DataFrame, key: str, wavelet: str, levels: int, block: int | None = None) -> DataFrame:
