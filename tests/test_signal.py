@@ -493,3 +493,18 @@ def test_levels_are_made_once_and_go_on_together(spark, block):
                 have = found.pop((n, level, band))
                 assert sorted(have) == list(range(want.size)) and np.allclose([have[i] for i in range(want.size)], want)
     assert not found
+
+
+def test_cycles_are_resampled_once(spark):
+    x = {k: rng.standard_normal(60) for k in (1, 2)}
+    at = {1: [3, 14, 15, 30, 52], 2: [0, 9, 31]}
+    s = spark.createDataFrame([(k, i, float(v)) for k in x for i, v in enumerate(x[k])], "k long, n int, v double")
+    p = spark.createDataFrame([(k, i, r) for k in at for i, r in enumerate(at[k])], "k long, peak_no int, r int")
+    out = cycles.preprocess(s, p, "k", target=12, num_cycles=6, shortest=4)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert sum("partial_sum" in line for line in plan.splitlines()) == 1
+    for k in x:
+        rows, lengths, low, high = cycles.stack(x[k], np.array(at[k]), None, 12, 6, 4)
+        got = out.where(F.col("k") == k).orderBy("cycle").collect()
+        assert [r.cycle for r in got] == list(range(6)) and [r.orig_len for r in got] == lengths
+        assert np.allclose([r.vals for r in got], rows) and np.allclose([(r.g_min, r.g_max) for r in got], (low, high))

@@ -125,13 +125,13 @@ def preprocess(signals: DataFrame, peaks: DataFrame, key: str, stats: tuple[floa
     met = met.select(key, "cycle", "len", (F.col("n") - F.col("start")).alias("pos"), "v")
     points = resampled(met, [key, "cycle", "len"], F.col("len"), F.lit(target))
     rows = points.groupBy(key, "cycle", "len").agg(F.sort_array(F.collect_list(F.struct("i", "v")))["v"].alias("raw"))  # of ``target`` values
-    if stats is None:
-        extremes = points.groupBy(F.col(key).alias("__k")).agg(F.min("v").alias("g_min"), F.max("v").alias("g_max"))
-        places = places.join(extremes, F.col(key).eqNullSafe(F.col("__k")), "left").drop("__k")  # an inner join with nothing would never come to the errors above
-    else:
-        places = places.select("*", *(F.lit(float(v)).alias(c) for v, c in zip(stats, ("g_min", "g_max"), strict=True)))
     rows = rows.select(F.col(key).alias("__k"), F.col("cycle").alias("__c"), "len", "raw")
-    out = places.join(rows, F.col(key).eqNullSafe(F.col("__k")) & (F.col("cycle") == F.col("__c")), "left")
+    out = places.join(rows, F.col(key).eqNullSafe(F.col("__k")) & (F.col("cycle") == F.col("__c")), "left")  # an inner join with nothing would never come to the errors above
+    if stats is None:  # the extremes of a signal's cycles, of which there are ``num_cycles``, so that no cycle is resampled twice
+        w = Window.partitionBy(key)
+        out = out.withColumns({"g_min": F.min(F.array_min("raw")).over(w), "g_max": F.max(F.array_max("raw")).over(w)})
+    else:
+        out = out.withColumns({c: F.lit(float(v)) for v, c in zip(stats, ("g_min", "g_max"), strict=True)})
     scale = F.when(F.col("g_max") > F.col("g_min"), F.col("g_max") - F.col("g_min")).otherwise(1.0)
     vals = F.coalesce(F.transform("raw", lambda v: (v - F.col("g_min")) / scale), F.array_repeat(F.lit(0.0), target))
     return out.select(key, "cycle", F.coalesce("len", F.lit(0)).cast("int").alias("orig_len"), vals.alias("vals"), "g_min", "g_max")
